@@ -1,4 +1,8 @@
-"""Predicates, classification and text clean-up as native column expressions."""
+"""Predicates, classification and text clean-up as native column expressions.
+
+Predicates are never null. They spell the null test out as a conjunct where
+they can, so that the conjuncts still reach the parquet scan.
+"""
 
 from collections.abc import Sequence
 
@@ -34,9 +38,12 @@ def or_default(value: Column, default: str) -> Column:
 
 
 def owner_in(owners: Sequence[str] | None) -> Column:
+    """Creator on the list; a missing creator counts as the empty string."""
     if not owners:
         return F.lit(True)
-    return or_blank(F.col("creator_user_name")).isin(list(owners))
+    creator = F.col("creator_user_name")
+    listed = creator.isin(list(owners))
+    return (creator.isNull() | listed) if "" in owners else (creator.isNotNull() & listed)
 
 
 def tag_matches(tag: str | None) -> Column:
@@ -54,11 +61,13 @@ def tag_matches(tag: str | None) -> Column:
 def name_contains(fragment: str | None) -> Column:
     if not fragment:
         return F.lit(True)
-    return or_false(F.col("settings.name").contains(fragment))
+    name = F.col("settings.name")
+    return name.isNotNull() & name.contains(fragment)
 
 
 def is_bundle() -> Column:
-    return or_false(F.upper(F.col("settings.deployment.kind")).contains(BUNDLE))
+    kind = F.col("settings.deployment.kind")
+    return kind.isNotNull() & F.upper(kind).contains(BUNDLE)
 
 
 def deployment_kind() -> Column:

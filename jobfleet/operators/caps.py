@@ -14,6 +14,7 @@ from jobfleet.staging import stage
 
 STOP = "stop_ordinal"
 BUCKET_ROWS = 1 << 20
+RANKED_ROWS = 100  # well below the rank up to which Spark prunes before the shuffle
 
 
 def stop_ordinals(
@@ -21,14 +22,14 @@ def stop_ordinals(
 ) -> DataFrame:
     """``(workspace_host, stop_ordinal)`` of each workspace's n-th row, n >= 1.
 
-    Workspaces with fewer rows are absent. Small n keeps n rows per map task.
-    Larger n counts rows per ordinal range first and ranks only the range that
-    contains the n-th row; ordinals are unique, so a range holds at most
-    ``bucket_rows`` rows.
+    Workspaces with fewer rows are absent. For small n every map task sends at
+    most n rows per workspace. Larger n counts rows per ordinal range first and
+    ranks only the range that contains the n-th row; ordinals are unique, so a
+    range holds at most ``bucket_rows`` rows.
     """
     narrow = rows.select(HOST, F.col(ordinal).alias(STOP))
     by_ordinal = Window.partitionBy(HOST).orderBy(STOP)
-    if n <= _group_limit(rows):
+    if n <= RANKED_ROWS:
         ranked = narrow.withColumn("rank", F.row_number().over(by_ordinal))
         return stage(ranked.filter(F.col("rank") == n).select(HOST, STOP), "stops")
 
@@ -45,11 +46,6 @@ def stop_ordinals(
     return stage(ranked.filter(F.col("rank") == F.col("wanted")).select(HOST, STOP), "stops")
 
 
-def _group_limit(rows: DataFrame) -> int:
-    # Up to this rank Spark prunes ranked rows before the shuffle.
-    return int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-
-
 def before_stop(stop: Column, ordinal: Column, inclusive: bool) -> Column:
     reached = ordinal <= stop if inclusive else ordinal < stop
     return stop.isNull() | reached

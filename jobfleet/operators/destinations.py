@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobfleet.schemas import HOST
+from jobfleet.staging import stage
 
 
 class MissingDestinations(ValueError):
@@ -37,8 +38,11 @@ def require_destination(workspaces: DataFrame, resolved: DataFrame, name: str) -
 
 
 def with_destination(jobs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Jobs with the ``webhook_id`` of their own workspace."""
-    return jobs.join(resolved.select(HOST, "webhook_id"), HOST, "left")
+    """Jobs with the ``webhook_id`` of their own workspace.
+
+    The lookup is staged, so that it is broadcast if it turns out small.
+    """
+    return jobs.join(stage(resolved.select(HOST, "webhook_id"), "webhook-ids"), HOST, "left")
 
 
 def create_destination_plan(

@@ -35,7 +35,7 @@ def _top(rows: DataFrame, label: Column, name: str, n: int) -> DataFrame:
     return (
         counts.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= n)
-        .select(HOST, name, "jobs", "position")
+        .select(HOST, name, "jobs", F.col("position").cast("long"))
     )
 
 
@@ -67,7 +67,7 @@ def bundles_by_target(inventory: DataFrame) -> DataFrame:
         inventory.filter(F.col("deployment_kind") == BUNDLE)
         .groupBy("bundle_name", "target")
         .agg(F.count("*").alias("jobs"))
-        .orderBy(F.desc("jobs"))
+        .orderBy(F.desc("jobs"), "bundle_name", "target")
     )
 
 
@@ -119,4 +119,6 @@ def run_failed(stats: DataFrame) -> bool:
 
 
 def audit_recent(removal_log: DataFrame) -> DataFrame:
-    return removal_log.orderBy(F.desc("deleted_at"))
+    """The log, newest first. All rows of a run share one time, so the sort needs
+    further keys to spread a large run over many tasks."""
+    return removal_log.orderBy(F.desc("deleted_at"), HOST, "job_id")

@@ -6,16 +6,16 @@ TARGETED = EVENTS[2:]
 JOBS = """
 hooks AS (
   SELECT l_orderkey,
-    list('wh-' || (l_suppkey % 7) ORDER BY l_linenumber, l_suppkey, l_partkey)
-      FILTER (WHERE l_returnflag = 'A') AS on_start,
-    list('wh-' || (l_suppkey % 7) ORDER BY l_linenumber, l_suppkey, l_partkey)
-      FILTER (WHERE l_returnflag = 'N') AS on_success,
-    list('wh-' || (l_suppkey % 7) ORDER BY l_linenumber, l_suppkey, l_partkey)
-      FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS on_failure,
-    list('wh-' || (l_suppkey % 7) ORDER BY l_linenumber, l_suppkey, l_partkey)
-      FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F')
+    list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 0) AS on_start,
+    list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 1) AS on_success,
+    list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 2) AS on_failure,
+    list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 3)
       AS on_duration_warning_threshold_exceeded
-  FROM lineitem GROUP BY l_orderkey),
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey % 7 AS hook,
+          CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1
+               WHEN l_linestatus = 'O' THEN 2 ELSE 3 END AS event
+        FROM lineitem)
+  GROUP BY l_orderkey),
 jobs AS (
   SELECT 'ws-' || n_regionkey AS workspace_host,
     o_orderkey AS scan_ordinal,

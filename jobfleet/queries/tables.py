@@ -90,7 +90,8 @@ def _bundle_path(number: Column) -> Column:
 
 
 def _webhook_lists(lineitem: DataFrame) -> DataFrame:
-    # One row per job: a job's lists are cells of its snapshot row.
+    # A list holds each (line number, id) pair once: at most 7 x 7 entries, however
+    # many line items an order has, and the sets are built up before the shuffle.
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     of_event = dict(
         zip(
@@ -98,15 +99,15 @@ def _webhook_lists(lineitem: DataFrame) -> DataFrame:
             [flag == "A", flag == "N", (flag == "R") & (status == "O"), (flag == "R") & (status == "F")],
         )
     )
-    item = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+    item = F.struct(F.col("l_linenumber"), (F.col("l_suppkey") % 7).alias("hook"))
     grouped = lineitem.groupBy("l_orderkey").agg(
-        *[F.collect_list(F.when(test, item)).alias(event) for event, test in of_event.items()]
+        *[F.collect_set(F.when(test, item)).alias(event) for event, test in of_event.items()]
     )
 
     def webhooks(event: str) -> Column:
         ids = F.transform(
             F.array_sort(event),
-            lambda i: F.struct(F.concat(F.lit("wh-"), i["l_suppkey"] % 7).alias("id")),
+            lambda i: F.struct(F.concat(F.lit("wh-"), i["hook"]).alias("id")),
         )
         return F.when(F.size(event) > 0, ids).alias(event)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobfleet.functions.variants import strict_json, text_at, value_at
 from jobfleet.schemas import EVENT_FIELDS
+from jobfleet.staging import stage
 
 ROOT_POSITION = -1
 
@@ -150,14 +151,15 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
 
     ``pattern_pos`` is the place of the first include pattern that matches (-1
     for the root). A bundle's patterns travel as one array, so every file is
-    tested once and no file-by-pattern pairs are built.
+    tested once and no file-by-pattern pairs are built. The patterns are staged:
+    the files themselves need no shuffle while the patterns are small.
     """
     roots = parse_documents(files.filter(F.col("path") == root_file))
     includes = F.coalesce(
         value_at(F.col("doc"), "$.include", "array<string>"), F.array().cast("array<string>")
     )
-    patterns = roots.select(
-        "bundle", F.transform(includes, glob_regex).alias("patterns")
+    patterns = stage(
+        roots.select("bundle", F.transform(includes, glob_regex).alias("patterns")), "patterns"
     )
     matches = F.transform("patterns", lambda pattern: F.rlike(F.col("path"), pattern))
     position = F.array_position(matches, True) - 1
