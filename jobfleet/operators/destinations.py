@@ -40,9 +40,11 @@ def require_destination(workspaces: DataFrame, resolved: DataFrame, name: str) -
 def with_destination(jobs: DataFrame, resolved: DataFrame) -> DataFrame:
     """Jobs with the ``webhook_id`` of their own workspace.
 
+    A workspace without the destination has no id to plan with, and none of its
+    jobs are planned; ``require_destination`` makes that an error beforehand.
     The lookup is staged, so that it is broadcast if it turns out small.
     """
-    return jobs.join(stage(resolved.select(HOST, "webhook_id"), "webhook-ids"), HOST, "left")
+    return jobs.join(stage(resolved.select(HOST, "webhook_id"), "webhook-ids"), HOST)
 
 
 def create_destination_plan(

@@ -243,7 +243,7 @@ def inventory_csv(spark, sf):
     path = staging_path(spark, "inventory-csv")
     sinks.write_inventory_csv(_inventory(spark, sf), path)
     schema = ", ".join(f"{c} string" for c in sinks.INVENTORY_CSV_COLUMNS)
-    written = spark.read.schema(schema).option("header", True).csv(path)
+    written = spark.read.schema(schema).options(**sinks.CSV_FORMAT).csv(path)
     return written.select(
         F.col("job_id").cast("long"),
         *[f.or_blank(F.col(c)).alias(c) for c in sinks.INVENTORY_CSV_COLUMNS if c != "job_id"],

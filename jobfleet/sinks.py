@@ -11,11 +11,20 @@ from jobfleet.schemas import (
 from jobfleet.staging import spread
 
 
+# Empty strings leave nothing between the commas, quotes are doubled, blanks are kept.
+CSV_FORMAT = {
+    "header": True,
+    "emptyValue": "",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def _write_csv(rows: DataFrame, path: str, columns: tuple[str, ...]) -> bool:
     if not path or rows.isEmpty():
         return False
-    plain = rows.select(*columns)
-    plain.write.option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
+    rows.select(*columns).write.mode("overwrite").options(**CSV_FORMAT).csv(path)
     return True
 
 

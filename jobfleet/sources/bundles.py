@@ -34,7 +34,8 @@ def read_bundle_files(
     """``(bundle, path, content)`` of the definition files below a folder.
 
     Each folder directly below ``root`` is one bundle, unless ``bundle`` names
-    ``root`` itself. ``path`` is relative to the bundle's folder.
+    ``root`` itself. ``path`` is relative to the bundle's folder. Spark's file
+    listing leaves out names that start with a dot or an underscore.
     """
     whole = (
         spark.read.option("recursiveFileLookup", "true")
@@ -78,7 +79,8 @@ def yaml_to_json():
     """A vectorized function from YAML text to JSON text.
 
     A null document gives null, a malformed one fails the job. The helpers are
-    local so that executors need nothing but PyYAML.
+    local so that executors need nothing but PyYAML. Declared nondeterministic,
+    or the optimizer would copy the call into every filter on its result.
     """
     scalars = YAML_SCALARS
 
@@ -127,7 +129,7 @@ def yaml_to_json():
             texts.append(None if document is None else json.dumps(document))
         return pd.Series(texts, dtype=object)
 
-    return F.pandas_udf(convert, "string")
+    return F.pandas_udf(convert, "string").asNondeterministic()
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
@@ -138,12 +140,12 @@ def parse_documents(files: DataFrame) -> DataFrame:
     as_json = files.withColumn("json_doc", strict_json(F.col("content")))
     as_yaml = F.when(F.col("json_doc").isNull(), F.col("content"))
     converted = as_json.withColumn("yaml_json", yaml_to_json()(F.col("path"), as_yaml))
-    doc = F.coalesce(F.col("json_doc"), F.parse_json(F.col("yaml_json")))
-    return (
-        converted.withColumn("doc", doc)
-        .filter(F.col("doc").isNotNull() & (F.schema_of_variant("doc") != "VOID"))
-        .select(*[c for c in files.columns if c != "content"], "doc")
+    has_document = F.coalesce(
+        F.schema_of_variant("json_doc") != "VOID", F.col("yaml_json").isNotNull()
     )
+    doc = F.coalesce(F.col("json_doc"), F.parse_json(F.col("yaml_json")))
+    kept = [c for c in files.columns if c != "content"]
+    return converted.filter(has_document).select(*kept, doc.alias("doc"))
 
 
 def discover_files(files: DataFrame, root_file: str) -> DataFrame:

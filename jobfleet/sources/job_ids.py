@@ -25,7 +25,7 @@ def read_first_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     schema = "cell string"
     cell = F.regexp_replace("cell", EDGES, "")
     lines = stage(
-        spark.read.schema(schema).csv(path, header=False).select(
+        spark.read.schema(schema).csv(path, header=False, escape='"').select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
             F.monotonically_increasing_id().alias("line"),
