@@ -58,8 +58,9 @@ def with_webhook(block: Column, webhook_id: WebhookId, events: Sequence[str]) ->
     for event in EVENT_FIELDS:
         webhooks = block[event]
         if event in events:
-            webhooks = append_missing(webhooks, webhook_id)
-        lists.append(F.when(length(webhooks) > 0, webhooks).alias(event))
+            lists.append(append_missing(webhooks, webhook_id).alias(event))
+        else:
+            lists.append(F.when(F.size(webhooks) > 0, webhooks).alias(event))
     return F.struct(*lists)
 
 
@@ -72,12 +73,12 @@ def without_webhook(block: Column, webhook_id: WebhookId) -> Column:
     lists = []
     for event in EVENT_FIELDS:
         webhooks = block[event]
-        cleared = F.when(length(webhooks) > 0, no_webhooks())
+        cleared = F.when(F.size(webhooks) > 0, no_webhooks())
         if webhook_id is None:
             lists.append(cleared.alias(event))
             continue
         wanted = id_column(webhook_id)
-        kept = F.when(length(webhooks) > 0, F.array_remove(webhooks, entry(wanted)))
+        kept = F.when(F.size(webhooks) > 0, F.array_remove(webhooks, entry(wanted)))
         lists.append(F.when(wanted.isNull(), cleared).otherwise(kept).alias(event))
     return F.struct(*lists)
 

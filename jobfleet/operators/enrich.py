@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.functions.filters import is_bundle, or_blank
+from jobfleet.functions.filters import or_blank
 from jobfleet.schemas import METADATA_FIELDS
 
 
 def enrich_bundles(jobs: DataFrame, metadata: DataFrame | None) -> DataFrame:
-    """Add the seven metadata columns; null for direct jobs and unknown paths.
+    """Add the seven metadata columns to jobs with facts; null for direct jobs and
+    unknown paths.
 
     Without a metadata table no join is planned. The join carries no hint: a
     metadata table whose size is known to be small is broadcast, and a larger
@@ -16,7 +17,7 @@ def enrich_bundles(jobs: DataFrame, metadata: DataFrame | None) -> DataFrame:
     """
     if metadata is None:
         return jobs.withColumns({f: F.lit(None).cast("string") for f in METADATA_FIELDS})
-    path = F.when(is_bundle(), F.nullif(F.col("settings.deployment.metadata_file_path"), F.lit("")))
+    path = F.when(F.col("is_bundle"), F.nullif("metadata_path", F.lit("")))
     known = metadata.select(F.col("path").alias("bundle_path"), *METADATA_FIELDS)
     return (
         jobs.withColumn("bundle_path", path)

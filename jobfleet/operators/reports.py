@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobfleet.functions.filters import creator_label, is_bundle
+from jobfleet.functions.filters import creator_label
 from jobfleet.plans import outcomes as o
 from jobfleet.schemas import BUNDLE, HOST, ORDINAL
 
@@ -14,8 +14,8 @@ def inventory_summary(matched: DataFrame) -> DataFrame:
     """Totals and shares of bundle-managed and direct jobs per workspace."""
     counts = matched.groupBy(HOST).agg(
         F.count("*").alias("total"),
-        F.count_if(is_bundle()).alias("bundle"),
-        F.count_if(~is_bundle()).alias("direct"),
+        F.count_if("is_bundle").alias("bundle"),
+        F.count_if(~F.col("is_bundle")).alias("direct"),
     )
     return counts.withColumns(
         {"bundle_pct": _percent("bundle"), "direct_pct": _percent("direct")}
@@ -44,7 +44,7 @@ def top_creators(matched: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_bundles(enriched: DataFrame, n: int = 10) -> DataFrame:
-    named = enriched.filter(is_bundle() & (F.col("bundle_name") != ""))
+    named = enriched.filter(F.col("is_bundle") & (F.col("bundle_name") != ""))
     return _top(named, F.col("bundle_name"), "bundle_name", n)
 
 

@@ -5,11 +5,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.functions.filters import name_contains, owner_in, tag_matches
+from jobfleet.functions.filters import (
+    display_name,
+    is_bundle,
+    name_contains,
+    owner_in,
+    tag_matches,
+)
 from jobfleet.operators.caps import STOP, before_stop, stop_ordinals
 from jobfleet.schemas import HOST, ORDINAL
 
 
+def job_facts(jobs: DataFrame) -> DataFrame:
+    """Add the parts of ``settings`` that planners and reports use as columns.
+
+    Later steps name these columns instead of ``settings``. The scan then reads
+    only the nested fields a query needs, also where projections pile up.
+    """
+    return jobs.withColumns(
+        {
+            "is_bundle": is_bundle(),
+            "job_name": display_name(),
+            "metadata_path": F.col("settings.deployment.metadata_file_path"),
+            "notifications": F.col("settings.webhook_notifications"),
+        }
+    )
+
+
 def walk(
     jobs: DataFrame,
     *,
@@ -19,7 +41,7 @@ def walk(
     scan_limit: int | None = None,
     keep_all: bool = False,
 ) -> DataFrame:
-    """Add ``scanned`` and ``matched`` to each job.
+    """Add ``scanned``, ``matched`` and the job facts to each job.
 
     Order of effect: the name filter decides what is listed, the scan cap how
     far the listing is read (the row that reaches it counts as scanned but is
@@ -32,19 +54,16 @@ def walk(
         listed = F.lit(True)
     wanted = listed & owner_in(owners) & tag_matches(tag)
     if scan_limit is None:
-        return jobs.withColumns({"scanned": listed, "matched": wanted})
+        return job_facts(jobs.withColumns({"scanned": listed, "matched": wanted}))
     stops = stop_ordinals(jobs.filter(listed), max(scan_limit, 1))
     stop, ordinal = F.col(STOP), F.col(ORDINAL)
-    return (
-        jobs.join(stops, HOST, "left")
-        .withColumns(
-            {
-                "scanned": listed & before_stop(stop, ordinal, inclusive=True),
-                "matched": wanted & before_stop(stop, ordinal, inclusive=False),
-            }
-        )
-        .drop(STOP)
+    flagged = jobs.join(stops, HOST, "left").withColumns(
+        {
+            "scanned": listed & before_stop(stop, ordinal, inclusive=True),
+            "matched": wanted & before_stop(stop, ordinal, inclusive=False),
+        }
     )
+    return job_facts(flagged.drop(STOP))
 
 
 def matched_jobs(jobs: DataFrame, **scope) -> DataFrame:

@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.functions.filters import is_bundle
 from jobfleet.functions.notifications import WebhookId, attached_to_all, with_webhook
 from jobfleet.operators.caps import mutation_cap
 from jobfleet.operators.walk import walk
@@ -14,20 +13,19 @@ from jobfleet.plans.by_id import look_up
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import DEFAULT_EVENTS, parse_events
 
-BLOCK = "settings.webhook_notifications"
-
 
 def _outcome(webhook_id: WebhookId, events: Sequence[str]):
     # Bundle-managed jobs are always left alone: a deployment would undo the edit.
     return (
         F.when(F.col("is_bundle"), o.BUNDLE_SKIPPED)
-        .when(attached_to_all(F.col(BLOCK), webhook_id, events), o.ALREADY_ATTACHED)
+        .when(attached_to_all(F.col("notifications"), webhook_id, events), o.ALREADY_ATTACHED)
         .otherwise(o.WOULD_UPDATE)
     )
 
 
 def _payload(webhook_id: WebhookId, events: Sequence[str]):
-    return F.when(F.col("outcome").isin(*o.SENT), with_webhook(F.col(BLOCK), webhook_id, events))
+    new = with_webhook(F.col("notifications"), webhook_id, events)
+    return F.when(F.col("outcome").isin(*o.SENT), new)
 
 
 def _require(webhook_id: WebhookId) -> None:
@@ -48,8 +46,8 @@ def attach_walk(
     results: DataFrame | None = None,
     keep_all: bool = False,
 ) -> DataFrame:
-    """Plan over whole workspaces: jobs plus ``scanned``, ``matched``, ``is_bundle``,
-    ``outcome`` and ``new_notifications`` (the update payload).
+    """Plan over whole workspaces: the walk's columns plus ``outcome`` and
+    ``new_notifications`` (the update payload).
 
     ``webhook_id`` is one id, or a column where each workspace has its own.
     Without ``results`` the plan is a dry run.
@@ -63,7 +61,7 @@ def attach_walk(
         name_filter=name_filter,
         scan_limit=scan_limit,
         keep_all=keep_all,
-    ).withColumn("is_bundle", is_bundle())
+    )
     plan = plan.withColumn("outcome", F.when(F.col("matched"), _outcome(webhook_id, events)))
     plan = mutation_cap(
         settle(plan, results),
@@ -91,7 +89,7 @@ def attach_by_id(
     if tag or owners:
         raise ValueError("tag and owner filter a walk; they do not combine with job ids")
     events = parse_events(events)
-    plan = look_up(jobs, ids, hosts).withColumn("is_bundle", F.col("matched") & is_bundle())
+    plan = look_up(jobs, ids, hosts)
     plan = plan.withColumn(
         "outcome",
         F.when(~F.col("matched"), o.LOOKUP_FAILED).otherwise(_outcome(webhook_id, events)),

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobfleet.operators.walk import job_facts
 from jobfleet.schemas import HOST, JOB_KEY
 
 
@@ -15,13 +16,13 @@ def requests(ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
 
 
 def look_up(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
-    """Requested jobs with ``scanned`` and ``matched``; job columns are null when not found.
+    """Requested jobs with ``scanned``, ``matched`` and the job facts; not found, not matched.
 
     Jobs are first cut to the requested ids, so only found jobs, not whole
     snapshots, take part in the outer join.
     """
     wanted = requests(ids, hosts)
     found = jobs.join(ids.select("job_id"), "job_id", "left_semi")
-    return wanted.join(found.withColumn("found", F.lit(True)), JOB_KEY, "left").withColumns(
-        {"scanned": F.lit(True), "matched": F.col("found").isNotNull()}
-    ).drop("found")
+    looked_up = wanted.join(found.withColumn("found", F.lit(True)), JOB_KEY, "left")
+    flags = {"scanned": F.lit(True), "matched": F.col("found").isNotNull()}
+    return job_facts(looked_up.withColumns(flags).drop("found"))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.functions.filters import display_name, is_bundle, or_blank
+from jobfleet.functions.filters import or_blank
 from jobfleet.functions.notifications import (
     WebhookId,
     attached_to_any,
@@ -22,11 +22,8 @@ from jobfleet.plans.by_id import look_up
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import BUNDLE_POLICIES, HOST, REMOVAL_LOG
 
-BLOCK = "settings.webhook_notifications"
-
-
 def _details(plan: DataFrame, webhook_id: WebhookId) -> DataFrame:
-    before = F.col(BLOCK)
+    before = F.col("notifications")
     after = F.col("new_notifications")
     sent = F.col("outcome").isin(*o.SENT)
     plan = plan.withColumn("new_notifications", F.when(sent, without_webhook(before, webhook_id)))
@@ -66,11 +63,11 @@ def detach_walk(
         name_filter=name_filter,
         scan_limit=scan_limit,
         keep_all=keep_all,
-    ).withColumn("is_bundle", is_bundle())
+    )
     outcome = (
         F.when(bundle & F.lit(bundle_jobs == "skip"), o.BUNDLE_SKIPPED)
         .when(~bundle & F.lit(bundle_jobs == "only"), o.DIRECT_EXCLUDED)
-        .when(attached_to_any(F.col(BLOCK), webhook_id), o.WOULD_UPDATE)
+        .when(attached_to_any(F.col("notifications"), webhook_id), o.WOULD_UPDATE)
         .otherwise(o.NOTHING_TO_REMOVE)
     )
     plan = plan.withColumn("outcome", F.when(F.col("matched"), outcome))
@@ -100,8 +97,8 @@ def detach_by_id(
     """
     if tag or owners:
         raise ValueError("tag and owner filter a walk; they do not combine with job ids")
-    before = F.col(BLOCK)
-    plan = look_up(jobs, ids, hosts).withColumn("is_bundle", F.col("matched") & is_bundle())
+    before = F.col("notifications")
+    plan = look_up(jobs, ids, hosts)
     removes = removed_count(before, without_webhook(before, webhook_id)) > 0
     outcome = (
         F.when(~F.col("matched"), o.LOOKUP_FAILED)
@@ -118,10 +115,10 @@ def bundle_report(plan: DataFrame, metadata: DataFrame | None) -> DataFrame:
     return enrich_bundles(met, metadata).select(
         HOST,
         "job_id",
-        display_name().alias("name"),
+        F.col("job_name").alias("name"),
         or_blank(F.col("creator_user_name")).alias("creator"),
         *metadata_columns(),
-        or_blank(F.col("settings.deployment.metadata_file_path")).alias("metadata_file_path"),
+        or_blank(F.col("metadata_path")).alias("metadata_file_path"),
     )
 
 
@@ -134,13 +131,13 @@ def removal_records(plan: DataFrame, metadata: DataFrame | None, deleted_at: Col
             HOST,
             deleted_at.cast("timestamp").alias("deleted_at"),
             "job_id",
-            display_name().alias("name"),
+            F.col("job_name").alias("name"),
             or_blank(F.col("creator_user_name")).alias("creator"),
             "is_bundle",
             "webhook_ids_removed",
             "events_affected",
             *metadata_columns(),
-            or_blank(F.col("settings.deployment.metadata_file_path")).alias("metadata_file_path"),
+            or_blank(F.col("metadata_path")).alias("metadata_file_path"),
         )
         .select(*REMOVAL_LOG.names)
     )

@@ -135,7 +135,7 @@ def bundle_metadata(spark, sf):
 @query
 def bundle_enrich(spark, sf):
     enriched = enrich_bundles(matched_jobs(t.jobs(spark, sf)), t.metadata(spark, sf))
-    return enriched.filter(f.is_bundle()).select(
+    return enriched.filter("is_bundle").select(
         HOST, "job_id", *[f.or_blank(F.col(c)).alias(c) for c in ("bundle_name", "target", "git_commit")]
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobfleet.operators import reports as r
 from jobfleet.operators.enrich import enrich_bundles
-from jobfleet.operators.walk import matched_jobs
+from jobfleet.operators.walk import job_facts, matched_jobs
 from jobfleet.plans.attach import attach_walk
 from jobfleet.plans.detach import detach_walk
 from jobfleet.plans.updates import next_snapshot
@@ -57,6 +57,16 @@ def test_planning_and_the_next_snapshot_need_no_shuffle(jobs, planner):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_plans_read_only_the_nested_fields_they_use(jobs):
+    for frame in (
+        registry.flat_plan(attach_walk(jobs, "wh-3")),
+        r.attach_run_stats(attach_walk(jobs, "wh-3", limit=20)),
+        registry.flat_detach(detach_walk(jobs, "wh-3", scan_limit=200)),
+    ):
+        (schema,) = [s for s in read_schema(physical(frame)) if "settings" in s]
+        assert "tags" not in schema and "settings:struct<name" not in schema
+
+
 def test_capped_plans_filter_by_a_broadcast_stop(jobs):
     plan = physical(attach_walk(jobs, "wh-3", scan_limit=200, limit=20))
     assert plan.count("BroadcastHashJoin") == 2
@@ -70,13 +80,13 @@ def test_only_planned_rows_meet_the_results(spark, jobs):
 
 
 def test_metadata_join_broadcasts_by_size_and_is_left_out_unless_asked(spark, jobs):
-    assert "Join" not in physical(enrich_bundles(jobs, None))
+    assert "Join" not in physical(enrich_bundles(job_facts(jobs), None))
     metadata = tables.metadata(spark, SF_DIR)
-    assert "BroadcastHashJoin" in physical(enrich_bundles(jobs, metadata))
+    assert "BroadcastHashJoin" in physical(enrich_bundles(job_facts(jobs), metadata))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
     try:
-        assert "SortMergeJoin" in physical(enrich_bundles(jobs, metadata))
+        assert "SortMergeJoin" in physical(enrich_bundles(job_facts(jobs), metadata))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

@@ -6,6 +6,7 @@ from conftest import block, fleet, job, random_jobs
 from jobfleet.operators import caps
 from jobfleet.operators import destinations as dest
 from jobfleet.operators import reports as r
+from jobfleet.operators.walk import matched_jobs
 from jobfleet.plans.attach import attach_by_id, attach_walk
 from jobfleet.plans.detach import bundle_report, detach_by_id, detach_walk, removal_records
 from jobfleet.plans.inventory import inventory_rows
@@ -257,7 +258,7 @@ META = [("/b/1", "one", "prod", "g", "br", "c", "root", "files")]
 
 def test_inventory_rows_have_no_nulls_and_direct_rows_no_path(spark, rows, jobs):
     metadata = spark.createDataFrame(META, METADATA)
-    found = {x.job_id: x for x in inventory_rows(jobs, F.lit("2024-01-01"), metadata).collect()}
+    found = {x.job_id: x for x in inventory_rows(matched_jobs(jobs), F.lit("2024-01-01"), metadata).collect()}
     for row in rows:
         model, got = loops.Job(row), found[row[2]]
         assert None not in tuple(got)
@@ -276,7 +277,7 @@ def test_top_creators_break_ties_by_first_encounter(spark):
 
 def test_summary_shares(spark):
     rows = [job(i, kind="BUNDLE" if i < 71 else None) for i in range(184)]
-    s = r.inventory_summary(fleet(spark, rows)).first()
+    s = r.inventory_summary(matched_jobs(fleet(spark, rows))).first()
     assert (s.total, s.bundle, s.direct) == (184, 71, 113)
     assert (f"{s.bundle_pct:.1f}", f"{s.direct_pct:.1f}") == ("38.6", "61.4")
 

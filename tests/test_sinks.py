@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import block, fleet, job
 from jobfleet import sinks
+from jobfleet.operators.walk import matched_jobs
 from jobfleet.plans.detach import detach_walk, removal_records
 from jobfleet.plans.inventory import inventory_rows
 from jobfleet.schemas import SESSION_VIEW, UPDATE_RESULTS
@@ -13,7 +14,7 @@ from jobfleet.staging import staging_root
 
 
 def inventory(spark, rows, when="2024-01-01 00:00:00"):
-    return inventory_rows(fleet(spark, rows), F.lit(when))
+    return inventory_rows(matched_jobs(fleet(spark, rows)), F.lit(when))
 
 
 def stored(spark, path):
