@@ -591,6 +591,13 @@ planned AS (
         coalesce(j.path, '') AS metadata_file_path
         FROM jobs j LEFT JOIN metadata m ON j.path = m.path WHERE is_bundle AND tier IS NOT NULL""",
     )
+    q["bundle_report_csv"] = _with(
+        JOBS,
+        METADATA,
+        body=f"""SELECT job_id, {NAME} AS name, coalesce(creator, '') AS creator, {_meta()},
+        coalesce(j.path, '') AS metadata_file_path
+        FROM jobs j LEFT JOIN metadata m ON j.path = m.path WHERE is_bundle""",
+    )
     q["removal_log"] = _with(
         JOBS, METADATA, _detach("include", applied=True), body=_removals("2024-01-01 00:00:00")
     )

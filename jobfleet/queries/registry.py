@@ -438,6 +438,21 @@ def bundle_report(spark, sf):
     return de.bundle_report(plan, t.metadata(spark, sf))
 
 
+@query
+def bundle_report_csv(spark, sf):
+    path = staging_path(spark, "bundle-report-csv")
+    report = de.bundle_report(
+        de.detach_walk(t.jobs(spark, sf), TARGET, bundle_jobs="only"), t.metadata(spark, sf)
+    )
+    sinks.write_bundle_report_csv(report, path)
+    schema = ", ".join(f"{c} string" for c in sinks.BUNDLE_REPORT_COLUMNS)
+    written = spark.read.schema(schema).options(**sinks.CSV_FORMAT).csv(path)
+    return written.select(
+        F.col("job_id").cast("long"),
+        *[f.or_blank(F.col(c)).alias(c) for c in sinks.BUNDLE_REPORT_COLUMNS if c != "job_id"],
+    )
+
+
 def _removals(spark, sf, policy: str, at: str) -> DataFrame:
     plan = de.detach_walk(
         t.jobs(spark, sf), TARGET, bundle_jobs=policy, results=t.update_results(spark, sf)
