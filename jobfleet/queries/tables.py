@@ -7,14 +7,15 @@ scanned like any stored snapshot. All other inputs are derived in the query.
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobfleet.schemas import EVENT_FIELDS, HOST, JOBS, SETTINGS, WEBHOOK
-from jobfleet.staging import stage, staging_path
+from jobfleet.staging import staging_path, write_staged
 
 HOSTS = [f"ws-{region}" for region in range(5)]
 ROOT_FILE = "bundle.yml"
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +25,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _once(spark: SparkSession, sf_dir: str, name: str, build, **options) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = stage(build(spark, sf_dir), name, **options)
-    return _staged[key]
+        derived = build(spark, sf_dir)
+        _staged[key] = write_staged(derived, name, **options), derived.schema
+    path, schema = _staged[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

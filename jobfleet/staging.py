@@ -28,15 +28,20 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
-    spark = df.sparkSession
-    path = staging_path(spark, name)
+def write_staged(df: DataFrame, name: str, partition_by: str | None = None) -> str:
+    """Write ``df`` to a new folder and return its path."""
+    path = staging_path(df.sparkSession, name)
     if partition_by is None:
         df.write.parquet(path)
     else:
         spread(df, partition_by).write.partitionBy(partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table."""
+    path = write_staged(df, name, partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, partition_by: str) -> DataFrame:
