@@ -109,6 +109,11 @@ def detach_run_stats(plan: DataFrame) -> DataFrame:
     )
 
 
+def every_workspace(stats: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Per-workspace counts with zeros for workspaces that had no rows at all."""
+    return workspaces.select(HOST).join(stats, HOST, "left").na.fill(0)
+
+
 def workspace_failures(stats: DataFrame) -> DataFrame:
     """Workspaces whose run had errors."""
     return stats.filter(F.col("errored") > 0).select(HOST, "errored")

@@ -21,7 +21,12 @@ from jobfleet.plans import attach as attaching
 from jobfleet.plans import detach as detaching
 from jobfleet.plans.inventory import inventory_rows
 from jobfleet.schemas import DEFAULT_EVENTS, HOST
-from jobfleet.sources.bundles import discover_files, job_nodes, parse_documents
+from jobfleet.sources.bundles import (
+    discover_files,
+    job_nodes,
+    parse_documents,
+    require_roots,
+)
 from jobfleet.sources.job_ids import load_job_ids, merge_job_ids
 
 
@@ -226,7 +231,11 @@ def patch(
     tag: str | None = None,
     owner: Sequence[str] | None = None,
 ) -> Run:
-    """Patch plan of all bundles whose files are given; statistics are per bundle."""
+    """Patch plan of all bundles whose files are given; statistics are per bundle.
+
+    A bundle without a root file is an error.
+    """
+    require_roots(files, root_file)
     nodes = job_nodes(parse_documents(discover_files(files, root_file)))
     plan = ops.bundle_patch_plan(
         nodes, webhook_id, events=events, names=job, tag=tag, owners=owner

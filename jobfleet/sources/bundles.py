@@ -152,7 +152,8 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
     """The files that belong to each bundle: its root file and whatever the root includes.
 
     ``pattern_pos`` is the place of the first include pattern that matches (-1
-    for the root). A bundle's patterns travel as one array, so every file is
+    for the root). A bundle without a root file contributes nothing; see
+    ``require_roots``. A bundle's patterns travel as one array, so every file is
     tested once and no file-by-pattern pairs are built. The patterns are staged:
     the files themselves need no shuffle while the patterns are small.
     """
@@ -166,7 +167,7 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
     matches = F.transform("patterns", lambda pattern: F.rlike(F.col("path"), pattern))
     position = F.array_position(matches, True) - 1
     return (
-        files.join(patterns, "bundle")
+        files.join(patterns, "bundle", "left")
         .withColumn(
             "pattern_pos", F.when(F.col("path") == root_file, F.lit(ROOT_POSITION)).otherwise(position)
         )
@@ -175,6 +176,19 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
     )
 
 
+class MissingRoots(ValueError):
+    """Some bundles have no root file."""
+
+
+def require_roots(files: DataFrame, root_file: str) -> None:
+    """Abort before planning when any bundle lacks its root file."""
+    has_root = F.bool_or(F.col("path") == root_file)
+    missing = files.groupBy("bundle").agg(has_root.alias("has_root")).filter("NOT has_root")
+    sample = [row["bundle"] for row in missing.orderBy("bundle").limit(20).collect()]
+    if sample:
+        raise MissingRoots(f"no {root_file} in bundles {sample}")
+
+
 def file_order() -> list[Column]:
     """Sort keys of discovered files: root, then by pattern, then by path parts."""
     return [F.col("pattern_pos"), F.split("path", "/")]

@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``)."""
+    """This application's part of the session's ``spark.checkpoint.dir``."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="jobfleet-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="jobfleet-"))
+        folder = context.getCheckpointDir()
+    return f"{folder.rstrip('/')}/jobfleet-{context.applicationId}"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

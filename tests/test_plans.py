@@ -282,6 +282,13 @@ def test_summary_shares(spark):
     assert (f"{s.bundle_pct:.1f}", f"{s.direct_pct:.1f}") == ("38.6", "61.4")
 
 
+def test_workspaces_without_jobs_count_zero(spark):
+    hosts = spark.createDataFrame([("h1",), ("h9",)], "workspace_host string")
+    summary = r.every_workspace(r.inventory_summary(matched_jobs(fleet(spark, [job(1)]))), hosts)
+    rows = {x.workspace_host: (x.total, x.bundle_pct, x.direct_pct) for x in summary.collect()}
+    assert rows == {"h1": (1, 0.0, 100.0), "h9": (0, 0.0, 0.0)}
+
+
 def test_removal_records_and_bundle_report(spark):
     hooks = block(on_start=["x"], on_failure=["y", "x", "x"])
     rows = [

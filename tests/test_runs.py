@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import block, fleet, job
 from jobfleet import runs
 from jobfleet.operators.destinations import MissingDestinations
+from jobfleet.sources.bundles import MissingRoots
 from jobfleet.schemas import DESTINATIONS, METADATA, UPDATE_RESULTS
 from jobfleet.sources.snapshots import read_inventory, read_removal_log
 
@@ -97,6 +98,9 @@ def test_patch_run_over_files(spark):
         ("two", "root.yml", "resources:\n  jobs:\n    j:\n      name: n\n"),
     ]
     files = spark.createDataFrame(rows, "bundle string, path string, content string")
+    with pytest.raises(MissingRoots, match="two"):
+        runs.patch(files.filter("bundle = 'one' OR path <> 'root.yml'").unionByName(
+            files.filter("path LIKE '%a.yml'").withColumn("bundle", F.lit("two"))), "WID", root_file="root.yml")
     run = runs.patch(files, "WID", root_file="root.yml")
     stats = {r.bundle: r.asDict() for r in run.stats.collect()}
     assert (stats["one"]["jobs_seen"], stats["one"]["jobs_patched"], stats["one"]["overrides_skipped"]) == (2, 1, 1)

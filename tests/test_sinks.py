@@ -80,5 +80,5 @@ def test_staging_uses_the_session_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     root = staging_root(spark)
     assert root == staging_root(spark)
-    if configured:
-        assert configured.rstrip("/") in root
+    assert root.endswith("/jobfleet-" + spark.sparkContext.applicationId)
+    assert configured is None or root.startswith(configured.rstrip("/"))
