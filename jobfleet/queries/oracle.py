@@ -397,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
         body="""SELECT workspace_host, job_id, CASE WHEN is_bundle THEN 'BUNDLE' ELSE 'DIRECT' END AS deployment_kind,
         CASE WHEN is_bundle THEN coalesce(path, '') ELSE '' END AS metadata_file_path FROM jobs""",
     )
-    q["inventory_rows_plain"] = _with(JOBS, body=_inventory(enriched=False))
+    q["inventory_rows"] = _with(JOBS, body=_inventory(enriched=False))
     q["inventory_rows_enriched"] = _with(JOBS, METADATA, body=_inventory())
     q["bundle_metadata"] = _with(METADATA, body="SELECT path, " + ", ".join(META_COLUMNS) + " FROM metadata")
     q["bundle_enrich"] = _with(
@@ -419,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
         body=f"""SELECT workspace_host, job_id FROM listed
         WHERE place < 1500 AND creator IN {OWNERS} AND team = 'BUILDING'""",
     )
-    for key, n in (("scan_cap_small", 50), ("scan_cap_large", 2001)):
+    for key, n in (("scan_cap", 50), ("scan_cap_large", 2001)):
         q[key] = _with(JOBS, _scan_cut(n), body=f"SELECT workspace_host, job_id FROM listed WHERE place < {n}")
     q["inventory_summary"] = _with(
         JOBS,

@@ -9,14 +9,14 @@ from jobfleet import sinks
 from jobfleet.functions import filters as f
 from jobfleet.functions import notifications as n
 from jobfleet.operators import bundles as b
+from jobfleet.operators import caps
 from jobfleet.operators import destinations as dest
 from jobfleet.operators import reports as r
-from jobfleet.operators.caps import scan_cap
 from jobfleet.operators.enrich import enrich_bundles
 from jobfleet.operators.walk import matched_jobs
 from jobfleet.plans import attach as at
 from jobfleet.plans import detach as de
-from jobfleet.plans.inventory import inventory_rows
+from jobfleet.plans import inventory as inv
 from jobfleet.plans.updates import apply_changes, changes, next_snapshot
 from jobfleet.queries import tables as t
 from jobfleet.schemas import DEFAULT_EVENTS, EVENT_FIELDS, HOST, SESSION_VIEW
@@ -110,14 +110,14 @@ def classify_deployment(spark, sf):
 
 
 @query
-def inventory_rows_plain(spark, sf):
-    rows = inventory_rows(matched_jobs(t.jobs(spark, sf)), at_time(SCANNED_AT))
+def inventory_rows(spark, sf):
+    rows = inv.inventory_rows(matched_jobs(t.jobs(spark, sf)), at_time(SCANNED_AT))
     return flat_times(rows, "scanned_at")
 
 
 def _inventory(spark, sf, **scope) -> DataFrame:
     matched = matched_jobs(t.jobs(spark, sf), **scope)
-    return inventory_rows(matched, at_time(SCANNED_AT), t.metadata(spark, sf))
+    return inv.inventory_rows(matched, at_time(SCANNED_AT), t.metadata(spark, sf))
 
 
 @query
@@ -179,13 +179,13 @@ def filter_combined(spark, sf):
 
 
 @query
-def scan_cap_small(spark, sf):
-    return _ids(scan_cap(t.jobs(spark, sf), 50))
+def scan_cap(spark, sf):
+    return _ids(caps.scan_cap(t.jobs(spark, sf), 50))
 
 
 @query
 def scan_cap_large(spark, sf):
-    return _ids(scan_cap(t.jobs(spark, sf), 2001))
+    return _ids(caps.scan_cap(t.jobs(spark, sf), 2001))
 
 
 @query

@@ -9,12 +9,10 @@ from jobfleet.operators.walk import matched_jobs, walk
 HOSTS = ("h1", "h2", "h3")
 
 
-@pytest.fixture(params=["ranked", "bucketed"])
-def method(request, monkeypatch):
-    """Both ways to find a stop; buckets of five ordinals make many ranges."""
-    if request.param == "bucketed":
-        monkeypatch.setattr(caps, "RANKED_ROWS", 0)
-        monkeypatch.setattr(caps.stop_ordinals, "__defaults__", ("scan_ordinal", 5))
+@pytest.fixture(params=[5, caps.BUCKET_ROWS])
+def ranges(request, monkeypatch):
+    """Many ordinal ranges, or one."""
+    monkeypatch.setattr(caps.stop_ordinals, "__defaults__", ("scan_ordinal", request.param))
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def rows():
 
 
 @pytest.mark.parametrize("n", [1, 17, 10_000])
-def test_stop_is_the_nth_ordinal(spark, rows, method, n):
+def test_stop_is_the_nth_ordinal(spark, rows, ranges, n):
     found = {r.workspace_host: r.stop_ordinal for r in caps.stop_ordinals(fleet(spark, rows), n).collect()}
     expected = {}
     for host in HOSTS:
@@ -34,7 +32,7 @@ def test_stop_is_the_nth_ordinal(spark, rows, method, n):
 
 
 @pytest.mark.parametrize("scan_limit", [0, 2, 30, 1000, None])
-def test_scan_cap_processes_one_row_less(spark, rows, method, scan_limit):
+def test_scan_cap_processes_one_row_less(spark, rows, ranges, scan_limit):
     found = sorted(r.job_id for r in caps.scan_cap(fleet(spark, rows), scan_limit).collect())
     expected = []
     for host in HOSTS:
@@ -46,7 +44,7 @@ def test_scan_cap_processes_one_row_less(spark, rows, method, scan_limit):
 
 
 @pytest.mark.parametrize("scan_limit", [None, 1, 12, 500])
-def test_walk_counts(spark, rows, method, scan_limit):
+def test_walk_counts(spark, rows, ranges, scan_limit):
     scope = {"tag": "team", "owners": ["ann", ""], "name_filter": "etl", "scan_limit": scan_limit}
     for keep_all in (False, True):
         counts = (
@@ -69,7 +67,7 @@ def test_scan_cap_counts_rows_the_filters_reject(spark, rows):
 
 
 def test_a_hot_workspace_is_not_ranked_in_one_task(spark):
-    """With buckets, only the range that holds the stop is ever sorted."""
+    """Only the range that holds the stop is ever sorted."""
     rows = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 50)).alias("workspace_host"),
         F.col("id").alias("scan_ordinal"),

@@ -96,10 +96,9 @@ def test_detach_walk(spark, rows, jobs, results, policy, scope, applied):
 
 
 def test_capped_runs_agree_however_the_stop_is_found(jobs, monkeypatch):
-    ranked = outcomes(attach_walk(jobs, "x", scan_limit=40, limit=7))
-    monkeypatch.setattr(caps, "RANKED_ROWS", 0)
+    one_range = outcomes(attach_walk(jobs, "x", scan_limit=40, limit=7))
     monkeypatch.setattr(caps.stop_ordinals, "__defaults__", ("scan_ordinal", 3))
-    assert outcomes(attach_walk(jobs, "x", scan_limit=40, limit=7)) == ranked
+    assert outcomes(attach_walk(jobs, "x", scan_limit=40, limit=7)) == one_range
 
 
 def test_detach_details(rows, jobs):
