@@ -14,6 +14,7 @@ from jobfleet.staging import stage
 
 STOP = "stop_ordinal"
 BUCKET_ROWS = 1 << 20
+RANKED_ROWS = 100  # well below the rank up to which Spark prunes before the shuffle
 
 
 def stop_ordinals(
@@ -21,11 +22,18 @@ def stop_ordinals(
 ) -> DataFrame:
     """``(workspace_host, stop_ordinal)`` of each workspace's n-th row, n >= 1.
 
-    Workspaces with fewer rows are absent. Rows are counted per ordinal range,
-    which needs no sort, and only the range that contains the n-th row is ranked.
-    Ordinals are unique, so a range holds at most ``bucket_rows`` rows.
+    Workspaces with fewer rows are absent. For small n every map task sends at
+    most n rows per workspace, in one pass over the rows. Larger n takes two: the
+    first counts rows per ordinal range, the second ranks only the range that
+    contains the n-th row. Ordinals are unique, so a range holds at most
+    ``bucket_rows`` rows.
     """
     narrow = rows.select(HOST, F.col(ordinal).alias(STOP))
+    by_ordinal = Window.partitionBy(HOST).orderBy(STOP)
+    if n <= RANKED_ROWS:
+        ranked = narrow.withColumn("rank", F.row_number().over(by_ordinal))
+        return stage(ranked.filter(F.col("rank") == n).select(HOST, STOP), "stops")
+
     bucketed = narrow.withColumn("bucket", F.floor(F.col(STOP) / bucket_rows))
     counts = bucketed.groupBy(HOST, "bucket").agg(F.count("*").alias("size"))
     upto = F.sum("size").over(Window.partitionBy(HOST).orderBy("bucket"))
@@ -35,7 +43,6 @@ def stop_ordinals(
         .select(HOST, "bucket", (n - F.col("upto") + F.col("size")).alias("wanted"))
     )
     candidates = bucketed.join(stage(holding, "buckets"), [HOST, "bucket"])
-    by_ordinal = Window.partitionBy(HOST).orderBy(STOP)
     ranked = candidates.withColumn("rank", F.row_number().over(by_ordinal))
     return stage(ranked.filter(F.col("rank") == F.col("wanted")).select(HOST, STOP), "stops")
 
