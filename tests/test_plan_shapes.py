@@ -4,7 +4,6 @@ from pathlib import Path
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from jobfleet.operators import reports as r
 from jobfleet.operators.enrich import enrich_bundles
