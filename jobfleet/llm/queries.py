@@ -4,10 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, quality, token_file
+from jobfleet.llm import decontaminate, quality, sp_codec, token_count, token_file
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(documents, PIECES).select("doc_id", "n_tokens")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -31,5 +37,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp_codec.round_trip(documents, PIECES).drop("text")
+
+
 def queries() -> dict:
     return {name: function for name, function in globals().items() if name.startswith("op")}

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobfleet.llm.common import columns_of, scratch, tasks_for
+from jobfleet.llm.wordstore import WordStore
 
 MAGIC = b"DACIDS01"
 SEGMENT = 1 << 19
@@ -224,59 +225,26 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------
 
-class WordEncoder:
-    """Encodes texts word by word with a tokenizer that never joins across white space.
+def word_encoder(tokenizer_file: str) -> WordStore:
+    """Encodes texts word by word with a tokenizer that never joins across white space."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+
+    def ids_of(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    return WordStore(split_words, ids_of, CACHE_WORDS)
 
-    The words seen before are looked up; the store of words is emptied when it is full.
-    """
 
-    def __init__(self, tokenizer_file: str, words: int = CACHE_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.most = words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = [0]
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        for word, ids in zip(words, encoded, strict=True):
-            self.codes[word] = len(self.bounds) - 1
-            self.bounds.append(self.bounds[-1] + len(ids))
-        while len(self.ids) < self.bounds[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        flat = [i for ids in encoded for i in ids]
-        self.ids[self.bounds[-1] - len(flat) : self.bounds[-1]] = flat
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.codes}
-        if new:
-            if len(self.codes) + len(new) > self.most:
-                self._clear()
-                new = {w for words in split for w in words}
-            self._learn(sorted(new))
-        bounds, out = np.array(self.bounds), []
-        for words in split:
-            codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-            starts, lengths = bounds[codes], bounds[codes + 1] - bounds[codes]
-            before = np.cumsum(lengths) - lengths
-            out.append(self.ids[np.repeat(starts - before, lengths) + np.arange(lengths.sum())])
-        return out
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Words between Unicode white space; Python also splits at four control characters that are none."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            stand_in = {0x1C + k: 0xF0000 + k for k in range(4)}
-            back = {0xF0000 + k: 0x1C + k for k in range(4)}
-            return [w.translate(back) for w in text.translate(stand_in).split()]
-        return text.split()
+def split_words(text: str) -> list[str]:
+    """Words between Unicode white space; Python also splits at four control characters that are none."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        stand_in = {0x1C + k: 0xF0000 + k for k in range(4)}
+        back = {0xF0000 + k: 0x1C + k for k in range(4)}
+        return [w.translate(back) for w in text.translate(stand_in).split()]
+    return text.split()
 
 
 def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -> DataFrame:
@@ -292,7 +260,7 @@ def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -
         path = f"{folder}/ids-{number:07d}.dac"
         for batch in batches:
             if writer is None:
-                writer, encoder = Writer(path, f"try-{context.taskAttemptId()}"), WordEncoder(tokenizer_file)
+                writer, encoder = Writer(path, f"try-{context.taskAttemptId()}"), word_encoder(tokenizer_file)
             for some in range(0, len(batch), 64):
                 rows = batch.iloc[some : some + 64]
                 for doc_id, ids in zip(rows["doc_id"], encoder.encode(rows["text"].tolist()), strict=True):
