@@ -24,7 +24,7 @@ are kept, and columns named like the results are replaced.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 import re
 
 import numpy as np
@@ -185,11 +185,11 @@ class Codec:
 
 def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """``documents`` with the column ``ids`` (array of int)."""
-    held = documents.sparkSession.sparkContext.broadcast(load(model_file))
+    held = documents.sparkSession.sparkContext.broadcast(astuple(load(model_file)))
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(held.value)
+        codec = Codec(Model(*held.value))
         for batch in batches:
             yield pd.Series([x.astype(np.int32) for x in codec.encode(batch.fillna("").tolist())], dtype=object)
 
@@ -198,11 +198,11 @@ def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFra
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with the column ``decoded``; null ids decode to the empty text."""
-    held = encoded.sparkSession.sparkContext.broadcast(load(model_file))
+    held = encoded.sparkSession.sparkContext.broadcast(astuple(load(model_file)))
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(held.value)
+        codec = Codec(Model(*held.value))
         for batch in batches:
             yield pd.Series(["" if x is None else codec.decode(x) for x in batch], dtype=object)
 
@@ -214,13 +214,13 @@ def round_trip(documents: DataFrame, model_file: str, text: str = "text") -> Dat
 
     The mark U+2581 comes back as a space, as the model has it.
     """
-    held = documents.sparkSession.sparkContext.broadcast(load(model_file))
+    held = documents.sparkSession.sparkContext.broadcast(astuple(load(model_file)))
 
     @F.pandas_udf("n_pieces long, n_byte_pieces long, ids_crc32 long, decodes boolean")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        codec = Codec(held.value)
+        codec = Codec(Model(*held.value))
         is_byte = np.array([t == BYTE for t in codec.model.types])
         for batch in batches:
             texts, rows = batch.fillna("").tolist(), []
