@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, quality, sp_codec, token_count, token_file
+from jobfleet.llm import decontaminate, langid, pii, quality, sp_codec, token_count, token_file
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,10 +26,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents, PIECES).select("doc_id", "n_tokens")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.train(documents)).drop("text")
+
+    def digest(spans: str):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(digest("base_spans"), 256).alias("base_sha256"),
+        digest("all_spans").alias("spans"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predicted = langid.predict(documents.select("doc_id", "text"), langid.fit(documents))
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
