@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, langid, pii, quality, sp_codec, token_count, token_file
+from jobfleet.llm import decontaminate, langid, line_dedup, pii, quality, sp_codec, token_count, token_file
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     predicted = langid.predict(documents.select("doc_id", "text"), langid.fit(documents))
