@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.llm.wordstore import WordStore
+from jobfleet.llm.wordstore import WordStore, grouped, per_process
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -189,7 +189,7 @@ def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFra
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(Model(*held.value))
+        codec = per_process(("sp_codec", model_file), lambda: Codec(Model(*held.value)))
         for batch in batches:
             yield pd.Series([x.astype(np.int32) for x in codec.encode(batch.fillna("").tolist())], dtype=object)
 
@@ -202,7 +202,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(Model(*held.value))
+        codec = per_process(("sp_codec", model_file), lambda: Codec(Model(*held.value)))
         for batch in batches:
             yield pd.Series(["" if x is None else codec.decode(x) for x in batch], dtype=object)
 
@@ -220,12 +220,11 @@ def round_trip(documents: DataFrame, model_file: str, text: str = "text") -> Dat
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        codec = Codec(Model(*held.value))
+        codec = per_process(("sp_codec", model_file), lambda: Codec(Model(*held.value)))
         is_byte = np.array([t == BYTE for t in codec.model.types])
         for batch in batches:
-            texts, rows = batch.fillna("").tolist(), []
-            for some in range(0, len(texts), 256):
-                part = texts[some : some + 256]
+            rows = []
+            for part in grouped(batch.fillna("")):
                 for whole, ids in zip(part, codec.encode(part), strict=True):
                     same = codec.decode(ids) == whole.replace(MARK, " ")
                     rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), same))

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobfleet.llm.wordstore import per_process
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 400_000
@@ -112,7 +114,7 @@ def count_tokens(documents: DataFrame, model_file: str, text: str = "text") -> D
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(*held.value)
+        counter = per_process(("token_count", model_file), lambda: Counter(*held.value))
         for batch in batches:
             yield batch.map(counter.count, na_action=None).astype("int64")
 

@@ -20,8 +20,10 @@ and no row; texts are encoded whole; extra columns are ignored.
 """
 
 from collections.abc import Iterator
+from itertools import islice
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobfleet.llm.common import columns_of, scratch, tasks_for
-from jobfleet.llm.wordstore import WordStore
+from jobfleet.llm.wordstore import WordStore, grouped, per_process
 
 MAGIC = b"DACIDS01"
 SEGMENT = 1 << 19
 RANK_BLOCK = 512
 MAX_LEVELS = 4
-CACHE_WORDS = 400_000
-NULL_ID = np.iinfo(np.int64).min
+CACHE_WORDS = 500_000
+NULL_ID = -(1 << 63)  # stands for a null doc_id in files
 MANIFEST = "file_no int, path string, n_docs long, n_tokens long"
 
 
@@ -225,19 +227,47 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_TOGETHER = 64  # plain words that are encoded as one text
+
+
 def word_encoder(tokenizer_file: str) -> WordStore:
-    """Encodes texts word by word with a tokenizer that never joins across white space."""
+    """Encodes texts word by word with a tokenizer that never joins across white space.
+
+    A plain word is letters that are lower-cased one by one and stay one unit, perhaps before a
+    stop or comma, which the tokenizer splits off. Plain words are encoded many at a time, told
+    apart by the mark that ends each unit; all others are encoded by themselves.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
+    last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
+    marks = {mark: ids_by_itself(tokenizer, [mark])[0] for mark in ".,"} | {"": []}
+    splits = all(len(ids_by_itself(tokenizer, [x])[0]) == 2 for x in ("a.", "a,"))
 
     def ids_of(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        plain = [_PLAIN.fullmatch(w) if splits else None for w in words]
+        units = list(dict.fromkeys(m[1].lower() for m in plain if m))
+        texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
+        found, unit = [], []
+        for ids in ids_by_itself(tokenizer, texts):
+            for i in ids:
+                unit.append(i)
+                if i in last:
+                    found.append(unit)
+                    unit = []
+        of_unit = dict(zip(units, found, strict=True))
+        rest = iter(ids_by_itself(tokenizer, [w for w, m in zip(words, plain, strict=True) if not m]))
+        return [of_unit[m[1].lower()] + marks[m[2]] if m else next(rest) for m in plain]
 
     return WordStore(split_words, ids_of, CACHE_WORDS)
 
 
+def ids_by_itself(tokenizer, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def split_words(text: str) -> list[str]:
     """Words between Unicode white space; Python also splits at four control characters that are none."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -249,9 +279,11 @@ def split_words(text: str) -> list[str]:
 
 def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -> DataFrame:
     """Write the ids of ``documents`` in ascending doc_id order; returns the manifest, not yet run."""
-    docs = columns_of(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = columns_of(documents, "doc_id", "text").select(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(tasks_for(total), *order).sortWithinPartitions(*order)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,11 +292,12 @@ def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -
         path = f"{folder}/ids-{number:07d}.dac"
         for batch in batches:
             if writer is None:
-                writer, encoder = Writer(path, f"try-{context.taskAttemptId()}"), word_encoder(tokenizer_file)
-            for some in range(0, len(batch), 64):
-                rows = batch.iloc[some : some + 64]
-                for doc_id, ids in zip(rows["doc_id"], encoder.encode(rows["text"].tolist()), strict=True):
-                    writer.add(NULL_ID if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)))
+                writer = Writer(path, f"try-{context.taskAttemptId()}")
+                encoder = per_process(("token_file", tokenizer_file), lambda: word_encoder(tokenizer_file))
+            doc_ids = iter(batch["doc_id"])
+            for texts in grouped(batch["text"]):
+                for doc_id, ids in zip(islice(doc_ids, len(texts)), encoder.encode(texts), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pd.DataFrame([[number, path, len(writer.doc_ids), writer.n_tokens]], columns=["file_no", "path", "n_docs", "n_tokens"])

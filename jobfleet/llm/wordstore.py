@@ -1,24 +1,49 @@
 """Texts as concatenations of remembered words: what is known of a word is looked up, not redone."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
+import sys
+from types import ModuleType
 
 import numpy as np
 
+#: Characters of text that are encoded at once; one longer text is a batch of its own.
+BATCH_CHARS = 1 << 19
+
+
+def per_process(key: tuple, make: Callable):
+    """An object that a Python worker process makes once and keeps from task to task."""
+    kept = sys.modules.setdefault("_llm_kept", ModuleType("_llm_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def grouped(texts: Iterable[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
 
 class WordStore:
     """Encodes texts whose encoding is the concatenation of their words' encodings.
 
-    At most ``most`` words are remembered, beyond those of one call; then the store starts anew.
+    At most ``most`` words are remembered, beyond those of one batch; when the store is full, the
+    half that was used most stays.
     """
 
     def __init__(self, split: Callable[[str], list[str]], ids_of: Callable[[list[str]], list[list[int]]], most: int):
         self.split, self.ids_of, self.most = split, ids_of, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int32)
 
     def _learn(self, words: list[str]) -> None:
         encoded = self.ids_of(words)
@@ -28,23 +53,52 @@ class WordStore:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.bounds) <= first + len(words):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[start : start + len(flat)] = flat
         self.bounds[first + 1 : first + 1 + len(words)] = start + np.cumsum([len(ids) for ids in encoded])
+        self.uses[first : first + len(words)] = 0
         self.codes.update(zip(words, range(first, first + len(words)), strict=True))
 
+    def _forget(self) -> None:
+        """Keep the words used most, and halve their counts."""
+        stay = np.argsort(-self.uses[: len(self.codes)], kind="stable")[: self.most // 2]
+        new_code = np.full(len(self.codes), -1)
+        new_code[stay] = np.arange(len(stay))
+        lengths = self.bounds[stay + 1] - self.bounds[stay]
+        flat = self._gather(stay)
+        self.codes = {w: int(new_code[c]) for w, c in self.codes.items() if new_code[c] >= 0}
+        self.uses[: len(stay)] = self.uses[stay] // 2
+        self.ids[: len(flat)] = flat
+        self.bounds[: len(stay) + 1] = np.concatenate([[0], np.cumsum(lengths)])
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        starts = self.bounds[codes]
+        lengths = self.bounds[codes + 1] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.codes}
-        if new:
-            if len(self.codes) + len(new) > self.most:
-                self._clear()
-                new = {w for words in split for w in words}
-            self._learn(sorted(new))
-        out = []
-        for words in split:
-            codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-            starts = self.bounds[codes]
-            lengths = self.bounds[codes + 1] - starts
-            before = np.cumsum(lengths) - lengths
-            out.append(self.ids[np.repeat(starts - before, lengths) + np.arange(lengths.sum())])
-        return out
+        return [ids for some in grouped(texts) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        words, ends = [], []
+        for text in texts:
+            words += self.split(text)
+            ends.append(len(words))
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.nonzero(codes < 0)[0]
+        if len(unknown):
+            new = list(dict.fromkeys(words[i] for i in unknown.tolist()))
+            if len(self.codes) + len(new) > self.most and self.codes:
+                self._forget()
+                codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+                unknown = np.nonzero(codes < 0)[0]
+                new = list(dict.fromkeys(words[i] for i in unknown.tolist()))
+            self._learn(new)
+            codes[unknown] = [self.codes[words[i]] for i in unknown.tolist()]
+        if len(codes):
+            counts = np.bincount(codes)
+            self.uses[: len(counts)] += counts.astype(np.int32)
+        ids = self._gather(codes)
+        sizes = np.concatenate([[0], np.cumsum(self.bounds[codes + 1] - self.bounds[codes])])
+        return np.split(ids, sizes[ends[:-1]]) if texts else []
