@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, langid, line_dedup, pii, quality, sp_codec, token_count, token_file
+from jobfleet.llm import decontaminate, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_count, token_file
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = ngram_join.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return told.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(documents, PIECES).select("doc_id", "n_tokens")
