@@ -1,7 +1,7 @@
 """N-gram Jaccard join as a T-occurrence search with skipped long lists (DivideSkip).
 
 Two documents link when their sets of word shingles have a Jaccard similarity of at least
-``NUMERATOR / DENOMINATOR``. A document of n shingles needs an overlap of T = ceil(0.9 n) or more with
+a ``Measure`` (0.9 by default). A document of n shingles needs an overlap of T = ceil(0.9 n) or more with
 any partner, so a partner must occur in at least T - L of the inverted lists that stay when
 the L longest are set aside.
 
@@ -29,6 +29,7 @@ kept, and columns named like the results are replaced.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 import hashlib
 
 import numpy as np
@@ -39,8 +40,6 @@ from pyspark.sql import functions as F
 from jobfleet.llm.common import let, lower_ascii, small, stage, text_key, words
 from jobfleet.llm.components import components
 
-SHINGLE = 3
-NUMERATOR, DENOMINATOR = 9, 10
 SHARE = 0.05
 SKETCH = 1 << 18
 BLOCK_TOKENS = 1 << 20
@@ -50,13 +49,39 @@ MU = 0.01
 ROW_BYTES = 64
 
 
+@dataclass(frozen=True)
+class Measure:
+    """Words a shingle, and the least similarity as numerator / denominator."""
+
+    shingle: int = 3
+    numerator: int = 9
+    denominator: int = 10
+
+    def needed(self, n):
+        """Least overlap with any partner of a set of n."""
+        return -(-self.numerator * n // self.denominator)
+
+    def overlap(self, n, m):
+        """Least overlap of linked sets of n and m."""
+        return -(-self.numerator * (n + m) // (self.numerator + self.denominator))
+
+    def short_count(self, n: int) -> int:
+        """n - T + c: how many lists of a set of n are short ones."""
+        return n - self.needed(n) + common(n)
+
+
+def common(n: int) -> int:
+    """c: how many short lists linked nodes share at least, for a set of n."""
+    return max(1, int(SHARE * n))
+
+
 # --- sets ----------------------------------------------------------------------------------
 
 def word_hashes(text: Column) -> Column:
     return let(words(lower_ascii(text)), lambda w: F.transform(w, lambda x: F.xxhash64(x)))
 
 
-def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingles from the hashes of a text's words."""
     w = hashes.view(np.uint64)
     if not len(w):
@@ -74,25 +99,6 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def needed(n):
-    """Least overlap with any partner of a set of n."""
-    return -(-NUMERATOR * n // DENOMINATOR)
-
-
-def overlap(n, m):
-    """Least overlap of linked sets of n and m."""
-    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
-
-
-def common(n: int) -> int:
-    """c: how many short lists linked nodes share at least, for a set of n."""
-    return max(1, int(SHARE * n))
-
-
-def short_count(n: int) -> int:
-    return n - needed(n) + common(n)
-
-
 def rank(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Indexes of the tokens from rare to frequent; equal ones by token."""
     return np.argsort(sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
@@ -112,7 +118,7 @@ def hashed(documents: DataFrame) -> DataFrame:
 
 # --- facts and frequencies -----------------------------------------------------------------
 
-def facts_and_sketch(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def facts_and_sketch(documents: DataFrame, measure: Measure) -> tuple[DataFrame, np.ndarray]:
     """(row_key, doc_id, n, node) of every row, and token counts by bucket over all rows."""
     schema = "row_key binary, doc_id long, n long, node long, sketch binary"
 
@@ -121,7 +127,7 @@ def facts_and_sketch(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             n, nodes = [], []
             for w in lists_of(batch.column("w")):
-                tokens = shingle_set(w)
+                tokens = shingle_set(w, measure.shingle)
                 n.append(len(tokens))
                 nodes.append(node_of(tokens))
                 np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
@@ -159,7 +165,7 @@ def facts_and_sketch(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.filter("row_key is not null").drop("sketch"), sketch
 
 
-def postings(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
+def postings(documents: DataFrame, sketch: np.ndarray, measure: Measure) -> DataFrame:
     """(token, node, n): the short lists' entries of every node; copies within a task post once."""
     held = documents.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))
 
@@ -168,12 +174,12 @@ def postings(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
         for batch in batches:
             tokens_out, nodes_out, n_out = [], [], []
             for w in lists_of(batch.column("w")):
-                tokens = shingle_set(w)
+                tokens = shingle_set(w, measure.shingle)
                 node = node_of(tokens)
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                short = tokens[rank(tokens, counts)[: short_count(len(tokens))]]
+                short = tokens[rank(tokens, counts)[: measure.short_count(len(tokens))]]
                 tokens_out.append(short.view(np.int64))
                 nodes_out.append(np.full(len(short), node, np.int64))
                 n_out.append(np.full(len(short), len(tokens), np.int32))
@@ -239,7 +245,8 @@ def groups(posted: DataFrame) -> DataFrame:
 class Index:
     """Inverted lists over a block of sets; members are numbered by position."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], measure: Measure):
+        self.measure = measure
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")  # owners stay ascending within a list
@@ -250,13 +257,13 @@ class Index:
 
     def search(self, query: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         """Members, of those allowed, that have the required overlap with ``query``."""
-        n = len(query)
-        fits = allowed & (DENOMINATOR * self.size >= NUMERATOR * n) & (NUMERATOR * self.size <= DENOMINATOR * n)
+        n, up, down = len(query), self.measure.denominator, self.measure.numerator
+        fits = allowed & (up * self.size >= down * n) & (down * self.size <= up * n)
         if not fits.any():
             return np.zeros(0, np.int64)
         at = np.searchsorted(self.token, query)
         at = at[(at < len(self.token)) & (self.token[np.minimum(at, len(self.token) - 1)] == query)]
-        least = NUMERATOR * n // DENOMINATOR if n == 0 else needed(min(n, int(self.size[fits].min())))
+        least = int(self.measure.overlap(n, int(self.size[fits].min())))
         if len(at) < least:
             return np.zeros(0, np.int64)
         starts, ends = self.start[at], self.end[at]
@@ -269,7 +276,7 @@ class Index:
         merged = np.concatenate([self.owner[s:e] for s, e in zip(starts[:short], ends[:short], strict=True)])
         count = np.bincount(merged, minlength=len(self.size))
         found = np.nonzero(fits & (count >= least - skip))[0]
-        have, want = count[found], overlap(n, self.size[found])
+        have, want = count[found], self.measure.overlap(n, self.size[found])
         # probe the long lists, dropping candidates that can no longer reach their overlap
         for i in range(short, len(at), PROBES):
             left = len(at) - i
@@ -284,10 +291,10 @@ class Index:
         return found[have >= want]
 
 
-def search_cell(nodes: list[int], sides: list[int], copies: list[int], sets: list[np.ndarray], within: bool):
+def search_cell(nodes: list[int], sides: list[int], copies: list[int], sets: list[np.ndarray], within: bool, measure: Measure):
     """Links inside one block, or between two: a spanning forest, and links per node counting copies."""
     side, copies = np.array(sides), np.array(copies)
-    index = Index(sets)
+    index = Index(sets, measure)
     numbers = np.arange(len(sets))
     links, parent = np.zeros(len(sets), np.int64), list(range(len(sets)))
     forest = []
@@ -312,7 +319,7 @@ def search_cell(nodes: list[int], sides: list[int], copies: list[int], sets: lis
     return forest, [(nodes[i], int(k)) for i, k in enumerate(links) if k]
 
 
-def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: DataFrame) -> DataFrame:
+def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
     """(a, b, k): edges of a spanning forest (k null), and numbers of links (b null) of node a."""
     sums = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
     blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
@@ -343,7 +350,7 @@ def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: D
         for batch in batches:
             nodes, numbers, parts = [], [], []
             for w in lists_of(batch.column("w")):
-                tokens = shingle_set(w).view(np.int64)
+                tokens = shingle_set(w, measure.shingle).view(np.int64)
                 node = node_of(tokens)
                 for i in range(0, len(tokens), PIECE):
                     nodes.append(node)
@@ -374,6 +381,7 @@ def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: D
                 [merged[x][1] for x in nodes],
                 [np.concatenate(merged[x][2]).view(np.uint64) for x in nodes],
                 within,
+                measure,
             )
             rows = [(a, b, None) for a, b in forest] + [(a, None, k) for a, k in counts]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["a", "b", "k"]) if rows else None
@@ -392,19 +400,19 @@ def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: D
     return stage(dealt.mapInArrow(task, "a long, b long, k long"), "links")
 
 
-def classify(documents: DataFrame) -> DataFrame:
+def classify(documents: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """One row per row: row_key, doc_id, n_shingles, component_id, n_links (rows linked with it, copies
     counted) and stays (whether the row is the first of its component by doc_id, then text)."""
     texts = documents.select("doc_id", "text")
-    facts, sketch = facts_and_sketch(texts)
+    facts, sketch = facts_and_sketch(texts, measure)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key"))
     classes = stage(
         facts.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
         .select("node", "copies", "first", "first.row_key"),
         "classes",
     )
-    posted = stage(postings(texts, sketch), "postings")
-    found = links(texts, facts, groups(posted), classes)
+    posted = stage(postings(texts, sketch, measure), "postings")
+    found = links(texts, facts, groups(posted), classes, measure)
     roots = components(found.filter("b is not null").select("a", "b"))
     linked = found.filter("k is not null").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("k"))
     told = classes.join(roots, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -430,9 +438,9 @@ def classify(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """``documents`` with one row of each component, the first by doc_id; rows without shingles stay."""
-    told = stage(classify(documents).select("row_key", "n_shingles", "stays"), "ngram-verdicts")
+    told = stage(classify(documents, measure).select("row_key", "n_shingles", "stays"), "ngram-verdicts")
     gone = told.filter("not stays").select("row_key").distinct()
     repeated = told.filter("n_shingles > 0 and stays").groupBy("row_key").count().filter("count > 1").select("row_key")
     gone, repeated = (small(x, x.count() * ROW_BYTES) for x in (stage(gone, "gone"), stage(repeated, "repeated")))

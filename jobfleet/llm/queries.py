@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_count, token_file
+from jobfleet.llm import decontaminate, html_text, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_count, token_file
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return rendered.select("page_id", "text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
