@@ -127,6 +127,11 @@ def matches(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Dat
     measured = distinct.agg(F.sum(F.octet_length(F.concat_ws(" ", "terms")) + 24 * F.size("terms") + 64)).first()
     blocks = tasks_for(measured[0] or 0, BLOCK_BYTES)
     sizes = sorted(row[0] for row in tokens.select("shingle").distinct().collect())  # at most ``shingle`` rows
+    empty = docs.select("row_key").limit(0).selectExpr(
+        "row_key", "cast(null as binary) window_id", "cast(0 as int) first", "cast(0 as int) last"
+    )
+    if not sizes:
+        return empty
     anchors = stage(rarest(docs, tokens, sizes, blocks).join(distinct, "window_id"), "window-prefixes")
     found = []
     for k in sizes:
@@ -142,10 +147,7 @@ def matches(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Dat
                 .filter(F.slice("doc_terms", first + 1, F.col("size")) == F.col("terms"))
                 .select("row_key", "window_id", first.alias("first"), (first + F.col("size") - 1).alias("last"))
             )
-    empty = docs.select("row_key").limit(0).selectExpr(
-        "row_key", "cast(null as binary) window_id", "cast(0 as int) first", "cast(0 as int) last"
-    )
-    return reduce(DataFrame.unionByName, found, empty) if found else empty
+    return reduce(DataFrame.unionByName, found, empty)
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

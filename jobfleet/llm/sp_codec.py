@@ -180,7 +180,9 @@ class Codec:
             text = "".join(out) + run.decode("utf-8", "replace")
         else:
             text = "".join(map(self.text_of.__getitem__, ids.tolist()))
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        first = next((i for i in ids.tolist() if self.model.types[i] != CONTROL), None)
+        marked = first is not None and self.model.types[first] == NORMAL and self.model.pieces[first].startswith(MARK)
+        return text[1:] if self.model.dummy_prefix and marked else text
 
 
 def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFrame:

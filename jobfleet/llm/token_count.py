@@ -60,7 +60,9 @@ class Counter:
         self.byte_fallback, self.most = byte_fallback, most
         crossing = any(MARK in p.lstrip(MARK) or "\n" in p for p, _ in pieces)
         known_mark = any(p == MARK for p, _ in pieces)
-        self.cut = None if crossing or not (byte_fallback or known_mark) else re.compile(r" *[^ \n]+| +|\n+").findall
+        # without bytes a run of unknown characters is one piece, so only a known mark ends it
+        word = r" *[^ \n]+| +|\n+" if byte_fallback else r" *[^ ]+| +"
+        self.cut = None if crossing or not (byte_fallback or known_mark) else re.compile(word).findall
         self.seen: dict[str, int] = {}
 
     def search(self, text: str) -> int:

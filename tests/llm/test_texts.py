@@ -1,0 +1,303 @@
+"""Token counts, token files, SentencePiece, language, personal data, quality rules and HTML."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer, models as tokenizer_models, normalizers
+
+from jobfleet.llm import html_text, langid, pii, quality, sp_codec, token_count, token_file
+from jobfleet.llm.common import scratch
+from jobfleet.llm.wordstore import WordStore
+from conftest import ODD, DOCS
+import models
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ALPHABET = "abc theing  \n\t.,▁é日本語ɵ①\x00\x1c'\"<>0123456789AZ=-_()"
+
+
+def fuzz(seed, count, alphabet=ALPHABET, longest=30):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(longest))) for _ in range(count)]
+
+
+# --- word stores -----------------------------------------------------------------------------
+
+def test_a_full_word_store_forgets_and_stays_right():
+    store = WordStore(str.split, lambda words: [[len(w), ord(w[0])] for w in words], most=8)
+    rng = random.Random(3)
+    for _ in range(60):
+        text = " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(9)))
+        assert store.encode([text])[0].tolist() == [x for w in text.split() for x in (len(w), ord(w[0]))]
+
+
+# --- op3 ---------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_token_counts_equal_the_unigram_tokenizer(texts, fallback):
+    pieces, _ = token_count.vocabulary(PIECES)
+    vocab = [("<unk>", -3e9), *pieces]
+    if fallback:
+        vocab += [(f"<0x{b:02X}>", -3e9) for b in range(256)]
+    exact = Tokenizer(tokenizer_models.Unigram(vocab, unk_id=0, byte_fallback=fallback))
+    exact.normalizer = normalizers.Replace(" ", "▁")
+    counter = token_count.Counter(pieces, fallback)
+    for text in [t for _, t in texts[:25]] + fuzz(1, 1500):
+        want = len(exact.encode(" " + text, add_special_tokens=False).ids) if text else 0
+        assert counter.count(text) == want, text[:80]
+
+
+def test_ties_go_to_the_longer_last_piece():
+    pieces = [("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0), ("bc", -1.5), ("c", -0.5)]
+    exact = Tokenizer(tokenizer_models.Unigram([("<unk>", -99.0), *pieces], unk_id=0))
+    exact.normalizer = normalizers.Replace(" ", "▁")
+    counter = token_count.Counter(pieces, False)
+    for text in ["ab", "abc", "aabbcc", "xyab", "xx  ab"]:
+        assert counter.count(text) == len(exact.encode(" " + text).ids)
+
+
+def test_token_counts_of_odd_rows(spark):
+    frame = spark.createDataFrame(ODD + ODD[:1], DOCS).withColumn("n_tokens", F.lit("clash"))
+    got = token_count.count_tokens(frame, PIECES).collect()
+    assert [r.n_tokens for r in got[:2]] == [0, 0] and len(got) == 6 and got[4].n_tokens > 10_000
+    assert token_count.count_tokens(frame.limit(0), PIECES).count() == 0
+
+
+# --- op5 ---------------------------------------------------------------------------------------
+
+def test_token_files_give_back_the_ids(spark, texts):
+    rows = texts + ODD + [(5, "again"), (5, "again")]
+    got = token_file.round_trip(spark.createDataFrame(rows, DOCS).withColumn("path", F.lit(1)), WORD_BPE, 2).collect()
+    exact, want, start = Tokenizer.from_file(WORD_BPE), [], 0
+    ids_of = {t: exact.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows}
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    for r in by_start:
+        assert r.start == start
+        start += r.n_tokens
+        want.append((r.doc_id, r.n_tokens, r.ids_crc32))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted(want, key=repr) == sorted(((d, len(ids_of[t]), crc(ids_of[t])) for d, t in rows), key=repr)
+
+
+def test_token_files_of_nothing(spark):
+    assert token_file.round_trip(spark.createDataFrame([], DOCS), WORD_BPE, 2).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 2, 255, 256, 49_408, 1 << 31])
+def test_any_token_is_read_by_itself(spark, monkeypatch, top):
+    monkeypatch.setattr(token_file, "SEGMENT", 5000)
+    rng = np.random.default_rng(top)
+    ids = np.minimum(rng.integers(0, top, 12_345), rng.integers(0, top, 12_345)).astype(np.uint32)
+    path = f"{scratch(spark, 'dac')}/one.dac"
+    writer = token_file.Writer(path, "try")
+    writer.add(7, ids[:10_000])
+    writer.add(8, ids[10_000:])
+    writer.close()
+    reader = token_file.Reader(path)
+    assert np.array_equal(np.concatenate([reader.segment(s) for s in range(3)]), ids)
+    for i in [0, 511, 512, 4999, 5000, 12_344, *rng.integers(0, len(ids), 50).tolist()]:
+        assert reader.token(i) == ids[i]
+    assert [(d, s, sum(map(len, p))) for d, s, p in reader.documents()] == [(7, 0, 10_000), (8, 10_000, 2_345)]
+    with pytest.raises(IndexError):
+        reader.token(len(ids))
+
+
+def test_words_are_encoded_as_whole_texts_are():
+    exact, ours = Tokenizer.from_file(WORD_BPE), token_file.word_encoder(WORD_BPE)
+    odd = ["a\x1cb  Don't DON'T ①½ x́ ́a <|endoftext|>b Σας ΣΑΣ İ 3.14's  q　 ", "", "   ", "é ̸z \x85 #*$ ß. ẞ, ÀÉ."]
+    for text in odd + fuzz(2, 1500):
+        assert ours.encode([text])[0].tolist() == exact.encode(text, add_special_tokens=False).ids, text
+
+
+# --- op10 --------------------------------------------------------------------------------------
+
+def test_sentencepiece_equals_the_library(texts):
+    exact, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), sp_codec.Codec(sp_codec.load(PIECES))
+    for text in [t for _, t in texts[:60]] + fuzz(4, 3000) + ["<s></s><unk>", open(__file__).read()]:
+        ids = codec.encode([text])[0].tolist()
+        assert ids == exact.encode(text), text[:80]
+        assert codec.decode(ids) == exact.decode(ids)
+    assert codec.decode([0, 5, 200, 201, 300]) == exact.decode([0, 5, 200, 201, 300])
+
+
+def test_a_unigram_model_takes_the_path_of_least_weight():
+    pieces = ["<unk>", "▁", "a", "b", "ab", "▁a"]
+    model = sp_codec.Model(sp_codec.UNIGRAM, pieces, [2, 1, 1, 1, 1, 1], [0, -2, -1, -1, -1.5, -2.5], True)
+    codec = sp_codec.Codec(model)
+    assert [pieces[i] for i in codec.encode(["ab"])[0]] == ["▁", "ab"] and codec.decode(codec.encode(["ab a"])[0]) == "ab a"
+    assert [pieces[i] for i in codec.encode(["aqqb"])[0]] == ["▁a", "<unk>", "b"]
+
+
+def test_sentencepiece_of_odd_rows(spark):
+    frame = spark.createDataFrame(ODD + ODD[:1], DOCS).withColumn("ids", F.lit("clash"))
+    encoded = sp_codec.encode(frame, PIECES)
+    assert [len(r.ids) for r in encoded.collect()[:2]] == [0, 0]
+    decoded = sp_codec.decode(encoded, PIECES).collect()
+    assert [r.decoded for r in decoded] == [t or "" for _, t in ODD + ODD[:1]]
+    assert all(r.decodes for r in sp_codec.round_trip(frame, PIECES).collect())
+    assert sp_codec.round_trip(frame.limit(0), PIECES).count() == 0
+
+
+# --- op7 ---------------------------------------------------------------------------------------
+
+def test_language_on_held_out_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = langid.predict(docs.withColumn("score", F.lit("clash")), langid.fit(docs)).filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and 0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) > 20
+
+
+def test_language_of_odd_rows_and_without_labels(spark):
+    train = spark.createDataFrame([(i, f"aa bb {i}", "x") for i in range(20)] + [(99, None, "y"), (98, "cc", None)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert model[0] == ["x"]
+    odd = spark.createDataFrame([*ODD, (1, "12 34 --")], DOCS)
+    got = {r.doc_id: (r.lang_pred, r.held_out) for r in langid.predict(odd, model).collect()}
+    assert [got[d][0] for d in (900_001, 900_002, 900_003, None, 900_004, 1)] == ["und"] * 3 + ["x", "x", "und"]
+    assert got[None][1]
+    nothing = langid.fit(train.limit(0))
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_long_texts_count_the_same_in_blocks(monkeypatch):
+    text = "Straße und Ähre " * 50
+    whole = np.sort(np.concatenate(list(langid.buckets(text, 1 << 16))))
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    assert np.array_equal(np.sort(np.concatenate(list(langid.buckets(text, 1 << 16)))), whole)
+
+
+# --- op4 ---------------------------------------------------------------------------------------
+
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+@pytest.mark.parametrize("alphabet", ["a@b.-1", "12.3", "1234 -", "+12 ()3.-x", "a1@.+ -9"])
+def test_base_spans_equal_the_patterns(alphabet):
+    for text in fuzz(9, 4000, alphabet, 40):
+        assert pii.base(text) == plain_base(text), text
+
+
+def test_boosted_trees_learn_and_thresholds_hold():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 9, (3000, 4)).astype(float)
+    y = ((x[:, 1] > 4) & (x[:, 2] != 3)).astype(float)
+    trees = pii.Boosted(x[:2000], y[:2000])
+    p = trees.probability(x[2000:])
+    assert ((p > 0.5) == y[2000:]).mean() > 0.98
+    cut = pii.thresholds(p, y[2000:], np.zeros(1000))["email"]
+    assert y[2000:][p >= cut].mean() >= pii.PRECISION
+
+
+def test_personal_data_base_spans_stay_and_proposals_join(spark):
+    # a model that takes every proposal
+    model = ((9.0, []), dict.fromkeys(pii.KINDS, 0.5))
+    rows = [(1, "mail a.b@c.example.com or d (at) e.example, call 555 123 4567"), (2, "ip 10.0.0.1 and 300.1.1.1"), *ODD, (1, "x")]
+    found = pii.find(spark.createDataFrame(rows, DOCS).withColumn("all_spans", F.lit(0)), model)
+    got = [([tuple(s) for s in r.base_spans], [tuple(s) for s in r.all_spans], r.text) for r in found.collect()]
+    for base, spans, text in got:
+        assert base == plain_base(text or "") and set(base) <= set(spans)
+    assert [k for k, _, _ in got[0][1]] == ["email", "email", "phone"] and got[0][2][slice(*got[0][1][2][1:])] == "555 123 4567"
+    hidden = [r.text for r in pii.redact(found).collect()]
+    assert hidden[0] == "mail [EMAIL] or [EMAIL], call [PHONE]" and hidden[2] is None
+    assert pii.train(spark.createDataFrame([], DOCS)) is None
+    assert all(not s for s, _, _ in got[2:5])
+
+
+def test_spans_of_a_trained_model_contain_the_base(spark, texts):
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"t {digits(3)} +1 ({digits(3)}) {digits(3)}-{digits(4)} at 10.{i % 300}.2.3 key={digits(12)} {digits(16)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = pii.train(docs)
+    assert model is not None
+    for r in pii.find(docs, model).limit(100).collect():
+        assert set(map(tuple, r.base_spans)) <= set(map(tuple, r.all_spans))
+
+
+# --- op9 ---------------------------------------------------------------------------------------
+
+def test_quality_base_and_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([*ODD, (7, "a b c d e f " * 300), (7, "a b c d e f " * 300)], DOCS)
+    frame = docs.select("doc_id", "text").union(odd).withColumns({"kept": F.lit("clash"), "word": F.lit(1)})
+    rows = quality.judge(frame).collect()
+    assert len(rows) == docs.count() + 7
+    for r in rows:
+        n = models.quality_base(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+        assert not (r.kept and r.base_failed)
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    judged = [(good[r.doc_id], r.kept) for r in rows if r.doc_id in good and not r.base_failed]
+    assert sum(kept for label, kept in judged if label == 1) >= 0.98 * sum(label for label, _ in judged)
+    assert quality.judge(frame.limit(0)).count() == 0
+
+
+def test_expectation_maximisation_finds_the_rates(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(4000):
+        good = rng.random() < 0.8
+        cast = [(-1 if rng.random() < (0.02 if good else 0.7) else 1) if rng.random() < 0.9 else 0 for _ in quality.RULES]
+        rows.append((*cast, 1))
+    schema = ", ".join(f"{r} int" for r in quality.RULES) + ", n long"
+    model = quality.fit(spark.createDataFrame(rows, schema))
+    assert abs(model["prior"] - 0.8) < 0.03
+    assert all(abs(x - 0.7) < 0.07 for x in model["bad_if_bad"]) and all(x < 0.04 for x in model["bad_if_good"])
+
+
+# --- op8 ---------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>after", "- a\n- b\n  - c\n- d\n\nafter"),
+        ("<p>one<p>two<div>three</div>four<br>five", "one\n\ntwo\n\nthree\nfour\nfive"),
+        ("<table><tr><th>a<th>bbb<tr><td>cccc<td>d</table>x", "a     bbb\ncccc  d\n\nx"),
+        ("<ol start=3><li>x<li>y</ol><pre>a\n  b</pre>", "3. x\n4. y\n\na\n  b"),
+        ("<p>a <b>b</b>c <!-- x --> d<script>if(a<b){}</script>e<span hidden>no</span>", "a bc de"),
+        ("a < b & c &amp; d <x", "a < b & c & d"),
+        ("<table><tr><td>o<table><tr><td>i<td>j</table></table>", "o\n\ni  j"),
+        ("<blockquote>q<p>r</blockquote><dl><dt>t<dd>d</dl>", "  q\n\n  r\n\nt\n  d"),
+        ("</p>x</li><p", "x"),
+        ("<head><title>t</title><style>p{}</style><body>seen<p style='display: none'>no</p>", "seen"),
+        ("<head><title>t</title>text in a head", "text in a head"),
+        ("<img alt='a picture'> <img> <input type=hidden value=x>", "a picture"),
+        ("<!-- never ends", ""),
+        ("", ""),
+        (None, ""),
+        ("<div>" * 20_000 + "deep", "deep"),
+        ("<p>x" * 3, "x\n\nx\n\nx"),
+    ],
+)
+def test_pages_are_laid_out(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_pages_keep_rows_and_columns(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    frame = pages.unionByName(spark.createDataFrame([(None, None, None), (1, "u", "")], pages.schema)).withColumn("text", F.lit(1))
+    got = html_text.extract(frame)
+    assert got.columns == frame.columns and got.count() == pages.count() + 2
+    assert all("<" not in r.text and "track(" not in r.text for r in got.collect())
+    assert html_text.extract(frame.limit(0)).count() == 0
