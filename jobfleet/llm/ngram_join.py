@@ -198,10 +198,14 @@ def least_common(n: Column) -> Column:
 
 
 def meeting(posted: DataFrame, key: str) -> DataFrame:
-    """The rows of ``posted`` whose token's rows differ in ``key``."""
+    """The rows of ``posted`` whose token's rows differ in ``key``.
+
+    Tokens grow with the corpus, so the join is by shuffle at every size; adaptive execution
+    splits the rows of a hot token.
+    """
     ends = posted.groupBy("token").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi")
     tokens = stage(ends.select("token"), "met-tokens")
-    return posted.join(small(tokens, tokens.count() * ROW_BYTES), "token", "left_semi")
+    return posted.join(tokens.hint("merge"), "token", "left_semi")
 
 
 def enough(posted: DataFrame) -> DataFrame:
