@@ -26,9 +26,11 @@ def text_of(value: Column) -> Column:
 def strict_json(text: Column) -> Column:
     """JSON text as a variant; null when it is malformed or more than one value.
 
-    The parser stops after the first value. Reading the text as the only
-    element of an array makes anything that follows an error.
+    The parser stops after the first value, so the text is read as the only
+    element of an array and as the only member of an object. Text that closes
+    one of the two early is an error in the other.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = value_at(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, value_at(wrapped, "$[0]", "variant"))
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"only":'), text, F.lit("}")))
+    alone = value_at(element, "$[1]", "variant").isNull() & member.isNotNull()
+    return F.when(alone, value_at(element, "$[0]", "variant"))

@@ -122,9 +122,10 @@ def bundle_patch_plan(
     )
 
 
-def bundle_patch_stats(plan: DataFrame) -> DataFrame:
+def bundle_patch_stats(plan: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
     """Patch counters per bundle. Files are counted first, then bundles, so that
-    the distinct file count needs no separate pass."""
+    the distinct file count needs no separate pass. ``bundles`` names those that
+    get a row even without job nodes."""
     per_file = plan.groupBy("bundle", "path").agg(
         F.count("*").alias("jobs_seen"),
         F.count_if("matched").alias("jobs_matched"),
@@ -133,10 +134,13 @@ def bundle_patch_stats(plan: DataFrame) -> DataFrame:
         F.sum(F.size("var_skipped")).alias("var_skipped_events"),
     )
     totals = ["jobs_seen", "jobs_matched", "jobs_patched", "overrides_skipped", "var_skipped_events"]
-    return per_file.groupBy("bundle").agg(
+    counters = per_file.groupBy("bundle").agg(
         F.count_if(F.col("jobs_patched") > 0).alias("files_changed"),
         *[F.sum(name).alias(name) for name in totals],
     )
+    if bundles is None:
+        return counters
+    return bundles.select("bundle").join(counters, "bundle", "left").na.fill(0)
 
 
 def patched_bundle_jobs(plan: DataFrame) -> DataFrame:
@@ -151,12 +155,17 @@ def override_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("target").isNotNull())
 
 
-def effective_notifications(base_jobs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """What each target deploys: base lists followed by the override's lists.
+def effective_notifications(
+    base_jobs: DataFrame, overrides: DataFrame, targets: DataFrame | None = None
+) -> DataFrame:
+    """What targets deploy: base lists followed by the override's lists.
 
     ``base_jobs`` are base nodes, patched or not. ``duplicate_ids`` names, per
-    event, the ids listed twice; a deployment rejects those. A base job without
-    overrides has a null target.
+    event, the ids listed twice; a deployment rejects those. With ``targets``,
+    the targets of each bundle, every target has all base jobs of its bundle,
+    overridden or not, and the jobs that only it has; a bundle without targets
+    keeps its base jobs under a null target. Without, only overrides are shown,
+    and a base job without any has a null target.
     """
     base = base_jobs.select("bundle", "job_key", F.col("notifications").alias("base"))
     override = overrides.select(
@@ -170,7 +179,16 @@ def effective_notifications(base_jobs: DataFrame, overrides: DataFrame) -> DataF
         )
         merged.append(both.alias(event))
         repeated.append(_repeated_ids(both["id"]).alias(event))
-    joined = base.join(override, ["bundle", "job_key"], "left")
+    if targets is None:
+        joined = base.join(override, ["bundle", "job_key"], "left")
+    else:
+        placed = base.join(targets.select("bundle", "target").distinct(), "bundle", "left")
+        keys = ("bundle", "target", "job_key")
+        override = override.withColumnsRenamed({k: f"own_{k}" for k in keys})
+        same = [F.col(k) == F.col(f"own_{k}") for k in keys]
+        joined = placed.join(override, same, "full").select(
+            *[F.coalesce(k, f"own_{k}").alias(k) for k in keys], "base", "override"
+        )
     return joined.select(
         "bundle",
         "job_key",

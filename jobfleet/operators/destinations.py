@@ -33,7 +33,7 @@ def require_destination(workspaces: DataFrame, resolved: DataFrame, name: str) -
     if count:
         sample = [row[HOST] for row in missing.orderBy(HOST).limit(20).collect()]
         raise MissingDestinations(
-            f"destination {name!r} not found in {count} workspace(s), among them {sample}"
+            f"{count} workspace(s) lack a destination called {name!r}, such as {sample}"
         )
 
 

@@ -9,7 +9,7 @@ from jobfleet.functions.notifications import WebhookId, attached_to_all, with_we
 from jobfleet.operators.caps import mutation_cap
 from jobfleet.operators.walk import walk
 from jobfleet.plans import outcomes as o
-from jobfleet.plans.by_id import look_up
+from jobfleet.plans.by_id import check_by_id, look_up
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import DEFAULT_EVENTS, parse_events
 
@@ -30,7 +30,7 @@ def _payload(webhook_id: WebhookId, events: Sequence[str]):
 
 def _require(webhook_id: WebhookId) -> None:
     if webhook_id is None or (isinstance(webhook_id, str) and not webhook_id):
-        raise ValueError("webhook_id is required")
+        raise ValueError("there is no destination id to attach")
 
 
 def attach_walk(
@@ -68,6 +68,7 @@ def attach_walk(
         limit,
         checked=F.col("matched") & ~F.col("is_bundle"),
         changed=F.col("outcome").isin(*o.CHANGED),
+        keep_all=keep_all,
     )
     return plan.withColumn("new_notifications", _payload(webhook_id, events))
 
@@ -86,8 +87,7 @@ def attach_by_id(
 ) -> DataFrame:
     """Plan for an explicit id list (``job_id``, ``pos``), looked up in every workspace."""
     _require(webhook_id)
-    if tag or owners:
-        raise ValueError("tag and owner filter a walk; they do not combine with job ids")
+    check_by_id(hosts, tag, owners)
     events = parse_events(events)
     plan = look_up(jobs, ids, hosts)
     plan = plan.withColumn(

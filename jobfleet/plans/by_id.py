@@ -9,6 +9,14 @@ from jobfleet.operators.walk import job_facts
 from jobfleet.schemas import HOST, JOB_KEY
 
 
+def check_by_id(hosts: Sequence[str], tag: str | None, owners: Sequence[str] | None) -> None:
+    """Listed jobs are looked up where the caller says and are not filtered."""
+    if not hosts:
+        raise ValueError("say in which workspaces to look the job ids up")
+    if tag or owners:
+        raise ValueError("job ids leave nothing for a tag or owner filter to choose")
+
+
 def requests(ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
     """One lookup per workspace and id; the workspaces are a list the caller names."""
     named = F.array(*[F.lit(host) for host in hosts])

@@ -18,7 +18,7 @@ from jobfleet.operators.caps import mutation_cap
 from jobfleet.operators.enrich import enrich_bundles, metadata_columns
 from jobfleet.operators.walk import walk
 from jobfleet.plans import outcomes as o
-from jobfleet.plans.by_id import look_up
+from jobfleet.plans.by_id import check_by_id, look_up
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import BUNDLE_POLICIES, HOST, REMOVAL_LOG
 
@@ -52,9 +52,9 @@ def detach_walk(
     """Plan over whole workspaces; columns as in an attach plan plus ``bundle_warning``,
     ``removed_count``, ``webhook_ids_removed`` and ``events_affected``."""
     if webhook_id is None or (isinstance(webhook_id, str) and not webhook_id):
-        raise ValueError("a walk needs a webhook_id; clearing every list takes explicit job ids")
+        raise ValueError("lists are emptied for listed job ids only; a walk takes one destination id away")
     if bundle_jobs not in BUNDLE_POLICIES:
-        raise ValueError(f"bundle_jobs must be one of {BUNDLE_POLICIES}")
+        raise ValueError(f"{bundle_jobs!r} is no policy for bundle jobs; choose from {', '.join(BUNDLE_POLICIES)}")
     bundle = F.col("is_bundle")
     plan = walk(
         jobs,
@@ -76,6 +76,7 @@ def detach_walk(
         limit,
         checked=F.col("outcome").isin(*o.SENT),
         changed=F.col("outcome").isin(*o.CHANGED),
+        keep_all=keep_all,
     )
     warned = F.col("matched") & bundle & F.lit(bundle_jobs == "include")
     return _details(plan.withColumn("bundle_warning", warned), webhook_id)
@@ -95,8 +96,7 @@ def detach_by_id(
 
     Bundle-managed jobs are included, with ``bundle_warning`` set.
     """
-    if tag or owners:
-        raise ValueError("tag and owner filter a walk; they do not combine with job ids")
+    check_by_id(hosts, tag, owners)
     before = F.col("notifications")
     plan = look_up(jobs, ids, hosts)
     removes = removed_count(before, without_webhook(before, webhook_id)) > 0

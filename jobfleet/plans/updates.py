@@ -12,12 +12,14 @@ def settle(plan: DataFrame, results: DataFrame | None) -> DataFrame:
     """Turn planned updates into updated or errored rows.
 
     Only planned rows meet the results table; all others pass by without a
-    shuffle. A planned row without a successful result is errored.
+    shuffle. A planned row without a successful result is errored; of several
+    results for a job one success is enough.
     """
     if results is None:
         return plan
     planned = or_false(F.col("outcome") == WOULD_UPDATE)
-    sent = plan.filter(planned).join(results.select(*JOB_KEY, "ok"), JOB_KEY, "left")
+    verdicts = results.groupBy(*JOB_KEY).agg(F.bool_or("ok").alias("ok"))
+    sent = plan.filter(planned).join(verdicts, JOB_KEY, "left")
     settled = sent.withColumn(
         "outcome", F.when(or_false(F.col("ok")), UPDATED).otherwise(ERRORED)
     ).drop("ok")
@@ -53,7 +55,7 @@ def changes(plan: DataFrame) -> DataFrame:
 
 def apply_changes(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """The snapshot after a stored or by-id plan: changed rows joined onto all jobs."""
-    marked = changes.withColumn("is_changed", F.lit(True))
+    marked = changes.dropDuplicates(JOB_KEY).withColumn("is_changed", F.lit(True))
     joined = jobs.join(marked, JOB_KEY, "left")
     columns = [F.col(name) for name in JOBS.names if name != "settings"]
     return joined.select(

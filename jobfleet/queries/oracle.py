@@ -11,7 +11,7 @@ hooks AS (
     list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 2) AS on_failure,
     list('wh-' || hook ORDER BY l_linenumber, hook) FILTER (WHERE event = 3)
       AS on_duration_warning_threshold_exceeded
-  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey % 7 AS hook,
+  FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 7 AS hook,
           CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1
                WHEN l_linestatus = 'O' THEN 2 ELSE 3 END AS event
         FROM lineitem)
@@ -493,6 +493,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["attach_capped"] = _with(JOBS, ATTACH, _cut(40, direct), body=plan("run", _merged(when=SENT)))
     q["attach_capped_large"] = _with(JOBS, ATTACH, _cut(1200, direct), body=plan("run", _merged(when=SENT)))
+    q["attach_capped_sparse"] = q["attach_capped_large"]
     q["attach_applied_capped"] = _with(
         JOBS, APPLIED_ATTACH, _cut(100, direct), body=plan("run", _merged(when=SENT))
     )
@@ -542,6 +543,7 @@ planned AS (
 
     # Explicit ids
     q["load_job_ids"] = _with(ID_LINES, body="SELECT job_id, pos FROM lines")
+    q["job_ids_from_csv"] = _with(JOBS, body="SELECT job_id FROM jobs")
     q["merge_job_ids"] = _with(JOBS, IDS, body="SELECT job_id, pos FROM ids")
     q["attach_by_id"] = _with(
         JOBS,
@@ -579,6 +581,26 @@ planned AS (
         _detach("only", applied=True),
         body=f"SELECT workspace_host, errored FROM ({detach_stats}) WHERE errored > 0",
     )
+    # Every sixth job failed once and then went through; all others have one result.
+    retried = _detach("include", applied=True).replace("job_id % 29 <> 0", "job_id % 29 <> 0 OR job_id % 6 = 0")
+    q["next_snapshot_retried"] = _with(
+        JOBS, retried, body=_snapshot(_next(REMOVED_NEXT, "outcome = 'updated'"))
+    )
+    q["removal_log_retried"] = _with(JOBS, METADATA, retried, body=_removals("2024-01-01 00:00:00"))
+    q["run_stats_all_workspaces"] = _with(
+        JOBS,
+        ATTACH,
+        body=f"""SELECT h.workspace_host, count(p.job_id) AS scanned, count(p.job_id) AS matched, {ALREADY}, {COUNTERS}
+        FROM (SELECT 'ws-' || r_regionkey AS workspace_host FROM region) h
+        LEFT JOIN (SELECT * FROM planned WHERE contains(name, 'high') AND workspace_host = 'ws-1') p
+          ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
+    )
+    q["enrich_from_files"] = _with(
+        JOBS,
+        METADATA,
+        body=f"""SELECT workspace_host, job_id, {_meta()}
+        FROM jobs j LEFT JOIN metadata m ON j.path = m.path WHERE is_bundle""",
+    )
     q["next_snapshot_detach"] = _with(
         JOBS,
         _detach("include", applied=True),
@@ -615,6 +637,11 @@ planned AS (
     )
     q["resolve_destination"] = _with(DESTINATIONS, _resolved("hook-0"), body="SELECT * FROM resolved")
     hosts = "hosts AS (SELECT 'ws-' || r_regionkey AS workspace_host FROM region)"
+    q["destinations_from_pages"] = q["resolve_destination"]
+    q["cut_listings"] = _with(
+        DESTINATIONS,
+        body="SELECT DISTINCT workspace_host FROM destinations WHERE regexp_matches(workspace_host, '[13579]$')",
+    )
     q["missing_destinations"] = _with(
         DESTINATIONS,
         _resolved("hook-1"),
@@ -648,6 +675,15 @@ planned AS (
         FROM files WHERE pattern_pos IS NOT NULL
         UNION ALL SELECT DISTINCT p_brand, 'bundle.yml', CAST(-1 AS BIGINT) FROM part""",
     )
+    q["missing_roots"] = "SELECT DISTINCT p_brand AS bundle FROM part WHERE p_brand LIKE '%1'"
+    broken = "(pattern_pos IS NOT NULL AND p_partkey % 100 = 3)"
+    q["bundle_errors"] = _with(
+        PARTS,
+        body=f"""SELECT p_brand AS bundle, path, CAST(-1 AS BIGINT) AS jobs_seen FROM files WHERE {broken}
+        UNION ALL SELECT b.bundle, '', count(label)
+        FROM (SELECT DISTINCT p_brand AS bundle FROM part) b LEFT JOIN nodes n ON n.bundle = b.bundle
+        WHERE b.bundle NOT IN (SELECT p_brand FROM files WHERE {broken}) GROUP BY b.bundle""",
+    )
     q["bundle_docs"] = _with(
         PARTS,
         body="""SELECT p_brand AS bundle, path, false AS has_include, true AS has_resources,
@@ -703,6 +739,18 @@ planned AS (
           ON o.bundle = a.bundle AND o.job_key = a.job_key AND o.target <> ''
         WHERE a.target = ''""",
     )
+    q["effective_all_targets"] = _with(
+        PARTS,
+        _patched(),
+        "targets AS (SELECT DISTINCT bundle, target FROM nodes WHERE target <> ''"
+        " UNION SELECT DISTINCT p_brand, 'dev' FROM part)",
+        body=f"""SELECT a.bundle, a.job_key, t.target, '' AS on_start, '' AS on_success,
+        {", ".join(f"array_to_string({x}, ',') AS {e}" for e, x in both.items())}, {dups}
+        FROM patched a JOIN targets t ON t.bundle = a.bundle
+        LEFT JOIN nodes o ON o.bundle = a.bundle AND o.job_key = a.job_key AND o.target = t.target
+        WHERE a.target = ''
+        UNION ALL SELECT DISTINCT p_brand, 'dev_only', 'dev', '', '', 'wh-3', '', '', '' FROM part""",
+    )
     q["patched_bundle_jobs"] = _with(
         PARTS,
         _patched(OWNED),

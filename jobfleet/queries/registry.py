@@ -2,14 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobfleet import sinks
+from jobfleet import runs, sinks
 from jobfleet.functions import filters as f
 from jobfleet.functions import notifications as n
 from jobfleet.operators import bundles as b
-from jobfleet.operators import caps
 from jobfleet.operators import destinations as dest
 from jobfleet.operators import reports as r
 from jobfleet.operators.enrich import enrich_bundles
@@ -132,6 +131,18 @@ def bundle_metadata(spark, sf):
     )
 
 
+@query
+def enrich_from_files(spark, sf):
+    """Metadata written as one file per bundle, read back and joined by workspace path."""
+    folder = staging_path(spark, "metadata-export")
+    t.write_files(t.metadata_documents(spark, sf), folder, "/Workspace/")
+    documents = s.read_metadata_documents(spark, folder, "/Workspace")
+    enriched = enrich_bundles(matched_jobs(t.jobs(spark, sf)), s.bundle_metadata(documents))
+    return enriched.filter("is_bundle").select(
+        HOST, "job_id", *[f.or_blank(F.col(c)).alias(c) for c in s.METADATA_FIELDS]
+    )
+
+
 @query
 def bundle_enrich(spark, sf):
     enriched = enrich_bundles(matched_jobs(t.jobs(spark, sf)), t.metadata(spark, sf))
@@ -180,12 +191,12 @@ def filter_combined(spark, sf):
 
 @query
 def scan_cap(spark, sf):
-    return _ids(caps.scan_cap(t.jobs(spark, sf), 50))
+    return _ids(matched_jobs(t.jobs(spark, sf), scan_limit=50))
 
 
 @query
 def scan_cap_large(spark, sf):
-    return _ids(caps.scan_cap(t.jobs(spark, sf), 2001))
+    return _ids(matched_jobs(t.jobs(spark, sf), scan_limit=2001))
 
 
 @query
@@ -299,6 +310,13 @@ def attach_capped_large(spark, sf):
     return flat_plan(at.attach_walk(t.jobs(spark, sf), TARGET, limit=1200))
 
 
+@query
+def attach_capped_sparse(spark, sf):
+    """Ordinals two million apart: the listing of a workspace with very wide gaps."""
+    jobs = t.jobs(spark, sf).withColumn("scan_ordinal", F.col("scan_ordinal") * (1 << 21))
+    return flat_plan(at.attach_walk(jobs, TARGET, limit=1200))
+
+
 @query
 def attach_applied_capped(spark, sf):
     results = t.update_results(spark, sf)
@@ -344,6 +362,15 @@ def load_job_ids(spark, sf):
     return ids.load_job_ids(spark, t.job_id_file(spark, sf))
 
 
+@query
+def job_ids_from_csv(spark, sf):
+    """An inventory CSV as an id file; names hold line breaks inside quotes."""
+    path = staging_path(spark, "ids-csv")
+    rows = _inventory(spark, sf).withColumn("name", F.concat(F.lit("a\n"), "job_id", F.lit("\nb")))
+    rows.select("job_id", "name").write.options(**sinks.CSV_FORMAT).csv(path)
+    return ids.load_job_ids(spark, path, multi_line=True).select("job_id")
+
+
 @query
 def merge_job_ids(spark, sf):
     return _id_list(spark, sf)
@@ -351,30 +378,30 @@ def merge_job_ids(spark, sf):
 
 @query
 def attach_by_id(spark, sf):
-    plan = at.attach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.HOSTS, TARGET)
+    plan = at.attach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.hosts(spark, sf), TARGET)
     return flat_plan(plan, "pos")
 
 
 @query
 def attach_by_id_capped(spark, sf):
-    plan = at.attach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.HOSTS, TARGET, limit=75)
+    plan = at.attach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.hosts(spark, sf), TARGET, limit=75)
     return r.attach_run_stats(plan)
 
 
 @query
 def detach_by_id(spark, sf):
-    return flat_detach(de.detach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.HOSTS, TARGET))
+    return flat_detach(de.detach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.hosts(spark, sf), TARGET))
 
 
 @query
 def detach_all(spark, sf):
-    return flat_detach(de.detach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.HOSTS))
+    return flat_detach(de.detach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.hosts(spark, sf)))
 
 
 @query
 def next_snapshot_by_id(spark, sf):
     jobs = t.jobs(spark, sf)
-    plan = de.detach_by_id(jobs, _id_list(spark, sf), t.HOSTS, TARGET)
+    plan = de.detach_by_id(jobs, _id_list(spark, sf), t.hosts(spark, sf), TARGET)
     return flat_snapshot(apply_changes(jobs, changes(plan)))
 
 
@@ -432,6 +459,31 @@ def next_snapshot_detach(spark, sf):
     return flat_snapshot(next_snapshot(plan))
 
 
+@query
+def next_snapshot_retried(spark, sf):
+    plan = de.detach_walk(
+        t.jobs(spark, sf), TARGET, bundle_jobs="include",
+        results=t.retried_results(spark, sf), keep_all=True,
+    )
+    return flat_snapshot(next_snapshot(plan))
+
+
+@query
+def removal_log_retried(spark, sf):
+    plan = de.detach_walk(
+        t.jobs(spark, sf), TARGET, bundle_jobs="include", results=t.retried_results(spark, sf)
+    )
+    return flat_log(de.removal_records(plan, t.metadata(spark, sf), at_time(SCANNED_AT)))
+
+
+@query
+def run_stats_all_workspaces(spark, sf):
+    """Only one workspace has jobs of this name; the others count zero."""
+    jobs = t.jobs(spark, sf).filter(F.col(HOST) == "ws-1")
+    run = runs.attach(jobs, TARGET, name_filter="high", workspaces=t.workspaces(spark, sf))
+    return run.stats
+
+
 @query
 def bundle_report(spark, sf):
     plan = de.detach_walk(t.jobs(spark, sf), TARGET, tag="tier")
@@ -480,6 +532,24 @@ def _destinations(spark, sf) -> DataFrame:
     return s.scan_destinations(t.destination_pages(spark, sf))
 
 
+@query
+def destinations_from_pages(spark, sf):
+    """Listing pages written as JSON, read back, checked to be whole, and resolved."""
+    path = staging_path(spark, "destination-pages")
+    t.destination_pages(spark, sf).withColumn("next_page_token", F.lit("")).write.json(path)
+    pages = s.read_destination_pages(spark, path)
+    return dest.resolve_destination(s.scan_destinations(pages), DESTINATION)
+
+
+@query
+def cut_listings(spark, sf):
+    """Workspaces of odd number have a last page that names a further one."""
+    pages = t.destination_pages(spark, sf).withColumn(
+        "next_page_token", F.when(F.col(HOST).rlike("[13579]$"), F.lit("more")).otherwise("")
+    ).withColumn("page", F.dense_rank().over(Window.partitionBy(HOST).orderBy("page")).cast("long"))
+    return s.cut_listings(pages)
+
+
 @query
 def scan_destinations(spark, sf):
     return _destinations(spark, sf).drop("ordinal")
@@ -551,6 +621,25 @@ def bundle_files(spark, sf):
     return files.select("bundle", "path", F.col("pattern_pos").cast("long").alias("pattern_pos"))
 
 
+@query
+def missing_roots(spark, sf):
+    files = t.bundle_files(spark, sf)
+    return bs.missing_roots(files.filter(~F.col("bundle").endswith("1") | (F.col("path") != t.ROOT_FILE)), t.ROOT_FILE)
+
+
+@query
+def bundle_errors(spark, sf):
+    """Each hundredth part's file is broken off: its bundle fails, the others are patched."""
+    number = F.regexp_extract("path", "job_([0-9]+)", 1).try_cast("long")
+    broken = F.coalesce(number % 100 == 3, F.lit(False))
+    files = t.bundle_files(spark, sf).withColumn(
+        "content", F.when(broken, F.lit("resources: {jobs: [")).otherwise(F.col("content"))
+    )
+    run = runs.patch(files, TARGET, root_file=t.ROOT_FILE)
+    kept = run.stats.select("bundle", F.lit("").alias("path"), "jobs_seen")
+    return run.errors.select("bundle", "path", F.lit(-1).cast("long").alias("jobs_seen")).unionByName(kept)
+
+
 @query
 def bundle_docs(spark, sf):
     docs = bs.parse_documents(t.bundle_files(spark, sf))
@@ -630,6 +719,30 @@ def effective_notifications(spark, sf):
     )
 
 
+@query
+def effective_all_targets(spark, sf):
+    """All targets of a bundle: a second one, in a file of its own, with a job only it has."""
+    files = t.bundle_files(spark, sf)
+    dev = F.lit(
+        '{"targets": {"dev": {"resources": {"jobs": {"dev_only": {"webhook_notifications":'
+        ' {"on_failure": [{"id": "wh-3"}]}}}}}}}'
+    )
+    extra = files.filter(F.col("path") == t.ROOT_FILE).select(
+        "bundle", F.lit("resources/dev.yml").alias("path"), dev.alias("content")
+    )
+    docs = bs.parse_documents(bs.discover_files(files.unionByName(extra), t.ROOT_FILE))
+    nodes = bs.job_nodes(docs)
+    patched = b.patched_bundle_jobs(b.bundle_patch_plan(nodes, TARGET))
+    rows = b.effective_notifications(patched, b.override_nodes(nodes), bs.bundle_targets(docs))
+    return rows.select(
+        "bundle",
+        "job_key",
+        "target",
+        *[F.concat_ws(",", F.col("notifications")[e]["id"]).alias(e) for e in EVENT_FIELDS],
+        *[F.concat_ws(",", F.col("duplicate_ids")[e]).alias(f"dup_{e}") for e in DEFAULT_EVENTS],
+    )
+
+
 @query
 def patched_bundle_jobs(spark, sf):
     rows = b.patched_bundle_jobs(_patch_plan(spark, sf, owners=BUNDLE_OWNERS))

@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 from jobfleet.schemas import EVENT_FIELDS, HOST, JOBS, SETTINGS, WEBHOOK
 from jobfleet.staging import staging_path, write_staged
 
-HOSTS = [f"ws-{region}" for region in range(5)]
 ROOT_FILE = "bundle.yml"
 
 _staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
@@ -93,26 +92,23 @@ def _bundle_path(number: Column) -> Column:
 
 
 def _webhook_lists(lineitem: DataFrame) -> DataFrame:
-    # A list holds each (line number, id) pair once: at most 7 x 7 entries, however
-    # many line items an order has, and the sets are built up before the shuffle.
+    # Every line item is an entry. Equal ones are counted before they are collected, so
+    # that what travels is small, and written out again afterwards.
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    of_event = dict(
-        zip(
-            EVENT_FIELDS,
-            [flag == "A", flag == "N", (flag == "R") & (status == "O"), (flag == "R") & (status == "F")],
-        )
-    )
-    item = F.struct(F.col("l_linenumber"), (F.col("l_suppkey") % 7).alias("hook"))
-    grouped = lineitem.groupBy("l_orderkey").agg(
-        *[F.collect_set(F.when(test, item)).alias(event) for event, test in of_event.items()]
+    event = F.when(flag == "A", 0).when(flag == "N", 1).when(status == "O", 2).otherwise(3)
+    counted = lineitem.groupBy(
+        "l_orderkey", event.alias("event"), "l_linenumber", (F.col("l_suppkey") % 7).alias("hook")
+    ).agg(F.count("*").cast("int").alias("copies"))
+    item = F.struct("l_linenumber", "hook", "copies")
+    grouped = counted.groupBy("l_orderkey").agg(
+        *[F.collect_list(F.when(F.col("event") == i, item)).alias(e) for i, e in enumerate(EVENT_FIELDS)]
     )
 
     def webhooks(event: str) -> Column:
-        ids = F.transform(
-            F.array_sort(event),
-            lambda i: F.struct(F.concat(F.lit("wh-"), i["hook"]).alias("id")),
-        )
-        return F.when(F.size(event) > 0, ids).alias(event)
+        def written_out(i: Column) -> Column:
+            return F.array_repeat(F.struct(F.concat(F.lit("wh-"), i["hook"]).alias("id")), i["copies"])
+
+        return F.when(F.size(event) > 0, F.flatten(F.transform(F.array_sort(event), written_out))).alias(event)
 
     return grouped.select(
         "l_orderkey", F.struct(*[webhooks(event) for event in EVENT_FIELDS]).alias("webhook_notifications")
@@ -124,11 +120,24 @@ def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(F.concat(F.lit("ws-"), F.col("r_regionkey")).alias(HOST))
 
 
+def hosts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The workspace list a user would give: one name per region."""
+    return [row[HOST] for row in workspaces(spark, sf_dir).orderBy(HOST).collect()]
+
+
 def update_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("job_id") % 29 != 0
     return jobs(spark, sf_dir).select(HOST, "job_id", ok.alias("ok"))
 
 
+def retried_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in which each sixth job was sent twice: it failed, then went through."""
+    again = F.col("job_id") % 6 == 0
+    once = update_results(spark, sf_dir)
+    failed = once.filter(again).withColumn("ok", F.lit(False))
+    return failed.unionByName(once.withColumn("ok", again | F.col("ok")))
+
+
 def destination_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as destinations: listing pages of five keys per workspace."""
     suppliers = read(spark, sf_dir, "supplier").join(
@@ -170,7 +179,10 @@ def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = F.to_json(F.struct(plain.alias("config")))
     variant = k % 8
     content = (
-        F.when(variant == 6, F.concat(wrapped, F.lit(" trailing text")))
+        F.when(
+            variant == 6,
+            F.concat(wrapped, F.element_at(F.array(F.lit(" trailing text"), F.lit("]"), F.lit("}")), (k % 3 + 1).cast("int"))),
+        )
         .when(variant == 5, F.to_json(plain))
         .when(variant == 4, F.to_json(F.struct(cased.alias("config"))))
         .when(
@@ -189,6 +201,22 @@ def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.filter(variant != 7).select(_bundle_path(k).alias("path"), content.alias("content"))
 
 
+def write_files(documents: DataFrame, folder: str, below: str) -> None:
+    """Write ``(path, content)`` rows as files under ``folder``, by their paths below ``below``."""
+    root = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        for row in rows:
+            system, path = fs.FileSystem.from_uri(f"{root}/{row.path.removeprefix(below)}")
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(row.content.encode())
+
+    documents.select("path", "content").foreachPartition(write)
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobfleet.sources.snapshots import bundle_metadata
 
@@ -198,6 +226,14 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_id_file(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the id file, written once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "id-file")
+    if key not in _staged:
+        _staged[key] = _write_job_id_file(spark, sf_dir), StructType()
+    return _staged[key][0]
+
+
+def _write_job_id_file(spark: SparkSession, sf_dir: str) -> str:
     """An id file of all order keys: byte-order mark, header, padding, extra columns,
     blank rows, and every seventh key a second time at the end."""
     key = F.col("o_orderkey")

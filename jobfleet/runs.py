@@ -1,11 +1,14 @@
 """Whole runs over many workspaces at once: inventory, attach, detach, patch, create.
 
-Each function takes tables, plans the run and returns its tables lazily. Files
-and tables are written only where a path is given.
+Each function takes tables, plans the run and returns its tables. These are
+lazy, but caps, destination lookups, id lists and bundle discovery run small
+jobs at call time. Files and tables are written only where a path is given. A
+run has one time, taken when it is called.
 """
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +26,13 @@ from jobfleet.plans.inventory import inventory_rows
 from jobfleet.schemas import DEFAULT_EVENTS, HOST
 from jobfleet.sources.bundles import (
     discover_files,
+    document_errors,
     job_nodes,
-    parse_documents,
+    read_documents,
     require_roots,
 )
 from jobfleet.sources.job_ids import load_job_ids, merge_job_ids
+from jobfleet.staging import stage
 
 
 @dataclass
@@ -49,6 +54,16 @@ class Run:
         return reports.run_failed(self.stats)
 
 
+@dataclass
+class PatchRun(Run):
+    errors: DataFrame
+
+    @property
+    def failed(self) -> bool:
+        """Whether a bundle was left out because one of its files cannot be read."""
+        return not self.errors.isEmpty()
+
+
 @dataclass
 class DetachRun(Run):
     bundle_report: DataFrame | None
@@ -67,23 +82,30 @@ def inventory(
     scanned_at: Column | None = None,
     output: str = "",
     table: str = "",
+    workspaces: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    session_view: bool = False,
 ) -> Inventory:
     """Inventory of the matching jobs; give ``metadata`` to enrich bundle jobs.
 
     ``output`` is a CSV path, ``table`` the path of the inventory table, of
-    which the scanned workspaces are replaced.
+    which the scanned workspaces are replaced. ``workspaces`` are summed up even
+    where nothing matched. ``session_view`` offers the rows as a view, unless
+    ``failures`` lists workspaces that could not be scanned.
     """
     matched = matched_jobs(
         jobs, tag=tag, owners=owner, name_filter=name_filter, scan_limit=scan_limit
     )
-    when = F.current_timestamp() if scanned_at is None else scanned_at
+    when = _now() if scanned_at is None else scanned_at
     rows = inventory_rows(matched, when, metadata)
     if table:
         sinks.overwrite_inventory(rows, table)
     sinks.write_inventory_csv(rows, output)
+    if session_view:
+        sinks.create_session_view(rows, failures)
     return Inventory(
         rows,
-        reports.inventory_summary(matched),
+        _filled(reports.inventory_summary(matched), workspaces),
         reports.top_creators(matched, top_n),
         reports.top_bundles(enrich_bundles(matched, metadata), top_n),
     )
@@ -110,11 +132,13 @@ def _explicit_ids(
     return merge_job_ids(spark, job_id, from_file)
 
 
-def _check_scope(ids: DataFrame | None, hosts: Sequence[str], scope: dict) -> None:
-    if ids is not None and not hosts:
-        raise ValueError("explicit job ids need the list of workspaces to look in")
-    if ids is not None and (scope["tag"] or scope["owners"]):
-        raise ValueError("tag and owner filter a walk; they do not combine with job ids")
+def _now() -> Column:
+    return F.lit(datetime.now(timezone.utc))
+
+
+def _filled(stats: DataFrame, workspaces: DataFrame | None) -> DataFrame:
+    """Counters of the named workspaces too where no row was met."""
+    return stats if workspaces is None else reports.every_workspace(stats, workspaces)
 
 
 def attach(
@@ -131,17 +155,18 @@ def attach(
     scan_limit: int | None = None,
     limit: int | None = None,
     results: DataFrame | None = None,
+    workspaces: DataFrame | None = None,
 ) -> Run:
     """Attach a destination to explicit jobs of ``hosts``, or else to all matching jobs.
 
     ``results`` says which updates went through; without it the run is dry.
+    ``workspaces`` names those that get counters even where nothing matched.
     """
     scope = {"tag": tag, "owners": owner}
     ids = _explicit_ids(jobs.sparkSession, job_id, job_ids_from)
-    _check_scope(ids, hosts, scope)
     if ids is not None:
         plan = attaching.attach_by_id(
-            jobs, ids, hosts, webhook_id, events=events, limit=limit, results=results
+            jobs, ids, hosts, webhook_id, events=events, limit=limit, results=results, **scope
         )
     else:
         plan = attaching.attach_walk(
@@ -154,7 +179,7 @@ def attach(
             results=results,
             **scope,
         )
-    return Run(plan, reports.attach_run_stats(plan))
+    return Run(plan, _filled(reports.attach_run_stats(plan), workspaces))
 
 
 def detach(
@@ -175,6 +200,7 @@ def detach(
     deleted_at: Column | None = None,
     bundle_report: str = "",
     removal_log: str = "",
+    workspaces: DataFrame | None = None,
 ) -> DetachRun:
     """Detach a destination; explicit jobs without an id lose every webhook.
 
@@ -183,9 +209,8 @@ def detach(
     """
     scope = {"tag": tag, "owners": owner}
     ids = _explicit_ids(jobs.sparkSession, job_id, job_ids_from)
-    _check_scope(ids, hosts, scope)
     if ids is not None:
-        plan = detaching.detach_by_id(jobs, ids, hosts, webhook_id, results=results)
+        plan = detaching.detach_by_id(jobs, ids, hosts, webhook_id, results=results, **scope)
         report = None
     else:
         plan = detaching.detach_walk(
@@ -202,11 +227,11 @@ def detach(
         sinks.write_bundle_report_csv(report, bundle_report)
     removals = None
     if results is not None:
-        when = F.current_timestamp() if deleted_at is None else deleted_at
+        when = _now() if deleted_at is None else deleted_at
         removals = detaching.removal_records(plan, metadata, when)
         if removal_log:
             sinks.append_removal_log(removals, removal_log)
-    return DetachRun(plan, reports.detach_run_stats(plan), report, removals)
+    return DetachRun(plan, _filled(reports.detach_run_stats(plan), workspaces), report, removals)
 
 
 def create_destination(
@@ -215,7 +240,7 @@ def create_destination(
     """Which workspaces have the destination and which would get it."""
     status = workspaces.sparkSession.range(1).select(url_status(F.lit(url))).first()[0]
     if status == "invalid":
-        raise ValueError(f"url must be an http or https address, got {url!r}")
+        raise ValueError(f"{url!r} is not a web address to send notifications to")
     resolved = dest.resolve_destination(destinations, name)
     plan = dest.create_destination_plan(workspaces, resolved, name=name, url=url, apply=apply)
     return plan.withColumn("unencrypted", F.lit(status == "insecure"))
@@ -230,17 +255,22 @@ def patch(
     job: Sequence[str] = (),
     tag: str | None = None,
     owner: Sequence[str] | None = None,
-) -> Run:
+) -> PatchRun:
     """Patch plan of all bundles whose files are given; statistics are per bundle.
 
-    A bundle without a root file is an error.
+    A bundle without a root file is an error of the run. A file that cannot be
+    read fails its own bundle only: that bundle has no plan, and ``errors``
+    names the file and what is wrong with it.
     """
     require_roots(files, root_file)
-    nodes = job_nodes(parse_documents(discover_files(files, root_file)))
+    read = stage(read_documents(discover_files(files, root_file)), "bundle-documents")
+    errors = document_errors(read)
+    whole = read.join(stage(errors.select("bundle").distinct(), "broken-bundles"), "bundle", "left_anti")
+    nodes = job_nodes(whole.filter("doc IS NOT NULL"))
     plan = ops.bundle_patch_plan(
         nodes, webhook_id, events=events, names=job, tag=tag, owners=owner
     )
-    return Run(plan, ops.bundle_patch_stats(plan))
+    return PatchRun(plan, ops.bundle_patch_stats(plan, whole.select("bundle").distinct()), errors)
 
 
 def workspaces_of(jobs: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ JOBS = _struct(
     settings=SETTINGS,
 )
 
+# The columns that a bundle's metadata adds to an inventory.
 METADATA_FIELDS = (
     "bundle_name",
     "target",
@@ -127,9 +128,9 @@ REMOVAL_LOG = _struct(
 
 def parse_events(events: str | list[str] | tuple[str, ...]) -> list[str]:
     """Target events from a comma-separated string or a list; unknown names fail."""
-    parts = events.split(",") if isinstance(events, str) else list(events)
-    names = [part.strip() for part in parts if part.strip()]
-    unknown = [name for name in names if name not in EVENT_FIELDS]
-    if unknown:
-        raise ValueError(f"unknown events {unknown}; valid events are {list(EVENT_FIELDS)}")
-    return names
+    text = events if isinstance(events, str) else ",".join(events)
+    asked = dict.fromkeys(map(str.strip, text.split(",")))
+    asked.pop("", None)
+    if strange := sorted(asked.keys() - set(EVENT_FIELDS)):
+        raise ValueError(f"{', '.join(strange)}: not a notification event; choose from {', '.join(EVENT_FIELDS)}")
+    return list(asked)

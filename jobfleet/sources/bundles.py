@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobfleet.functions.paths import path_below
 from jobfleet.functions.variants import strict_json, text_at, value_at
 from jobfleet.schemas import EVENT_FIELDS
 from jobfleet.staging import stage
@@ -42,10 +43,7 @@ def read_bundle_files(
         .option("pathGlobFilter", files)
         .text(root, wholetext=True)
     )
-    # File paths are URIs: decode them, then cut everything up to the folder.
-    location = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-    folder = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
-    inside = F.regexp_replace(location, "^.*?" + re.escape(folder), "")
+    inside = path_below(root)
     if bundle is not None:
         name, path = F.lit(bundle), inside
     else:
@@ -76,9 +74,9 @@ def glob_regex(glob: Column) -> Column:
 
 
 def yaml_to_json():
-    """A vectorized function from YAML text to JSON text.
+    """A vectorized function from YAML text to JSON text, or to what is wrong with it.
 
-    A null document gives null, a malformed one fails the job. The helpers are
+    A null document gives nulls. The helpers are
     local so that executors need nothing but PyYAML. Declared nondeterministic,
     or the optimizer would copy the call into every filter on its result.
     """
@@ -109,43 +107,60 @@ def yaml_to_json():
         Loader.add_constructor("tag:yaml.org,2002:int", whole_number)
         return Loader
 
-    def convert(path: pd.Series, content: pd.Series) -> pd.Series:
+    def convert(content: pd.Series) -> pd.DataFrame:
         if content.isna().all():
-            return pd.Series([None] * len(content), dtype=object)
+            return pd.DataFrame({"json": [None] * len(content), "error": None}, dtype=object)
         try:
             import yaml
         except ImportError as error:
             raise ImportError("bundle files that are not JSON need PyYAML") from error
         loader = make_loader(yaml)
-        texts = []
-        for name, text in zip(path, content):
-            if text is None:
-                texts.append(None)
-                continue
+        rows = []
+        for text in content:
+            document, problem = None, None
             try:
-                document = plain(yaml.load(text, loader))
-            except yaml.YAMLError as error:
-                raise ValueError(f"cannot read {name}: {error}") from error
-            texts.append(None if document is None else json.dumps(document))
-        return pd.Series(texts, dtype=object)
+                document = None if text is None else plain(yaml.load(text, loader))
+            except (yaml.YAMLError, ValueError, RecursionError) as error:
+                problem = str(error) or type(error).__name__
+            rows.append((None if document is None else json.dumps(document), problem))
+        return pd.DataFrame(rows, columns=["json", "error"], dtype=object)
 
-    return F.pandas_udf(convert, "string").asNondeterministic()
+    return F.pandas_udf(convert, "json string, error string").asNondeterministic()
 
 
-def parse_documents(files: DataFrame) -> DataFrame:
-    """``(bundle, path, doc)`` with the document as a variant; empty documents are left out.
+def read_documents(files: DataFrame) -> DataFrame:
+    """``(bundle, path, doc, error)``: each file's document as a variant, or why there is none.
 
-    JSON text is read in the JVM. Only other text goes through the YAML parser.
+    An empty file has neither. JSON text is read in the JVM. Only other text
+    goes through the YAML parser.
     """
     as_json = files.withColumn("json_doc", strict_json(F.col("content")))
     as_yaml = F.when(F.col("json_doc").isNull(), F.col("content"))
-    converted = as_json.withColumn("yaml_json", yaml_to_json()(F.col("path"), as_yaml))
+    converted = as_json.withColumn("converted", yaml_to_json()(as_yaml))
     has_document = F.coalesce(
-        F.schema_of_variant("json_doc") != "VOID", F.col("yaml_json").isNotNull()
+        F.schema_of_variant("json_doc") != "VOID", F.col("converted.json").isNotNull()
     )
-    doc = F.coalesce(F.col("json_doc"), F.parse_json(F.col("yaml_json")))
+    doc = F.coalesce(F.col("json_doc"), F.parse_json(F.col("converted.json")))
     kept = [c for c in files.columns if c != "content"]
-    return converted.filter(has_document).select(*kept, doc.alias("doc"))
+    return converted.select(
+        *kept, F.when(has_document, doc).alias("doc"), F.col("converted.error").alias("error")
+    )
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """The documents there are; what cannot be read is left to ``document_errors``."""
+    return read_documents(files).filter("doc IS NOT NULL").drop("error")
+
+
+def document_errors(read: DataFrame) -> DataFrame:
+    """``(bundle, path, error)`` of the files that cannot be read."""
+    return read.filter("error IS NOT NULL").select("bundle", "path", "error")
+
+
+def bundle_targets(docs: DataFrame) -> DataFrame:
+    """``(bundle, target)`` of every target a bundle's documents name."""
+    named = F.map_keys(value_at(F.col("doc"), "$.targets", "map<string,variant>"))
+    return docs.select("bundle", F.explode(named).alias("target")).distinct()
 
 
 def discover_files(files: DataFrame, root_file: str) -> DataFrame:
@@ -180,13 +195,19 @@ class MissingRoots(ValueError):
     """Some bundles have no root file."""
 
 
+def missing_roots(files: DataFrame, root_file: str) -> DataFrame:
+    """All bundles without a root file."""
+    has_root = F.bool_or(F.col("path") == root_file)
+    return files.groupBy("bundle").agg(has_root.alias("has_root")).filter("NOT has_root").select("bundle")
+
+
 def require_roots(files: DataFrame, root_file: str) -> None:
     """Abort before planning when any bundle lacks its root file."""
-    has_root = F.bool_or(F.col("path") == root_file)
-    missing = files.groupBy("bundle").agg(has_root.alias("has_root")).filter("NOT has_root")
-    sample = [row["bundle"] for row in missing.orderBy("bundle").limit(20).collect()]
-    if sample:
-        raise MissingRoots(f"no {root_file} in bundles {sample}")
+    missing = missing_roots(files, root_file)
+    count = missing.count()
+    if count:
+        some = [row["bundle"] for row in missing.orderBy("bundle").limit(20).collect()]
+        raise MissingRoots(f"{count} bundle(s) lack {root_file}, such as {some}")
 
 
 def file_order() -> list[Column]:

@@ -16,8 +16,13 @@ class BadJobIds(ValueError):
     """An id file has a bad cell or no ids at all."""
 
 
-def read_first_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(pos, cell)`` of a text or CSV file: trimmed first cells, blank ones left out.
+def read_first_column(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
+    """``(pos, cell, file)`` of text or CSV files: trimmed first cells, blank ones left out.
+
+    With ``multi_line`` quoted cells may hold line breaks, as in an inventory
+    CSV; each file is then read by one task.
 
     ``pos`` counts lines in file order. Each input split numbers its own lines;
     the counts of the few splits then give every split its offset.
@@ -25,7 +30,7 @@ def read_first_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     schema = "cell string"
     cell = F.regexp_replace("cell", EDGES, "")
     lines = stage(
-        spark.read.schema(schema).csv(path, header=False, escape='"').select(
+        spark.read.schema(schema).csv(path, header=False, escape='"', multiLine=multi_line).select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
             F.monotonically_increasing_id().alias("line"),
@@ -46,41 +51,31 @@ def read_first_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     numbered = lines.join(offsets, ["file", "start"]).withColumn(
         "pos", F.col("line") - F.col("first") + F.col("offset")
     )
-    return numbered.filter(F.col("cell") != "").select("pos", "cell")
+    return numbered.filter(F.col("cell") != "").select("pos", "cell", "file")
 
 
-def load_job_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(job_id, pos)`` from the first column of a file.
+def load_job_ids(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
+    """``(job_id, pos)`` from the first column of one or more files.
 
-    The first non-blank row may be a header. Any other non-integer cell, and a
-    file without ids, is an error.
+    The first non-blank row of a file may be a header, so an exported inventory,
+    a folder of CSV parts, can be given. Any other cell that is no integer, and
+    files without ids, are errors.
     """
-    cells = read_first_column(spark, path)
-    parsed = cells.withColumn(
-        "job_id",
-        F.when(
-            F.col("cell").rlike(INTEGER),
-            F.regexp_replace("cell", "_", "").try_cast("bigint"),
-        ),
-    )
-    is_bad = F.col("job_id").isNull()
-    check = parsed.agg(
-        F.min("pos").alias("first_row"),
-        F.count("job_id").alias("ids"),
-        F.count_if(is_bad).alias("bad"),
-        F.min(F.when(is_bad, F.col("pos"))).alias("first_bad"),
-    ).first()
-    header = check["bad"] > 0 and check["first_bad"] == check["first_row"]
-    if check["bad"] > (1 if header else 0):
-        row = (
-            parsed.filter(is_bad & (F.col("pos") > (check["first_row"] if header else -1)))
-            .orderBy("pos")
-            .first()
-        )
-        raise BadJobIds(f"bad job id in {path}: {row['cell']!r}")
-    if check["ids"] == 0:
-        raise BadJobIds(f"no job ids found in {path}")
-    return parsed.filter(~is_bad).select("job_id", "pos")
+    cells = read_first_column(spark, path, multi_line)
+    number = F.regexp_replace("cell", "_", "").try_cast("bigint")
+    parsed = cells.withColumn("job_id", F.when(F.col("cell").rlike(INTEGER), number))
+    # One row per file: where it starts, and its first bad cell after that.
+    bad = F.when(F.col("job_id").isNull(), F.struct("pos", "cell"))
+    starts = parsed.groupBy("file").agg(F.min("pos").alias("first"), F.count("job_id").alias("ids"))
+    later = parsed.join(starts, "file").filter(F.col("pos") > F.col("first")).select(bad.alias("bad"))
+    wrong = later.agg(F.min("bad").alias("bad")).first()["bad"]
+    if wrong is not None:
+        raise BadJobIds(f"{path} has a cell that is no whole number: {wrong['cell']!r}")
+    if not starts.agg(F.sum("ids")).first()[0]:
+        raise BadJobIds(f"{path} lists nothing")
+    return parsed.filter(F.col("job_id").isNotNull()).select("job_id", "pos")
 
 
 def merge_job_ids(

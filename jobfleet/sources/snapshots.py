@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobfleet.functions.paths import path_below
 from jobfleet.functions.variants import is_object, strict_json, value_at
 from jobfleet.schemas import (
     DESTINATION_PAGES,
@@ -27,6 +28,8 @@ def scan_destinations(pages: DataFrame) -> DataFrame:
     """All listed destinations in list order; a page may have null results.
 
     ``ordinal`` is the page number and the place on the page in one integer.
+    A listing is whole when its last page names no further one; ``cut_listings``
+    has the workspaces where that is not so.
     """
     listed = pages.select(HOST, "page", F.posexplode("results").alias("place", "result"))
     ordinal = F.shiftleft(F.col("page"), 32) + F.col("place")
@@ -35,10 +38,38 @@ def scan_destinations(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_metadata_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, content)`` of bundle metadata files, one row per file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def read_metadata_documents(spark: SparkSession, root: str, workspace_root: str = "/Workspace") -> DataFrame:
+    """``(path, content)`` of the metadata files below an export folder, one row per file.
+
+    ``path`` is what a job's deployment names: the export folder's place is
+    taken by ``workspace_root``.
+    """
+    whole = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    path = F.concat(F.lit(workspace_root.rstrip("/") + "/"), path_below(root))
+    return whole.select(path.alias("path"), F.col("value").alias("content"))
+
+
+def cut_listings(pages: DataFrame) -> DataFrame:
+    """Workspaces whose listing breaks off: the last page names a next one, or a page is missing."""
+    token = F.nullif("next_page_token", F.lit(""))
+    last = pages.groupBy(HOST).agg(
+        F.max_by(F.struct(token.alias("token")), "page").alias("last"),
+        (F.max("page") - F.min("page") + 1).alias("span"),
+        F.count_distinct("page").alias("pages"),
+    )
+    return last.filter(F.col("last.token").isNotNull() | (F.col("span") != F.col("pages"))).select(HOST)
+
+
+class CutListings(ValueError):
+    """Some workspaces' destination listings are not whole."""
+
+
+def require_whole_listings(pages: DataFrame) -> None:
+    cut = cut_listings(pages)
+    count = cut.count()
+    if count:
+        some = [row[HOST] for row in cut.orderBy(HOST).limit(20).collect()]
+        raise CutListings(f"{count} destination listing(s) break off, such as those of {some}")
 
 
 def _first(document: Column, *paths: str) -> Column:

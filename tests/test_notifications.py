@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import loops
+import expected as ex
 from conftest import block, fleet, job, random_jobs
 from jobfleet.functions import notifications as n
 from jobfleet.schemas import DEFAULT_EVENTS, EVENT_FIELDS
@@ -32,11 +32,11 @@ def test_attach_lists(spark, rows, webhook_id, events):
     )
     found = {r.job_id: r for r in frame.collect()}
     for row in rows:
-        model = loops.Job(row)
-        new = loops.attach(model, webhook_id, events)
-        assert found[model.job_id].attached == (new is None)
-        if new is not None:
-            assert lists(found[model.job_id].new) == new
+        before = ex.fact(row)
+        got = found[before.job_id]
+        assert got.attached == ex.attached(before, webhook_id, events)
+        if not got.attached:
+            assert lists(got.new) == ex.lists_with(before, webhook_id, events)
 
 
 @pytest.mark.parametrize("webhook_id", ["x", "absent", "", None])
@@ -53,18 +53,16 @@ def test_detach_lists(spark, rows, webhook_id, as_column):
     )
     found = {r.job_id: r for r in frame.collect()}
     for row in rows:
-        model = loops.Job(row)
-        new, count, ids, events = loops.detach(model, webhook_id)
-        got = found[model.job_id]
-        assert (lists(got.new), got["count"], got.ids, got.events) == (new, count, ids, events)
+        gone = ex.removal(ex.fact(row), webhook_id)
+        got = found[row[2]]
+        assert (lists(got.new), got["count"], got.ids, got.events) == (gone.lists, gone.count, gone.ids, gone.events)
 
 
 def test_attached_to_any(spark, rows):
     frame = fleet(spark, rows).select("job_id", n.attached_to_any(current(), "y").alias("attached"))
     found = {r.job_id: r.attached for r in frame.collect()}
     for row in rows:
-        model = loops.Job(row)
-        assert found[model.job_id] == any("y" in ids for ids in (model.lists or {}).values())
+        assert found[row[2]] == any("y" in ids for ids in (ex.fact(row).lists or {}).values())
 
 
 def test_no_target_events_count_as_attached_only_with_a_block(spark):

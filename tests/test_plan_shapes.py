@@ -99,10 +99,3 @@ def test_python_runs_only_to_read_yaml(spark):
         assert "Python" not in physical(registry.queries()[name](spark, SF_DIR)), name
     docs = bundles.parse_documents(tables.bundle_files(spark, SF_DIR))
     assert physical(bundles.job_nodes(docs)).count("ArrowEvalPython") == 1
-
-
-def test_no_cross_joins(spark):
-    for name, query in registry.queries().items():
-        if name in ("attach_by_id", "attach_by_name", "effective_notifications", "bundle_files", "cohort_rollback"):
-            plan = physical(query(spark, SF_DIR))
-            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

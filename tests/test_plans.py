@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import loops
+import expected as ex
 from conftest import block, fleet, job, random_jobs
 from jobfleet.operators import caps
 from jobfleet.operators import destinations as dest
@@ -62,8 +62,8 @@ def test_attach_walk(spark, rows, jobs, results, scope, applied):
     stats = {s.workspace_host: s for s in r.attach_run_stats(plan).collect()}
     found = outcomes(plan)
     for host in HOSTS:
-        expected, scanned, matched = loops.run(
-            rows, host, lambda j: loops.attach(j, "x", DEFAULT_EVENTS) is not None, attaching=True,
+        expected, scanned, matched = ex.run(
+            rows, host, lambda j: not ex.attached(j, "x", DEFAULT_EVENTS), attaching=True,
             applied=applied, fails=fails(rows), **scope,
         )
         assert {k[1]: v for k, v in found.items() if k[0] == host} == expected
@@ -85,8 +85,8 @@ def test_detach_walk(spark, rows, jobs, results, policy, scope, applied):
     stats = {s.workspace_host: s for s in r.detach_run_stats(plan).collect()}
     found = outcomes(plan)
     for host in HOSTS:
-        expected, scanned, matched = loops.run(
-            rows, host, lambda j: loops.detach(j, "x")[1] > 0, attaching=False, policy=policy,
+        expected, scanned, matched = ex.run(
+            rows, host, lambda j: ex.removal(j, "x").count, attaching=False, policy=policy,
             applied=applied, fails=fails(rows), **scope,
         )
         assert {k[1]: v for k, v in found.items() if k[0] == host} == expected
@@ -104,13 +104,13 @@ def test_capped_runs_agree_however_the_stop_is_found(jobs, monkeypatch):
 
 def test_detach_details(rows, jobs):
     plan = detach_walk(jobs, "x", bundle_jobs="include").filter("outcome = 'would_update'").collect()
-    models = {row[2]: loops.Job(row) for row in rows}
+    facts = {row[2]: ex.fact(row) for row in rows}
     assert plan
     for p in plan:
-        new, count, ids, events = loops.detach(models[p.job_id], "x")
-        assert lists(p.new_notifications) == new
-        assert (p.removed_count, p.webhook_ids_removed, p.events_affected) == (count, ids, events)
-        assert p.bundle_warning == models[p.job_id].is_bundle
+        gone = ex.removal(facts[p.job_id], "x")
+        assert lists(p.new_notifications) == gone.lists
+        assert (p.removed_count, p.webhook_ids_removed, p.events_affected) == (gone.count, gone.ids, gone.events)
+        assert p.bundle_warning == facts[p.job_id].is_bundle
 
 
 def ids_frame(spark, ids):
@@ -124,23 +124,17 @@ def test_attach_by_id(spark, rows, jobs, results, limit):
     found = outcomes(plan)
     all_stats = {s.workspace_host: s for s in r.attach_run_stats(plan).collect()}
     for host in HOSTS:
-        models = {j.job_id: j for j in loops.listing(rows, host)}
-        expected, changed = {}, 0
-        for job_id in ids:
-            j = models.get(job_id)
-            if j is None:
-                expected[job_id] = "lookup_failed"
-            elif j.is_bundle:
-                expected[job_id] = "bundle_skipped"
-            elif loops.attach(j, "x", DEFAULT_EVENTS) is None:
-                expected[job_id] = "already_attached"
-            elif job_id in fails(rows):
-                expected[job_id] = "errored"
-            else:
-                expected[job_id] = "updated"
-                changed += 1
-            if limit is not None and changed >= limit:
-                break
+        known = {f.job_id: f for f in ex.listed(rows, host)}
+        rules = [
+            ("lookup_failed", lambda i: i not in known),
+            ("bundle_skipped", lambda i: known[i].is_bundle),
+            ("already_attached", lambda i: ex.attached(known[i], "x", DEFAULT_EVENTS)),
+            ("errored", lambda i: i in fails(rows)),
+            ("updated", lambda i: True),
+        ]
+        full = {i: next(name for name, holds in rules if holds(i)) for i in ids}
+        last = [k for k in range(len(ids)) if limit is not None and list(full.values())[: k + 1].count("updated") >= limit]
+        expected = dict(list(full.items())[: last[0] + 1 if last else None])
         assert {k[1]: v for k, v in found.items() if k[0] == host} == expected
         stats = all_stats[host]
         values = list(expected.values())
@@ -154,18 +148,17 @@ def test_detach_by_id(spark, rows, jobs, webhook_id):
     plan = detach_by_id(jobs, ids_frame(spark, ids), HOSTS, webhook_id)
     found = {(p.workspace_host, p.job_id): p for p in plan.collect()}
     for host in HOSTS:
-        models = {j.job_id: j for j in loops.listing(rows, host)}
+        known = {f.job_id: f for f in ex.listed(rows, host)}
         for job_id in ids:
             got = found[host, job_id]
-            j = models.get(job_id)
-            if j is None:
+            if job_id not in known:
                 assert got.outcome == "lookup_failed"
                 continue
-            new, count, gone, events = loops.detach(j, webhook_id)
-            assert got.outcome == ("would_update" if count else "nothing_to_remove")
-            assert got.bundle_warning == j.is_bundle
-            if count:
-                assert (lists(got.new_notifications), got.webhook_ids_removed) == (new, gone)
+            gone = ex.removal(known[job_id], webhook_id)
+            assert got.outcome == ("would_update" if gone.count else "nothing_to_remove")
+            assert got.bundle_warning == known[job_id].is_bundle
+            if gone.count:
+                assert (lists(got.new_notifications), got.webhook_ids_removed) == (gone.lists, gone.ids)
 
 
 def snapshot_lists(snapshot):
@@ -260,7 +253,7 @@ def test_inventory_rows_have_no_nulls_and_direct_rows_no_path(spark, rows, jobs)
     metadata = spark.createDataFrame(META, METADATA)
     found = {x.job_id: x for x in inventory_rows(matched_jobs(jobs), F.lit("2024-01-01"), metadata).collect()}
     for row in rows:
-        model, got = loops.Job(row), found[row[2]]
+        model, got = ex.fact(row), found[row[2]]
         assert None not in tuple(got)
         assert got.name == (model.name or "<unnamed>") and got.creator == (model.creator or "")
         assert got.deployment_kind == ("BUNDLE" if model.is_bundle else "DIRECT")
@@ -325,3 +318,21 @@ def test_ids_are_merged_in_order_of_first_mention(spark):
     assert [x.job_id for x in merged] == [9, 2, 7, 5]
     assert len({x.pos for x in merged}) == 4
     assert merge_job_ids(spark, [4]).collect()[0].job_id == 4
+
+
+def test_one_success_among_repeated_results_is_enough(spark, jobs):
+    planned = attach_walk(jobs, "x").filter("outcome = 'would_update'").limit(2).collect()
+    first, second = ((p.workspace_host, p.job_id) for p in planned)
+    rows = [(*first, False), (*first, True), (*first, False), (*second, False), (*second, None)]
+    plan = attach_walk(jobs, "x", results=spark.createDataFrame(rows, UPDATE_RESULTS), keep_all=True)
+    assert plan.count() == jobs.count()
+    found = outcomes(plan)
+    assert (found[first], found[second]) == ("updated", "errored")
+    twice = changes(plan).unionAll(changes(plan))
+    assert apply_changes(jobs, twice).count() == jobs.count()
+
+
+def test_a_path_listed_twice_leaves_one_row_per_job(spark, jobs):
+    metadata = spark.createDataFrame(META + META, METADATA)
+    rows = inventory_rows(matched_jobs(jobs), F.lit("2024-01-01"), metadata)
+    assert rows.count() == matched_jobs(jobs).count()

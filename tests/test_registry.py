@@ -26,6 +26,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", registry.queries())
 def test_query_equals_sql(spark, con, name):
     frame = entry_point.queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert difference(frame, con, entry_point.oracle_sql()[name]) is None
 
 

@@ -86,7 +86,7 @@ def test_create_destination_run(spark, destinations):
     assert {(r.workspace_host, r.action, r.unencrypted) for r in plan.collect()} == {
         ("a", "exists", True), ("c", "would_create", True),
     }
-    with pytest.raises(ValueError, match="http"):
+    with pytest.raises(ValueError, match="web address"):
         runs.create_destination(hosts, destinations, name="hook", url="ftp://h")
 
 
@@ -105,3 +105,14 @@ def test_patch_run_over_files(spark):
     stats = {r.bundle: r.asDict() for r in run.stats.collect()}
     assert (stats["one"]["jobs_seen"], stats["one"]["jobs_patched"], stats["one"]["overrides_skipped"]) == (2, 1, 1)
     assert (stats["two"]["files_changed"], stats["two"]["jobs_seen"]) == (1, 1)
+
+
+def test_a_run_has_one_time_and_counts_every_named_workspace(spark, tmp_path):
+    jobs = fleet(spark, [job(1, hooks=block(on_failure=["x"]))])
+    hosts = spark.createDataFrame([("h1",), ("h9",)], "workspace_host string")
+    made = runs.inventory(jobs, table=str(tmp_path / "t"), workspaces=hosts, session_view=True)
+    written = spark.read.parquet(str(tmp_path / "t")).first().scanned_at
+    assert made.rows.first().scanned_at == written == spark.table("jobs_inventory_session").first().scanned_at
+    assert {(x.workspace_host, x.total) for x in made.summary.collect()} == {("h1", 1), ("h9", 0)}
+    run = runs.attach(jobs, "x", name_filter="none such", workspaces=hosts)
+    assert {(x.workspace_host, x.scanned, x.errored) for x in run.stats.collect()} == {("h1", 0, 0), ("h9", 0, 0)}

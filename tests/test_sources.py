@@ -30,8 +30,8 @@ def test_id_file_without_header(spark, tmp_path):
 @pytest.mark.parametrize(
     "text, message",
     [
-        ("1\nabc\n2\n", "abc"), ("job_id\nother\n1\n", "other"), ("1\n2.5\n", "2.5"), ("header\n", "no job ids"),
-        ("", "no job ids"), ("\n \n", "no job ids"), ("1\n99999999999999999999\n", "99999999999999999999"),
+        ("1\nabc\n2\n", "abc"), ("job_id\nother\n1\n", "other"), ("1\n2.5\n", "2.5"), ("header\n", "lists nothing"),
+        ("", "lists nothing"), ("\n \n", "lists nothing"), ("1\n99999999999999999999\n", "99999999999999999999"),
     ],
 )
 def test_bad_id_files(spark, tmp_path, text, message):
@@ -103,6 +103,10 @@ DOCUMENTS = {
     "scalar": ('"text"', NONE),
     "truncated": ('{"config": {"bundle": {"name": "b"', NONE),
     "trailing": ('{"config": {"bundle": {"name": "b"}}} x', NONE),
+    "bracket": ('{"bundle": {"name": "b"}}]', NONE),
+    "brace": ('{"bundle": {"name": "b"}}}', NONE),
+    "closed-early": ('{"bundle": {"name": "b"}} ] rest', NONE),
+    "second-member": ('{"bundle": {"name": "b"}}, "more": {}', NONE),
     "empty": ("", NONE),
 }
 
@@ -162,3 +166,26 @@ def test_discovery_order_and_dedup(spark, bundle_tree):
     assert [x.path for x in found if x.bundle == "two"] == ["bundle.yml"]
     single = b.read_bundle_files(spark, str(bundle_tree / "two"), bundle="solo")
     assert sorted((x.bundle, x.path) for x in single.collect()) == [("solo", "a.yml"), ("solo", "bundle.yml")]
+
+
+def test_metadata_paths_are_those_that_jobs_name(spark, tmp_path):
+    file = tmp_path / "export" / "Team A" / "b+1" / "metadata.json"
+    file.parent.mkdir(parents=True)
+    file.write_text("{}")
+    found = s.read_metadata_documents(spark, str(tmp_path / "export"), "/Workspace/bundles/").collect()
+    assert [x.path for x in found] == ["/Workspace/bundles/Team A/b+1/metadata.json"]
+
+
+def test_a_listing_that_breaks_off_is_noticed(spark):
+    rows = [("a", 0, "next"), ("a", 1, ""), ("b", 0, "next"), ("c", 0, None), ("d", 0, "x"), ("d", 2, None)]
+    pages = spark.createDataFrame(rows, "workspace_host string, page long, next_page_token string")
+    assert sorted(x.workspace_host for x in s.cut_listings(pages).collect()) == ["b", "d"]
+    with pytest.raises(s.CutListings, match="2 destination"):
+        s.require_whole_listings(pages)
+
+
+def test_id_cells_may_hold_line_breaks_and_every_file_a_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('job_id,name\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "2.csv").write_text('job_id,name\n3,"a\nb"\n')
+    found = ids.load_job_ids(spark, str(tmp_path), multi_line=True)
+    assert sorted(x.job_id for x in found.collect()) == [1, 2, 3]
