@@ -29,5 +29,65 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+NGRAM_JOIN = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), edges AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+    FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN sizes m ON m.doc_id = x JOIN sizes o ON o.doc_id = y
+  WHERE 100 * k >= 90 * (m.n + o.n - k)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.y) AS component_id,
+  (SELECT count(*) FROM edges WHERE edges.x = d.doc_id) AS n_links
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+LINE_DEDUP = rf"""
+WITH cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM cut)
+), compared AS (
+  SELECT doc_id, i, regexp_extract_all({LOWER.replace("text", "line")}, '[^\x20\x09-\x0D]+') AS w FROM numbered
+), firsts AS (
+  SELECT w, min((doc_id, i)) AS place FROM compared WHERE len(w) >= 5 GROUP BY w
+), long AS (
+  SELECT w, place FROM firsts WHERE len(w) >= 12
+), variants AS (
+  SELECT w, place, k, list_concat(w[1:k - 1], w[k + 1:]) AS v
+  FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS k FROM long)
+), near AS (
+  SELECT x.w FROM variants x JOIN variants y ON x.v = y.v AND x.k = y.k WHERE y.place < x.place
+  UNION SELECT x.w FROM variants x JOIN long y ON x.v = y.w WHERE y.place < x.place
+  UNION SELECT x.w FROM long x JOIN variants y ON x.w = y.v WHERE y.place < x.place
+), gone AS (
+  SELECT c.doc_id, c.i FROM compared c JOIN firsts f ON f.w = c.w
+  WHERE (c.doc_id, c.i) <> f.place OR c.w IN (SELECT w FROM near)
+), kept AS (
+  SELECT n.doc_id, string_agg(line, chr(10) ORDER BY n.i) AS left_over
+  FROM numbered n ANTI JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id
+)
+SELECT cut.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+  (SELECT count(*) FROM gone WHERE gone.doc_id = cut.doc_id) AS n_dropped,
+  sha256(coalesce(left_over, '')) AS text_sha256
+FROM cut LEFT JOIN kept ON kept.doc_id = cut.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE}
+    return {
+        "op1_decontaminate": DECONTAMINATE,
+        "op2_ngram_join": NGRAM_JOIN,
+        "op6_line_dedup": LINE_DEDUP,
+    }
