@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, built from DataFrame functions.
 
-A line is its words, lower-cased in A-Z; it is dropped when an equal line, or a line within an
+A line is its words in lower case; it is dropped when an equal line, or a line within an
 edit of ``EDITS`` = 1 word (changed, added or left out), occurs earlier: the first occurrence is
 by doc_id, then line number. Only lines of at least ``EXACT_WORDS`` words are compared, and only
 those of ``NEAR_WORDS`` or more by edits. An earlier line counts whether or not it is itself dropped.
@@ -23,7 +23,7 @@ very long texts are lines as others; empty tables give empty results; all column
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobfleet.llm.common import let, lower_ascii, small, stage, text_key, words
+from jobfleet.llm.common import let, small, stage, text_key, words
 
 EXACT_WORDS = 5
 NEAR_WORDS = 12
@@ -51,12 +51,18 @@ def lines_of(documents: DataFrame) -> DataFrame:
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("doc"),
         F.col("text"),
     )
-    split = docs.select("row_key", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     place = F.struct(F.col("doc.last"), F.col("doc.doc_id"), F.col("row_key"), F.col("line_no"))
-    return (
-        split.select("row_key", "line_no", place.alias("place"), words(lower_ascii(F.col("line"))).alias("terms"))
-        .filter(F.size("terms") >= EXACT_WORDS)
-    )
+    # words are cut before lines become rows, so that a filter on them does not cut them again
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: words(x))
+    split = docs.select("row_key", "doc", F.posexplode(lines).alias("line_no", "terms"))
+    return split.select("row_key", "line_no", place.alias("place"), "terms").filter(F.size("terms") >= EXACT_WORDS)
+
+
+def terms_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (row_key, line_no, ...) with the lines' terms; only these lines are cut into words."""
+    texts = documents.select(text_key("doc_id", "text").alias("row_key"), F.lower("text").alias("text"))
+    lines = texts.select("row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.join(wanted, ["row_key", "line_no"]).withColumn("terms", words(F.col("line"))).drop("line")
 
 
 def without(w: Column, i: Column) -> Column:
@@ -112,9 +118,7 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     wanted = small(wanted, wanted.count() * 2 * ROW_BYTES)
     texts = stage(
-        lines_of(documents)
-        .select("row_key", "line_no", "terms")
-        .join(wanted, ["row_key", "line_no"])
+        terms_of(documents, wanted)
         .dropDuplicates(["line_id"])
         .select("line_id", "place", "terms"),
         "compared-lines",

@@ -59,7 +59,7 @@ WITH cut AS (
 ), numbered AS (
   SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM cut)
 ), compared AS (
-  SELECT doc_id, i, regexp_extract_all({LOWER.replace("text", "line")}, '[^\x20\x09-\x0D]+') AS w FROM numbered
+  SELECT doc_id, i, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM numbered
 ), firsts AS (
   SELECT w, min((doc_id, i)) AS place FROM compared WHERE len(w) >= 5 GROUP BY w
 ), long AS (

@@ -74,7 +74,7 @@ def deduplicated(rows, exact, near):
     first, places = {}, []
     for doc_id, text in rows:
         for k, line in enumerate(text.split("\n") if text is not None else ()):
-            w = tuple(WORD.findall(line.translate(LOWER)))
+            w = tuple(WORD.findall(line.lower()))
             if len(w) >= exact:
                 place = (doc_id is None, doc_id or 0, k)
                 places.append((doc_id, k, w, place))
