@@ -29,15 +29,17 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobfleet.llm.wordstore import WordStore, grouped, per_process
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 200_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_TEXT = " ⁇ "
@@ -188,14 +190,24 @@ class Codec:
 def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """``documents`` with the column ``ids`` (array of int)."""
     held = documents.sparkSession.sparkContext.broadcast(astuple(load(model_file)))
+    rest = documents.drop("ids")
+    place = rest.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_process(("sp_codec", model_file), lambda: Codec(Model(*held.value)))
         for batch in batches:
-            yield pd.Series([x.astype(np.int32) for x in codec.encode(batch.fillna("").tolist())], dtype=object)
-
-    return documents.withColumn("ids", encoded(F.col(text)))
+            texts, at = (x.as_py() or "" for x in batch.column(place)), 0
+            for some in grouped(texts):  # a batch goes out in parts of bounded size
+                ids = codec.encode(some)
+                offsets = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids).astype(np.int32)
+                part = batch.slice(at, len(some))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
+                at += len(some)
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rest.mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:

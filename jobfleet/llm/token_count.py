@@ -30,7 +30,7 @@ from jobfleet.llm.wordstore import per_process
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
 
