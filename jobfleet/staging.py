@@ -43,6 +43,12 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged. Tables that read from it can no longer be used."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def spread(df: DataFrame, partition_by: str) -> DataFrame:
     """Group rows by the partition column before a partitioned write.
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import block, fleet, job
+from jobfleet import staging
 from jobfleet import sinks
 from jobfleet.operators.walk import matched_jobs
 from jobfleet.plans.detach import detach_walk, removal_records
@@ -82,3 +83,11 @@ def test_staging_uses_the_session_folder(spark):
     assert root == staging_root(spark)
     assert root.endswith("/jobfleet-" + spark.sparkContext.applicationId)
     assert configured is None or root.startswith(configured.rstrip("/"))
+
+
+def test_staged_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "staging_root", lambda spark: str(tmp_path / "own"))
+    (tmp_path / "other").mkdir()
+    assert staging.stage(spark.range(3), "three").count() == 3
+    staging.clear_staged(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
