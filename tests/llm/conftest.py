@@ -4,7 +4,7 @@ import sys
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parents[1])]
+sys.path[:0] = [str(Path(__file__).resolve().parents[2])]
 SF = "/root/testdata/sf0.001"
 
 
@@ -20,7 +20,3 @@ def texts(spark, sf_dir):
     """doc_id and text of the smallest table, as plain rows."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     return [(r.doc_id, r.text) for r in rows]
-
-
-ODD = [(900_001, None), (900_002, ""), (900_003, " \t\n "), (None, "a null id"), (900_004, "x" * 200_000)]
-DOCS = "doc_id long, text string"

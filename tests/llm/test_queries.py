@@ -7,7 +7,7 @@ from compare import connect, difference
 import corpus_pipeline
 from jobfleet.llm import line_dedup, ngram_join, oracle, queries, quality
 from pyspark.sql import functions as F
-import models
+from llm import models
 
 
 def test_every_operator_has_one_query():

@@ -7,8 +7,8 @@ import pytest
 
 from jobfleet.llm import decontaminate, line_dedup, ngram_join
 from jobfleet.llm.components import components
-from conftest import ODD, DOCS  # noqa: F401  (tests/llm is on the path first)
-import models
+from llm.rows import DOCS, ODD
+from llm import models
 
 
 def edited(rng, words, edits):

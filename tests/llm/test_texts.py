@@ -14,8 +14,8 @@ from tokenizers import Tokenizer, models as tokenizer_models, normalizers
 from jobfleet.llm import html_text, langid, pii, quality, sp_codec, token_count, token_file
 from jobfleet.llm.common import scratch
 from jobfleet.llm.wordstore import WordStore
-from conftest import ODD, DOCS
-import models
+from llm.rows import DOCS, ODD
+from llm import models
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
