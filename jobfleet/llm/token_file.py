@@ -227,7 +227,7 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _TOGETHER = 64  # plain words that are encoded as one text
 
 
@@ -235,20 +235,25 @@ def word_encoder(tokenizer_file: str) -> WordStore:
     """Encodes texts word by word with a tokenizer that never joins across white space.
 
     A plain word is letters that are lower-cased one by one and stay one unit, perhaps before a
-    stop or comma, which the tokenizer splits off. Plain words are encoded many at a time, told
-    apart by the mark that ends each unit; all others are encoded by themselves.
+    run of marks other than apostrophes, which the tokenizer makes a unit of its own. Plain words
+    are encoded many at a time, told apart by the mark that ends each unit, and runs of marks once;
+    all other words are encoded by themselves.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
-    marks = {mark: ids_by_itself(tokenizer, [mark])[0] for mark in ".,"} | {"": []}
-    splits = all(len(ids_by_itself(tokenizer, [x])[0]) == 2 for x in ("a.", "a,"))
+    marks: dict[str, list[int]] = {"": []}
+    splits = ids_by_itself(tokenizer, ["a,*#"])[0] == sum(ids_by_itself(tokenizer, ["a", ",*#"]), [])
 
     def ids_of(words: list[str]) -> list[list[int]]:
-        plain = [_PLAIN.fullmatch(w) if splits else None for w in words]
-        units = list(dict.fromkeys(m[1].lower() for m in plain if m))
+        plain = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, words)] if splits else [None] * len(words)
+        if len(marks) > CACHE_WORDS:
+            marks.clear()
+        tails = list({m[1] for m in plain if m}.difference(marks))
+        marks.update(zip(tails, ids_by_itself(tokenizer, tails), strict=True))
+        units = list(dict.fromkeys(m[0] for m in plain if m))
         texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
         found, unit = [], []
         for ids in ids_by_itself(tokenizer, texts):
@@ -259,7 +264,7 @@ def word_encoder(tokenizer_file: str) -> WordStore:
                     unit = []
         of_unit = dict(zip(units, found, strict=True))
         rest = iter(ids_by_itself(tokenizer, [w for w, m in zip(words, plain, strict=True) if not m]))
-        return [of_unit[m[1].lower()] + marks[m[2]] if m else next(rest) for m in plain]
+        return [of_unit[m[0]] + marks[m[1]] if m else next(rest) for m in plain]
 
     return WordStore(split_words, ids_of, CACHE_WORDS)
 
