@@ -70,7 +70,10 @@ def without(w: Column, i: Column) -> Column:
 
 
 def variants(w: Column) -> Column:
-    """(key, role) of a line: whole as the shorter line, each deletion as the longer and as a changed line."""
+    """(key, role) of a line: whole as the shorter line, each deletion as the longer and as a changed line.
+
+    ``w`` has the words' hashes, so that a word's text is hashed once and not for every variant.
+    """
 
     def at(i: Column) -> Column:
         return let(
@@ -123,7 +126,8 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         .select("line_id", "place", "terms"),
         "compared-lines",
     )
-    emitted = texts.select("line_id", "place", F.explode(variants(F.col("terms"))).alias("v")).select(
+    hashes = F.transform("terms", lambda t: F.xxhash64(t))
+    emitted = texts.select("line_id", "place", F.explode(let(hashes, variants)).alias("v")).select(
         "line_id", "place", "v.key", "v.role"
     )
     mine = F.struct("place", "line_id")
