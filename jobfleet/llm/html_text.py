@@ -2,7 +2,8 @@
 
 A tokenizer splits a page into tags and text; a tree builder adds the tags that HTML lets authors
 leave out (a paragraph ends before a block, items, rows and cells end before their next, formatting that
-was left open ends with its block) and ignores end tags that close nothing. Rendering walks the tree: what is never
+was left open ends with its block) and ignores end tags that close nothing. A cell outside a row gets a row, and what may
+not stand between the cells of a table is put before the table, as browsers do. Rendering walks the tree: what is never
 shown (scripts, styles, templates, comments, hidden or ``display:none`` elements) is skipped, runs of
 white space become one space outside ``pre``, blocks start on lines of their own, paragraphs, headings, lists and
 tables are set off by an empty line, list items carry a bullet or their number and are indented,
@@ -48,6 +49,14 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
+#: Where a part of a table may stand; what is open above ends before it.
+ROW_GROUPS = frozenset({"tbody", "thead", "tfoot"})
+TABLE_PARTS = ROW_GROUPS | {"table", "tr"}
+CONTEXT = {
+    **dict.fromkeys(("caption", "colgroup", "col", *ROW_GROUPS), frozenset({"table"})),
+    "tr": ROW_GROUPS | {"table"},
+    **dict.fromkeys(("td", "th"), TABLE_PARTS),
+}
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
 CELL_GAP = "  "
 MAX_COLUMN = 40  # a wider cell is not padded to, so one long cell does not blow up the others
@@ -79,13 +88,44 @@ def parse(page: str) -> Node:
     root = Node("#root", {})
     stack, at = [root], 0
     opened: Counter[str] = Counter()
+    parted = False  # since the last content put before a table, white space or a part of the table came
+
+    def put(child: Node | str) -> None:
+        """Append to the innermost open element; before the table what a table, row group or row cannot hold."""
+        nonlocal parted
+        top = len(stack) - 1
+        while stack[top].tag in TABLE_PARTS and stack[top].tag != "table":
+            top -= 1
+        if stack[top].tag != "table":
+            stack[-1].children.append(child)
+        elif isinstance(child, str) and not child.strip(" \t\n\r\f"):
+            parted = True
+        else:  # an open table is the last child of what holds it
+            stack[top - 1].children[-1:-1] = [" ", child] if parted else [child]
+            parted = False
+
+    def clear(context: frozenset[str]) -> bool:
+        """End what is open inside the innermost of these, if there is one."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in context:
+                opened.subtract(x.tag for x in stack[i + 1 :])
+                del stack[i + 1 :]
+                return True
+            if stack[i].tag == "template":
+                return False
+        return False
+
+    def between_cells() -> bool:
+        """Whether a table is open and no cell or caption of it."""
+        inner = next(x.tag for x in reversed(stack) if x.tag in TABLE_PARTS or x.tag in ("td", "th", "caption", "template", "#root"))
+        return inner in TABLE_PARTS
 
     def text(upto: int) -> None:
         if upto > at:
             content = unescape(page[at:upto])
             if opened["head"] and stack[-1].tag == "head" and content.strip():
                 close({"head"}, ())
-            stack[-1].children.append(content)
+            put(content)
 
     def close(names: set[str], limits) -> bool:
         """End the innermost open element of these names, and what is open in it."""
@@ -109,10 +149,11 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if slash:
+            parted = parted or name in CONTEXT
             if name == "br":
-                stack[-1].children.append(Node("br", {}))
+                put(Node("br", {}))
             elif name == "p" and not close({"p"}, SCOPE):
-                stack[-1].children.append(Node("p", {}))
+                put(Node("p", {}))
             elif name != "p":
                 close({name}, SCOPE - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else {"html"})
             continue
@@ -120,13 +161,26 @@ def parse(page: str) -> Node:
             close({"head"}, ())
         if name in CLOSES_P:
             close({"p"}, SCOPE)
-        if name in IMPLIED:
+        if name == "table" and opened["table"] and between_cells():
+            close({"table"}, ())
+        if name in CONTEXT and opened["table"] and clear(CONTEXT[name]):
+            parted = True
+            if name in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr", {})
+                stack[-1].children.append(row)
+                stack.append(row)
+                opened["tr"] += 1
+        elif name in IMPLIED:
             names, limits = IMPLIED[name]
             while close(names, limits):
                 pass
         node = Node(name, attributes(rest) if rest.strip(" /\n\t\r") else {})
-        stack[-1].children.append(node)
-        if name in VOID:
+        inside = stack[-1].tag in TABLE_PARTS and opened["table"]
+        if name in CONTEXT or (inside and (name in ("script", "style", "template", "form") or unseen_input(node))):
+            stack[-1].children.append(node)
+        else:
+            put(node)
+        if name in VOID or (inside and name in ("colgroup", "form")):  # such a form or column group holds nothing
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
@@ -140,12 +194,16 @@ def parse(page: str) -> Node:
     return root
 
 
+def unseen_input(node: Node) -> bool:
+    return node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"
+
+
 def unseen(node: Node) -> bool:
     attrs = node.attrs
     return (
         node.tag in UNSEEN
         or "hidden" in attrs
-        or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
+        or unseen_input(node)
         or attrs.get("aria-hidden", "").lower() == "true"
         or bool(attrs.get("style") and _NONE.search(attrs["style"]))
     )
@@ -246,9 +304,8 @@ def render(root: Node) -> str:
         for row in grid:
             for i in range(max(map(len, row))):
                 out.append(CELL_GAP.join((c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(row)).rstrip(" "))
-        other = [c for c in table.children if isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col") and not unseen(c)]
-        loose = [c for c in table.children if isinstance(c, str) and c.strip()]
-        above = [t for t in [flow(c, done) for c in other] + [_SPACE.sub(" ", c).strip() for c in loose] if t]
+        captions = [c for c in table.children if isinstance(c, Node) and c.tag == "caption" and not unseen(c)]
+        above = [t for t in [flow(c, done) for c in captions] if t]
         done[id(table)] = "\n".join(above + out)
     return flow(root, done)
 

@@ -294,6 +294,37 @@ def test_pages_are_laid_out(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr>note<td>x</table>", "note\n\nx"),
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><tbody><td>a<td>b</tbody><tfoot><td>c</table>", "a  b\nc"),
+        ("<table><tbody>one<tr><td>a</tr>two <b>three</b></tbody>four</table>", "one two three four\n\na"),
+        ("<table><tr><div>d<p>e</div><td>a</tr><thead><i>f</i><tr><th>b</table>z", "d\n\ne\n\nf\n\na\nb\n\nz"),
+        ("<table><colgroup><col><tr><td>a<colgroup>g<td>b</table>", "g\n\na\nb"),
+        ("<table><caption>cap<td>a<tr><br><img alt=pic></p><td>b</table>", "pic\n\ncap\na\nb"),
+        ("<table><tr>out<table><tr><td>in</table>", "out\n\nin"),
+        ("<table><td>o<table><tr>n<td>i</table>p<table><tbody>q<td>j</table></table>", "o n\n\ni\n\np q\n\nj"),
+        ("<table><tr><a>k<b>l<tr><input type=hidden value=v><td>m</table>", "kl\n\nm"),
+        ("<td>a<tr>b<td>c<tbody>d", "a\nb\nc\nd"),
+    ],
+)
+def test_no_text_between_cells_is_lost(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_words_of_scrambled_tables_survive():
+    rng = random.Random(8)
+    tags = "table tr td th tbody thead tfoot caption colgroup form div b p li a center font".split()
+    for _ in range(3000):
+        words = [f"w{k}" for k in range(rng.randrange(1, 12))]
+        page = "<table>" + "".join(
+            "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}>" for _ in range(rng.randrange(4))) + f" {w} " for w in words
+        )
+        assert sorted(re.findall(r"w\d+", html_text.page_text(page))) == sorted(words), page
+
+
 def test_pages_keep_rows_and_columns(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     frame = pages.unionByName(spark.createDataFrame([(None, None, None), (1, "u", "")], pages.schema)).withColumn("text", F.lit(1))
