@@ -4,12 +4,13 @@ A tokenizer splits a page into tags and text; a tree builder adds the tags that
 leave out (a paragraph ends before a block, items, rows and cells end before their next, formatting that
 was left open ends with its block) and ignores end tags that close nothing. A cell outside a row gets a row, and what may
 not stand between the cells of a table is put before the table, as browsers do. Rendering walks the tree: what is never
-shown (scripts, styles, templates, comments, hidden or ``display:none`` elements) is skipped, runs of
+shown (scripts, styles, templates, comments, hidden or ``display:none`` elements, what stands in for media and frames, in
+drawings all but their texts, in formulas their annotations) is skipped, runs of
 white space become one space outside ``pre``, blocks start on lines of their own, paragraphs, headings, lists and
 tables are set off by an empty line, list items carry a bullet or their number and are indented,
-table cells are padded to aligned columns, ``br`` breaks the line, images give their alternative text.
+table cells are padded to aligned columns, options stand on lines of their own under their group's label, ``br`` breaks the line, images give their alternative text.
 
-All visible text is kept, navigation and advertisements too. Nothing here recurses, so nesting depth is not limited.
+All visible text is kept, navigation and advertisements too, and what is hidden from screen readers only. Nothing here recurses, so nesting depth is not limited.
 
 Defined results: null and empty pages give the empty text; pages are read whole; a tag or comment that
 never ends runs to the end of the page; repeated rows are rendered each; an empty table gives an empty
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math select datalist noembed noframes title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title meta link".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -47,8 +48,20 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
 }
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
+HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
+#: Never drawn inside svg and math.
+UNDRAWN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset({"annotation", "annotation-xml"}),
+}
+#: Tags of HTML that end a drawing that was left open.
+NOT_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Where a part of a table may stand; what is open above ends before it.
 ROW_GROUPS = frozenset({"tbody", "thead", "tfoot"})
 TABLE_PARTS = ROW_GROUPS | {"table", "tr"}
@@ -125,7 +138,8 @@ def parse(page: str) -> Node:
             content = unescape(page[at:upto])
             if opened["head"] and stack[-1].tag == "head" and content.strip():
                 close({"head"}, ())
-            put(content)
+            if not opened["svg"] or opened["text"] or opened["foreignobject"]:
+                put(content)
 
     def close(names: set[str], limits) -> bool:
         """End the innermost open element of these names, and what is open in it."""
@@ -157,8 +171,10 @@ def parse(page: str) -> Node:
             elif name != "p":
                 close({name}, SCOPE - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else {"html"})
             continue
-        if name in BLOCKS and name != "html":
+        if (name in BLOCKS and name != "html") or (stack[-1].tag == "head" and name not in HEAD):
             close({"head"}, ())
+        if name in NOT_SVG and opened["svg"] and not (opened["foreignobject"] or opened["desc"]):
+            close({"svg"}, ())
         if name in CLOSES_P:
             close({"p"}, SCOPE)
         if name == "table" and opened["table"] and between_cells():
@@ -175,11 +191,17 @@ def parse(page: str) -> Node:
             while close(names, limits):
                 pass
         node = Node(name, attributes(rest) if rest.strip(" /\n\t\r") else {})
+        if any(opened[x] and name in names for x, names in UNDRAWN.items()):
+            node.attrs["hidden"] = ""
+        if name == "text" and opened["svg"]:
+            put(" ")
         inside = stack[-1].tag in TABLE_PARTS and opened["table"]
         if name in CONTEXT or (inside and (name in ("script", "style", "template", "form") or unseen_input(node))):
             stack[-1].children.append(node)
         else:
             put(node)
+        if (opened["svg"] or opened["math"] or name in ("svg", "math")) and rest.endswith("/"):
+            continue
         if name in VOID or (inside and name in ("colgroup", "form")):  # such a form or column group holds nothing
             continue
         if name in RAW:
@@ -204,7 +226,6 @@ def unseen(node: Node) -> bool:
         node.tag in UNSEEN
         or "hidden" in attrs
         or unseen_input(node)
-        or attrs.get("aria-hidden", "").lower() == "true"
         or bool(attrs.get("style") and _NONE.search(attrs["style"]))
     )
 
@@ -349,6 +370,12 @@ def flow(top: Node, tables: dict[int, str]) -> str:
             if tables.get(id(node)):
                 canvas.write(tables[id(node)], True)
             canvas.block(True)
+        elif tag == "svg":
+            todo += [(" ", False), *((c, False) for c in reversed(node.children)), (" ", False)]
+        elif tag == "option" and node.attrs.get("label", "").strip():
+            canvas.block(False)
+            canvas.write(node.attrs["label"], False)
+            canvas.block(False)
         elif tag in BLOCKS:
             canvas.block(tag in SPACED and not (tag in ("ul", "ol") and numbers))
             if tag in ("ul", "ol", "menu", "dir"):
@@ -364,6 +391,9 @@ def flow(top: Node, tables: dict[int, str]) -> str:
                 canvas.indent += 1
             elif tag == "pre":
                 keep += 1
+            elif tag == "optgroup" and node.attrs.get("label", "").strip():
+                canvas.write(node.attrs["label"], False)
+                canvas.line()
             todo.append((node, True))
             todo += [(c, False) for c in reversed(node.children)]
         else:

@@ -314,6 +314,27 @@ def test_no_text_between_cells_is_lost(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a <span aria-hidden=true>b</span> <span aria-hidden='TRUE' hidden>no</span>", "a b"),
+        ("<head><title>t</title><a>Home</a> <b>page</b>", "Home page"),
+        ("<head><meta name=x><img alt=pic><title>no</title><body>seen", "pic\nseen"),
+        ("<head><noscript><img alt=no></noscript><title>no</title></head>seen", "seen"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("a<svg>no<title>no</title><defs><text>no</text></defs><g/><path d='M0'/><text>b</text><text>c</text></svg>d", "a b c d"),
+        ("<svg><defs/><metadata>no</metadata><foreignObject><p>in</p></foreignObject><text>t</text></svg>", "in\n\nt"),
+        ("<svg><path><p>after", "after"),
+        ("<a>x<svg aria-hidden=true><path d=M0></svg></a>y", "x y"),
+        ("<select><option>a<option value=1>b<optgroup label=g><option>c<option label=d>no</select>z", "a\nb\ng\nc\nd\nz"),
+        ("<select><option hidden>no<option>a</select><datalist><option>no</datalist>", "a"),
+        ("<table><td><select><option>a<option>b</select><td>c</table>", "a  c\nb"),
+    ],
+)
+def test_what_a_browser_shows_is_seen(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_words_of_scrambled_tables_survive():
     rng = random.Random(8)
     tags = "table tr td th tbody thead tfoot caption colgroup form div b p li a center font".split()
