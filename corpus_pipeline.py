@@ -8,7 +8,7 @@ All stages but the last return the columns of their input:
 3. n-gram Jaccard join: of each group of near copies the first document by doc_id stays. Sets are
    of five words with a similarity of 0.8, as for every near-duplicate stage on word shingles;
 4. benchmark decontamination: contaminated documents go;
-5. SentencePiece encoding: every document with its ids, their text decoded again.
+5. SentencePiece encoding and decoding: every document with its ids and the text that these decode to.
 """
 
 from collections.abc import Callable
@@ -49,8 +49,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = sp_codec.encode(docs.select("doc_id", "lang", "source", "text"), MODEL)
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
+    encoded = sp_codec.encode(docs.select("doc_id", "lang", "source", "text"), MODEL, decoded="decoded")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,7 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", drop_contaminated),
     ("sentencepiece", encode),
 ]
-#: SQL cannot express the stages; ``tests/llm/test_pipeline.py`` holds each against brute force.
+#: SQL cannot express the stages; ``tests/llm/test_queries.py`` holds each against brute force or the library.
 ORACLE_SQL = None
 
 

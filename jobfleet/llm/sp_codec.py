@@ -187,10 +187,12 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and marked else text
 
 
-def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """``documents`` with the column ``ids`` (array of int)."""
+def encode(documents: DataFrame, model_file: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """``documents`` with the column ``ids`` (array of int), and their text decoded again if a column for it is named."""
     held = documents.sparkSession.sparkContext.broadcast(astuple(load(model_file)))
-    rest = documents.drop("ids")
+    if decoded in (text, "ids"):
+        raise ValueError("the decoded text needs a column of its own")
+    rest = documents.drop("ids", *([] if decoded is None else [decoded]))
     place = rest.columns.index(text)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +205,15 @@ def encode(documents: DataFrame, model_file: str, text: str = "text") -> DataFra
                 flat = np.concatenate(ids).astype(np.int32)
                 part = batch.slice(at, len(some))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
+                made = {"ids": lists}
+                if decoded is not None:
+                    made[decoded] = pa.array([codec.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*batch.schema.names, *made])
                 at += len(some)
 
     schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decoded is not None:
+        schema = schema.add(decoded, T.StringType())
     return rest.mapInArrow(encoded, schema)
 
 

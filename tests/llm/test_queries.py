@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: SQL where there is some, brute force or shape elsewhere."""
 
 import pytest
+import sentencepiece
 
 import __spark_entry__ as entry_point
 from compare import connect, difference
@@ -69,6 +70,18 @@ def test_stages_do_what_brute_force_does(spark, sf_dir, texts):
     assert ngram_join.Measure(5, 4, 5).needed(10) == 8
 
 
+def test_last_stage_equals_the_library(spark, sf_dir, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.MODEL)
+    odd = [(-1, None), (-2, ""), (-3, " two  spaces "), (-4, "▁ a mark, é ① \x00 ɵ"), (-5, "two\nlines\n")]
+    docs = spark.createDataFrame(texts + odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, sf_dir).collect()}
+    assert got.keys() == {d for d, _ in texts + odd}
+    for doc_id, text in texts + odd:
+        ids = library.encode(text or "")
+        assert got[doc_id].ids == ids and got[doc_id].n_ids == len(ids)
+        assert got[doc_id].decoded == library.decode(ids) == (text or "").replace("▁", " ")
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stages_take_odd_rows_and_none(spark, sf_dir, name, stage):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b " * 40_000, None, None, None)]
