@@ -234,6 +234,17 @@ def test_spans_of_a_trained_model_contain_the_base(spark, texts):
         assert set(map(tuple, r.base_spans)) <= set(map(tuple, r.all_spans))
 
 
+def test_the_training_sample_is_bounded_whatever_is_copied(spark, monkeypatch):
+    rng, fitted, real = random.Random(5), [], pii.Boosted
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"{k} +1 ({digits(3)}) {digits(3)}-{digits(4)} at 10.{k % 250}.2.3 key={digits(12)} {digits(16)}" for k in range(2000)]
+    first = spark.createDataFrame(list(enumerate(texts)), DOCS).orderBy(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 20))).first()
+    monkeypatch.setattr(pii, "Boosted", lambda x, y: fitted.append(len(y)) or real(x, y))
+    docs = spark.createDataFrame(list(enumerate(texts + [first.text] * 1000)), DOCS)
+    assert pii.train(docs, sample_docs=600, sample_spans=800) is not None
+    assert fitted[0] <= 800
+
+
 # --- op9 ---------------------------------------------------------------------------------------
 
 def test_quality_base_and_labels(spark, sf_dir):
