@@ -4,7 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.llm import decontaminate, html_text, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_count, token_file
+from jobfleet.llm import (
+    decontaminate,
+    divergence,
+    html_text,
+    langid,
+    line_dedup,
+    near_vectors,
+    ngram_join,
+    pii,
+    quality,
+    sp_codec,
+    token_count,
+    token_file,
+    vector_codes,
+)
 
 #: The tokenizer files' package; any of these paths can be replaced by the user's own.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -83,5 +97,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.round_trip(documents, PIECES).drop("text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", "code", "error", "label_error", digest)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: function for name, function in globals().items() if name.startswith("op")}
