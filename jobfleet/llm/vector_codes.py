@@ -37,7 +37,7 @@ SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-LEAF = 32
+LEAF = 128  # parts; smaller ones decide more whole nodes, larger ones compare more parts at once
 BLOCK_BYTES = 2 << 20  # of integers, in a block of vectors
 LARGEST = 1 << 27
 #: Integers up to here are exact as doubles, so that products of small ones may use them.

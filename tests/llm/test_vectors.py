@@ -131,6 +131,7 @@ ODD = [(7001, None, 1), (7002, [float("nan")] * 16, 1), (7003, [float("inf")] +
 @pytest.mark.parametrize("rows", [clustered(900, 16), clustered(400, 16, spread=0)[::-1], clustered(60, 16), [(i % 5, [0.5] * 16, None) for i in range(300)]], ids=["many", "equal", "few", "one point"])
 def test_codes_equal_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(vector_codes, "BLOCK_BYTES", 16 * 8 * 200)
+    monkeypatch.setattr(vector_codes, "LEAF", 8)
     rows = [*rows, *ODD, *rows[:5], (None, rows[0][1], None)]
     frame = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("mine") for c in ("code", "v", "error", "_label", "label_sum")})
     found, books = vector_codes.compress(frame.repartition(3))
