@@ -41,7 +41,7 @@ SIMILARITY = 0.95
 SAMPLE = 1 << 15
 SAMPLE_BYTES = 32 << 20
 QUERIES = 1024
-RECALL = 0.999
+RECALL = 0.9999
 #: Fewer links than this in the sampled comparison don't tell enough.
 LEAST_LINKS = 64
 CELL_NODES = 16
