@@ -109,6 +109,13 @@ def detach_run_stats(plan: DataFrame) -> DataFrame:
     )
 
 
+def with_misses(stats: DataFrame, missed: DataFrame) -> DataFrame:
+    """Counters of found jobs, and ``(workspace_host, missed)`` lookups that found nothing as errors."""
+    joined = missed.join(stats, HOST, "left").na.fill(0)
+    more = {c: F.col(c) + F.col("missed") for c in ("scanned", "errored")}
+    return joined.withColumns(more).select(*stats.columns)
+
+
 def every_workspace(stats: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Per-workspace counts with zeros for workspaces that had no rows at all."""
     return workspaces.select(HOST).join(stats, HOST, "left").na.fill(0)
@@ -119,8 +126,14 @@ def workspace_failures(stats: DataFrame) -> DataFrame:
     return stats.filter(F.col("errored") > 0).select(HOST, "errored")
 
 
-def run_failed(stats: DataFrame) -> bool:
-    return not workspace_failures(stats).isEmpty()
+def failures(stats: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """``(workspace_host, error)``: workspaces with failed jobs, and those that could not be read."""
+    failed = workspace_failures(stats).select(HOST, F.concat(F.col("errored"), F.lit(" job(s) failed")).alias("error"))
+    return failed if unread is None else failed.unionByName(unread.select(HOST, "error"))
+
+
+def run_failed(stats: DataFrame, unread: DataFrame | None = None) -> bool:
+    return not failures(stats, unread).isEmpty()
 
 
 def audit_recent(removal_log: DataFrame) -> DataFrame:

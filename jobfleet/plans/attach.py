@@ -9,7 +9,7 @@ from jobfleet.functions.notifications import WebhookId, attached_to_all, with_we
 from jobfleet.operators.caps import mutation_cap
 from jobfleet.operators.walk import walk
 from jobfleet.plans import outcomes as o
-from jobfleet.plans.by_id import check_by_id, look_up
+from jobfleet.plans.by_id import Lookup, check_by_id, start
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import DEFAULT_EVENTS, parse_events
 
@@ -73,7 +73,7 @@ def attach_walk(
     return plan.withColumn("new_notifications", _payload(webhook_id, events))
 
 
-def attach_by_id(
+def attach_lookup(
     jobs: DataFrame,
     ids: DataFrame,
     hosts: Sequence[str],
@@ -84,21 +84,20 @@ def attach_by_id(
     results: DataFrame | None = None,
     tag: str | None = None,
     owners: Sequence[str] | None = None,
-) -> DataFrame:
-    """Plan for an explicit id list (``job_id``, ``pos``), looked up in every workspace."""
+) -> Lookup:
+    """Plan for an explicit id list (``job_id``, ``pos``), looked up in every workspace.
+
+    ``found`` has the plan of the jobs that there are; the others are counted.
+    """
     _require(webhook_id)
     check_by_id(hosts, tag, owners)
     events = parse_events(events)
-    plan = look_up(jobs, ids, hosts)
-    plan = plan.withColumn(
-        "outcome",
-        F.when(~F.col("matched"), o.LOOKUP_FAILED).otherwise(_outcome(webhook_id, events)),
-    )
-    plan = mutation_cap(
-        settle(plan, results),
-        limit,
-        checked=F.lit(True),
-        changed=F.col("outcome").isin(*o.CHANGED),
-        ordinal="pos",
-    )
-    return plan.withColumn("new_notifications", _payload(webhook_id, events))
+    asked = start(jobs, ids, hosts)
+    plan = settle(asked.found.withColumn("outcome", _outcome(webhook_id, events)), results)
+    run = asked.with_rows(plan).cut(limit, F.col("outcome").isin(*o.CHANGED))
+    return run.with_rows(run.found.withColumn("new_notifications", _payload(webhook_id, events)))
+
+
+def attach_by_id(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str], webhook_id: WebhookId, **options) -> DataFrame:
+    """``attach_lookup`` as one table, with a row for each lookup that finds nothing."""
+    return attach_lookup(jobs, ids, hosts, webhook_id, **options).listed(o.LOOKUP_FAILED)

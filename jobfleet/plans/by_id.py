@@ -1,12 +1,20 @@
-"""Explicit job ids looked up in every workspace of a run."""
+"""Explicit job ids looked up in every workspace of a run.
+
+A lookup that finds nothing is a number, not a row: each workspace is asked for every id of the run, so what it lacks
+is the ids of the run less the jobs found. ``misses`` writes the missing ids out for those who want to see them.
+"""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobfleet.operators.caps import STOP, before_stop, stop_ordinals
+from jobfleet.operators.order import running_total
 from jobfleet.operators.walk import job_facts
-from jobfleet.schemas import HOST, JOB_KEY
+from jobfleet.schemas import HOST, JOB_KEY, SETTINGS
+from jobfleet.staging import stage
 
 
 def check_by_id(hosts: Sequence[str], tag: str | None, owners: Sequence[str] | None) -> None:
@@ -17,20 +25,79 @@ def check_by_id(hosts: Sequence[str], tag: str | None, owners: Sequence[str] | N
         raise ValueError("job ids leave nothing for a tag or owner filter to choose")
 
 
-def requests(ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
-    """One lookup per workspace and id; the workspaces are a list the caller names."""
-    named = F.array(*[F.lit(host) for host in hosts])
-    return ids.select(F.explode(named).alias(HOST), "job_id", "pos")
-
-
 def look_up(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
-    """Requested jobs with ``scanned``, ``matched`` and the job facts; not found, not matched.
+    """The requested jobs that there are, with their ``pos``, flags and facts.
 
-    Jobs are first cut to the requested ids, so only found jobs, not whole
-    snapshots, take part in the outer join.
+    The only join with the snapshot: by job id, in which the snapshot is shuffled at most once, and not at
+    all when the staged id list is small.
     """
-    wanted = requests(ids, hosts)
-    found = jobs.join(ids.select("job_id"), "job_id", "left_semi")
-    looked_up = wanted.join(found.withColumn("found", F.lit(True)), JOB_KEY, "left")
-    flags = {"scanned": F.lit(True), "matched": F.col("found").isNotNull()}
-    return job_facts(looked_up.withColumns(flags).drop("found"))
+    found = jobs.filter(F.col(HOST).isin(list(hosts))).join(ids.select("job_id", "pos"), "job_id")
+    return job_facts(found.withColumns({"scanned": F.lit(True), "matched": F.lit(True)}))
+
+
+@dataclass
+class Lookup:
+    """A by-id run: the rows of the jobs found, and where each workspace's run stops in the id list."""
+
+    found: DataFrame
+    ids: DataFrame
+    hosts: list[str]
+    stops: DataFrame | None = None
+
+    def cut(self, limit: int | None, changed: Column) -> "Lookup":
+        """The run up to each workspace's ``limit``-th change.
+
+        The limit is tested after every id, found or not, so a limit below one ends the run with the first id.
+        """
+        if limit is None:
+            return self
+        if limit > 0:
+            stops = stop_ordinals(self.found.filter(changed), limit, "pos")
+        else:
+            first = self.ids.agg(F.min("pos").alias(STOP)).select(F.explode(F.array(*map(F.lit, self.hosts))).alias(HOST), STOP)
+            stops = stage(first, "stops")
+        kept = self.found.join(stops, HOST, "left").filter(before_stop(F.col(STOP), F.col("pos"), inclusive=True))
+        return Lookup(kept.drop(STOP), self.ids, self.hosts, stops)
+
+    def with_rows(self, found: DataFrame) -> "Lookup":
+        return Lookup(found, self.ids, self.hosts, self.stops)
+
+    def asked(self) -> DataFrame:
+        """``(workspace_host, asked)``: how many ids each workspace's run looks up.
+
+        A row per workspace. Where runs stop early, stops and ids are put in one order and counted together.
+        """
+        hosts = self.ids.sparkSession.createDataFrame([(h,) for h in self.hosts], f"{HOST} string")
+        count, last = self.ids.agg(F.count(F.lit(1)), F.max("pos")).first()
+        if self.stops is None or not count:
+            return hosts.select(HOST, F.lit(count).cast("long").alias("asked"))
+        marks = self.ids.select(F.lit(None).cast("string").alias(HOST), "pos", F.lit(1).alias("one"))
+        ends = hosts.join(self.stops, HOST, "left")
+        ends = ends.select(HOST, F.coalesce(STOP, F.lit(last)).alias("pos"), F.lit(0).alias("one"))
+        counted = running_total(marks.unionByName(ends), F.col("one"), "pos", name="asked")
+        return counted.filter(F.col(HOST).isNotNull()).select(HOST, "asked")
+
+    def miss_counts(self) -> DataFrame:
+        """``(workspace_host, missed)``: ids of the run that a workspace does not have."""
+        found = self.found.groupBy(HOST).agg(F.count_distinct("job_id").alias("found"))
+        missed = F.col("asked") - F.coalesce("found", F.lit(0))
+        return self.asked().join(found, HOST, "left").select(HOST, missed.alias("missed"))
+
+    def misses(self) -> DataFrame:
+        """``(workspace_host, job_id, pos)`` of each lookup that found nothing: a row per miss."""
+        named = F.explode(F.array(*[F.lit(host) for host in self.hosts])).alias(HOST)
+        wanted = self.ids.select(named, "job_id", "pos")
+        if self.stops is not None:
+            wanted = wanted.join(self.stops, HOST, "left").filter(before_stop(F.col(STOP), F.col("pos"), inclusive=True)).drop(STOP)
+        return wanted.join(self.found.select(*JOB_KEY), JOB_KEY, "left_anti")
+
+    def listed(self, outcome: str) -> DataFrame:
+        """The found rows and a row per miss, which has ``outcome`` and the facts of an empty job."""
+        missed = job_facts(self.misses().withColumn("settings", F.lit(None).cast(SETTINGS)))
+        missed = missed.withColumns({"scanned": F.lit(True), "matched": F.lit(False), "outcome": F.lit(outcome)})
+        return self.found.unionByName(missed, allowMissingColumns=True)
+
+
+def start(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str]) -> Lookup:
+    """A lookup of ``ids`` (``job_id``, ``pos``, each id once) in the workspaces ``hosts``."""
+    return Lookup(look_up(jobs, ids, hosts), ids, list(dict.fromkeys(hosts)))

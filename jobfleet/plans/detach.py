@@ -18,7 +18,7 @@ from jobfleet.operators.caps import mutation_cap
 from jobfleet.operators.enrich import enrich_bundles, metadata_columns
 from jobfleet.operators.walk import walk
 from jobfleet.plans import outcomes as o
-from jobfleet.plans.by_id import check_by_id, look_up
+from jobfleet.plans.by_id import Lookup, check_by_id, start
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import BUNDLE_POLICIES, HOST, REMOVAL_LOG
 
@@ -82,7 +82,7 @@ def detach_walk(
     return _details(plan.withColumn("bundle_warning", warned), webhook_id)
 
 
-def detach_by_id(
+def detach_lookup(
     jobs: DataFrame,
     ids: DataFrame,
     hosts: Sequence[str],
@@ -91,22 +91,27 @@ def detach_by_id(
     results: DataFrame | None = None,
     tag: str | None = None,
     owners: Sequence[str] | None = None,
-) -> DataFrame:
+) -> Lookup:
     """Plan for an explicit id list; no id given clears every list of those jobs.
 
-    Bundle-managed jobs are included, with ``bundle_warning`` set.
+    Bundle-managed jobs are included, with ``bundle_warning`` set. ``found`` has the plan of
+    the jobs that there are; the others are counted.
     """
     check_by_id(hosts, tag, owners)
     before = F.col("notifications")
-    plan = look_up(jobs, ids, hosts)
+    asked = start(jobs, ids, hosts)
     removes = removed_count(before, without_webhook(before, webhook_id)) > 0
-    outcome = (
-        F.when(~F.col("matched"), o.LOOKUP_FAILED)
-        .when(before.isNotNull() & removes, o.WOULD_UPDATE)
-        .otherwise(o.NOTHING_TO_REMOVE)
-    )
-    plan = settle(plan.withColumn("outcome", outcome), results)
-    return _details(plan.withColumn("bundle_warning", F.col("is_bundle")), webhook_id)
+    outcome = F.when(before.isNotNull() & removes, o.WOULD_UPDATE).otherwise(o.NOTHING_TO_REMOVE)
+    plan = settle(asked.found.withColumn("outcome", outcome), results)
+    return asked.with_rows(_details(plan.withColumn("bundle_warning", F.col("is_bundle")), webhook_id))
+
+
+def detach_by_id(
+    jobs: DataFrame, ids: DataFrame, hosts: Sequence[str], webhook_id: WebhookId = None, **options
+) -> DataFrame:
+    """``detach_lookup`` as one table, with a row for each lookup that finds nothing."""
+    listed = detach_lookup(jobs, ids, hosts, webhook_id, **options).listed(o.LOOKUP_FAILED)
+    return listed.withColumn("bundle_warning", F.col("is_bundle"))
 
 
 def bundle_report(plan: DataFrame, metadata: DataFrame | None) -> DataFrame:

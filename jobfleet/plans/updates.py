@@ -5,25 +5,35 @@ from pyspark.sql import functions as F
 
 from jobfleet.functions.filters import or_false
 from jobfleet.plans.outcomes import CHANGED, ERRORED, UPDATED, WOULD_UPDATE
-from jobfleet.schemas import EVENT_FIELDS, JOB_KEY, JOBS
+from jobfleet.schemas import EVENT_FIELDS, HOST, JOB_KEY, JOBS
+from jobfleet.staging import stage
+
+NOT_SENT = 1024
 
 
 def settle(plan: DataFrame, results: DataFrame | None) -> DataFrame:
     """Turn planned updates into updated or errored rows.
 
-    Only planned rows meet the results table; all others pass by without a
-    shuffle. A planned row without a successful result is errored; of several
-    results for a job one success is enough.
+    A planned row without a successful result is errored; of several results for a job one success is
+    enough. The verdicts are staged, so that few of them are broadcast, and joined in the plan's one pass over the fleet.
+    Rows that were not sent have one of ``NOT_SENT`` workspace names that no result has: where the join is by
+    shuffle they neither find a verdict nor meet in one task.
     """
     if results is None:
         return plan
-    planned = or_false(F.col("outcome") == WOULD_UPDATE)
     verdicts = results.groupBy(*JOB_KEY).agg(F.bool_or("ok").alias("ok"))
-    sent = plan.filter(planned).join(verdicts, JOB_KEY, "left")
-    settled = sent.withColumn(
-        "outcome", F.when(or_false(F.col("ok")), UPDATED).otherwise(ERRORED)
-    ).drop("ok")
-    return plan.filter(~planned).unionByName(settled)
+    verdicts = stage(verdicts.select(F.col(HOST).alias("sent_host"), F.col("job_id").alias("sent_id"), "ok"), "verdicts")
+    planned = or_false(F.col("outcome") == WOULD_UPDATE)
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.hash(*JOB_KEY), F.lit(NOT_SENT)))
+    keyed = plan.withColumns(
+        {"sent_host": F.when(planned, F.col(HOST)).otherwise(nowhere), "sent_id": F.when(planned, F.col("job_id"))}
+    )
+    settled = F.when(or_false(F.col("ok")), UPDATED).otherwise(ERRORED)
+    return (
+        keyed.join(verdicts, ["sent_host", "sent_id"], "left")
+        .withColumn("outcome", F.when(planned, settled).otherwise(F.col("outcome")))
+        .drop("sent_host", "sent_id", "ok")
+    )
 
 
 def _next_settings(changed, notifications):

@@ -541,6 +541,24 @@ planned AS (
         ),
     )
 
+    # Listings
+    q["jobs_from_pages"] = _with(
+        JOBS,
+        body=f"""SELECT workspace_host, job_id, row_number() OVER (PARTITION BY workspace_host ORDER BY job_id) - 1 AS scan_ordinal,
+        coalesce(name, '') AS name, {_flat_all()} FROM jobs""",
+    )
+    q["workspace_read_failures"] = _with(
+        JOBS,
+        ATTACH,
+        body="""SELECT h.workspace_host, CASE h.workspace_host WHEN 'ws-2' THEN '1 record(s) cannot be read'
+          WHEN 'ws-4' THEN 'the listing breaks off before its last page' ELSE '' END AS error,
+        count(p.job_id) AS scanned, count(*) FILTER (WHERE outcome = 'bundle_skipped') AS bundle_skipped,
+        count(*) FILTER (WHERE outcome = 'would_update') AS would_update
+        FROM (SELECT 'ws-' || r_regionkey AS workspace_host FROM region) h
+        LEFT JOIN (SELECT * FROM planned WHERE workspace_host NOT IN ('ws-2', 'ws-4')) p
+          ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
+    )
+
     # Explicit ids
     q["load_job_ids"] = _with(ID_LINES, body="SELECT job_id, pos FROM lines")
     q["job_ids_from_csv"] = _with(JOBS, body="SELECT job_id FROM jobs")
@@ -559,6 +577,15 @@ planned AS (
         body=f"""SELECT workspace_host, count(*) AS scanned, count(*) FILTER (WHERE found) AS matched,
         {ALREADY}, {COUNTERS} FROM run GROUP BY workspace_host""",
     )
+    applied = ASKED_ATTACH.replace("ELSE 'would_update'", "WHEN job_id % 29 <> 0 THEN 'updated' ELSE 'errored'")
+    q["by_id_run_stats"] = _with(
+        JOBS,
+        IDS,
+        applied,
+        _cut(75, "true", order="pos"),
+        body=f"""SELECT workspace_host, count(*) AS scanned, count(*) FILTER (WHERE found) AS matched,
+        {ALREADY}, {COUNTERS} FROM run GROUP BY workspace_host""",
+    )
     q["detach_by_id"] = _with(JOBS, IDS, _asked_detach(False), body=_flat_detach("planned"))
     q["detach_all"] = _with(JOBS, IDS, _asked_detach(True), body=_flat_detach("planned", clear=True))
     # Every job's own id is on the list.
@@ -592,7 +619,7 @@ planned AS (
         ATTACH,
         body=f"""SELECT h.workspace_host, count(p.job_id) AS scanned, count(p.job_id) AS matched, {ALREADY}, {COUNTERS}
         FROM (SELECT 'ws-' || r_regionkey AS workspace_host FROM region) h
-        LEFT JOIN (SELECT * FROM planned WHERE contains(name, 'high') AND workspace_host = 'ws-1') p
+        LEFT JOIN (SELECT * FROM planned WHERE contains(workspace_host || '-' || name, 'ws-1-high')) p
           ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
     )
     q["enrich_from_files"] = _with(

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobfleet import runs, sinks
@@ -21,8 +21,9 @@ from jobfleet.queries import tables as t
 from jobfleet.schemas import DEFAULT_EVENTS, EVENT_FIELDS, HOST, SESSION_VIEW
 from jobfleet.sources import bundles as bs
 from jobfleet.sources import job_ids as ids
+from jobfleet.sources import pages as pg
 from jobfleet.sources import snapshots as s
-from jobfleet.staging import staging_path
+from jobfleet.staging import spread, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +58,9 @@ def flat(block: Column) -> list[Column]:
     return [n.flat_ids(block[event]).alias(event) for event in EVENT_FIELDS]
 
 
-def flat_snapshot(snapshot: DataFrame) -> DataFrame:
+def flat_snapshot(snapshot: DataFrame, *more: str) -> DataFrame:
     return snapshot.select(
-        HOST, "job_id", f.or_blank(F.col("settings.name")).alias("name"),
+        HOST, "job_id", *more, f.or_blank(F.col("settings.name")).alias("name"),
         *flat(F.col("settings.webhook_notifications")),
     )
 
@@ -99,6 +100,30 @@ def flat_log(log: DataFrame) -> DataFrame:
 # Inventory ---------------------------------------------------------------
 
 
+@query
+def jobs_from_pages(spark, sf):
+    """Listing pages written as JSON, put in order, stored as a snapshot and read back."""
+    exported, stored = staging_path(spark, "job-pages"), staging_path(spark, "jobs-read")
+    t.write_job_pages(t.job_pages(spark, sf), exported)
+    listed, _ = pg.jobs_from_pages(pg.read_job_pages(spark, exported), t.workspaces(spark, sf))
+    spread(listed, HOST).write.partitionBy(HOST).parquet(stored)
+    jobs = s.read_jobs(spark, stored)
+    return flat_snapshot(jobs, "scan_ordinal")
+
+
+@query
+def workspace_read_failures(spark, sf):
+    """One workspace has a record that is cut off, one lacks a page: both fail, the others are planned."""
+    path = staging_path(spark, "job-pages")
+    pages = t.job_pages(spark, sf).filter((F.col(HOST) != "ws-4") | (F.col("page") != 1))
+    cut = F.when((F.col(HOST) == "ws-2") & (F.col("page") == 1), 40)
+    t.write_job_pages(pages.withColumn("cut", cut), path)
+    jobs, unread = pg.jobs_from_pages(pg.read_job_pages(spark, path), t.workspaces(spark, sf))
+    run = runs.attach(jobs, TARGET, workspaces=t.workspaces(spark, sf), unread=unread)
+    error = F.coalesce(F.substring_index("error", ", such as", 1), F.lit("")).alias("error")
+    return run.stats.join(run.failures, HOST, "left").select(HOST, error, "scanned", "bundle_skipped", "would_update")
+
+
 @query
 def classify_deployment(spark, sf):
     path = F.when(f.is_bundle(), F.col("settings.deployment.metadata_file_path"))
@@ -388,6 +413,16 @@ def attach_by_id_capped(spark, sf):
     return r.attach_run_stats(plan)
 
 
+@query
+def by_id_run_stats(spark, sf):
+    """Counters of an applied run over an id list; what a workspace lacks is counted, not listed."""
+    run = runs.attach(
+        t.jobs(spark, sf), TARGET, job_id=EXPLICIT_IDS, job_ids_from=t.job_id_file(spark, sf),
+        hosts=t.hosts(spark, sf), limit=75, results=t.update_results(spark, sf),
+    )
+    return run.stats
+
+
 @query
 def detach_by_id(spark, sf):
     return flat_detach(de.detach_by_id(t.jobs(spark, sf), _id_list(spark, sf), t.hosts(spark, sf), TARGET))
@@ -478,10 +513,10 @@ def removal_log_retried(spark, sf):
 
 @query
 def run_stats_all_workspaces(spark, sf):
-    """Only one workspace has jobs of this name; the others count zero."""
-    jobs = t.jobs(spark, sf).filter(F.col(HOST) == "ws-1")
-    run = runs.attach(jobs, TARGET, name_filter="high", workspaces=t.workspaces(spark, sf))
-    return run.stats
+    """Names start with the workspace here, and the run's filter asks for those of one: the others count zero."""
+    name = F.concat(HOST, F.lit("-"), F.col("settings.name"))
+    jobs = t.jobs(spark, sf).withColumn("settings", F.col("settings").withField("name", name))
+    return runs.attach(jobs, TARGET, name_filter="ws-1-high", workspaces=t.workspaces(spark, sf)).stats
 
 
 @query
@@ -536,18 +571,16 @@ def _destinations(spark, sf) -> DataFrame:
 def destinations_from_pages(spark, sf):
     """Listing pages written as JSON, read back, checked to be whole, and resolved."""
     path = staging_path(spark, "destination-pages")
-    t.destination_pages(spark, sf).withColumn("next_page_token", F.lit("")).write.json(path)
-    pages = s.read_destination_pages(spark, path)
-    return dest.resolve_destination(s.scan_destinations(pages), DESTINATION)
+    t.destination_pages(spark, sf).write.json(path)
+    return dest.resolve_destination(s.whole_destinations(s.read_destination_pages(spark, path)), DESTINATION)
 
 
 @query
 def cut_listings(spark, sf):
     """Workspaces of odd number have a last page that names a further one."""
-    pages = t.destination_pages(spark, sf).withColumn(
-        "next_page_token", F.when(F.col(HOST).rlike("[13579]$"), F.lit("more")).otherwise("")
-    ).withColumn("page", F.dense_rank().over(Window.partitionBy(HOST).orderBy("page")).cast("long"))
-    return s.cut_listings(pages)
+    more = F.when(F.col(HOST).rlike("[13579]$"), F.lit("more"))
+    pages = t.destination_pages(spark, sf)
+    return s.cut_listings(pages.withColumn("next_page_token", F.coalesce("next_page_token", more)))
 
 
 @query

@@ -138,8 +138,21 @@ def retried_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.unionByName(once.withColumn("ok", again | F.col("ok")))
 
 
+def _whole_listings(pages: DataFrame) -> DataFrame:
+    """``(workspace_host, page, items)`` with a page for every number up to a workspace's last one, and its tokens."""
+    last = pages.groupBy(HOST).agg(F.max("page").alias("last"))
+    every = last.select(HOST, "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page"))
+    token = F.concat(F.lit("page-"), F.col("page"))
+    after = F.concat(F.lit("page-"), F.col("page") + 1)
+    tokens = {
+        "page_token": F.when(F.col("page") > 0, token),
+        "next_page_token": F.when(F.col("page") < F.col("last"), after),
+    }
+    return every.join(pages, [HOST, "page"], "left").withColumns(tokens).drop("last")
+
+
 def destination_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as destinations: listing pages of five keys per workspace."""
+    """Suppliers as destinations: listing pages of five keys per workspace; some have no results."""
     suppliers = read(spark, sf_dir, "supplier").join(
         read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -156,7 +169,28 @@ def destination_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = F.transform(
         "items", lambda i: F.struct(i["id"], i["display_name"], i["destination_type"])
     )
-    return pages.select(HOST, "page", results.alias("results"))
+    return _whole_listings(pages).select(HOST, "page", "page_token", results.alias("results"), "next_page_token")
+
+
+PAGE_KEYS = 250
+
+
+def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(workspace_host, page, page_token, next_page_token, jobs)``: the jobs of ``PAGE_KEYS`` order keys a page."""
+    item = F.struct("job_id", "creator_user_name", "settings")
+    pages = jobs(spark, sf_dir).groupBy(HOST, F.floor(F.col("scan_ordinal") / PAGE_KEYS).alias("page")).agg(
+        F.collect_list(item).alias("jobs")
+    )
+    by_id = F.array_sort("jobs", lambda a, b: (a["job_id"] - b["job_id"]).cast("int"))
+    return _whole_listings(pages.withColumn("jobs", by_id))
+
+
+def write_job_pages(pages: DataFrame, path: str) -> None:
+    """Pages as JSON lines, a folder per workspace; a page with ``cut`` ends after so many characters."""
+    line = F.to_json(F.struct("page_token", "next_page_token", "jobs"))
+    cut = F.expr("substring(line, 1, cut)") if "cut" in pages.columns else F.col("line")
+    lines = pages.withColumn("line", line).select(HOST, F.coalesce(cut, "line").alias("value"))
+    lines.write.partitionBy(HOST).text(path)
 
 
 def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

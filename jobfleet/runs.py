@@ -7,7 +7,7 @@ run has one time, taken when it is called.
 """
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,7 @@ from jobfleet.sources.bundles import (
     require_roots,
 )
 from jobfleet.sources.job_ids import load_job_ids, merge_job_ids
+from jobfleet.sources.snapshots import whole_destinations
 from jobfleet.staging import stage
 
 
@@ -45,13 +46,22 @@ class Inventory:
 
 @dataclass
 class Run:
+    """``misses`` has a by-id run's lookups that found nothing, ``unread`` the workspaces left out."""
+
     plan: DataFrame
     stats: DataFrame
+    misses: DataFrame | None = field(default=None, kw_only=True)
+    unread: DataFrame | None = field(default=None, kw_only=True)
+
+    @property
+    def failures(self) -> DataFrame:
+        """``(workspace_host, error)`` of the workspaces that failed, each by itself."""
+        return reports.failures(self.stats, self.unread)
 
     @property
     def failed(self) -> bool:
         """Whether any workspace had errors."""
-        return reports.run_failed(self.stats)
+        return reports.run_failed(self.stats, self.unread)
 
 
 @dataclass
@@ -116,8 +126,12 @@ def resolve(
 ) -> tuple[DataFrame, Column]:
     """Jobs with their workspace's id for a destination name, and that id's column.
 
-    Fails before anything is planned when a workspace lacks the destination.
+    ``destinations`` are listed destinations or the pages of the listings. Pages have to be whole: a
+    destination may stand on one that is missing. Fails before anything is planned when a listing breaks
+    off or a workspace lacks the destination.
     """
+    if "results" in destinations.columns:
+        destinations = whole_destinations(destinations)
     resolved = dest.resolve_destination(destinations, name)
     dest.require_destination(workspaces, resolved, name)
     return dest.with_destination(jobs, resolved), F.col("webhook_id")
@@ -132,6 +146,14 @@ def _explicit_ids(
     return merge_job_ids(spark, job_id, from_file)
 
 
+def _readable(hosts: Sequence[str], unread: DataFrame | None) -> list[str]:
+    """The named workspaces without those that could not be read, in which nothing is looked up."""
+    if unread is None:
+        return list(hosts)
+    named = {row[HOST] for row in unread.filter(F.col(HOST).isin(list(hosts))).select(HOST).collect()}  # of the caller's list
+    return [h for h in hosts if h not in named]
+
+
 def _now() -> Column:
     return F.lit(datetime.now(timezone.utc))
 
@@ -156,19 +178,24 @@ def attach(
     limit: int | None = None,
     results: DataFrame | None = None,
     workspaces: DataFrame | None = None,
+    unread: DataFrame | None = None,
 ) -> Run:
     """Attach a destination to explicit jobs of ``hosts``, or else to all matching jobs.
 
     ``results`` says which updates went through; without it the run is dry.
-    ``workspaces`` names those that get counters even where nothing matched.
+    ``workspaces`` names those that get counters even where nothing matched,
+    ``unread`` those that could not be read (``jobs_from_pages``): they fail, all others are planned.
     """
     scope = {"tag": tag, "owners": owner}
     ids = _explicit_ids(jobs.sparkSession, job_id, job_ids_from)
     if ids is not None:
-        plan = attaching.attach_by_id(
-            jobs, ids, hosts, webhook_id, events=events, limit=limit, results=results, **scope
+        run = attaching.attach_lookup(
+            jobs, ids, _readable(hosts, unread), webhook_id, events=events, limit=limit, results=results, **scope
         )
+        plan, misses = run.found, run.misses()
+        stats = reports.with_misses(reports.attach_run_stats(plan), run.miss_counts())
     else:
+        misses = None
         plan = attaching.attach_walk(
             jobs,
             webhook_id,
@@ -179,7 +206,8 @@ def attach(
             results=results,
             **scope,
         )
-    return Run(plan, _filled(reports.attach_run_stats(plan), workspaces))
+        stats = reports.attach_run_stats(plan)
+    return Run(plan, _filled(stats, workspaces), misses=misses, unread=unread)
 
 
 def detach(
@@ -201,6 +229,7 @@ def detach(
     bundle_report: str = "",
     removal_log: str = "",
     workspaces: DataFrame | None = None,
+    unread: DataFrame | None = None,
 ) -> DetachRun:
     """Detach a destination; explicit jobs without an id lose every webhook.
 
@@ -210,8 +239,9 @@ def detach(
     scope = {"tag": tag, "owners": owner}
     ids = _explicit_ids(jobs.sparkSession, job_id, job_ids_from)
     if ids is not None:
-        plan = detaching.detach_by_id(jobs, ids, hosts, webhook_id, results=results, **scope)
-        report = None
+        run = detaching.detach_lookup(jobs, ids, _readable(hosts, unread), webhook_id, results=results, **scope)
+        plan, misses, report = run.found, run.misses(), None
+        stats = reports.with_misses(reports.detach_run_stats(plan), run.miss_counts())
     else:
         plan = detaching.detach_walk(
             jobs,
@@ -223,6 +253,7 @@ def detach(
             results=results,
             **scope,
         )
+        misses, stats = None, reports.detach_run_stats(plan)
         report = detaching.bundle_report(plan, metadata)
         sinks.write_bundle_report_csv(report, bundle_report)
     removals = None
@@ -231,7 +262,7 @@ def detach(
         removals = detaching.removal_records(plan, metadata, when)
         if removal_log:
             sinks.append_removal_log(removals, removal_log)
-    return DetachRun(plan, _filled(reports.detach_run_stats(plan), workspaces), report, removals)
+    return DetachRun(plan, _filled(stats, workspaces), report, removals, misses=misses, unread=unread)
 
 
 def create_destination(

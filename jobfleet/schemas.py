@@ -49,6 +49,18 @@ JOBS = _struct(
     settings=SETTINGS,
 )
 
+# One page of a workspace's job listing: the token it was asked for with (none for the
+# first), its jobs, and the token of the page after it (none for the last).
+JOB_PAGES = _struct(
+    workspace_host=T.StringType(),
+    page_token=T.StringType(),
+    next_page_token=T.StringType(),
+    jobs=T.ArrayType(
+        _struct(job_id=T.LongType(), creator_user_name=T.StringType(), settings=SETTINGS)
+    ),
+)
+LISTING_FAULTS = _struct(workspace_host=T.StringType(), error=T.StringType())
+
 # The columns that a bundle's metadata adds to an inventory.
 METADATA_FIELDS = (
     "bundle_name",
@@ -71,6 +83,7 @@ DESTINATIONS = _struct(
 DESTINATION_PAGES = _struct(
     workspace_host=T.StringType(),
     page=T.LongType(),
+    page_token=T.StringType(),
     results=T.ArrayType(
         _struct(
             id=T.StringType(),

@@ -50,14 +50,25 @@ def read_metadata_documents(spark: SparkSession, root: str, workspace_root: str
 
 
 def cut_listings(pages: DataFrame) -> DataFrame:
-    """Workspaces whose listing breaks off: the last page names a next one, or a page is missing."""
-    token = F.nullif("next_page_token", F.lit(""))
-    last = pages.groupBy(HOST).agg(
-        F.max_by(F.struct(token.alias("token")), "page").alias("last"),
-        (F.max("page") - F.min("page") + 1).alias("span"),
-        F.count_distinct("page").alias("pages"),
+    """Workspaces whose listing is not whole.
+
+    Every page is held against the one after it: a page that names a next one must have it, asked for with that very token
+    where the pages say so, and the last page names none. Pages that are there twice, and a first page
+    that was asked for with a token, break a listing too.
+    """
+    token = F.coalesce("next_page_token", F.lit(""))
+    asked = F.col("page_token") if "page_token" in pages.columns else F.lit(None).cast("string")
+    links = pages.groupBy(HOST, "page").agg(
+        F.count(F.lit(1)).alias("n"), F.min(token).alias("names"), F.min(F.nullif(asked, F.lit(""))).alias("asked")
     )
-    return last.filter(F.col("last.token").isNotNull() | (F.col("span") != F.col("pages"))).select(HOST)
+    after = links.select(HOST, (F.col("page") - 1).alias("page"), F.lit(True).alias("is_there"), F.col("asked").alias("asked_next"))
+    joined = links.join(after, [HOST, "page"], "full")
+    there, names = F.coalesce("is_there", F.lit(False)), F.coalesce("names", F.lit(""))
+    other = F.coalesce(F.col("asked_next") != names, F.lit(False))
+    # rows without ``n`` stand before the first page, or in a gap; a listing has one of them
+    fault = F.when(F.col("n").isNull(), F.col("asked_next").isNotNull()).otherwise((F.col("n") > 1) | ((names != "") != there) | (there & other))
+    told = joined.groupBy(HOST).agg(F.bool_or(fault).alias("fault"), F.count_if(F.col("n").isNull()).alias("starts"))
+    return told.filter(F.col("fault") | (F.col("starts") > 1)).select(HOST)
 
 
 class CutListings(ValueError):
@@ -72,6 +83,12 @@ def require_whole_listings(pages: DataFrame) -> None:
         raise CutListings(f"{count} destination listing(s) break off, such as those of {some}")
 
 
+def whole_destinations(pages: DataFrame) -> DataFrame:
+    """The destinations of listing pages, after a check that every listing is whole."""
+    require_whole_listings(pages)
+    return scan_destinations(pages)
+
+
 def _first(document: Column, *paths: str) -> Column:
     values = [F.nullif(value_at(document, path, "string"), F.lit("")) for path in paths]
     return F.coalesce(*values)

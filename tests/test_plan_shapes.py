@@ -8,7 +8,7 @@ import pytest
 from jobfleet.operators import reports as r
 from jobfleet.operators.enrich import enrich_bundles
 from jobfleet.operators.walk import job_facts, matched_jobs
-from jobfleet.plans.attach import attach_walk
+from jobfleet.plans.attach import attach_lookup, attach_walk
 from jobfleet.plans.detach import detach_walk
 from jobfleet.plans.updates import next_snapshot
 from jobfleet.queries import registry, tables
@@ -72,10 +72,43 @@ def test_capped_plans_filter_by_a_broadcast_stop(jobs):
     assert "Window" not in plan and "SortMergeJoin" not in plan
 
 
-def test_only_planned_rows_meet_the_results(spark, jobs):
-    results = tables.update_results(spark, SF_DIR).hint("merge")
-    plan = physical(detach_walk(jobs, "wh-3", results=results))
-    assert plan.count("SortMergeJoin") == 1 and "Union" in plan
+def test_applied_and_capped_runs_scan_the_fleet_once(spark, jobs):
+    results = tables.update_results(spark, SF_DIR)
+    fleet_schema = re.compile(r"ReadSchema: struct<[^\n]*settings")
+    for planner in (attach_walk, detach_walk):
+        for limit in (None, 20):
+            plan = physical(planner(jobs, "wh-3", results=results, limit=limit))
+            assert len(fleet_schema.findall(plan)) == 1 and "Union" not in plan
+            assert "Exchange hashpartitioning" not in plan  # few verdicts are broadcast
+
+
+def test_rows_that_were_not_sent_do_not_meet_in_one_task(spark, jobs):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = attach_walk(jobs, "wh-3", results=tables.update_results(spark, SF_DIR))
+        text = physical(plan)
+        assert text.count("SortMergeJoin") == 1 and "hashpartitioning(sent_host" in text
+        keys = plan.filter("outcome not in ('updated', 'errored')").count()
+        assert keys > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_lookups_join_the_fleet_once_and_have_no_row_per_miss(spark, jobs):
+    ids = spark.range(5000).selectExpr("id as job_id", "id as pos")
+    run = attach_lookup(jobs, ids, ["ws-0", "ws-1", "ws-2"], "wh-3", limit=50)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (run.found, r.with_misses(r.attach_run_stats(run.found), run.miss_counts())):
+            plan = physical(frame)
+            assert "Generate" not in plan and "explode" not in plan
+            scans = re.findall(r"ReadSchema: struct<[^\n]*job_id[^\n]*settings", plan)
+            assert len(scans) <= 2  # the plan's rows, and again to count what was found
+        assert physical(attach_lookup(jobs, ids, ["ws-0"], "wh-3").found).count("hashpartitioning(job_id") == 2  # jobs and ids
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_metadata_join_broadcasts_by_size_and_is_left_out_unless_asked(spark, jobs):

@@ -7,7 +7,7 @@ from jobfleet.operators import caps
 from jobfleet.operators import destinations as dest
 from jobfleet.operators import reports as r
 from jobfleet.operators.walk import matched_jobs
-from jobfleet.plans.attach import attach_by_id, attach_walk
+from jobfleet.plans.attach import attach_by_id, attach_lookup, attach_walk
 from jobfleet.plans.detach import bundle_report, detach_by_id, detach_walk, removal_records
 from jobfleet.plans.inventory import inventory_rows
 from jobfleet.plans.updates import apply_changes, changes, next_snapshot
@@ -142,6 +142,20 @@ def test_attach_by_id(spark, rows, jobs, results, limit):
         assert stats.errored == values.count("errored") + values.count("lookup_failed")
 
 
+@pytest.mark.parametrize("limit", [None, 0, 1, 4, 900])
+@pytest.mark.parametrize("ids", [[9999, 3, 0, 50, 7, 9998, 12, 120, 5, 77, 200, 31], [9999, 9998], []])
+def test_counted_misses_are_those_listed(spark, jobs, results, limit, ids, monkeypatch):
+    monkeypatch.setattr("jobfleet.operators.order.WIDTH", 3)
+    listed = attach_by_id(jobs, ids_frame(spark, ids), HOSTS, "x", limit=limit, results=results)
+    run = attach_lookup(jobs, ids_frame(spark, ids), HOSTS, "x", limit=limit, results=results)
+    counted = r.with_misses(r.attach_run_stats(run.found), run.miss_counts())
+    want = {tuple(s) for s in r.attach_run_stats(listed).collect()}
+    assert {tuple(s) for s in counted.collect() if s.scanned} == want
+    assert run.found.filter("outcome = 'lookup_failed'").isEmpty()
+    missed = {(m.workspace_host, m.job_id) for m in run.misses().collect()}
+    assert missed == {(p.workspace_host, p.job_id) for p in listed.filter("not matched").collect()}
+
+
 @pytest.mark.parametrize("webhook_id", ["x", "", None])
 def test_detach_by_id(spark, rows, jobs, webhook_id):
     ids = list(range(0, 260, 3))

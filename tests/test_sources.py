@@ -1,3 +1,4 @@
+import gzip
 import json
 from pathlib import Path
 
@@ -5,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import block, fleet, job
-from jobfleet.schemas import HOST
+from jobfleet import runs
+from jobfleet.schemas import DESTINATION_PAGES, HOST
 from jobfleet.sources import bundles as b
 from jobfleet.sources import job_ids as ids
+from jobfleet.sources import pages as pg
 from jobfleet.sources import snapshots as s
 
 
@@ -189,3 +192,96 @@ def test_id_cells_may_hold_line_breaks_and_every_file_a_header(spark, tmp_path):
     (tmp_path / "2.csv").write_text('job_id,name\n3,"a\nb"\n')
     found = ids.load_job_ids(spark, str(tmp_path), multi_line=True)
     assert sorted(x.job_id for x in found.collect()) == [1, 2, 3]
+
+
+# Listings page by page ------------------------------------------------------
+
+
+def listing(host, count, start=0, size=2):
+    """A whole listing of ``count`` pages, as JSON lines."""
+    pages = []
+    for k in range(count):
+        listed = [{"job_id": start + k * size + i, "settings": {"name": f"job {i}"}} for i in range(size)]
+        page = {"jobs": listed, "page_token": f"{host}{k}" if k else None, "next_page_token": f"{host}{k + 1}" if k + 1 < count else ""}
+        pages.append(json.dumps(page))
+    return pages
+
+
+def export(folder, listings):
+    for host, pages in listings.items():
+        place = folder / f"workspace_host={host}"
+        place.mkdir(parents=True)
+        for part in range(3):  # pages in any order, dealt to files
+            (place / f"part-{part}.json").write_text("\n".join(pages[part::3][::-1]) + "\n")
+    return str(folder)
+
+
+def faults_of(spark, path, hosts=()):
+    workspaces = spark.createDataFrame([(h,) for h in hosts], "workspace_host string") if hosts else None
+    jobs, faults = pg.jobs_from_pages(pg.read_job_pages(spark, path), workspaces)
+    return jobs, {f.workspace_host: f.error for f in faults.collect()}
+
+
+def test_jobs_are_listed_in_the_order_of_the_chain(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("jobfleet.operators.order.WIDTH", 4)
+    path = export(tmp_path, {"a": listing("a", 37), "b": listing("b", 1, 1000), "c": ['{"jobs": [], "next_page_token": null}']})
+    jobs, faults = faults_of(spark, path)
+    found = sorted((j.workspace_host, j.scan_ordinal, j.job_id) for j in jobs.collect())
+    assert found == [("a", k, k) for k in range(74)] + [("b", 0, 1000), ("b", 1, 1001)]
+    assert faults == {} and jobs.columns == fleet(spark, []).columns
+
+
+def test_each_kind_of_fault_fails_its_own_workspace(spark, tmp_path):
+    whole = {h: listing(h, 9) for h in ("ok", "cut", "text", "number", "gap", "start", "twice", "circle", "apart", "empty")}
+    whole["cut"][4] = whole["cut"][4][:30]
+    whole["text"][4] = "no page at all"
+    whole["number"][4] = whole["number"][4].replace('"job_id": 8', '"job_id": "eight"')
+    del whole["gap"][5], whole["start"][0]
+    whole["twice"].append(whole["twice"][3])
+    whole["circle"][8] = whole["circle"][8].replace('"next_page_token": ""', '"next_page_token": "circle4"')
+    whole["apart"] += ['{"jobs": [], "page_token": "x", "next_page_token": "y"}', '{"jobs": [], "page_token": "y", "next_page_token": ""}']
+    whole["empty"] = []
+    jobs, faults = faults_of(spark, export(tmp_path, whole), ["ok", "cut", "empty", "absent"])
+    assert {j.workspace_host for j in jobs.collect()} == {"ok"}
+    told = {h: e.split(", such as")[0] for h, e in faults.items()}
+    unreadable, broken = "1 record(s) cannot be read", "the listing breaks off before its last page"
+    assert told == {
+        "cut": unreadable, "text": unreadable, "number": unreadable, "gap": broken, "circle": broken,
+        "start": "the first page is missing", "twice": "a page is there twice: twice3",
+        "apart": "2 page(s) belong to no listing", "empty": "nothing was exported", "absent": "nothing was exported",
+    }
+
+
+def test_a_file_that_ends_early_fails_its_own_workspace(spark, tmp_path):
+    """A compressed part that was cut off: what it still held of its last pages does not pass for a listing."""
+    path = export(tmp_path, {"ok": listing("ok", 4), "torn": []})
+    data = gzip.compress("\n".join(listing("torn", 400, size=30)).encode())
+    (tmp_path / "workspace_host=torn" / "part-9.json.gz").write_bytes(data[: len(data) // 2])
+    jobs, faults = faults_of(spark, path)
+    assert {j.workspace_host for j in jobs.collect()} == {"ok"} and list(faults) == ["torn"]
+
+
+@pytest.mark.parametrize("change", ["none", "last", "gap", "first", "token", "twice"])
+def test_every_way_a_destination_listing_can_break(spark, change):
+    pages = [("h", k, f"p{k}" if k else None, f"p{k + 1}" if k < 4 else None) for k in range(5)] + [("g", 7, None, "")]
+    if change == "last":
+        pages[4] = ("h", 4, "p4", "p5")
+    elif change in ("gap", "first"):
+        del pages[2 if change == "gap" else 0]
+    elif change == "token":
+        pages[2] = ("h", 2, "other", "p3")
+    elif change == "twice":
+        pages.append(pages[3])
+    frame = spark.createDataFrame(pages, "workspace_host string, page long, page_token string, next_page_token string")
+    assert [x.workspace_host for x in s.cut_listings(frame).collect()] == ([] if change == "none" else ["h"])
+
+
+def test_a_run_over_a_cut_listing_is_refused(spark):
+    pages = [("h", 0, None, [("d1", "hook", "W")], "more"), ("g", 0, None, [("d2", "hook", "W")], None)]
+    frame = spark.createDataFrame(pages, DESTINATION_PAGES)
+    jobs = fleet(spark, [job(1, host="h"), job(2, host="g")])
+    workspaces = spark.createDataFrame([("h",), ("g",)], "workspace_host string")
+    with pytest.raises(s.CutListings, match="such as those of \\['h'\\]"):
+        runs.resolve(jobs, frame, "hook", workspaces)
+    named, webhook_id = runs.resolve(jobs, frame.withColumn("next_page_token", F.lit(None).cast("string")), "hook", workspaces)
+    assert {(x.job_id, x.id) for x in named.select("job_id", webhook_id.alias("id")).collect()} == {(1, "d1"), (2, "d2")}
