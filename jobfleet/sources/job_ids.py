@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobfleet.sources.quoted import first_cells
 from jobfleet.staging import stage
 
 # An integer as a cell may spell it, and white space to trim.
@@ -16,28 +17,32 @@ class BadJobIds(ValueError):
     """An id file has a bad cell or no ids at all."""
 
 
+def _plain_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, start, line, cell)`` of files whose records are lines."""
+    return spark.read.schema("cell string").csv(path, header=False, escape='"').select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+        "cell",
+    )
+
+
 def read_first_column(
     spark: SparkSession, path: str | list[str], multi_line: bool = False
 ) -> DataFrame:
     """``(pos, cell, file)`` of text or CSV files: trimmed first cells, blank ones left out.
 
     With ``multi_line`` quoted cells may hold line breaks, as in an inventory
-    CSV; each file is then read by one task.
+    CSV. Either way a large file is read by many tasks.
 
-    ``pos`` counts lines in file order. Each input split numbers its own lines;
+    ``pos`` counts records in file order. Each input split numbers its own lines;
     the counts of the few splits then give every split its offset.
     """
-    schema = "cell string"
-    cell = F.regexp_replace("cell", EDGES, "")
-    lines = stage(
-        spark.read.schema(schema).csv(path, header=False, escape='"', multiLine=multi_line).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("line"),
-            cell.alias("cell"),
-        ),
-        "id-lines",
-    )
+    if multi_line:
+        cells = first_cells(spark, path).select("file", F.lit(0).cast("long").alias("start"), F.col("record").alias("line"), "cell")
+    else:
+        cells = _plain_cells(spark, path)
+    lines = stage(cells.withColumn("cell", F.regexp_replace("cell", EDGES, "")), "id-lines")
     splits = lines.groupBy("file", "start").agg(
         F.min("line").alias("first"), (F.max("line") - F.min("line") + 1).alias("size")
     )
