@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobfleet.functions.filters import creator_label
+from jobfleet.operators.caps import RANKED_ROWS
+from jobfleet.operators.order import numbered
 from jobfleet.plans import outcomes as o
 from jobfleet.schemas import BUNDLE, HOST, ORDINAL
+from jobfleet.staging import stage
 
 
 def inventory_summary(matched: DataFrame) -> DataFrame:
@@ -27,16 +30,31 @@ def _percent(part: str) -> Column:
 
 
 def _top(rows: DataFrame, label: Column, name: str, n: int) -> DataFrame:
-    # Ties go to the label met first in the listing.
+    """The ``n`` most frequent labels of each workspace; ties go to the label met first in the listing.
+
+    Up to ``RANKED_ROWS`` every task sends its first n rows per workspace. For more, the counts themselves are
+    added up first: a workspace has few different ones, and they say where the cut lies. The labels above
+    it are then put in one order over all tasks, so that no workspace is ranked in one.
+    """
     counts = rows.groupBy(HOST, label.alias(name)).agg(
         F.count("*").alias("jobs"), F.min(ORDINAL).alias("first_met")
     )
-    order = Window.partitionBy(HOST).orderBy(F.desc("jobs"), "first_met")
-    return (
-        counts.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= n)
-        .select(HOST, name, "jobs", F.col("position").cast("long"))
-    )
+    if n <= RANKED_ROWS:
+        order = Window.partitionBy(HOST).orderBy(F.desc("jobs"), "first_met")
+        ranked = counts.withColumn("position", F.row_number().over(order))
+    else:
+        ranked = _ranked(stage(counts, "label-counts"), n)
+    return ranked.filter(F.col("position") <= n).select(HOST, name, "jobs", F.col("position").cast("long"))
+
+
+def _ranked(counts: DataFrame, n: int) -> DataFrame:
+    above = Window.partitionBy(HOST).orderBy(F.desc("jobs")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = counts.groupBy(HOST, "jobs").agg(F.count("*").alias("labels"))
+    before = F.coalesce(F.sum("labels").over(above), F.lit(0))
+    wanted = stage(levels.withColumn("before", before).filter(F.col("before") < n).select(HOST, "jobs"), "top-levels")
+    placed = numbered(counts.join(wanted, [HOST, "jobs"], "left_semi"), [F.col(HOST), F.desc("jobs"), F.col("first_met")])
+    first = stage(placed.groupBy(HOST).agg(F.min("number").alias("first")), "workspace-firsts")
+    return placed.join(first, HOST).withColumn("position", F.col("number") - F.col("first") + 1)
 
 
 def top_creators(matched: DataFrame, n: int = 10) -> DataFrame:

@@ -434,6 +434,11 @@ def oracle_sql() -> dict[str, str]:
         _top("coalesce(nullif(creator, ''), '<unknown>')", "creator", "jobs"),
         body="SELECT workspace_host, creator, jobs, position FROM ranked WHERE position <= 10",
     )
+    q["top_creators_large"] = _with(
+        JOBS,
+        _top("'user' || (job_id * job_id % 1009)", "creator", "jobs"),
+        body="SELECT workspace_host, creator, jobs, position FROM ranked WHERE position <= 150",
+    )
     q["top_bundles"] = _with(
         JOBS,
         METADATA,
@@ -658,6 +663,19 @@ planned AS (
         + "\n)"
     )
 
+    def age(policy: str, day: int, changed: str, ticket: str) -> str:
+        part = _with(JOBS, METADATA, _detach(policy, applied=True), body=_removals(f"2024-01-0{day} 00:00:00"))
+        return f"SELECT * REPLACE ({changed}), {ticket} AS ticket FROM (\n{part}\n)"
+
+    text = "CAST(is_bundle AS VARCHAR) AS is_bundle"
+    q["removal_log_evolved"] = "\nUNION ALL\n".join(
+        [
+            age("skip", 1, "'<null>' AS is_bundle, '<null>' AS git_branch", "'<null>'"),
+            age("only", 2, text, "'<null>'"),
+            age("only", 3, text, "'T-' || job_id"),
+        ]
+    )
+
     # Destinations, errors, hosts
     q["scan_destinations"] = _with(
         DESTINATIONS, body="SELECT workspace_host, id, display_name, destination_type FROM destinations"

@@ -32,6 +32,7 @@ OWNERS = ["user1@example.com", "user7@example.com", "user42@example.com"]
 EXPLICIT_IDS = [5, 37, 999999999]
 SCANNED_AT = "2024-01-01 00:00:00"
 LATER = "2024-01-02 00:00:00"
+NEWEST = "2024-01-03 00:00:00"
 DESTINATION = "hook-0"
 PARTLY_MISSING = "hook-1"
 BUNDLE_OWNERS = ["user7", "user12", "user24", "user33"]
@@ -237,6 +238,14 @@ def top_creators(spark, sf):
     return r.top_creators(matched_jobs(t.jobs(spark, sf)), 10)
 
 
+@query
+def top_creators_large(spark, sf):
+    """The first 150 of each workspace, where it has hundreds of creators."""
+    creator = F.concat(F.lit("user"), F.col("job_id") * F.col("job_id") % 1009)
+    jobs = t.jobs(spark, sf).withColumn("creator_user_name", creator)
+    return r.top_creators(matched_jobs(jobs), 150)
+
+
 @query
 def top_bundles(spark, sf):
     enriched = enrich_bundles(matched_jobs(t.jobs(spark, sf)), t.metadata(spark, sf))
@@ -560,6 +569,19 @@ def audit_recent(spark, sf):
     return flat_log(r.audit_recent(s.read_removal_log(spark, path)))
 
 
+@query
+def removal_log_evolved(spark, sf):
+    """A log of three ages: an older part lacks two columns, a newer one has one more."""
+    path = staging_path(spark, "removal-log")
+    sinks.append_removal_log(_removals(spark, sf, "skip", SCANNED_AT).drop("git_branch", "is_bundle"), path)
+    sinks.append_removal_log(_removals(spark, sf, "only", LATER), path)
+    newer = _removals(spark, sf, "only", NEWEST).withColumn("ticket", F.concat(F.lit("T-"), F.col("job_id")))
+    sinks.append_removal_log(newer, path)
+    log = flat_log(s.read_removal_log(spark, path))
+    blank = {c: F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in ("git_branch", "is_bundle", "ticket")}
+    return log.withColumns(blank)
+
+
 # Destinations, errors, hosts ---------------------------------------------
 
 

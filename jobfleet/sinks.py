@@ -1,13 +1,18 @@
 """Writers of inventories, reports and the removal log."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from jobfleet.schemas import (
     BUNDLE_REPORT_COLUMNS,
     HOST,
+    INVENTORY,
     INVENTORY_CSV_COLUMNS,
+    REMOVAL_LOG,
     SESSION_VIEW,
 )
+from jobfleet.sources.snapshots import evolved_schema
 from jobfleet.staging import spread
 
 
@@ -38,12 +43,38 @@ def write_bundle_report_csv(report: DataFrame, path: str) -> bool:
     return _write_csv(report, path, BUNDLE_REPORT_COLUMNS)
 
 
+class SchemaConflict(ValueError):
+    """Rows to be written have a column that the table knows with another type."""
+
+
+def _check_columns(rows: DataFrame, path: str, known: T.StructType) -> None:
+    """New columns may widen a table; those it has keep their types, in all parts and in ``known``."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    has_rows = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    try:
+        table = evolved_schema(spark, path, known) if has_rows else known
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # a folder without parts
+            raise
+        table = known
+    types = {f.name.lower(): (f.name, f.dataType.simpleString()) for f in table.fields}
+    for field in rows.schema.fields:
+        name, kind = types.get(field.name.lower(), (field.name, field.dataType.simpleString()))
+        if (name, kind) != (field.name, field.dataType.simpleString()):
+            raise SchemaConflict(f"{path} has {name} as {kind}; the rows have {field.name} as {field.dataType.simpleString()}")
+    if HOST not in rows.columns:
+        raise SchemaConflict(f"rows for {path} need {HOST}, by which the table is partitioned")
+
+
 def overwrite_inventory(inventory: DataFrame, path: str) -> None:
     """Replace the partitions of the workspaces that have rows; keep all others.
 
     A workspace scanned with a filter keeps only the rows that passed it, and
-    one without rows keeps its old partition.
+    one without rows keeps its old partition. Rows may have more columns than older
+    partitions, whose rows then have nulls there.
     """
+    _check_columns(inventory, path, INVENTORY)
     (
         spread(inventory, HOST)
         .write.mode("overwrite")
@@ -54,7 +85,8 @@ def overwrite_inventory(inventory: DataFrame, path: str) -> None:
 
 
 def append_removal_log(records: DataFrame, path: str) -> None:
-    """Add rows to the log; earlier rows are never touched."""
+    """Add rows to the log; earlier rows are never touched. More columns than earlier rows have are allowed."""
+    _check_columns(records, path, REMOVAL_LOG)
     spread(records, HOST).write.mode("append").partitionBy(HOST).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobfleet.functions.paths import path_below
 from jobfleet.functions.variants import is_object, strict_json, value_at
@@ -118,9 +119,26 @@ def bundle_metadata(documents: DataFrame) -> DataFrame:
     return chosen.select("path", *[columns[field].alias(field) for field in METADATA_FIELDS])
 
 
+def _read_evolved(spark: SparkSession, path: str, known: T.StructType) -> DataFrame:
+    """A table whose parts were written over time: the known columns, then any more that some part has.
+
+    Parts are merged by name. A part without a column gives nulls for it.
+    """
+    schema = evolved_schema(spark, path, known)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def evolved_schema(spark: SparkSession, path: str, known: T.StructType) -> T.StructType:
+    """The known columns with their types, and the further columns of the table's parts."""
+    merged = spark.read.option("mergeSchema", "true").parquet(path).schema
+    return T.StructType([*known.fields, *[f for f in merged.fields if f.name not in known.names]])
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INVENTORY).parquet(path)
+    """The inventory table with the columns of all its parts; older ones may lack some."""
+    return _read_evolved(spark, path, INVENTORY)
 
 
 def read_removal_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REMOVAL_LOG).parquet(path)
+    """The removal log with the columns of all its parts; older ones may lack some."""
+    return _read_evolved(spark, path, REMOVAL_LOG)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +284,28 @@ def test_top_creators_break_ties_by_first_encounter(spark):
     assert r.top_creators(fleet(spark, rows), 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 40, 10_000])
+def test_top_of_any_length_is_one_order(spark, monkeypatch, n):
+    """Ranked over many tasks, with sparse ordinals and half of the labels met once, as in one window."""
+    rng = random.Random(n)
+    names = [f"c{min(int(rng.expovariate(0.05)), rng.randrange(1, 400))}" for _ in range(600)] + [f"once{k}" for k in range(300)]
+    rng.shuffle(names)
+    rows = [job(k, host="h1" if k % 3 else f"h{k % 7}", ordinal=k << 40, creator=c) for k, c in enumerate(names)]
+    jobs = fleet(spark, rows)
+    want = sorted(tuple(x) for x in r.top_creators(jobs, n).collect()) if n <= r.RANKED_ROWS else None
+    monkeypatch.setattr(r, "RANKED_ROWS", 0)
+    top = r.top_creators(jobs, n)
+    got = sorted(tuple(x) for x in top.collect())
+    if want is None:
+        want = []
+        for host in {x[0] for x in rows}:
+            met = [x[3] for x in rows if x[0] == host]
+            order = sorted(set(met), key=lambda c: (-met.count(c), met.index(c)))
+            want += [(host, c, met.count(c), k) for k, c in enumerate(order, 1)]
+        want.sort()
+    assert got == want
+
+
 def test_summary_shares(spark):
     rows = [job(i, kind="BUNDLE" if i < 71 else None) for i in range(184)]
     s = r.inventory_summary(matched_jobs(fleet(spark, rows))).first()

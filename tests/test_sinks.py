@@ -1,3 +1,4 @@
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,8 @@ from jobfleet import sinks
 from jobfleet.operators.walk import matched_jobs
 from jobfleet.plans.detach import detach_walk, removal_records
 from jobfleet.plans.inventory import inventory_rows
-from jobfleet.schemas import SESSION_VIEW, UPDATE_RESULTS
+from jobfleet.schemas import INVENTORY, REMOVAL_LOG, SESSION_VIEW, UPDATE_RESULTS
+from jobfleet.sources import snapshots
 from jobfleet.sources.snapshots import read_inventory, read_removal_log
 from jobfleet.staging import staging_root
 
@@ -91,3 +93,50 @@ def test_staged_tables_can_be_removed(spark, tmp_path, monkeypatch):
     assert staging.stage(spark.range(3), "three").count() == 3
     staging.clear_staged(spark)
     assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
+# Parts of different ages ---------------------------------------------------
+
+
+def log_row(host, job_id, **more):
+    row = {f.name: "" for f in REMOVAL_LOG.fields} | {"workspace_host": host, "job_id": job_id, "is_bundle": False}
+    return row | {"deleted_at": datetime(2024, 1, 1), "webhook_ids_removed": ["x"], "events_affected": []} | more
+
+
+def log_rows(spark, *rows):
+    return spark.createDataFrame([tuple(r[f.name] for f in REMOVAL_LOG.fields) for r in rows], REMOVAL_LOG)
+
+
+def test_parts_of_a_log_may_lack_columns_and_have_more(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sinks.append_removal_log(log_rows(spark, log_row("01", 1)).drop("git_commit", "events_affected"), path)
+    sinks.append_removal_log(log_rows(spark, log_row("01", 2)), path)
+    sinks.append_removal_log(log_rows(spark, log_row("b", 3)).withColumn("ticket", F.lit(7)), path)
+    log = snapshots.read_removal_log(spark, path)
+    assert log.columns == [*(f.name for f in REMOVAL_LOG.fields), "ticket"]
+    found = {r.job_id: (r.workspace_host, r.git_commit, r.events_affected, r.ticket) for r in log.collect()}
+    assert found == {1: ("01", None, None, None), 2: ("01", "", [], None), 3: ("b", "", [], 7)}
+
+
+def test_columns_keep_their_types(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), log_rows(spark, log_row("a", 1))
+    bad = [rows.withColumn("job_id", F.col("job_id").cast("string")), rows.withColumnRenamed("name", "NAME"), rows.drop("workspace_host")]
+    for frame in bad:  # an empty table knows its own columns
+        with pytest.raises(sinks.SchemaConflict):
+            sinks.append_removal_log(frame, path)
+    sinks.append_removal_log(rows.withColumn("ticket", F.lit(7)), path)
+    for frame in [*bad, rows.withColumn("ticket", F.lit("7"))]:
+        with pytest.raises(sinks.SchemaConflict):
+            sinks.append_removal_log(frame, path)
+    assert snapshots.read_removal_log(spark, path).count() == 1
+
+
+def test_a_wider_inventory_keeps_older_partitions(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    rows = spark.createDataFrame(
+        [("a", datetime(2024, 1, 1), 1, *[""] * 11), ("b", datetime(2024, 1, 1), 2, *[""] * 11)], INVENTORY
+    )
+    sinks.overwrite_inventory(rows, path)
+    sinks.overwrite_inventory(rows.filter("workspace_host = 'b'").withColumn("region", F.lit("eu")), path)
+    found = {r.workspace_host: r.region for r in snapshots.read_inventory(spark, path).collect()}
+    assert found == {"a": None, "b": "eu"}
