@@ -627,6 +627,12 @@ planned AS (
         LEFT JOIN (SELECT * FROM planned WHERE contains(workspace_host || '-' || name, 'ws-1-high')) p
           ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
     )
+    q["enrich_on_demand"] = _with(
+        JOBS,
+        METADATA,
+        body=f"""SELECT workspace_host, job_id, j.k % 8 = 7 AS lost, {_meta()}
+        FROM jobs j LEFT JOIN metadata m ON j.path = m.path WHERE is_bundle""",
+    )
     q["enrich_from_files"] = _with(
         JOBS,
         METADATA,
@@ -720,6 +726,9 @@ planned AS (
         FROM files WHERE pattern_pos IS NOT NULL
         UNION ALL SELECT DISTINCT p_brand, 'bundle.yml', CAST(-1 AS BIGINT) FROM part""",
     )
+    q["bundle_files_from_folder"] = q["bundle_files"].replace("p_brand AS bundle", "replace(p_brand, '#', '-') AS bundle").replace(
+        "DISTINCT p_brand", "DISTINCT replace(p_brand, '#', '-')"
+    )
     q["missing_roots"] = "SELECT DISTINCT p_brand AS bundle FROM part WHERE p_brand LIKE '%1'"
     broken = "(pattern_pos IS NOT NULL AND p_partkey % 100 = 3)"
     q["bundle_errors"] = _with(

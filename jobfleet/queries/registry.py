@@ -21,9 +21,10 @@ from jobfleet.queries import tables as t
 from jobfleet.schemas import DEFAULT_EVENTS, EVENT_FIELDS, HOST, SESSION_VIEW
 from jobfleet.sources import bundles as bs
 from jobfleet.sources import job_ids as ids
+from jobfleet.sources import on_demand as od
 from jobfleet.sources import pages as pg
 from jobfleet.sources import snapshots as s
-from jobfleet.staging import spread, staging_path
+from jobfleet.staging import spread, stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,6 +170,25 @@ def enrich_from_files(spark, sf):
     )
 
 
+@query
+def enrich_on_demand(spark, sf):
+    """Of an export with ten files per bundle only those that jobs name are read; some are missing."""
+    folder = staging_path(spark, "metadata-export")
+    documents = t.metadata_documents(spark, sf)
+    others = documents.select(F.explode(F.sequence(F.lit(1), F.lit(9))).alias("copy"), "path").select(
+        F.concat(F.col("path"), F.lit("."), "copy").alias("path"), F.lit("not asked for").alias("content")
+    )
+    t.write_files(documents.unionByName(others), folder, "/Workspace/")
+    jobs = matched_jobs(t.jobs(spark, sf))
+    fetched = od.fetch_documents(od.metadata_paths(jobs), folder, "/Workspace")
+    enriched = enrich_bundles(jobs, s.bundle_metadata(fetched)).filter("is_bundle")
+    missing = fetched.filter(F.col("error").isNotNull()).select(F.col("path").alias("metadata_path"), F.lit(True).alias("lost"))
+    return enriched.join(missing, "metadata_path", "left").select(
+        HOST, "job_id", F.coalesce("lost", F.lit(False)).alias("lost"),
+        *[f.or_blank(F.col(c)).alias(c) for c in s.METADATA_FIELDS],
+    )
+
+
 @query
 def bundle_enrich(spark, sf):
     enriched = enrich_bundles(matched_jobs(t.jobs(spark, sf)), t.metadata(spark, sf))
@@ -676,6 +696,16 @@ def bundle_files(spark, sf):
     return files.select("bundle", "path", F.col("pattern_pos").cast("long").alias("pattern_pos"))
 
 
+@query
+def bundle_files_from_folder(spark, sf):
+    """The same files in a folder per bundle, read back from there."""
+    folder = staging_path(spark, "bundles")
+    path = F.concat(F.translate("bundle", "#", "-"), F.lit("/"), F.col("path"))
+    t.write_files(t.bundle_files(spark, sf).withColumn("path", path), folder, "")
+    files = bs.discover_files(bs.read_bundle_files(spark, folder), t.ROOT_FILE)
+    return files.select("bundle", "path", F.col("pattern_pos").cast("long").alias("pattern_pos"))
+
+
 @query
 def missing_roots(spark, sf):
     files = t.bundle_files(spark, sf)
@@ -785,8 +815,8 @@ def effective_all_targets(spark, sf):
     extra = files.filter(F.col("path") == t.ROOT_FILE).select(
         "bundle", F.lit("resources/dev.yml").alias("path"), dev.alias("content")
     )
-    docs = bs.parse_documents(bs.discover_files(files.unionByName(extra), t.ROOT_FILE))
-    nodes = bs.job_nodes(docs)
+    docs = stage(bs.parse_documents(bs.discover_files(files.unionByName(extra), t.ROOT_FILE)), "bundle-documents")
+    nodes = stage(bs.job_nodes(docs), "bundle-nodes")
     patched = b.patched_bundle_jobs(b.bundle_patch_plan(nodes, TARGET))
     rows = b.effective_notifications(patched, b.override_nodes(nodes), bs.bundle_targets(docs))
     return rows.select(

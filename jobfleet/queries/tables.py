@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobfleet.schemas import EVENT_FIELDS, HOST, JOBS, SETTINGS, WEBHOOK
-from jobfleet.staging import staging_path, write_staged
+from jobfleet.staging import qualified, staging_path, write_staged
 
 ROOT_FILE = "bundle.yml"
 
@@ -237,7 +237,7 @@ def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_files(documents: DataFrame, folder: str, below: str) -> None:
     """Write ``(path, content)`` rows as files under ``folder``, by their paths below ``below``."""
-    root = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    root = qualified(documents.sparkSession, folder)
 
     def write(rows) -> None:
         from pyarrow import fs

@@ -14,6 +14,7 @@ from jobfleet.schemas import EVENT_FIELDS
 from jobfleet.staging import stage
 
 ROOT_POSITION = -1
+_PLACES = "\u0003"  # stands between a path and the numbers of its bundle's patterns
 
 # Plain scalars of the YAML 1.2 core schema.
 YAML_SCALARS = {
@@ -73,6 +74,28 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^"), pattern, F.lit("$"))
 
 
+def glob_set(globs: Column) -> Column:
+    """All patterns of a bundle as one expression, which Java compiles once for all files of the bundle.
+
+    It is held against a path followed by the numbers of the patterns (``with_places``). Its alternatives are
+    tried in order, and each one ends at its own number, so that the match tells which pattern came first.
+    """
+    parts = F.transform(
+        F.transform(globs, glob_regex),
+        lambda regex, i: F.concat(F.regexp_replace(regex, r"\$$", ""), F.lit(f"{_PLACES}(?:[0-9]+,)*?"), i.cast("string"), F.lit("(?=,)")),
+    )
+    return F.struct(F.array_join(parts, "|").alias("regex"), F.size(globs).alias("count"))
+
+
+def first_match(path: Column, patterns: Column) -> Column:
+    """The place of the first pattern of a ``glob_set`` that matches ``path``; null without one."""
+    numbers = F.array_join(F.sequence(F.lit(0), F.greatest(patterns["count"] - 1, F.lit(0))), ",")
+    subject = F.concat(path, F.lit(_PLACES), numbers, F.lit(","))
+    matched = F.call_function("regexp_extract", subject, patterns["regex"], F.lit(0))
+    place = F.regexp_extract(matched, "([0-9]+)$", 1).try_cast("int")
+    return F.when(patterns["count"] > 0, place)
+
+
 def yaml_to_json():
     """A vectorized function from YAML text to JSON text, or to what is wrong with it.
 
@@ -168,7 +191,7 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
 
     ``pattern_pos`` is the place of the first include pattern that matches (-1
     for the root). A bundle without a root file contributes nothing; see
-    ``require_roots``. A bundle's patterns travel as one array, so every file is
+    ``require_roots``. A bundle's patterns travel as one expression, so every file is
     tested once and no file-by-pattern pairs are built. The patterns are staged:
     the files themselves need no shuffle while the patterns are small.
     """
@@ -176,17 +199,13 @@ def discover_files(files: DataFrame, root_file: str) -> DataFrame:
     includes = F.coalesce(
         value_at(F.col("doc"), "$.include", "array<string>"), F.array().cast("array<string>")
     )
-    patterns = stage(
-        roots.select("bundle", F.transform(includes, glob_regex).alias("patterns")), "patterns"
-    )
-    matches = F.transform("patterns", lambda pattern: F.rlike(F.col("path"), pattern))
-    position = F.array_position(matches, True) - 1
+    patterns = stage(roots.select("bundle", glob_set(includes).alias("patterns")), "patterns")
+    is_root = F.col("path") == root_file
+    place = F.when(is_root, F.lit(ROOT_POSITION)).otherwise(first_match(F.col("path"), F.col("patterns")))
     return (
         files.join(patterns, "bundle", "left")
-        .withColumn(
-            "pattern_pos", F.when(F.col("path") == root_file, F.lit(ROOT_POSITION)).otherwise(position)
-        )
-        .filter((F.col("path") == root_file) | (position >= 0))
+        .withColumn("pattern_pos", place)
+        .filter(F.col("pattern_pos").isNotNull())
         .drop("patterns")
     )
 

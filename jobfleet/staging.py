@@ -43,6 +43,12 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark finds it on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove what this application has staged. Tables that read from it can no longer be used."""
     root = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))

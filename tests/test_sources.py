@@ -10,6 +10,7 @@ from jobfleet import runs
 from jobfleet.schemas import DESTINATION_PAGES, HOST
 from jobfleet.sources import bundles as b
 from jobfleet.sources import job_ids as ids
+from jobfleet.sources import on_demand
 from jobfleet.sources import pages as pg
 from jobfleet.sources import snapshots as s
 
@@ -285,3 +286,45 @@ def test_a_run_over_a_cut_listing_is_refused(spark):
         runs.resolve(jobs, frame, "hook", workspaces)
     named, webhook_id = runs.resolve(jobs, frame.withColumn("next_page_token", F.lit(None).cast("string")), "hook", workspaces)
     assert {(x.job_id, x.id) for x in named.select("job_id", webhook_id.alias("id")).collect()} == {(1, "d1"), (2, "d2")}
+
+
+# Metadata by name, patterns by bundle -----------------------------------------
+
+
+def test_only_named_documents_are_read_and_the_rest_are_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(on_demand, "BATCH", 3)
+    names = ["a/m.json", "b c/m+1.json", "d{1,2}/m[x]?.json", "e,f/*.json", "g/m.json"]
+    for name in [*names, "a/other.json", "a/m.json.1", "h/m.json", "dir.json/x"]:
+        file = tmp_path / "export" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"text of {name}")
+    (tmp_path / "export" / "empty.json").write_text("")
+    (tmp_path / "export" / "torn.json.gz").write_bytes(gzip.compress(b"x" * 9000)[:20])
+    (tmp_path / "secret.json").write_text("outside")
+    lost = ["no/m.json", "empty.json", "torn.json.gz", "dir.json", "z/m.json"]
+    outside = ["/Workspace/../secret.json", "/Other/m.json", "/Workspace/a//m.json", "/Workspace/"]
+    paths = [f"/Workspace/{n}" for n in names + lost] + outside
+    frame = spark.createDataFrame([(p,) for p in paths + paths[:3]], "path string")
+    for root in (str(tmp_path / "export"), f"file://{tmp_path}/export/"):
+        found = {r.path: (r.content, r.error) for r in on_demand.fetch_documents(frame, root).collect()}
+        want = {f"/Workspace/{n}": (f"text of {n}", None) for n in names}
+        want |= {f"/Workspace/{n}": (None, "is missing, empty or cannot be read") for n in lost}
+        want |= {p: (None, "lies outside the workspace folder") for p in outside}
+        assert found == want
+    read = on_demand.named_files(spark, str(tmp_path / "export"), ["a/m.json", "no/m.json", "g/m.json"]).inputFiles()
+    assert sorted(Path(x).parent.name for x in read) == ["a", "g"]
+    assert on_demand.named_files(spark, str(tmp_path / "export"), ["no/m.json"]) is None
+    assert on_demand.fetch_documents(frame.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_glob_set_tells_the_first_pattern_that_matches(spark):
+    patterns = PATTERNS + [f"n{k}/*.yml" for k in range(30)]
+    paths = [*PATHS, "n7/a.yml", "n29/a.yml", "n3/x.yml,3", "none"]
+    each = [p for p in patterns]
+    frame = spark.createDataFrame([(p, each) for p in paths] + [(p, []) for p in paths], "path string, globs array<string>")
+    found = frame.withColumn("patterns", b.glob_set(F.col("globs"))).select(
+        "path", F.size("globs").alias("n"), b.first_match(F.col("path"), F.col("patterns")).alias("first"),
+        (F.array_position(F.transform("globs", lambda g: F.rlike(F.col("path"), b.glob_regex(g))), True) - 1).alias("one_by_one"),
+    )
+    for row in found.collect():
+        assert row.first == (row.one_by_one if row.n and row.one_by_one >= 0 else None), row
