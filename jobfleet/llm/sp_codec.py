@@ -38,8 +38,8 @@ from jobfleet.llm.wordstore import WordStore, grouped, per_process
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 200_000
+CACHE_WORDS = 500_000
+CACHE_PAIRS = 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_TEXT = " ⁇ "
@@ -95,16 +95,19 @@ class Codec:
         self.high_byte = np.array([i in self.bytes and self.bytes[i] >= b"\x80" for i in range(len(model.pieces))])
         self.score = {p: model.scores[i] for p, i in self.ids.items()}
         self.unknown_weight = UNKNOWN_PENALTY - min(self.score.values(), default=0.0)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Acceptor states by number: pieces first, then characters that are no piece as inputs bring them.
+        self.states, self.others = list(model.pieces), {}
+        self.pairs: dict[int, bool] = {}
         self.trie: dict = {}
-        for piece in self.ids:
-            if model.kind == BPE and len(piece) > 1 and self.merged(piece) != [piece]:
-                continue
+        self.lexicon = {p: i for p, i in self.ids.items() if model.kind != BPE or len(p) == 1 or self.merged(p) == [p]}
+        #: By the last three characters of a piece, the lengths of such pieces from the longest on.
+        self.lengths = self._lengths()
+        for piece in self.lexicon:
             node = self.trie
             for c in piece[:-1]:
                 node = node.setdefault(c, [{}, None])[0]
             node.setdefault(piece[-1], [{}, None])[1] = piece
-        self.store = WordStore(re.compile(r" *[^ \n]+| +|\n").findall, lambda words: [self.word(w) for w in words], CACHE_WORDS)
+        self.store = WordStore(re.compile(r" *[^ \n]+| +|\n").findall, self.words, CACHE_WORDS)
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored, then leftmost, neighbours until none makes a piece."""
@@ -118,45 +121,113 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def accepts(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+    def _lengths(self) -> dict[str, tuple[int, ...]]:
+        lengths: dict[str, set[int]] = {}
+        for piece in self.lexicon:
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], {2, 1}).add(len(piece))
+        return {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+
+    def accepts(self, left: int, right: int) -> bool:
+        """Whether the merges of two states' text give just these two."""
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            a, b = self.states[left], self.states[right]
+            known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
 
-    def word(self, text: str) -> list[int]:
-        """Shortest path through the lattice of one marked word."""
-        text = text.replace(" ", MARK)
+    def other(self, character: str) -> int:
+        """The state of a character that is no piece."""
+        state = self.others.get(character)
+        if state is None:
+            state = self.others[character] = len(self.states)
+            self.states.append(character)
+        return state
+
+    def accepted(self, words: list[str]) -> list[list[str]]:
+        """For each word the pieces on the one path through its lattice that the acceptor lets pass.
+
+        All arcs weigh the same and every position is reached by one path, so the arcs into a position are
+        tried from the longest on, and the first one that may follow the path to its start is it. What
+        reaches a position depends on the text before it alone: words are taken in sorted order, and each
+        one goes on from what it has in common with the word before.
+        """
+        lexicon, known, lengths = self.lexicon.get, self.pairs.get, self.lengths.get
+        states, starts, last = [0], [0], ""
+        paths: list[list[str]] = [[]] * len(words)
+        for place in sorted(range(len(words)), key=words.__getitem__):
+            text, same = words[place], 0
+            for x, y in zip(text, last):
+                if x != y:
+                    break
+                same += 1
+            del states[same + 1 :], starts[same + 1 :]
+            last = text
+            for to in range(same + 1, len(text) + 1):
+                for n in lengths(text[to - 3 : to], (2, 1)) if to > 2 else (2, 1):
+                    at = to - n
+                    if at < 0:
+                        continue
+                    state = lexicon(text[at:to])
+                    if state is None:
+                        if n > 1:
+                            continue
+                        state = self.other(text[at])
+                    if at:
+                        verdict = known(states[at] << 32 | state)
+                        if not (self.accepts(states[at], state) if verdict is None else verdict):
+                            continue
+                    states.append(state)
+                    starts.append(at)
+                    break
+            path, at = [], len(text)
+            while at:
+                path.append(self.states[states[at]])
+                at = starts[at]
+            paths[place] = path[::-1]
+        return paths
+
+    def shortest(self, text: str) -> list[str]:
+        """The pieces on the path of least weight."""
         end = len(text)
         weight: list[float | None] = [None] * (end + 1)
         back: list[tuple[int, str]] = [(0, "")] * (end + 1)
         weight[0] = 0.0
-        merging = self.model.kind == BPE
         for at in range(end):
             if weight[at] is None:
                 continue
-            last, node, arcs = back[at][1], self.trie, []
+            node, arcs = self.trie, []
             for to in range(at, end):
                 step = node.get(text[to])
                 if step is None:
                     break
                 node, piece = step
                 if piece is not None:
-                    arcs.append((to + 1, piece, 0.0 if merging else -self.score[piece]))
+                    arcs.append((to + 1, piece, -self.score[piece]))
             if text[at] not in self.ids:
-                arcs.append((at + 1, text[at], 0.0 if merging else self.unknown_weight))
+                arcs.append((at + 1, text[at], self.unknown_weight))
             for to, piece, cost in arcs:
                 total = weight[at] + cost
-                if (weight[to] is None or total < weight[to]) and (not merging or not last or self.accepts(last, piece)):
+                if weight[to] is None or total < weight[to]:
                     weight[to], back[to] = total, (at, piece)
         path, at = [], end
         while at:
             at, piece = back[at]
             path.append(piece)
+        return path[::-1]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of marked words, by the shortest paths through their lattices."""
+        words = [w.replace(" ", MARK) for w in words]
+        paths = self.accepted(words) if self.model.kind == BPE else map(self.shortest, words)
+        return [self.ids_of(path) for path in paths]
+
+    def ids_of(self, path: list[str]) -> list[int]:
         out: list[int] = []
-        for piece in reversed(path):
+        for piece in path:
             if piece in self.ids:
                 out.append(self.ids[piece])
             elif self.byte_ids:
