@@ -1,14 +1,14 @@
 """Line dedup by a deletion-neighbourhood join, built from DataFrame functions.
 
 A line is its words in lower case; it is dropped when an equal line, or a line within an
-edit of ``EDITS`` = 1 word (changed, added or left out), occurs earlier: the first occurrence is
+edit of one word (changed, added or left out), occurs earlier: the first occurrence is
 by doc_id, then line number. Only lines of at least ``EXACT_WORDS`` words are compared, and only
 those of ``NEAR_WORDS`` or more by edits. An earlier line counts whether or not it is itself dropped.
 
 1. Equal lines meet by hash; each distinct line keeps its earliest place.
 2. Two lines within one edit share the first or the last half of the shorter one, so each line has
    four half keys; lines that share none with another line are out. This loses no pair.
-3. The others emit their variants with one word deleted as hashed keys. Lines that
+3. The others emit their variants with one word deleted as hashed keys, in the half that a partner may not share. Lines that
    differ by a change share a variant and its slot; a line with one word more has the other as a variant. Per key the
    earliest line of each role is kept, never the pairs of a group, so a hot key costs one row per task.
 4. Each line meets the earliest line of its keys, and the edit distance of that pair is verified on the words.
@@ -20,7 +20,7 @@ rows with equal doc_id and text are one document and judged alike; a null doc_id
 very long texts are lines as others; empty tables give empty results; all columns are kept.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobfleet.llm.common import let, small, stage, text_key, words
@@ -65,27 +65,41 @@ def terms_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted, ["row_key", "line_no"]).withColumn("terms", words(F.col("line"))).drop("line")
 
 
-def without(w: Column, i: Column) -> Column:
-    return F.concat(F.slice(w, 1, i), F.slice(w, i + 2, F.size(w)))
+def variants(lines: DataFrame) -> DataFrame:
+    """(line_id, place, key, role) of ``lines`` (line_id, place, terms, shared): whole as the shorter line of a pair, with a
+    word deleted as the longer one, and the same with the word's slot as a changed line.
 
-
-def variants(w: Column) -> Column:
-    """(key, role) of a line: whole as the shorter line, each deletion as the longer and as a changed line.
-
-    ``w`` has the words' hashes, so that a word's text is hashed once and not for every variant.
+    A list of words has the exclusive-or of its words' hashes with their places as key. Running ones over the words
+    before and after a slot give each variant's in one step, so a line of n words costs n steps. Where a pair
+    shares the first half, its edit is in the rest, and the other way round; ``shared`` has the line's half keys that
+    others have too, and only slots that such a pair may have are deleted.
     """
+    words_of = lines.select("line_id", F.posexplode(F.transform("terms", lambda t: F.xxhash64(t))).alias("slot", "word"))
+    line = Window.partitionBy("line_id")
+    before, upto = (line.orderBy("slot").rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    here, moved = F.xxhash64("slot", "word"), F.xxhash64(F.col("slot") - 1, "word")
+    hashes = words_of.select(
+        "line_id",
+        "slot",
+        F.coalesce(F.bit_xor(here).over(before), F.lit(0)).bitwiseXOR(F.bit_xor(moved).over(line)).bitwiseXOR(F.bit_xor(moved).over(upto)).alias("rest"),
+        F.bit_xor(here).over(line).alias("whole"),
+        F.count(F.lit(1)).over(line).alias("n"),
+    )
 
-    def at(i: Column) -> Column:
-        return let(
-            F.xxhash64(without(w, i)),
-            lambda h: F.array(
-                F.struct(h.alias("key"), F.lit("long").alias("role")),
-                F.struct(F.xxhash64(F.lit("slot"), i, h).alias("key"), F.lit("change").alias("role")),
-            ),
-        )
+    def may_differ(first: int, last: int, n: Column) -> Column:
+        """Whether a pair that shares the first or the last half of n words may differ in this slot."""
+        return F.when(F.col("slot") >= F.floor(n / 2), has(first)).otherwise(has(last))
 
-    own = F.array(F.struct(F.xxhash64(w).alias("key"), F.lit("short").alias("role")))
-    return F.concat(own, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at)))
+    def has(which: int) -> Column:
+        return F.col("shared").bitwiseAND(1 << which) != 0
+
+    roles = F.array(
+        F.when((F.col("slot") == 0) & (has(0) | has(1)), F.struct(F.col("whole").alias("key"), F.lit("short").alias("role"))),
+        F.when(may_differ(2, 3, F.col("n") - 1), F.struct(F.col("rest").alias("key"), F.lit("long").alias("role"))),
+        F.when(may_differ(0, 1, F.col("n")), F.struct(F.xxhash64(F.lit("slot"), "slot", "rest").alias("key"), F.lit("change").alias("role"))),
+    )
+    told = hashes.join(lines.select("line_id", "place", "shared"), "line_id")
+    return told.select("line_id", "place", F.explode(F.array_compact(roles)).alias("v")).select("line_id", "place", "v.key", "v.role")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -105,7 +119,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """line_id of the distinct lines that have an earlier line within one edit."""
-    keys = distinct.filter("keys is not null").select("line_id", F.explode("keys").alias("key"))
+    keys = distinct.filter("keys is not null").select("line_id", F.posexplode("keys").alias("which", "key"))
     shared = (
         keys.groupBy("key")
         .agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"))
@@ -114,22 +128,20 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     shared = stage(shared, "shared-halves")
     shared = small(shared, shared.count() * ROW_BYTES)
-    met = keys.join(shared, "key", "left_semi").select("line_id").distinct()
+    flag = F.call_function("shiftleft", F.lit(1), F.col("which"))
+    met = keys.join(shared, "key", "left_semi").groupBy("line_id").agg(F.bit_or(flag).alias("shared"))
     wanted = stage(
-        distinct.join(met, "line_id", "left_semi").select("line_id", "place.row_key", "place.line_no", "place"),
+        distinct.join(met, "line_id").select("line_id", "place.row_key", "place.line_no", "place", "shared"),
         "lines-to-compare",
     )
     wanted = small(wanted, wanted.count() * 2 * ROW_BYTES)
     texts = stage(
         terms_of(documents, wanted)
         .dropDuplicates(["line_id"])
-        .select("line_id", "place", "terms"),
+        .select("line_id", "place", "terms", "shared"),
         "compared-lines",
     )
-    hashes = F.transform("terms", lambda t: F.xxhash64(t))
-    emitted = texts.select("line_id", "place", F.explode(let(hashes, variants)).alias("v")).select(
-        "line_id", "place", "v.key", "v.role"
-    )
+    emitted = stage(variants(texts), "line-variants")
     mine = F.struct("place", "line_id")
     # an equal line of the other role, or another line of the same slot
     first = emitted.groupBy("key").agg(
