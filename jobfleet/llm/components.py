@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from jobfleet.llm.common import stage
 
-MAX_ROUNDS = 60
-
 
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
@@ -17,14 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge (a, b): root is the component's least node.
 
     Each step takes the least neighbour of a node by aggregation, so a node with very many
-    edges never gathers them; every round is written to the shared folder.
+    edges never gathers them; every round is written to the shared folder. Rounds go on until
+    one changes nothing.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = stage(edges, "edges")
     before = _digest(edges)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
@@ -38,8 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -7,12 +7,14 @@ by counts over all documents. Documents meet windows on that shingle only. The l
 position of the shingle give the one place where the window can stand; what does not fit into
 the document goes, and the words there are compared exactly.
 
-Windows are broadcast in blocks of at most ``BLOCK_BYTES`` measured bytes; a larger benchmark
-takes more passes over the documents and no other path. Everything is built from DataFrame functions.
+A document's places are rows of a hash and a number; its words are fetched again for the documents that have candidates, once
+for all of them. Windows are broadcast when they measure at most ``BLOCK_BYTES``, and else joined by shuffle. Everything is
+built from DataFrame functions.
 
 Defined results: null and empty texts have no words and no hits; items without words match
 nothing; repeated documents are judged each by itself; repeated items count once per item id,
-and a null item id counts as the id ``null``; extra columns are ignored.
+and a null item id counts as the id ``null``; very long texts take steps in proportion to their words. Extra columns are kept whatever
+their names are, and those with names of the results are replaced.
 """
 
 from functools import reduce
@@ -20,11 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobfleet.llm.common import columns_of, let, lower_ascii, stage, tasks_for, text_key, words
+from jobfleet.llm.common import columns_of, let, lower_ascii, stage, text_key, words
 
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 24 << 20
+CANDIDATE_BYTES = 512  # in memory, for a candidate and its words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -71,7 +74,12 @@ def windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     return stage(distinct, "windows"), stage(cut.select("window_id", "item_id").distinct(), "window-items")
 
 
-def rarest(docs: DataFrame, tokens: DataFrame, sizes: list[int], blocks: int) -> DataFrame:
+def held(rows: DataFrame, byte_count: int) -> DataFrame:
+    """A broadcast of rows of proven size, else a join by shuffle, in which adaptive execution splits hot tokens."""
+    return F.broadcast(rows) if byte_count <= BLOCK_BYTES else rows.hint("merge")
+
+
+def rarest(docs: DataFrame, tokens: DataFrame, sizes: list[int], byte_count: int) -> DataFrame:
     """Each window with the shingle that fewest places of the documents have.
 
     A window with a shingle that no document has cannot occur and is left out.
@@ -80,14 +88,9 @@ def rarest(docs: DataFrame, tokens: DataFrame, sizes: list[int], blocks: int) ->
     counts = []
     for k in sizes:
         found = terms.select(F.explode(shingles(F.col("terms"), k)).alias("token"))
-        for block in range(blocks):
-            wanted = tokens.filter((F.col("shingle") == k) & (F.pmod("token", F.lit(blocks)) == block))
-            counts.append(
-                found.join(F.broadcast(wanted.select("token").distinct()), "token")
-                .groupBy("token")
-                .agg(F.count(F.lit(1)).alias("places"))
-                .withColumn("shingle", F.lit(k))
-            )
+        wanted = held(tokens.filter(F.col("shingle") == k).select("token").distinct(), byte_count)
+        counted = found.join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("places"))
+        counts.append(counted.withColumn("shingle", F.lit(k)))
     counted = stage(reduce(DataFrame.unionByName, counts), "shingle-counts")
     rated = tokens.join(counted, ["token", "shingle"], "left")
     best = F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "token", "offset"))
@@ -125,29 +128,33 @@ def matches(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Dat
         "window-shingles",
     )
     measured = distinct.agg(F.sum(F.octet_length(F.concat_ws(" ", "terms")) + 24 * F.size("terms") + 64)).first()
-    blocks = tasks_for(measured[0] or 0, BLOCK_BYTES)
+    byte_count = measured[0] or 0
     sizes = sorted(row[0] for row in tokens.select("shingle").distinct().collect())  # at most ``shingle`` rows
     empty = docs.select("row_key").limit(0).selectExpr(
         "row_key", "cast(null as binary) window_id", "cast(0 as int) first", "cast(0 as int) last"
     )
     if not sizes:
         return empty
-    anchors = stage(rarest(docs, tokens, sizes, blocks).join(distinct, "window_id"), "window-prefixes")
-    found = []
+    anchors = stage(rarest(docs, tokens, sizes, byte_count).join(distinct, "window_id"), "window-prefixes")
+    met = []
     for k in sizes:
-        places = docs.select("row_key", item_words(F.col("text")).alias("doc_terms")).select(
-            "row_key", "doc_terms", F.posexplode(shingles(F.col("doc_terms"), k)).alias("at", "token")
-        )
-        for block in range(blocks):
-            wanted = anchors.filter((F.col("shingle") == k) & (F.pmod("token", F.lit(blocks)) == block))
-            first = F.col("at") - F.col("offset")
-            found.append(
-                places.join(F.broadcast(wanted.drop("shingle")), "token")
-                .filter((first >= 0) & (first + F.col("size") <= F.size("doc_terms")))
-                .filter(F.slice("doc_terms", first + 1, F.col("size")) == F.col("terms"))
-                .select("row_key", "window_id", first.alias("first"), (first + F.col("size") - 1).alias("last"))
-            )
-    return reduce(DataFrame.unionByName, found, empty)
+        places = docs.select("row_key", F.posexplode(shingles(item_words(F.col("text")), k)).alias("at", "token"))
+        wanted = held(anchors.filter(F.col("shingle") == k).select("window_id", "token", "offset"), byte_count)
+        first = F.col("at") - F.col("offset")
+        met.append(places.join(wanted, "token").filter(first >= 0).select("row_key", "window_id", first.alias("first")))
+    met = stage(reduce(DataFrame.unionByName, met).distinct(), "window-candidates")
+    candidates = met.join(held(anchors.select("window_id", "size", "terms"), byte_count), "window_id")
+    by_document = candidates.groupBy("row_key").agg(F.collect_list(F.struct("window_id", "first", "size", "terms")).alias("candidates"))
+    by_document = stage(by_document, "document-candidates")
+    size = by_document.agg(F.sum(F.size("candidates"))).first()[0] or 0
+    words_of = docs.join(held(by_document, size * CANDIDATE_BYTES), "row_key")
+    last = lambda c: c["first"] + c["size"]
+    stands = let(
+        item_words(F.col("text")),
+        lambda w: F.filter("candidates", lambda c: (last(c) <= F.size(w)) & (F.slice(w, c["first"] + 1, c["size"]) == c["terms"])),
+    )
+    found = words_of.select("row_key", F.explode(stands).alias("c"))
+    return found.select("row_key", "c.window_id", "c.first", (last(F.col("c")) - 1).alias("last"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -157,7 +164,9 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     twentieth of its words. All columns of ``documents`` are kept; of columns with these names the new ones win.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    base = documents.drop(*added, "row_key").withColumn("row_key", text_key("doc_id", "text"))
+    kept = [c for c in documents.columns if c not in added]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # out of the way of the names used here
+    base = documents.select(row, text_key("doc_id", "text").alias("row_key"), "text")
     narrow = base.select("row_key", "text")
     distinct, holders = windows(items, window)
     found = stage(matches(narrow, distinct), "window-matches").distinct()
@@ -188,5 +197,5 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
         .withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
         .withColumn("items_sha256", F.sha2(F.coalesce("names", F.lit("")), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-        .drop("row_key", "names")
+        .select("row.*", *added)
     )

@@ -105,16 +105,18 @@ def variants(lines: DataFrame) -> DataFrame:
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two word lists differ by at most one changed, added or left-out word."""
 
-    def agree(x: Column, y: Column) -> Column:
-        least = F.least(F.size(x), F.size(y))
-        same = F.transform(F.sequence(F.lit(0), least - 1), lambda i: x[i] == y[i])
+    least = F.least(F.size(a), F.size(b))
+
+    def agree(same) -> Column:
+        """How many words agree before the first that does not; ``same`` tells of each place."""
+        told = F.transform(F.sequence(F.lit(0), least - 1), same)
         return F.when(least == 0, 0).otherwise(
-            let(F.array_position(same, False), lambda p: F.when(p > 0, p - 1).otherwise(least.cast("long")))
+            let(F.array_position(told, False), lambda p: F.when(p > 0, p - 1).otherwise(least.cast("long")))
         )
 
-    return (F.abs(F.size(a) - F.size(b)) <= 1) & (
-        agree(a, b) + agree(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
-    )
+    ahead = agree(lambda i: a[i] == b[i])
+    behind = agree(lambda i: a[F.size(a) - 1 - i] == b[F.size(b) - 1 - i])
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (ahead + behind >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
 def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -201,24 +203,24 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """``documents`` with the text's dropped lines taken out, and n_lines and n_dropped; every row stays."""
-    base = documents.drop("n_lines", "n_dropped")
-    gone = dropped_lines(base.select("doc_id", "text"))
-    row = gone.agg(F.count(F.lit(1)), F.sum(F.size("dropped"))).first()
-    gone = small(gone, row[0] * ROW_BYTES + (row[1] or 0) * 8)
+    kept_columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    gone = dropped_lines(documents.select("doc_id", "text"))
+    size = gone.agg(F.count(F.lit(1)), F.sum(F.size("dropped"))).first()
+    gone = small(gone, size[0] * ROW_BYTES + (size[1] or 0) * 8)
+    row = F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row")  # out of the way of the names used here
+    base = documents.select(row, text_key("doc_id", "text").alias("row_key"), "text")
     lines = F.split("text", "\n")
     kept = let(
         lines,
         lambda x: F.concat_ws(
             "\n",
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_dropped")), lambda i: x[i]),
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("dropped")), lambda i: x[i]),
         ),
     )
-    return (
-        base.withColumn("_row_key", text_key("doc_id", "text"))
-        .join(gone.select(F.col("row_key").alias("_row_key"), F.col("dropped").alias("_dropped")), "_row_key", "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept))
-        .drop("_row_key", "_dropped")
-    )
+    figures = {
+        "text": F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "n_dropped": F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("long"),
+    }
+    columns = [figures["text"].alias("text") if c == "text" else F.col(f"row.`{c}`") for c in kept_columns]
+    return base.join(gone, "row_key", "left").select(*columns, *[figures[c].alias(c) for c in ("n_lines", "n_dropped")])

@@ -448,8 +448,9 @@ def keep_one(documents: DataFrame, measure: Measure = Measure()) -> DataFrame:
     gone = told.filter("not stays").select("row_key").distinct()
     repeated = told.filter("n_shingles > 0 and stays").groupBy("row_key").count().filter("count > 1").select("row_key")
     gone, repeated = (small(x, x.count() * ROW_BYTES) for x in (stage(gone, "gone"), stage(repeated, "repeated")))
-    keyed = documents.withColumn("_row_key", text_key("doc_id", "text"))
-    kept = keyed.join(gone, keyed["_row_key"] == gone["row_key"], "left_anti")
-    single = kept.join(repeated, kept["_row_key"] == repeated["row_key"], "left_anti")
-    again = kept.join(repeated, kept["_row_key"] == repeated["row_key"], "left_semi").dropDuplicates(["_row_key"])
-    return single.unionByName(again).drop("_row_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")  # out of the way of the names used here
+    keyed = documents.select(row, text_key("doc_id", "text").alias("row_key"))
+    kept = keyed.join(gone, "row_key", "left_anti")
+    single = kept.join(repeated, "row_key", "left_anti")
+    again = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionByName(again.select("row.*"))

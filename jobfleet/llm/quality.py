@@ -8,7 +8,8 @@ decides, in place of a list of rules that must all pass.
 Model: a document is good with some prior probability. A rule that votes says bad of a good
 document at its error rate and of a bad document at its recall, independently of the other rules.
 Recall never falls below the error rate, so no rule can turn against its meaning, and an
-abstention is no evidence. One job over the small pattern table makes one step.
+abstention is no evidence. The text is measured once: measures and votes are staged, vote patterns are counted over all
+documents, and the steps work on those counts alone.
 
 Defined results: null and empty texts have no words and fail the base; very long texts are read
 whole; repeated rows are counted as often as they occur and judged alike; an empty table gives an
@@ -29,6 +30,7 @@ START_ERROR, ERROR_RANGE = 0.02, (0.002, 0.2)
 START_RECALL, RECALL_RANGE = 0.4, (0.1, 0.95)
 KEEP_FROM = 0.5
 REPEAT_WINDOW = 5
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -141,59 +143,67 @@ def _within(value: float, bounds: tuple[float, float]) -> float:
 
 
 def fit(patterns: DataFrame, steps: int = STEPS) -> dict:
-    """Fit the model to a table of vote patterns: one column per rule, and ``n``."""
+    """Fit the model to a table of vote patterns: one column per rule, and ``n``.
+
+    There are at most 3 to the number of rules (19,683) patterns, whatever the corpus is; these counts are all that
+    comes to the driver. Sums are exact ones, so the order of the rows does not matter.
+    """
+    rows = [(tuple(r[name] for name in RULES), r["n"]) for r in patterns.select(*RULES, "n").collect()]
     model = {"prior": START_PRIOR, "bad_if_good": [START_ERROR] * len(RULES), "bad_if_bad": [START_RECALL] * len(RULES)}
-    for _ in range(steps):
-        weighted = patterns.withColumn("good", F.col("n") * posterior([F.col(r) for r in RULES], model)).withColumn(
-            "bad", F.col("n") - F.col("good")
-        )
-        sums = {"n": F.sum("n"), "good": F.sum("good")}
-        for r in RULES:
-            for kind in ("good", "bad"):
-                sums[f"{kind}_{r}_bad"] = F.sum(F.when(F.col(r) < 0, F.col(kind)))
-                sums[f"{kind}_{r}_cast"] = F.sum(F.when(F.col(r) != 0, F.col(kind)))
-        row = weighted.agg(*[c.alias(k) for k, c in sums.items()]).first()
-        # one pseudo vote at the starting rates stands in where a rule never votes
-        rate = lambda kind, r, start: ((row[f"{kind}_{r}_bad"] or 0) + start) / ((row[f"{kind}_{r}_cast"] or 0) + 1)
-        good = [_within(rate("good", r, START_ERROR), ERROR_RANGE) for r in RULES]
-        bad = [_within(rate("bad", r, START_RECALL), RECALL_RANGE) for r in RULES]
+    total = sum(n for _, n in rows)
+    for _ in range(steps if total else 0):
+        good = [n * _posterior(cast, model) for cast, n in rows]
+        bad = [n - g for (_, n), g in zip(rows, good, strict=True)]
+
+        def rate(weights: list[float], rule: int, start: float) -> float:
+            # one pseudo vote at the starting rates stands in where a rule never votes
+            against = math.fsum(w for (cast, _), w in zip(rows, weights, strict=True) if cast[rule] < 0)
+            either = math.fsum(w for (cast, _), w in zip(rows, weights, strict=True) if cast[rule])
+            return (against + start) / (either + 1)
+
+        errors = [_within(rate(good, i, START_ERROR), ERROR_RANGE) for i in range(len(RULES))]
+        recalls = [_within(rate(bad, i, START_RECALL), RECALL_RANGE) for i in range(len(RULES))]
         model = {
-            "prior": _within((row["good"] or 0) / row["n"], PRIOR_RANGE) if row["n"] else START_PRIOR,
-            "bad_if_good": good,
-            "bad_if_bad": [max(g, b) for g, b in zip(good, bad, strict=True)],
+            "prior": _within(math.fsum(good) / total, PRIOR_RANGE),
+            "bad_if_good": errors,
+            "bad_if_bad": [max(e, r) for e, r in zip(errors, recalls, strict=True)],
         }
     return model
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``_m`` and the votes ``_votes``."""
-    staged = docs.withColumn("_m", measures(F.col("text")))
-    cast = votes(F.col("_m"))
-    return staged.withColumn("_votes", F.struct(*[cast[r].alias(r) for r in RULES]))
+def _posterior(cast: tuple[int, ...], model: dict) -> float:
+    """``posterior`` of one pattern."""
+    score = _logit(model["prior"])
+    for vote, good, bad in zip(cast, model["bad_if_good"], model["bad_if_bad"], strict=True):
+        score += math.log(good / bad) if vote < 0 else math.log((1 - good) / (1 - bad)) if vote > 0 else 0.0
+    return 1 / (1 + math.exp(-score))
 
 
-def train(docs: DataFrame) -> dict:
-    patterns = measured(docs.select("text")).groupBy("_votes").agg(F.count(F.lit(1)).alias("n"))
-    return fit(stage(patterns.select("_votes.*", "n"), "vote-patterns"))
+def measured(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``m`` (measures) and ``votes``, staged: texts are measured once."""
+    kept = [c for c in docs.columns if c not in FIGURES and (keep_text or c != "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # out of the way of the names used here
+    rows = docs.select(row, measures(F.col("text")).alias("m"))
+    cast = votes(F.col("m"))
+    return stage(rows.withColumn("votes", F.struct(*[cast[r].alias(r) for r in RULES])), "measures")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base figures, base_failed, p_good and kept; every row stays."""
-    model = train(docs)
-    m = F.col("_m")
+def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the base figures, base_failed, p_good and kept; every row stays, and its text if wanted."""
+    rows = measured(docs, keep_text)
+    model = fit(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes.*", "n"))
+    m = F.col("m")
     n = m["word"]["n_words"]
-    out = measured(docs)
-    out = out.withColumn("_good", posterior([F.col("_votes")[r] for r in RULES], model))
     failed = (n < 10) | (100 * m["word"]["n_repeat_words"] > 20 * n)
-    return out.withColumns(
-        {
-            "n_words": n,
-            "word_chars": m["word_chars"],
-            "n_symbols": m["n_symbols"],
-            "n_dup_lines": m["line"]["n_dup_lines"],
-            "n_repeat_words": m["word"]["n_repeat_words"],
-            "base_failed": failed,
-            "p_good": F.col("_good"),
-            "kept": ~failed & (F.col("_good") >= KEEP_FROM),
-        }
-    ).drop("_m", "_votes", "_good")
+    good = posterior([F.col("votes")[r] for r in RULES], model)
+    figures = {
+        "n_words": n,
+        "word_chars": m["word_chars"],
+        "n_symbols": m["n_symbols"],
+        "n_dup_lines": m["line"]["n_dup_lines"],
+        "n_repeat_words": m["word"]["n_repeat_words"],
+        "base_failed": failed,
+        "p_good": good,
+        "kept": ~failed & (good >= KEEP_FROM),
+    }
+    return rows.select("row.*", *[figures[c].alias(c) for c in FIGURES])

@@ -1,11 +1,12 @@
 """Decontamination, n-gram join and line dedup against brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 import pytest
 
-from jobfleet.llm import decontaminate, line_dedup, ngram_join
+from jobfleet.llm import decontaminate, line_dedup, ngram_join, pii, quality
 from jobfleet.llm.components import components
 from llm.rows import DOCS, ODD
 from llm import models
@@ -115,3 +116,37 @@ def test_line_dedup_judges_repeated_rows_alike_and_takes_no_rows(spark):
     got = line_dedup.dedup(spark.createDataFrame([row, row], DOCS)).collect()
     assert [(r.text, r.n_dropped) for r in got] == [("one two three four five", 1)] * 2
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- private names and long texts -----------------------------------------------------------
+
+PRIVATE = ("names", "row", "row_key", "token", "at", "m", "votes", "found", "dropped", "place", "line_no", "keys", "repeated", "candidates", "_row_key", "_found", "_m")
+
+
+def test_no_column_of_the_caller_gets_lost(spark):
+    rows = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, None), (3, "")]
+    frame = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(f"my {c}") for c in PRIVATE})
+    items = spark.createDataFrame([(5, rows[0][1])], "item_id long, text string")
+    results = [
+        decontaminate.decontaminate(frame, items), line_dedup.dedup(frame), ngram_join.keep_one(frame), quality.judge(frame),
+        pii.find(frame, pii.train(frame)),
+    ]
+    for out in results:
+        assert out.columns[: len(frame.columns)] == frame.columns
+        got = out.collect()
+        assert len(got) == 3 and all(r[c] == f"my {c}" for r in got for c in PRIVATE)
+
+
+def test_long_texts_take_steps_in_proportion(spark):
+    """A text of 200,000 words with an item in it, and two near lines of 50,000 words."""
+    item = " ".join(f"i{k}" for k in range(20))
+    words = [f"w{k % 977}" for k in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join([*words[:150_000], item, *words[150_000:]])), (2, " ".join(words))], DOCS)
+    began = time.time()
+    hit = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hit == {1: 20, 2: 0} and time.time() - began < 60
+    line = [f"x{k * k % 9973}" for k in range(50_000)]
+    lines = [" ".join(line), "a b c", " ".join([*line[:30_000], "new", *line[30_001:]]), " ".join(line[:-1]), " ".join([*line[:5], *line[7:]])]
+    began = time.time()
+    (left,) = line_dedup.dedup(spark.createDataFrame([(1, "\n".join(lines))], DOCS)).collect()
+    assert left.text.split("\n") == [lines[0], lines[1], lines[4]] and time.time() - began < 60
