@@ -8,8 +8,7 @@ decides, in place of a list of rules that must all pass.
 Model: a document is good with some prior probability. A rule that votes says bad of a good
 document at its error rate and of a bad document at its recall, independently of the other rules.
 Recall never falls below the error rate, so no rule can turn against its meaning, and an
-abstention is no evidence. The text is measured once: measures and votes are staged, vote patterns are counted over all
-documents, and the steps work on those counts alone.
+abstention is no evidence. Vote patterns are counted over all documents, and the steps work on those counts alone.
 
 Defined results: null and empty texts have no words and fail the base; very long texts are read
 whole; repeated rows are counted as often as they occur and judged alike; an empty table gives an
@@ -180,12 +179,17 @@ def _posterior(cast: tuple[int, ...], model: dict) -> float:
 
 
 def measured(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """``row`` (the columns of ``docs``), ``m`` (measures) and ``votes``, staged: texts are measured once."""
+    """``row`` (the columns of ``docs``), ``m`` (measures) and ``votes``.
+
+    Without the texts this is staged, so that they are measured once. With them it would be the corpus written once more;
+    they are measured a second time instead.
+    """
     kept = [c for c in docs.columns if c not in FIGURES and (keep_text or c != "text")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # out of the way of the names used here
     rows = docs.select(row, measures(F.col("text")).alias("m"))
     cast = votes(F.col("m"))
-    return stage(rows.withColumn("votes", F.struct(*[cast[r].alias(r) for r in RULES])), "measures")
+    voted = rows.withColumn("votes", F.struct(*[cast[r].alias(r) for r in RULES]))
+    return voted if keep_text else stage(voted, "measures")
 
 
 def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
