@@ -22,12 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobfleet.llm.common import columns_of, let, lower_ascii, stage, text_key, words
+from jobfleet.llm.common import columns_of, let, lower_ascii, small, stage, text_key, words
 
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 24 << 20
 CANDIDATE_BYTES = 512  # in memory, for a candidate and its words
+KEY_BYTES = 96
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -146,8 +147,10 @@ def matches(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> Dat
     candidates = met.join(held(anchors.select("window_id", "size", "terms"), byte_count), "window_id")
     by_document = candidates.groupBy("row_key").agg(F.collect_list(F.struct("window_id", "first", "size", "terms")).alias("candidates"))
     by_document = stage(by_document, "document-candidates")
-    size = by_document.agg(F.sum(F.size("candidates"))).first()[0] or 0
-    words_of = docs.join(held(by_document, size * CANDIDATE_BYTES), "row_key")
+    rows, size = by_document.agg(F.count(F.lit(1)), F.sum(F.size("candidates"))).first()
+    if (size or 0) * CANDIDATE_BYTES > BLOCK_BYTES:  # then only documents with candidates are shuffled
+        docs = docs.join(small(by_document.select("row_key"), rows * KEY_BYTES), "row_key", "left_semi")
+    words_of = docs.join(held(by_document, (size or 0) * CANDIDATE_BYTES), "row_key")
     last = lambda c: c["first"] + c["size"]
     stands = let(
         item_words(F.col("text")),
