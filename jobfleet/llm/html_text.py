@@ -4,11 +4,17 @@ A tokenizer splits a page into tags and text; a tree builder adds the tags that
 leave out (a paragraph ends before a block, items, rows and cells end before their next, formatting that
 was left open ends with its block) and ignores end tags that close nothing. A cell outside a row gets a row, and what may
 not stand between the cells of a table is put before the table, as browsers do. Rendering walks the tree: what is never
-shown (scripts, styles, templates, comments, hidden or ``display:none`` elements, what stands in for media and frames, in
-drawings all but their texts, in formulas their annotations) is skipped, runs of
+shown (scripts, styles, templates, comments, hidden or ``display:none`` elements, closed dialogs and popovers, closed details but for
+their summary, what stands in for media and frames, in
+drawings all but their texts, in formulas their annotations) is skipped; an element of ``visibility:hidden`` keeps its place and
+loses its text, but for elements in it that are visible again. Runs of
 white space become one space outside ``pre``, blocks start on lines of their own, paragraphs, headings, lists and
-tables are set off by an empty line, list items carry a bullet or their number and are indented,
-table cells are padded to aligned columns, options stand on lines of their own under their group's label, ``br`` breaks the line, images give their alternative text.
+tables are set off by an empty line, list items carry a bullet or their number and are indented, options stand on lines of their own
+under their group's label, ``br`` breaks the line, images give their alternative text, input fields and buttons their values.
+
+Table cells are padded to aligned columns, where wide characters take two places and combining ones none. A cell stands in the first
+column that no cell from above reaches into and spans columns and rows as it says, up to the end of its row group;
+a span ends before a column that is taken, so no two cells share a place. Columns in which no cell starts take no room.
 
 All visible text is kept, navigation and advertisements too, and what is hidden from screen readers only. Nothing here recurses, so nesting depth is not limited.
 
@@ -17,10 +23,13 @@ never ends runs to the end of the page; repeated rows are rendered each; an empt
 result; all columns are kept, and a column ``text`` is replaced.
 """
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,12 +81,16 @@ CONTEXT = {
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
 CELL_GAP = "  "
+#: Input fields that show no value, and the most columns and rows that a cell spans.
+NO_VALUE = frozenset("hidden checkbox radio color range password file image".split())
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 MAX_COLUMN = 40  # a wider cell is not padded to, so one long cell does not blow up the others
 INDENT = "  "
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+_NONE = re.compile(r"display\s*:\s*none\b", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)\b", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -225,6 +238,8 @@ def unseen(node: Node) -> bool:
     return (
         node.tag in UNSEEN
         or "hidden" in attrs
+        or "popover" in attrs
+        or (node.tag == "dialog" and "open" not in attrs)
         or unseen_input(node)
         or bool(attrs.get("style") and _NONE.search(attrs["style"]))
     )
@@ -295,19 +310,123 @@ class Canvas:
         return "\n".join(self.lines)
 
 
-def rows_of(table: Node) -> list[list[Node]]:
-    rows, todo = [], [table]
+def settle(root: Node) -> None:
+    """Take out of the tree what closed details hold but their summary, and what invisible elements show themselves."""
+    todo = [(root, True)]
     while todo:
-        node = todo.pop()
+        node, visible = todo.pop()
+        if stated := _VISIBILITY.findall(node.attrs.get("style", "")):
+            visible = stated[-1].lower() == "visible"
+        if node.tag == "details" and "open" not in node.attrs:
+            node.children = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+        if not visible:
+            node.children = [" " if isinstance(c, str) and c else c for c in node.children]
+            for name in ("alt", "value", "label"):
+                node.attrs.pop(name, None)
+            if node.tag == "li":
+                node.tag = "div"
+        todo += [(c, visible) for c in node.children if isinstance(c, Node)]
+
+
+def span(cell: Node, name: str) -> int:
+    """How many columns or rows a cell spans; 0 rows are all that are left."""
+    stated = re.match(r"[ \t\n\r\f]*\+?([0-9]+)", cell.attrs.get(name, ""))
+    count = min(int(stated[1][:9]), MAX_SPAN[name]) if stated else 1
+    return count if count or name == "rowspan" else 1
+
+
+def rows_of(table: Node) -> list[tuple[int, list[Node]]]:
+    """Rows of a table with the number of their row group."""
+    rows, todo, groups = [], [(table, 0)], 0
+    while todo:
+        node, group = todo.pop()
         if node.tag == "tr" and node is not table:
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not unseen(c)])
-        elif node is table or node.tag in ("thead", "tbody", "tfoot"):
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not unseen(c)]
-    return [r for r in rows if r]
+            rows.append((group, [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not unseen(c)]))
+        elif node is table or node.tag in ROW_GROUPS:
+            groups += 1
+            todo += [(c, groups) for c in reversed(node.children) if isinstance(c, Node) and not unseen(c)]
+    return rows
+
+
+def placed(rows: list[tuple[int, list[Node]]]) -> list[tuple[Node, int, int, int, int]]:
+    """(cell, first row, row after the last, first column, column after the last) for every cell, by row and column."""
+    group_end = {group: r + 1 for r, (group, _) in enumerate(rows)}
+    out, above = [], []  # above: (first column, column after the last, row after the last) of cells that reach down
+    for r, (group, cells) in enumerate(rows):
+        above = [x for x in above if x[2] > r]
+        here, k, column = [], 0, 0
+        for cell in cells:
+            while k < len(above) and above[k][0] <= column:
+                column = max(column, above[k][1])
+                k += 1
+            to = column + span(cell, "colspan")
+            if k < len(above):
+                to = min(to, above[k][0])
+            end = min(group_end[group], r + span(cell, "rowspan")) if span(cell, "rowspan") else group_end[group]
+            out.append((cell, r, end, column, to))
+            if end > r + 1:
+                here.append((column, to, end))
+            column = to
+        if here:
+            joined: list[tuple[int, int, int]] = []
+            for x in sorted(above + here):  # neighbours that reach equally far are one
+                if joined and joined[-1][1] == x[0] and joined[-1][2] == x[2]:
+                    joined[-1] = (joined[-1][0], x[1], x[2])
+                else:
+                    joined.append(x)
+            above = joined
+    return out
+
+
+def places(text: str) -> int:
+    """How many places of a line a text takes."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def grid_lines(rows: list[tuple[int, list[Node]]], done: dict[int, str]) -> list[str]:
+    """The lines of a table's rows; a cell that spans rows runs through their lines, and the last one grows if need be."""
+    cells = [(flow(c, done).split("\n"), r, end, a, b) for c, r, end, a, b in placed(rows)]
+    starts = {a: k for k, a in enumerate(sorted({x[3] for x in cells}))}
+    order = sorted(starts)
+    cells = [(lines, r, end, starts[a], bisect_left(order, b)) for lines, r, end, a, b in cells]
+    width = [0] * len(order)
+    for lines, _, _, a, b in sorted(cells, key=lambda x: x[4] - x[3]):
+        wanted = min(MAX_COLUMN, max(map(places, lines)))
+        held = sum(width[a : min(b, a + MAX_COLUMN)]) + len(CELL_GAP) * (b - a - 1)
+        width[b - 1] += max(0, wanted - held)
+    left = [0, *accumulate(w + len(CELL_GAP) for w in width)]
+    height = [0] * len(rows)
+    for lines, r, end, _, _ in sorted(cells, key=lambda x: x[2] - x[1]):
+        missing, row = len(lines), r
+        while missing > 0 and row < end:
+            missing -= height[row]
+            row += 1
+        height[end - 1] += max(0, missing)
+    top = [0, *accumulate(height)]
+    out: list[list[tuple[int, int, str]]] = [[] for _ in range(top[-1])]
+    for lines, r, _, a, b in cells:
+        for i, line in enumerate(lines):
+            if line:
+                out[top[r] + i].append((a, b, line))
+    return [laid_out(sorted(parts), left) for parts in out]
+
+
+def laid_out(parts: list[tuple[int, int, str]], left: list[int]) -> str:
+    """One line; a text wider than its columns moves what follows."""
+    line, at, moved = [], 0, 0
+    for a, b, text in parts:
+        start = left[a] + moved
+        line += [" " * (start - at), text]
+        at = start + places(text)
+        moved += max(0, at - start - (left[b] - left[a] - len(CELL_GAP)))
+    return "".join(line).rstrip(" ")
 
 
 def render(root: Node) -> str:
     """Visible text; tables are rendered innermost first, each cell once."""
+    settle(root)
     done: dict[int, str] = {}
     tables, todo = [], [root]
     while todo:
@@ -316,15 +435,7 @@ def render(root: Node) -> str:
             tables.append(node)
         todo += [c for c in node.children if isinstance(c, Node) and not unseen(c)]
     for table in reversed(tables):  # inner tables come after outer ones in this list
-        grid = [[flow(cell, done).split("\n") for cell in row] for row in rows_of(table)]
-        width: dict[int, int] = {}
-        for row in grid:
-            for k, cell in enumerate(row):
-                width[k] = min(MAX_COLUMN, max(width.get(k, 0), *map(len, cell)))
-        out = []
-        for row in grid:
-            for i in range(max(map(len, row))):
-                out.append(CELL_GAP.join((c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(row)).rstrip(" "))
+        out = grid_lines(rows_of(table), done)
         captions = [c for c in table.children if isinstance(c, Node) and c.tag == "caption" and not unseen(c)]
         above = [t for t in [flow(c, done) for c in captions] if t]
         done[id(table)] = "\n".join(above + out)
@@ -365,6 +476,10 @@ def flow(top: Node, tables: dict[int, str]) -> str:
         elif tag == "img":
             if node.attrs.get("alt", "").strip():
                 canvas.write(node.attrs["alt"], False)
+        elif tag == "input":
+            if node.attrs.get("value", "").strip() and node.attrs.get("type", "").lower() not in NO_VALUE:
+                canvas.write(f" {node.attrs['value']} ", False)
+                canvas.trailing(" ")
         elif tag == "table":
             canvas.block(True)
             if tables.get(id(node)):

@@ -378,13 +378,69 @@ def test_what_a_browser_shows_is_seen(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"),
+        ("<table><tr><td>c<td>d<tr><td colspan=2>as wide as this</table>", "c  d\nas wide as this"),
+        ("<table><tr><td colspan=2>wide cell<td>x<tr><td>c<td>d<td>e</table>", "wide cell  x\nc  d       e"),
+        ("<table><tr><td rowspan=2>a<br>b<br>c<td>x<tr><td>y<tr><td>z<td>w</table>", "a  x\nb  y\nc\nz  w"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+        ("<table><tr><td rowspan=9>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"),
+        ("<table><tr></tr><tr><td rowspan=2>a</td></tr><tr></tr><tr><td>b</table>", "a\nb"),
+        ("<table><tr><td>a<td rowspan=2>b<tr><td colspan=3>c<td>d</table>", "a  b\nc     d"),
+        ("<table><tr><td colspan=0>a<td colspan=x>b<td rowspan=-1>c<td colspan=''>d</table>", "a  b  c  d"),
+        ("<table><tr><td>日本<td>x<tr><td>abcdef<td>y<tr><td>é<td>z</table>", "日本    x\nabcdef  y\né       z"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>z", "yes\n\nz"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>b</ul>", "- b"),
+        ("<table><tr><td style='visibility:collapse'>no<td>a<tr><td>b<td>c</table>", "   a\nb  c"),
+        ("<details>no<summary>s</summary>no</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><div popover>no</div>", "yes"),
+        ("a<input type=submit value=Go>b<input value='my text'><input type=Password value=no><input type=checkbox value=no>", "a Go b my text"),
+    ],
+)
+def test_spans_visibility_and_values(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_large_spans_end():
+    page = "<table>" + "<tr>" + "<td rowspan=65534 colspan=1000>a" * 300 + "<tr><td colspan=1000>b" * 300 + "</table>"
+    text = html_text.page_text(page)
+    assert text.count("a") == text.count("b") == 300 and len(text) < 1_000_000
+
+
+def test_cells_of_random_tables_stand_where_a_grid_of_places_has_them():
+    rng = random.Random(5)
+    for _ in range(500):
+        rows = [[(rng.randrange(0, 4), rng.randrange(0, 4)) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={r}>x" for c, r in row) + "</tr>" for row in rows)
+        taken, want = {}, []
+        for y, row in enumerate(rows):
+            x = 0
+            for c, r in row:
+                while (x, y) in taken:
+                    x += 1
+                bottom = min(len(rows), y + r) if r else len(rows)
+                right = x + 1
+                while right < x + c and (right, y) not in taken:
+                    right += 1
+                taken |= {(i, j): True for i in range(x, right) for j in range(y, bottom)}
+                want.append((y, bottom, x, right))
+                x = right
+        table = html_text.parse(page).children[0]
+        assert [p[1:] for p in html_text.placed(html_text.rows_of(table))] == want, page
+
+
 def test_words_of_scrambled_tables_survive():
     rng = random.Random(8)
     tags = "table tr td th tbody thead tfoot caption colgroup form div b p li a center font".split()
     for _ in range(3000):
         words = [f"w{k}" for k in range(rng.randrange(1, 12))]
         page = "<table>" + "".join(
-            "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}>" for _ in range(rng.randrange(4))) + f" {w} " for w in words
+            "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}{rng.choice(['', '', ' colspan=2', ' rowspan=3'])}>" for _ in range(rng.randrange(4)))
+            + f" {w} "
+            for w in words
         )
         assert sorted(re.findall(r"w\d+", html_text.page_text(page))) == sorted(words), page
 
