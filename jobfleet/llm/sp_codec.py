@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as weighted transducers.
 
-Compiled once per model: the normaliser (identity, a space written as the mark U+2581, a mark put
-before the text), the lexicon transducer (a trie from characters to pieces), byte fallback arcs
+Compiled once per model: the normaliser (the model's rules, of which the longest that fits a place is
+taken, from left to right; runs of spaces made one and outer ones left out where the model asks for it; a space
+written as the mark U+2581, a mark put before the text), the lexicon transducer (a trie from characters to pieces), byte fallback arcs
 for characters that are no piece, and, for merge-based models, an acceptor over adjacent pieces.
 Composing them with an input gives a lattice over its positions; the encoding is the shortest path
 in the tropical semiring.
@@ -18,12 +19,12 @@ Decoding is the inverse: pieces to characters, runs of byte pieces to UTF-8.
 No piece holds a mark after another character, or a line feed (checked when the model is
 compiled), so texts are composed marked word by marked word and words are remembered.
 
-Defined results: null and empty texts give no ids and decode to the empty text; texts are
-encoded whole; repeated rows are encoded each; an empty table gives an empty result; all columns
+Defined results: null and empty texts, and those of which the normaliser leaves nothing, give no ids and decode to the
+empty text; texts are encoded whole; equally good paths are settled as the model's library does; repeated rows are encoded each; an empty table gives an empty result; all columns
 are kept, and columns named like the results are replaced.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass
 import re
 
@@ -43,6 +44,7 @@ CACHE_PAIRS = 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_TEXT = " ⁇ "
+_SPACES = re.compile(" +")
 
 
 @dataclass
@@ -54,17 +56,20 @@ class Model:
     types: list[int]
     scores: list[float]
     dummy_prefix: bool
+    rules: tuple[tuple[str, str], ...] = ()
+    squeeze: bool = False
 
 
 def load(model_file: str) -> Model:
-    from sentencepiece import sentencepiece_model_pb2
+    from sentencepiece import SentencePieceNormalizer, sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(model_file, "rb") as file:
         proto.ParseFromString(file.read())
-    rules = proto.normalizer_spec
-    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
-        raise ValueError("only the identity normaliser with escaped spaces is compiled")
+    spec = proto.normalizer_spec
+    if not spec.escape_whitespaces:
+        raise ValueError("only normalisers with escaped spaces are compiled")
+    rules = SentencePieceNormalizer(model_file=model_file).decompile() if spec.precompiled_charsmap else ()
     if proto.trainer_spec.model_type not in (UNIGRAM, BPE) or proto.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("only unigram and merge-based models with leading marks are compiled")
     if any(p.type == USER_DEFINED for p in proto.pieces):
@@ -76,15 +81,69 @@ def load(model_file: str) -> Model:
         [p.piece for p in proto.pieces],
         [p.type for p in proto.pieces],
         [p.score for p in proto.pieces],
-        rules.add_dummy_prefix,
+        spec.add_dummy_prefix,
+        tuple(rules),
+        spec.remove_extra_whitespaces,
     )
 
 
+class Normaliser:
+    """Rewrites texts by rules (from, to); ``squeeze`` makes runs of spaces one and leaves out outer ones."""
+
+    def __init__(self, rules: Iterable[tuple[str, str]], squeeze: bool):
+        self.rules, self.squeeze = dict(rules), squeeze
+        self.reach: dict[str, int] = {}
+        alone, first, second = set(), set(), set()
+        for source in self.rules:
+            self.reach[source[0]] = max(len(source), self.reach.get(source[0], 0))
+            if len(source) == 1:
+                alone.add(source)
+            else:
+                first.add(source[0])
+                second.add(source[1])
+        among = lambda found: "[" + "".join(map(re.escape, sorted(found))) + "]" if found else "(?!)"
+        #: Where a rule may begin; most places of most texts are none.
+        self.begins = re.compile(f"{among(alone)}|{among(first)}(?={among(second)})")
+
+    def steps(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of the rewritten text, and whether a part was made by one rule."""
+        at = 0
+        while (found := self.begins.search(text, at)) is not None:
+            start = found.start()
+            for n in range(min(self.reach[text[start]], len(text) - start), 0, -1):
+                made = self.rules.get(text[start : start + n])
+                if made is not None:
+                    yield text[at:start], False
+                    yield made, True
+                    at = start + n
+                    break
+            else:
+                yield text[at : start + 1], False
+                at = start + 1
+        yield text[at:], False
+
+    def __call__(self, text: str) -> str:
+        """The rewritten text, where spaces stand for marks."""
+        if not self.squeeze:
+            return ("".join(part for part, _ in self.steps(text)) if self.rules else text).replace(MARK, " ")
+        out, after_space = [], True
+        for part, by_rule in self.steps(text):
+            if not by_rule:
+                part = _SPACES.sub(" ", part)
+            if after_space:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part)
+                after_space = part.endswith(" ")
+        return "".join(out).replace(MARK, " ").rstrip(" ")
+
+
 class Codec:
     """The composed transducers of one model; made once per task."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.normal = Normaliser(model.rules, model.squeeze)
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == NORMAL}
         self.unknown_id = model.types.index(UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == BYTE}
@@ -238,7 +297,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         prefix = " " if self.model.dummy_prefix else ""
-        return self.store.encode([prefix + t.replace(MARK, " ") if t else "" for t in texts])
+        ready = [(t, self.normal(t)) for t in texts]
+        return self.store.encode([prefix + made if made or (t and not self.model.squeeze) else "" for t, made in ready])
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
@@ -253,9 +313,15 @@ class Codec:
             text = "".join(out) + run.decode("utf-8", "replace")
         else:
             text = "".join(map(self.text_of.__getitem__, ids.tolist()))
-        first = next((i for i in ids.tolist() if self.model.types[i] != CONTROL), None)
-        marked = first is not None and self.model.types[first] == NORMAL and self.model.pieces[first].startswith(MARK)
-        return text[1:] if self.model.dummy_prefix and marked else text
+        cut = 0  # the mark before the text, or, where outer spaces are left out, that of each piece up to the first character
+        for i in ids.tolist() if self.model.dummy_prefix or self.model.squeeze else ():
+            if self.model.types[i] == CONTROL:
+                continue
+            marked = self.model.types[i] == NORMAL and self.model.pieces[i].startswith(MARK)
+            cut += marked
+            if not (marked and self.model.squeeze and self.model.pieces[i] == MARK):
+                break
+        return text[cut:]
 
 
 def encode(documents: DataFrame, model_file: str, text: str = "text", decoded: str | None = None) -> DataFrame:
@@ -302,7 +368,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(documents: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """``documents`` with n_pieces, n_bytes_pieces, ids_crc32 and decodes (the text came back), in one pass.
+    """``documents`` with n_pieces, n_byte_pieces, ids_crc32 and decodes (the normalised text came back), in one pass.
 
     The mark U+2581 comes back as a space, as the model has it.
     """
@@ -318,7 +384,7 @@ def round_trip(documents: DataFrame, model_file: str, text: str = "text") -> Dat
             rows = []
             for part in grouped(batch.fillna("")):
                 for whole, ids in zip(part, codec.encode(part), strict=True):
-                    same = codec.decode(ids) == whole.replace(MARK, " ")
+                    same = codec.decode(ids) == codec.normal(whole)
                     rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), same))
             yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_crc32", "decodes"])
 

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer, models as tokenizer_models, normalizers
 
 from jobfleet.llm import html_text, langid, pii, quality, queries, sp_codec, token_count, token_file
@@ -127,6 +128,27 @@ def test_sentencepiece_equals_the_library(texts):
     assert codec.decode([0, 5, 200, 201, 300]) == exact.decode([0, 5, 200, 201, 300])
 
 
+@pytest.mark.parametrize("rules", ["nmt_nfkc", "nfkc_cf", None])
+@pytest.mark.parametrize(("squeeze", "prefix"), [(True, True), (True, False), (False, True), (False, False)])
+def test_a_model_with_a_normaliser_equals_the_library(texts, tmp_path, rules, squeeze, prefix):
+    proto, other = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as file:
+        proto.ParseFromString(file.read())
+    if rules:
+        other.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto())
+        proto.normalizer_spec.CopyFrom(other.normalizer_spec)
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = squeeze, prefix
+    path = tmp_path / "normalised.model"
+    path.write_bytes(proto.SerializeToString())
+    exact, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), sp_codec.Codec(sp_codec.load(str(path)))
+    odd = ["ｶﾞＡﬁ", "e\u0301 o\u0302\u0301", "  a   b  ", "¨ ¨", "\x01", " \x01 ", "▁ a▁", "▁▁", "a\u3000\u200bb\n", "İSTANBUL ẞ", " \t "]
+    marks = ALPHABET + "  ｶﾞＡﬁe\u0301\u0302¨\u3000\u200bẞ½①한ᄒ"
+    for text in odd + [t for _, t in texts[:10]] + fuzz(6, 1500, marks):
+        ids = codec.encode([text])[0].tolist()
+        assert ids == exact.encode(text), text
+        assert codec.decode(ids) == exact.decode(ids), text
+
+
 def test_a_unigram_model_takes_the_path_of_least_weight():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a"]
     model = sp_codec.Model(sp_codec.UNIGRAM, pieces, [2, 1, 1, 1, 1, 1], [0, -2, -1, -1, -1.5, -2.5], True)
