@@ -15,6 +15,12 @@ BROADCAST_BYTES = 32 << 20
 TASK_BYTES = 16 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it: one without a scheme is on the cluster's default file system."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
@@ -27,6 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
         folder = context.getCheckpointDir()
+    folder = qualified(spark, folder)
     return f"{folder.rstrip('/')}/llm-{context.applicationId}/{name}-{uuid4().hex}"
 
 

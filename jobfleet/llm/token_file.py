@@ -8,8 +8,9 @@ token is read in a handful of byte ranges without decoding a block. Each segment
 ``SEGMENT`` ids chooses the widths that make it smallest, from its counts of bit lengths.
 
 Documents are dealt out by ranges of doc_id and sorted; task p writes file p, first under a name
-of its own and then moved to its place, so a repeated attempt leaves the same file. A manifest
-table (one row per file) is the only thing that is gathered.
+of its own and then moved to its place. A repeated attempt writes the same bytes, so it leaves a whole file that
+stands there, and replaces a cut one. A manifest table (one row per file) is the only thing that is gathered.
+The folder is resolved as Spark resolves it, so one without a scheme is on the default file system.
 
 File: segments, then a JSON directory with the byte ranges of all parts and the documents' ids and
 token offsets (as two int64 arrays), then the directory's length (8 bytes) and ``MAGIC``.
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobfleet.llm.common import columns_of, scratch, tasks_for
+from jobfleet.llm.common import columns_of, qualified, scratch, tasks_for
 from jobfleet.llm.wordstore import WordStore, grouped, per_process
 
 MAGIC = b"DACIDS01"
@@ -131,7 +132,10 @@ def access(levels: list[dict], read, i: int) -> int:
 # --- files ---------------------------------------------------------------------------------
 
 def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{os.path.abspath(path)}")
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pyarrow.fs.FileSystem.from_uri(f"file://{os.path.abspath(path)}")
+    return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 class Writer:
@@ -179,6 +183,12 @@ class Writer:
         directory = json.dumps({"segments": self.segments, "docs": docs, "ends": ends, "n_tokens": self.n_tokens}).encode()
         self._put(directory + len(directory).to_bytes(8, "little") + MAGIC)
         self.out.close()
+        there = self.fs.get_file_info(self.path)
+        if there.type == pyarrow.fs.FileType.File and there.size == self.at:
+            self.fs.delete_file(self.draft)
+            return
+        if there.type == pyarrow.fs.FileType.File:
+            self.fs.delete_file(self.path)
         self.fs.move(self.draft, self.path)
 
 
@@ -284,6 +294,7 @@ def split_words(text: str) -> list[str]:
 
 def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -> DataFrame:
     """Write the ids of ``documents`` in ascending doc_id order; returns the manifest, not yet run."""
+    folder = qualified(documents.sparkSession, folder)
     docs = columns_of(documents, "doc_id", "text").select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
+import pyarrow.fs
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -110,6 +111,44 @@ def test_any_token_is_read_by_itself(spark, monkeypatch, top):
         reader.token(len(ids))
 
 
+class Refusing:
+    """A file system that moves nothing onto a file, as some do."""
+
+    def __init__(self, inner):
+        self.inner = inner
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def move(self, source, target):
+        assert self.inner.get_file_info(target).type == pyarrow.fs.FileType.NotFound
+        self.inner.move(source, target)
+
+
+@pytest.mark.parametrize("before", [None, b"", b"cut off"])
+def test_a_second_attempt_leaves_one_whole_file(tmp_path, monkeypatch, before):
+    opened = token_file.store
+    monkeypatch.setattr(token_file, "store", lambda path: (Refusing(opened(path)[0]), opened(path)[1]))
+    path = tmp_path / "ids-0.dac"
+    if before is not None:
+        path.write_bytes(before)
+    for attempt in ("first", "second", "third"):
+        writer = token_file.Writer(str(path), attempt)
+        writer.add(3, np.arange(1000, dtype=np.uint32))
+        writer.close()
+        assert [p.name for p in tmp_path.iterdir()] == ["ids-0.dac"]
+        assert np.array_equal(token_file.Reader(str(path)).segment(0), np.arange(1000))
+
+
+def test_folders_are_resolved_as_spark_does(spark, tmp_path):
+    assert scratch(spark, "x").startswith("file:/")
+    frame = spark.createDataFrame([(1, "one two"), (2, "three")], DOCS)
+    manifest = token_file.write(frame, f"{tmp_path}/ids", WORD_BPE, 2).collect()
+    assert all(m.path.startswith("file:/") for m in manifest)
+    docs = [d for m in manifest for d, _, _ in token_file.Reader(m.path).documents()]
+    assert sorted(docs) == [1, 2]
+
+
 def test_words_are_encoded_as_whole_texts_are():
     exact, ours = Tokenizer.from_file(WORD_BPE), token_file.word_encoder(WORD_BPE)
     odd = ["a\x1cb  Don't DON'T ①½ x́ ́a <|endoftext|>b Σας ΣΑΣ İ 3.14's  q　 ", "", "   ", "é ̸z \x85 #*$ ß. ẞ, ÀÉ."]
