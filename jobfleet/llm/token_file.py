@@ -253,28 +253,32 @@ def word_encoder(tokenizer_file: str) -> WordStore:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
+    vocabulary = tokenizer.get_vocab()
+    ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     marks: dict[str, list[int]] = {"": []}
     splits = ids_by_itself(tokenizer, ["a,*#"])[0] == sum(ids_by_itself(tokenizer, ["a", ",*#"]), [])
 
+    def parts_of(word: str) -> tuple[str, str] | None:
+        """A plain word's letters and marks."""
+        if word.isascii() and word.isalpha():
+            return word.lower(), ""
+        found = _PLAIN.fullmatch(word)
+        return found and (found[1].lower(), found[2])
+
     def ids_of(words: list[str]) -> list[list[int]]:
-        plain = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, words)] if splits else [None] * len(words)
+        plain = list(map(parts_of, words)) if splits else [None] * len(words)
         if len(marks) > CACHE_WORDS:
             marks.clear()
         tails = list({m[1] for m in plain if m}.difference(marks))
         marks.update(zip(tails, ids_by_itself(tokenizer, tails), strict=True))
         units = list(dict.fromkeys(m[0] for m in plain if m))
         texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
-        found, unit = [], []
-        for ids in ids_by_itself(tokenizer, texts):
-            for i in ids:
-                unit.append(i)
-                if i in last:
-                    found.append(unit)
-                    unit = []
-        of_unit = dict(zip(units, found, strict=True))
+        flat = [i for ids in ids_by_itself(tokenizer, texts) for i in ids]
+        ends = (np.flatnonzero(ends_unit[np.array(flat, np.int64)]) + 1).tolist()
+        of_unit = dict(zip(units, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         rest = iter(ids_by_itself(tokenizer, [w for w, m in zip(words, plain, strict=True) if not m]))
-        return [of_unit[m[0]] + marks[m[1]] if m else next(rest) for m in plain]
+        return [(of_unit[m[0]] + marks[m[1]] if m[1] else of_unit[m[0]]) if m else next(rest) for m in plain]
 
     return WordStore(split_words, ids_of, CACHE_WORDS)
 
