@@ -245,9 +245,10 @@ def word_encoder(tokenizer_file: str) -> WordStore:
     """Encodes texts word by word with a tokenizer that never joins across white space.
 
     A plain word is letters that are lower-cased one by one and stay one unit, perhaps before a
-    run of marks other than apostrophes, which the tokenizer makes a unit of its own. Plain words
-    are encoded many at a time, told apart by the mark that ends each unit, and runs of marks once;
-    all other words are encoded by themselves.
+    run of marks other than apostrophes, which the tokenizer makes a unit of its own. Units
+    are encoded many at a time, told apart by the mark that ends each unit, and remembered, as runs of
+    marks are, so that a word is not encoded again for other marks or letter cases; all other words are
+    encoded by themselves.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -256,27 +257,29 @@ def word_encoder(tokenizer_file: str) -> WordStore:
     vocabulary = tokenizer.get_vocab()
     ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    marks: dict[str, list[int]] = {"": []}
+    marks: dict[str, list[int]] = {}
+    of_unit: dict[str, list[int]] = {}
     splits = ids_by_itself(tokenizer, ["a,*#"])[0] == sum(ids_by_itself(tokenizer, ["a", ",*#"]), [])
 
     def parts_of(word: str) -> tuple[str, str] | None:
         """A plain word's letters and marks."""
-        if word.isascii() and word.isalpha():
-            return word.lower(), ""
         found = _PLAIN.fullmatch(word)
         return found and (found[1].lower(), found[2])
 
     def ids_of(words: list[str]) -> list[list[int]]:
-        plain = list(map(parts_of, words)) if splits else [None] * len(words)
-        if len(marks) > CACHE_WORDS:
-            marks.clear()
+        if not splits:
+            return ids_by_itself(tokenizer, words)
+        plain = [(w.lower(), "") if w.isascii() and w.isalpha() else parts_of(w) for w in words]
+        for known in (marks, of_unit):
+            if len(known) > CACHE_WORDS:
+                known.clear()
         tails = list({m[1] for m in plain if m}.difference(marks))
         marks.update(zip(tails, ids_by_itself(tokenizer, tails), strict=True))
-        units = list(dict.fromkeys(m[0] for m in plain if m))
+        units = list(dict.fromkeys(m[0] for m in plain if m and m[0] not in of_unit))
         texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
         flat = [i for ids in ids_by_itself(tokenizer, texts) for i in ids]
         ends = (np.flatnonzero(ends_unit[np.array(flat, np.int64)]) + 1).tolist()
-        of_unit = dict(zip(units, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        of_unit.update(zip(units, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         rest = iter(ids_by_itself(tokenizer, [w for w, m in zip(words, plain, strict=True) if not m]))
         return [(of_unit[m[0]] + marks[m[1]] if m[1] else of_unit[m[0]]) if m else next(rest) for m in plain]
 
