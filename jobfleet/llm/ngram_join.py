@@ -13,7 +13,7 @@ the L longest are set aside.
 4. The rest is put into groups: each node follows the node with which it shares most lists. Nodes
    that still share c tokens with other groups merge their groups. Groups are such that
    linked nodes are always in one.
-5. Inside a group, blocks of bounded size meet pairwise in a task each: the inverted lists of a
+5. Inside a group, blocks of bounded tokens and nodes meet pairwise in a task each: the inverted lists of a
    block are searched for every node of the other. Short lists are merged to count occurrences, long ones probed by binary
    search until the required overlap is reached or out of reach. A task returns a spanning forest of the links it
    found and each node's number of links, never the pairs.
@@ -31,6 +31,8 @@ kept, and columns named like the results are replaced.
 from collections.abc import Iterator
 from dataclasses import dataclass
 import hashlib
+import heapq
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,11 @@ from jobfleet.llm.components import components
 SHARE = 0.05
 SKETCH = 1 << 18
 BLOCK_TOKENS = 1 << 20
+BLOCK_NODES = 1 << 14
 PIECE = 512  # tokens of a set that travel in one row
 PROBES = 16  # long lists probed before hopeless candidates go
 MU = 0.01
+HEAP_ENTRIES = 256  # entries of short lists that a heap merges; more are merged by sorting
 ROW_BYTES = 64
 
 
@@ -247,40 +251,41 @@ def groups(posted: DataFrame) -> DataFrame:
 # --- search inside a group -----------------------------------------------------------------
 
 class Index:
-    """Inverted lists over a block of sets; members are numbered by position."""
+    """Inverted lists over a block of sets in ascending order of size; members are numbered by position."""
 
     def __init__(self, sets: list[np.ndarray], measure: Measure):
         self.measure = measure
-        tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.size = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(tokens, kind="stable")  # owners stay ascending within a list
         tokens, self.owner = tokens[order], owner[order]
         self.token, self.start = np.unique(tokens, return_index=True)
         self.end = np.append(self.start[1:], len(tokens))
-        self.size = np.array([len(s) for s in sets])
 
-    def search(self, query: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """Members, of those allowed, that have the required overlap with ``query``."""
+    def search(self, query: np.ndarray, after: int = -1) -> np.ndarray:
+        """Members beyond ``after`` that have the required overlap with ``query``."""
         n, up, down = len(query), self.measure.denominator, self.measure.numerator
-        fits = allowed & (up * self.size >= down * n) & (down * self.size <= up * n)
-        if not fits.any():
-            return np.zeros(0, np.int64)
+        # members from lo to hi - 1 are of a fitting size
+        lo = max(after + 1, int(np.searchsorted(self.size, -(-down * n // up))))
+        hi = int(np.searchsorted(self.size, up * n // down, side="right"))
+        none = np.zeros(0, np.int64)
+        if lo >= hi:
+            return none
         at = np.searchsorted(self.token, query)
         at = at[(at < len(self.token)) & (self.token[np.minimum(at, len(self.token) - 1)] == query)]
-        least = int(self.measure.overlap(n, int(self.size[fits].min())))
+        at = at[(self.owner[self.end[at] - 1] >= lo) & (self.owner[self.start[at]] < hi)]
+        least = int(self.measure.overlap(n, int(self.size[lo])))
         if len(at) < least:
-            return np.zeros(0, np.int64)
+            return none
         starts, ends = self.start[at], self.end[at]
         order = np.argsort(ends - starts, kind="stable")
         starts, ends = starts[order], ends[order]
         longest = int(ends[-1] - starts[-1])
         skip = min(least - 1, int(least / (MU * np.log2(max(longest, 2)) + 1)))
         short = len(at) - skip
-        # merge the short lists: occurrences per member
-        merged = np.concatenate([self.owner[s:e] for s, e in zip(starts[:short], ends[:short], strict=True)])
-        count = np.bincount(merged, minlength=len(self.size))
-        found = np.nonzero(fits & (count >= least - skip))[0]
-        have, want = count[found], self.measure.overlap(n, self.size[found])
+        found, have = self._merge(starts[:short].tolist(), ends[:short].tolist(), lo, hi, least - skip)
+        want = self.measure.overlap(n, self.size[found])
         # probe the long lists, dropping candidates that can no longer reach their overlap
         for i in range(short, len(at), PROBES):
             left = len(at) - i
@@ -294,13 +299,35 @@ class Index:
                 have = have + ((place < len(members)) & (members[np.minimum(place, len(members) - 1)] == found))
         return found[have >= want]
 
+    def _merge(self, starts: list[int], ends: list[int], lo: int, hi: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members from lo to hi - 1 that occur in ``least`` of the lists or more, and in how many.
+
+        Lists that hold fewer entries than there are members are merged by a heap, the least head first; beyond
+        that members are counted in place, which costs less than a comparison for each entry.
+        """
+        total = sum(ends) - sum(starts)
+        if total < min(HEAP_ENTRIES, hi - lo):
+            run = heapq.merge(*(self.owner[s:e].tolist() for s, e in zip(starts, ends, strict=True)))
+            times = [(member, len(list(same))) for member, same in groupby(run) if lo <= member < hi]
+            kept = [x for x in times if x[1] >= least]
+            return np.array([m for m, _ in kept], np.int64), np.array([k for _, k in kept], np.int64)
+        merged = np.concatenate([self.owner[s:e] for s, e in zip(starts, ends, strict=True)])
+        if total < hi - lo:
+            members, count = np.unique(merged, return_counts=True)
+            fit = (members >= lo) & (members < hi) & (count >= least)
+            return members[fit], count[fit]
+        count = np.bincount(merged, minlength=hi)[lo:hi]
+        found = np.flatnonzero(count >= least)
+        return found + lo, count[found]
+
 
 def search_cell(nodes: list[int], sides: list[int], copies: list[int], sets: list[np.ndarray], within: bool, measure: Measure):
     """Links inside one block, or between two: a spanning forest, and links per node counting copies."""
-    side, copies = np.array(sides), np.array(copies)
-    index = Index(sets, measure)
-    numbers = np.arange(len(sets))
-    links, parent = np.zeros(len(sets), np.int64), list(range(len(sets)))
+    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    queries = by_size if within else [i for i in by_size if sides[i] == 0]
+    members = by_size if within else [i for i in by_size if sides[i] == 1]
+    index = Index([sets[i] for i in members], measure)
+    links, parent = [0] * len(sets), list(range(len(sets)))
     forest = []
 
     def root(i: int) -> int:
@@ -309,24 +336,22 @@ def search_cell(nodes: list[int], sides: list[int], copies: list[int], sets: lis
             i = parent[i]
         return i
 
-    for i, query in enumerate(sets):
-        if not within and side[i] == 1:
-            continue
-        allowed = (numbers > i) if within else (side == 1)
-        for j in index.search(query, allowed).tolist():
+    for place, i in enumerate(queries):
+        for j in index.search(sets[i], place if within else -1).tolist():
+            j = members[j]
             links[i] += copies[j]
             links[j] += copies[i]
             a, b = root(i), root(j)
             if a != b:
                 parent[a] = b
                 forest.append((nodes[i], nodes[j]))
-    return forest, [(nodes[i], int(k)) for i, k in enumerate(links) if k]
+    return forest, [(nodes[i], k) for i, k in enumerate(links) if k]
 
 
 def links(documents: DataFrame, facts: DataFrame, grouped: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
     """(a, b, k): edges of a spanning forest (k null), and numbers of links (b null) of node a."""
     sums = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
-    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("nodes") / BLOCK_NODES)).cast("int")
     members = (
         grouped.join(sums.select("group", blocks.alias("blocks")), "group")
         .join(classes.select("node", "copies", "row_key"), "node")
