@@ -624,8 +624,7 @@ planned AS (
         ATTACH,
         body=f"""SELECT h.workspace_host, count(p.job_id) AS scanned, count(p.job_id) AS matched, {ALREADY}, {COUNTERS}
         FROM (SELECT 'ws-' || r_regionkey AS workspace_host FROM region) h
-        LEFT JOIN (SELECT * FROM planned WHERE contains(workspace_host || '-' || name, 'ws-1-high')) p
-          ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
+        LEFT JOIN planned p ON p.workspace_host = h.workspace_host GROUP BY h.workspace_host""",
     )
     q["enrich_on_demand"] = _with(
         JOBS,
