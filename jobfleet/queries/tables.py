@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobfleet.schemas import EVENT_FIELDS, HOST, JOBS, SETTINGS, WEBHOOK
-from jobfleet.staging import qualified, staging_path, write_staged
+from jobfleet.staging import qualified, spread, staging_path, write_staged
 
 ROOT_FILE = "bundle.yml"
 
@@ -31,17 +31,40 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build, **options) -> Data
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "jobs", derive_jobs, partition_by=HOST)
+    return _once(spark, sf_dir, "jobs", _dealt_jobs, partition_by=HOST, dealt=True)
 
 
 def derive_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with customer and nation as jobs; their line items as webhook lists."""
+    return _written_out(_job_facts(spark, sf_dir))
+
+
+def _dealt_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt and sorted by workspace while a job is a few numbers; settings are built where they are written."""
+    # a null workspace and an empty one are the same partition, and only a column without nulls keeps its order
+    facts = _job_facts(spark, sf_dir).withColumn(HOST, F.coalesce(HOST, F.lit("")))
+    return _written_out(spread(facts, HOST).sortWithinPartitions(HOST))
+
+
+def _job_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job is made of: its order, the customer's segment, and a small number for each line item."""
     orders = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
     )
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    lists = _webhook_lists(read(spark, sf_dir, "lineitem"))
+    host = nation.select("n_nationkey", F.concat(F.lit("ws-"), F.col("n_regionkey")).alias(HOST))
+    placed = customer.join(host, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", HOST)
+    lists = _line_codes(read(spark, sf_dir, "lineitem"))
+    return (
+        orders.join(placed, F.col("o_custkey") == F.col("c_custkey"))
+        .drop("c_custkey")
+        .join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .drop("l_orderkey")
+    )
+
+
+def _written_out(facts: DataFrame) -> DataFrame:
     key, cust, priority = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
 
     name = (
@@ -70,49 +93,48 @@ def derive_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("name"),
         tags.alias("tags"),
         deployment.alias("deployment"),
-        F.col("webhook_notifications"),
-    )
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            F.concat(F.lit("ws-"), F.col("n_regionkey")).alias(HOST),
-            key.alias("scan_ordinal"),
-            key.alias("job_id"),
-            creator.alias("creator_user_name"),
-            settings.cast(SETTINGS).alias("settings"),
-        )
-        .select(*JOBS.names)
+        _webhook_lists(F.col("codes")).alias("webhook_notifications"),
     )
+    return facts.select(
+        HOST,
+        key.alias("scan_ordinal"),
+        key.alias("job_id"),
+        creator.alias("creator_user_name"),
+        settings.cast(SETTINGS).alias("settings"),
+    ).select(*JOBS.names)
 
 
 def _bundle_path(number: Column) -> Column:
     return F.concat(F.lit("/Workspace/bundles/"), number, F.lit("/metadata.json"))
 
 
-def _webhook_lists(lineitem: DataFrame) -> DataFrame:
-    # Every line item is an entry. Equal ones are counted before they are collected, so
-    # that what travels is small, and written out again afterwards.
+def _line_codes(lineitem: DataFrame) -> DataFrame:
+    """``(l_orderkey, codes)``: a number from 0 to 61 for every line item, of its event (the high bits) and its hook."""
+    # Line items go to their order once, as three numbers. Equal ones are counted before they are collected.
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     event = F.when(flag == "A", 0).when(flag == "N", 1).when(status == "O", 2).otherwise(3)
-    counted = lineitem.groupBy(
-        "l_orderkey", event.alias("event"), "l_linenumber", (F.col("l_suppkey") % 7).alias("hook")
-    ).agg(F.count("*").cast("int").alias("copies"))
-    item = F.struct("l_linenumber", "hook", "copies")
-    grouped = counted.groupBy("l_orderkey").agg(
-        *[F.collect_list(F.when(F.col("event") == i, item)).alias(e) for i, e in enumerate(EVENT_FIELDS)]
-    )
+    hook = F.coalesce((F.col("l_suppkey") % 7).cast("int") + 7, F.lit(0))
+    code = (F.shiftleft(event, 4) + hook).cast("tinyint")
+    narrow = lineitem.select("l_orderkey", "l_linenumber", code.alias("code")).repartition("l_orderkey")
+    counted = narrow.groupBy("l_orderkey", "l_linenumber", "code").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    item = F.struct(F.shiftright(F.col("code").cast("int"), 4).alias("event"), "l_linenumber", "code", "copies")
+    items = F.array_sort(F.collect_list(item))
+    written_out = F.flatten(F.transform(items, lambda i: F.array_repeat(i["code"], i["copies"])))
+    return counted.groupBy("l_orderkey").agg(written_out.alias("codes"))
 
-    def webhooks(event: str) -> Column:
-        def written_out(i: Column) -> Column:
-            return F.array_repeat(F.struct(F.concat(F.lit("wh-"), i["hook"]).alias("id")), i["copies"])
 
-        return F.when(F.size(event) > 0, F.flatten(F.transform(F.array_sort(event), written_out))).alias(event)
+def _webhook_lists(codes: Column) -> Column:
+    """The list of each event, in line order; null where it has no entry, and null as a whole without line items."""
 
-    return grouped.select(
-        "l_orderkey", F.struct(*[webhooks(event) for event in EVENT_FIELDS]).alias("webhook_notifications")
-    )
+    def entry(code: Column) -> Column:
+        hook = F.nullif(code.cast("int").bitwiseAND(15), F.lit(0)) - 7
+        return F.struct(F.concat(F.lit("wh-"), hook).alias("id"))
+
+    def webhooks(number: int, event: str) -> Column:
+        mine = F.filter(codes, lambda c: F.shiftright(c.cast("int"), 4) == number)
+        return F.when(F.size(mine) > 0, F.transform(mine, entry)).alias(event)
+
+    return F.when(codes.isNotNull(), F.struct(*[webhooks(i, event) for i, event in enumerate(EVENT_FIELDS)]))
 
 
 def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid4().hex}"
 
 
-def write_staged(df: DataFrame, name: str, partition_by: str | None = None) -> str:
-    """Write ``df`` to a new folder and return its path."""
+def write_staged(df: DataFrame, name: str, partition_by: str | None = None, dealt: bool = False) -> str:
+    """Write ``df`` to a new folder and return its path; with ``dealt`` its rows are spread by the partition column already."""
     path = staging_path(df.sparkSession, name)
     if partition_by is None:
         df.write.parquet(path)
     else:
-        spread(df, partition_by).write.partitionBy(partition_by).parquet(path)
+        rows = df if dealt else spread(df, partition_by)
+        rows.write.partitionBy(partition_by).parquet(path)
     return path
 
 

@@ -1,10 +1,17 @@
 """Inputs derived from small tables that the tests build themselves, held against the SQL."""
 
+import re
+
+from pyspark.sql import functions as F
 import pytest
 
 from compare import difference
-from jobfleet.queries import oracle, registry
+from jobfleet.operators import reports
+from jobfleet.plans.attach import attach_lookup
+from jobfleet.plans.detach import detach_lookup, detach_walk, removal_records
+from jobfleet.queries import oracle, registry, tables
 from jobfleet.schemas import HOST
+from jobfleet.staging import stage
 
 COLUMNS = {
     "region": "r_regionkey long",
@@ -47,3 +54,52 @@ def test_run_stats_cover_the_jobs_of_every_workspace(spark, small_tables, con):
     assert scanned == {f"ws-{region}": regions.count(region) for region in range(4)}
     assert scanned["ws-3"] == 0 < min(scanned["ws-0"], scanned["ws-1"], scanned["ws-2"])
     assert difference(stats, con, oracle.oracle_sql()["run_stats_all_workspaces"]) is None
+
+
+def shuffled(frame):
+    """The columns that each shuffle of the plan carries."""
+    plan = frame._jdf.queryExecution().explainString(
+        frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    return re.findall(r"\) Exchange[^\n]*\nInput \[[0-9]+\]: \[([^\n]*)\]", plan)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_jobs_are_dealt_while_they_are_narrow(spark, small_tables, con, no_broadcast):
+    stored = tables._dealt_jobs(spark, small_tables)
+    carried = shuffled(stored)
+    assert sum("l_linenumber" in columns or "codes" in columns for columns in carried) == 2  # to their order, to their workspace
+    assert not any("settings" in columns or "webhook" in columns for columns in carried)
+    sql = oracle._with(oracle.JOBS, body=f"SELECT workspace_host, job_id, {oracle.NAME} AS name, {oracle._flat_all()} FROM jobs")
+    named = registry.flat_snapshot(tables.jobs(spark, small_tables))
+    named = named.withColumn("name", F.when(F.col("name") == "", "<unnamed>").otherwise(F.col("name")))
+    assert difference(named, con, sql) is None
+
+
+def test_lookups_shuffle_lists_only_for_plans(spark, small_tables, no_broadcast):
+    jobs = tables.jobs(spark, small_tables)
+    ids = stage(spark.range(300).select(F.col("id").alias("job_id"), F.col("id").alias("pos")), "ids")
+    results = jobs.select(HOST, "job_id", (F.col("job_id") % 3 != 0).alias("ok"))
+    run = attach_lookup(jobs, ids, ["ws-0", "ws-1"], "wh-3", limit=5, results=results)
+    for frame in (reports.attach_run_stats(run.found), run.miss_counts(), run.misses()):
+        assert not any("notifications" in c or "settings" in c for c in shuffled(frame))
+    missing = detach_lookup(jobs, ids, ["ws-0", "ws-1"], "wh-3").misses()
+    assert not any(c.startswith(HOST) and "pos" in c for c in shuffled(missing))  # no row per id and workspace
+    found = {(x[HOST], x["job_id"]) for x in jobs.collect()}
+    want = {(h, i) for h in ("ws-0", "ws-1") for i in range(300)} - found
+    assert {(x[HOST], x["job_id"]) for x in missing.collect()} == want
+
+
+def test_a_removal_log_shuffles_no_lists(spark, small_tables, no_broadcast):
+    jobs = tables.jobs(spark, small_tables)
+    results = jobs.select(HOST, "job_id", F.lit(True).alias("ok"))
+    plan = detach_walk(jobs, "wh-3", bundle_jobs="include", results=results)
+    records = removal_records(plan, None, F.lit("2024-01-01").cast("timestamp"))
+    assert not any("notifications" in columns or "settings" in columns for columns in shuffled(records))
