@@ -16,20 +16,19 @@ from jobfleet.operators.caps import STOP, before_stop, stop_ordinals
 from jobfleet.schemas import HOST, ORDINAL
 
 
-def job_facts(jobs: DataFrame) -> DataFrame:
-    """Add the parts of ``settings`` that planners and reports use as columns.
+def job_facts(jobs: DataFrame, known: Sequence[str] = ()) -> DataFrame:
+    """Add the parts of ``settings`` that planners and reports use as columns, but for those ``known`` already.
 
     Later steps name these columns instead of ``settings``. The scan then reads
     only the nested fields a query needs, also where projections pile up.
     """
-    return jobs.withColumns(
-        {
-            "is_bundle": is_bundle(),
-            "job_name": display_name(),
-            "metadata_path": F.col("settings.deployment.metadata_file_path"),
-            "notifications": F.col("settings.webhook_notifications"),
-        }
-    )
+    facts = {
+        "is_bundle": is_bundle(),
+        "job_name": display_name(),
+        "metadata_path": F.col("settings.deployment.metadata_file_path"),
+        "notifications": F.col("settings.webhook_notifications"),
+    }
+    return jobs.withColumns({name: fact for name, fact in facts.items() if name not in known})
 
 
 def walk(

@@ -92,9 +92,8 @@ def attach_lookup(
     _require(webhook_id)
     check_by_id(hosts, tag, owners)
     events = parse_events(events)
-    asked = start(jobs, ids, hosts)
-    plan = settle(asked.found.withColumn("outcome", _outcome(webhook_id, events)), results)
-    run = asked.with_rows(plan).cut(limit, F.col("outcome").isin(*o.CHANGED))
+    asked = start(jobs, ids, hosts, _outcome(webhook_id, events))
+    run = asked.with_rows(settle(asked.found, results)).cut(limit, F.col("outcome").isin(*o.CHANGED))
     return run.with_rows(run.found.withColumn("new_notifications", _payload(webhook_id, events)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jobfleet.operators.caps import STOP, before_stop, stop_ordinals
 from jobfleet.operators.order import running_total
 from jobfleet.operators.walk import job_facts
-from jobfleet.schemas import HOST, JOB_KEY, SETTINGS
+from jobfleet.schemas import HOST, SETTINGS
 from jobfleet.staging import stage
 
 
@@ -25,14 +25,16 @@ def check_by_id(hosts: Sequence[str], tag: str | None, owners: Sequence[str] | N
         raise ValueError("job ids leave nothing for a tag or owner filter to choose")
 
 
-def look_up(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str]) -> DataFrame:
-    """The requested jobs that there are, with their ``pos``, flags and facts.
+def look_up(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str], outcome: Column) -> DataFrame:
+    """The requested jobs that there are, with their ``pos``, flags, facts and ``outcome``.
 
     The only join with the snapshot: by job id, in which the snapshot is shuffled at most once, and not at
-    all when the staged id list is small.
+    all when the staged id list is small. The outcome is told from the job alone, before the join: who asks for
+    nothing more gets it without a shuffle of the lists.
     """
-    found = jobs.filter(F.col(HOST).isin(list(hosts))).join(ids.select("job_id", "pos"), "job_id")
-    return job_facts(found.withColumns({"scanned": F.lit(True), "matched": F.lit(True)}))
+    told = job_facts(jobs.filter(F.col(HOST).isin(list(hosts)))).withColumn("outcome", outcome)
+    found = told.select(*jobs.columns, "is_bundle", "outcome").join(ids.select("job_id", "pos"), "job_id")
+    return job_facts(found.withColumns({"scanned": F.lit(True), "matched": F.lit(True)}), known=["is_bundle"])
 
 
 @dataclass
@@ -85,11 +87,14 @@ class Lookup:
 
     def misses(self) -> DataFrame:
         """``(workspace_host, job_id, pos)`` of each lookup that found nothing: a row per miss."""
-        named = F.explode(F.array(*[F.lit(host) for host in self.hosts])).alias(HOST)
-        wanted = self.ids.select(named, "job_id", "pos")
+        # by job id, as the jobs were found: an id has its workspaces beside it before it becomes a row for each other one
+        having = self.found.groupBy("job_id").agg(F.collect_set(HOST).alias("having"))
+        every = F.array(*[F.lit(host) for host in self.hosts]).cast("array<string>")
+        others = F.array_except(every, F.coalesce("having", F.array().cast("array<string>")))
+        missed = self.ids.join(having, "job_id", "left").select(F.explode(others).alias(HOST), "job_id", "pos")
         if self.stops is not None:
-            wanted = wanted.join(self.stops, HOST, "left").filter(before_stop(F.col(STOP), F.col("pos"), inclusive=True)).drop(STOP)
-        return wanted.join(self.found.select(*JOB_KEY), JOB_KEY, "left_anti")
+            missed = missed.join(self.stops, HOST, "left").filter(before_stop(F.col(STOP), F.col("pos"), inclusive=True)).drop(STOP)
+        return missed
 
     def listed(self, outcome: str) -> DataFrame:
         """The found rows and a row per miss, which has ``outcome`` and the facts of an empty job."""
@@ -98,6 +103,6 @@ class Lookup:
         return self.found.unionByName(missed, allowMissingColumns=True)
 
 
-def start(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str]) -> Lookup:
-    """A lookup of ``ids`` (``job_id``, ``pos``, each id once) in the workspaces ``hosts``."""
-    return Lookup(look_up(jobs, ids, hosts), ids, list(dict.fromkeys(hosts)))
+def start(jobs: DataFrame, ids: DataFrame, hosts: Sequence[str], outcome: Column) -> Lookup:
+    """A lookup of ``ids`` (``job_id``, ``pos``, each id once) in the workspaces ``hosts``; found jobs have ``outcome``."""
+    return Lookup(look_up(jobs, ids, hosts, outcome), ids, list(dict.fromkeys(hosts)))

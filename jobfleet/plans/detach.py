@@ -22,18 +22,23 @@ from jobfleet.plans.by_id import Lookup, check_by_id, start
 from jobfleet.plans.updates import settle
 from jobfleet.schemas import BUNDLE_POLICIES, HOST, REMOVAL_LOG
 
-def _details(plan: DataFrame, webhook_id: WebhookId) -> DataFrame:
+REMOVALS = ("removed_count", "webhook_ids_removed", "events_affected")
+
+
+def _removals(plan: DataFrame, webhook_id: WebhookId) -> DataFrame:
+    """What updates take away. Told before results are joined, so that a log needs no lists after that."""
     before = F.col("notifications")
-    after = F.col("new_notifications")
+    after = without_webhook(before, webhook_id)
+    facts = (removed_count(before, after), ids_removed(before, after, webhook_id), events_affected(before, after))
     sent = F.col("outcome").isin(*o.SENT)
-    plan = plan.withColumn("new_notifications", F.when(sent, without_webhook(before, webhook_id)))
-    return plan.withColumns(
-        {
-            "removed_count": F.when(sent, removed_count(before, after)),
-            "webhook_ids_removed": F.when(sent, ids_removed(before, after, webhook_id)),
-            "events_affected": F.when(sent, events_affected(before, after)),
-        }
-    )
+    return plan.withColumns({name: F.when(sent, fact) for name, fact in zip(REMOVALS, facts, strict=True)})
+
+
+def _details(plan: DataFrame, webhook_id: WebhookId) -> DataFrame:
+    """The payload of updates in the run; rows that a cap left out have no removals either."""
+    sent = F.col("outcome").isin(*o.SENT)
+    payload = {"new_notifications": F.when(sent, without_webhook(F.col("notifications"), webhook_id))}
+    return plan.withColumns({**payload, **{name: F.when(sent, F.col(name)) for name in REMOVALS}})
 
 
 def detach_walk(
@@ -72,7 +77,7 @@ def detach_walk(
     )
     plan = plan.withColumn("outcome", F.when(F.col("matched"), outcome))
     plan = mutation_cap(
-        settle(plan, results),
+        settle(_removals(plan, webhook_id), results),
         limit,
         checked=F.col("outcome").isin(*o.SENT),
         changed=F.col("outcome").isin(*o.CHANGED),
@@ -99,10 +104,10 @@ def detach_lookup(
     """
     check_by_id(hosts, tag, owners)
     before = F.col("notifications")
-    asked = start(jobs, ids, hosts)
     removes = removed_count(before, without_webhook(before, webhook_id)) > 0
     outcome = F.when(before.isNotNull() & removes, o.WOULD_UPDATE).otherwise(o.NOTHING_TO_REMOVE)
-    plan = settle(asked.found.withColumn("outcome", outcome), results)
+    asked = start(jobs, ids, hosts, outcome)
+    plan = settle(_removals(asked.found, webhook_id), results)
     return asked.with_rows(_details(plan.withColumn("bundle_warning", F.col("is_bundle")), webhook_id))
 
 
