@@ -10,9 +10,9 @@ trees; the marks by which the base itself tells a kind (plus sign, at sign) are
 Labels are weak ones, and proposals without one are left out. Positive are what the base confirms, and strings that are given as a password
 or key by the words before them, for which those words are no features. Negative are number proposals inside longer
 strings of letters and digits. Examples made from templates (``EXAMPLES``) stand for the formats that
-corpora rarely label, so that there is a model at every size. Of the corpus a bounded sample of documents
-is used, about ``SAMPLE_DOCS`` by hash and of those at most about ``SAMPLE_SPANS`` spans. Two
-thirds fit the trees; on the rest a threshold per kind is calibrated: the least score whose
+corpora rarely label, so that there is a model at every size. Every labelled span of every distinct text
+is used. Two thirds by hash fit the trees, a level of a tree in a pass over all of them, of which only sums
+by feature and bin reach the driver; on the rest a threshold per kind is calibrated: the least score whose
 precision there is ``PRECISION`` (and never under ``LEAST_SCORE``), or none. Selected spans are disjoint and never touch a base span.
 
 Defined results: null and empty texts have no spans; texts are searched whole, in linear time;
@@ -34,8 +34,6 @@ from jobfleet.llm.common import stage
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-SAMPLE_DOCS = 40_000
-SAMPLE_SPANS = 40_000
 PRECISION = 0.98
 LEAST_SCORE = 0.5
 VARIANTS = 40  # of each example
@@ -316,14 +314,8 @@ def thresholds(scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision:
     return found
 
 
-def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS):
-    """(trees, thresholds) from the examples and a bounded sample of distinct texts."""
-    scale = 1 << 20
-    keyed = documents.select("text").filter("text is not null").withColumn("key", F.xxhash64(F.lit(11), "text"))
-    total = keyed.select("key").distinct().count()
-    share = int(scale * min(1.0, sample_docs / max(total, 1)))
-    made, label = examples()
-    names = [f"f{i}" for i in range(made.shape[1])]
+def labelled_spans(documents: DataFrame) -> DataFrame:
+    """``(x, y, key)`` of every span with a weak label in every distinct text: features, label and a hash of its place."""
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -334,21 +326,185 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: in
                     for span in {*proposals(text), *sure}:
                         told = weak_label(text, span, sure)
                         if told is not None:
-                            rows.append([*map(float, features(text, span)), told, key, span[1], span[2]])
-            yield pd.DataFrame(rows, columns=[*names, "y", "key", "start", "end"])
-
-    schema = ", ".join(f"{n} double" for n in [*names, "y"]) + ", key long, start long, end long"
-    texts = keyed.filter(F.pmod("key", F.lit(scale)) < share).dropDuplicates(["key"])
-    span_key = F.pmod(F.xxhash64(F.lit(12), "key", "start", "end"), F.lit(scale))
-    spans = stage(texts.mapInPandas(labelled, schema).select(*names, "y", span_key.alias("key")), "labelled-spans")
-    share = int(scale * min(1.0, sample_spans / max(spans.count(), 1)))
-    rows = spans.filter(F.col("key") < share).toPandas().sort_values([*names, "y", "key"], kind="stable")
-    x, y = np.vstack([made, rows[names].to_numpy()]), np.concatenate([label, rows["y"].to_numpy()])
-    fold = np.concatenate([np.arange(len(label)), rows["key"].to_numpy()]) % 3
+                            rows.append(([*map(float, features(text, span))], told, key, span[1], span[2]))
+            yield pd.DataFrame(rows, columns=["x", "y", "key", "start", "end"])
+
+    keyed = documents.select("text").filter("text is not null").withColumn("key", F.xxhash64(F.lit(11), "text"))
+    spans = keyed.mapInPandas(labelled, "x array<double>, y double, key long, start long, end long")
+    spans = spans.withColumn("kind", F.col("x")[0]).dropDuplicates(["key", "kind", "start", "end"])  # copies of a text count once
+    return spans.select("x", F.col("y").cast("int").alias("y"), F.xxhash64(F.lit(12), "key", "start", "end").alias("key"))
+
+
+def cut_points(spans: DataFrame, width: int) -> list[np.ndarray]:
+    """Up to 32 cut points of each feature, at equal shares of all spans that fit the trees."""
+    shares = ",".join(str(i / 32) for i in range(33))
+    fit = spans.filter("pmod(key, 3) <> 0")
+    found = fit.agg(*[F.expr(f"percentile(x[{f}], array({shares}))").alias(f"c{f}") for f in range(width)]).first()
+    return [np.unique(np.array(found[f"c{f}"]))[:-1] for f in range(width)]
+
+
+SCALE = float(1 << 24)  # gradients are added up as whole numbers, so that their sums do not depend on the order
+LEVELS = 1 << 16  # of scores, for the thresholds
+BINS = 33
+
+
+def _binned(spans: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"])
+                b = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+                yield pd.DataFrame({"bins": [r.tobytes() for r in b], "kind": x[:, 0].astype(int), "y": batch["y"], "rest": batch["key"] % 3 == 0})
+
+    return spans.mapInPandas(bins, "bins binary, kind int, y int, rest boolean")
+
+
+def _scores(bins: np.ndarray, bias: float, trees: list) -> np.ndarray:
+    score = np.full(len(bins), bias)
+    for tree in trees:
+        leaves = np.array([node if isinstance(node, float) else 0.0 for node in tree])
+        score += leaves[_reached(bins, tree)]
+    return score
+
+
+def _reached(bins: np.ndarray, tree: list) -> np.ndarray:
+    """The number of the node that each row comes to; a node is a leaf's value, (feature, bin, left, right), or None while it grows."""
+    steps = [node if isinstance(node, tuple) else (0, 0, number, number) for number, node in enumerate(tree)]
+    feature, last, low, high = map(np.array, zip(*steps, strict=True))
+    at, rows = np.zeros(len(bins), int), np.arange(len(bins))
+    for _ in range(DEPTH):
+        at = np.where(bins[rows, feature[at]] <= last[at], low[at], high[at])
+    return at
+
+
+def _sums(binned: DataFrame, bias: float, trees: list, tree: list, width: int) -> dict[int, np.ndarray]:
+    """Per growing node of ``tree`` the sums of gradients, Hessians and spans, by feature and bin, over all spans that fit the trees."""
+    size = width * BINS
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, len(tree) * size))
+        for batch in batches:
+            if len(batch):
+                bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(len(batch), width)
+                p = 1 / (1 + np.exp(-_scores(bins, bias, trees)))
+                g, h = np.rint((batch["y"].to_numpy() - p) * SCALE), np.rint(p * (1 - p) * SCALE)
+                slots = (_reached(bins, tree) * size)[:, None] + np.arange(width) * BINS + bins
+                for into, value in zip(total, (g, h, np.ones(len(batch))), strict=True):
+                    into += np.bincount(slots.ravel(), np.repeat(value, width), len(into))
+        slot = np.nonzero(total[2])[0]
+        yield pd.DataFrame({"slot": slot, **{n: t[slot].astype(np.int64) for n, t in zip("ghn", total, strict=True)}})
+
+    parts = binned.filter("not rest").mapInPandas(summed, "slot long, g long, h long, n long")
+    rows = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect()
+    sums = np.zeros((len(tree), width, BINS, 3))
+    for row in rows:
+        sums[row.slot // size, row.slot % size // BINS, row.slot % BINS] = (row.g / SCALE, row.h / SCALE, row.n)
+    return {number: sums[number] for number, node in enumerate(tree) if node is None}
+
+
+def _split(sums: np.ndarray, cuts: list[np.ndarray]) -> tuple[int, int] | None:
+    """The (feature, bin) whose two sides gain most."""
+    g, h, _ = sums[0].sum(axis=0)
+    best = (1e-6, None)
+    for f, cut in enumerate(cuts):
+        if not len(cut):
+            continue
+        left = np.cumsum(sums[f], axis=0)[: len(cut)]
+        gain = left[:, 0] ** 2 / (left[:, 1] + 1) + (g - left[:, 0]) ** 2 / (h - left[:, 1] + 1) - g**2 / (h + 1)
+        k = int(np.argmax(gain))
+        if gain[k] > best[0]:
+            best = (float(gain[k]), (f, k))
+    return best[1]
+
+
+def boost(binned: DataFrame, cuts: list[np.ndarray]) -> tuple[float, list]:
+    """(bias, trees over bins): each level of a tree is one pass over all spans, of which only sums by bin come back."""
+    width = len(cuts)
+    sure, count = binned.filter("not rest").agg(F.sum("y"), F.count(F.lit(1))).first()
+    bias, trees = float(np.log(sure / (count - sure))), []
+    for _ in range(TREES):
+        tree: list = [None]
+        for depth in range(DEPTH):
+            for number, sums in _sums(binned, bias, trees, tree, width).items():
+                g, h, n = sums[0].sum(axis=0)
+                found = _split(sums, cuts) if n >= 10 else None
+                if found is None:
+                    tree[number] = float(RATE * g / (h + 1))
+                    continue
+                f, k = found
+                tree[number] = (f, k, len(tree), len(tree) + 1)
+                left = sums[f, : k + 1].sum(axis=0)
+                for side in (left, sums[f].sum(axis=0) - left):
+                    # the sums of a split are those of its sides, so the last level needs no pass of its own
+                    tree.append(None if depth + 1 < DEPTH else float(RATE * side[0] / (side[1] + 1)))
+        trees.append(tree)
+    return bias, trees
+
+
+def calibrated(binned: DataFrame, bias: float, trees: list, cuts: list[np.ndarray]) -> dict[str, float]:
+    """``thresholds`` over all spans that did not fit the trees, from counts by kind and ``LEVELS`` levels of scores."""
+    width = len(cuts)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(len(batch), width)
+                p = 1 / (1 + np.exp(-_scores(bins, bias, trees)))
+                yield pd.DataFrame({"kind": batch["kind"], "level": np.floor(p * LEVELS).astype(int), "y": batch["y"]})
+
+    rest = binned.filter("rest").mapInPandas(told, "kind int, level long, y int")
+    counts = rest.groupBy("kind", "level").agg(F.sum("y").alias("right"), F.count(F.lit(1)).alias("n")).toPandas()
+    found = {}
+    for number, kind in enumerate(ALL_KINDS):
+        mine = counts[counts["kind"] == number].sort_values("level", ascending=False)
+        good = np.nonzero((mine["right"].cumsum() / mine["n"].cumsum() >= PRECISION).to_numpy())[0]
+        if len(good):
+            found[kind] = max(LEAST_SCORE, float(mine["level"].to_numpy()[good[-1]]) / LEVELS)
+    return found
+
+
+def train(documents: DataFrame, sample_docs: int | None = None, sample_spans: int | None = None):
+    """(trees, thresholds) from the examples and every labelled span of every distinct text.
+
+    A caller who asks for it gets a model of about ``sample_docs`` texts and ``sample_spans`` of their spans.
+    """
+    made, label = examples()
+    if sample_docs or sample_spans:
+        return _train_on_sample(documents, made, label, sample_docs, sample_spans)
+    rows = [(list(map(float, x)), int(y), i) for i, (x, y) in enumerate(zip(made, label, strict=True))]
+    given = documents.sparkSession.createDataFrame(rows, "x array<double>, y int, key long")
+    spans = stage(labelled_spans(documents).unionByName(given), "labelled-spans")
+    cuts = cut_points(spans, made.shape[1])
+    binned = stage(_binned(spans, cuts), "binned-spans")
+    bias, trees = boost(binned, cuts)
+    return (bias, [_with_cuts(tree, 0, cuts) for tree in trees]), calibrated(binned, bias, trees, cuts)
+
+
+def _train_on_sample(documents: DataFrame, made: np.ndarray, label: np.ndarray, sample_docs: int | None, sample_spans: int | None):
+    scale = 1 << 20
+    key = F.xxhash64(F.lit(11), "text")
+    if sample_docs:
+        total = documents.filter("text is not null").select(key.alias("key")).distinct().count()
+        documents = documents.filter(F.pmod(key, F.lit(scale)) < int(scale * min(1.0, sample_docs / max(total, 1))))
+    spans = stage(labelled_spans(documents), "labelled-spans")
+    share = int(scale * min(1.0, (sample_spans or scale) / max(spans.count(), 1)))
+    some = spans.withColumn("key", F.pmod("key", F.lit(scale))).filter(F.col("key") < share)
+    rows = sorted(some.toPandas().itertuples(index=False), key=lambda r: (list(r.x), r.y, r.key))
+    x = np.vstack([made, *[np.array(r.x)[None] for r in rows]])
+    y = np.concatenate([label, [float(r.y) for r in rows]])
+    fold = np.concatenate([np.arange(len(label)), np.array([r.key for r in rows], int)]) % 3
     trees = Boosted(x[fold > 0], y[fold > 0])
     rest = fold == 0
-    cuts = thresholds(trees.probability(x[rest]), y[rest], x[rest, 0])
-    return (trees.bias, trees.trees), cuts
+    return (trees.bias, trees.trees), thresholds(trees.probability(x[rest]), y[rest], x[rest, 0])
+
+
+def _with_cuts(tree: list, number: int, cuts: list[np.ndarray]):
+    """A tree over bins as ``Boosted`` holds it, with the features' own values."""
+    node = tree[number]
+    if isinstance(node, float):
+        return node
+    f, k, left, right = node
+    return f, float(cuts[f][k]), _with_cuts(tree, left, cuts), _with_cuts(tree, right, cuts)
 
 
 class Finder:

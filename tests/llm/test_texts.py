@@ -305,6 +305,29 @@ def test_the_training_sample_is_bounded_whatever_is_copied(spark, monkeypatch):
     assert fitted[0] <= 800 + len(pii.examples()[1])
 
 
+def test_training_takes_every_labelled_span(spark, monkeypatch):
+    digits = lambda k, n: str(7**k + 10**n)[-n:]
+    texts = [f"{k} +1 ({digits(k, 3)}) {digits(k, 3)}-{digits(k, 4)} at 10.{k % 250}.2.3 {'ax'[k % 2]}{digits(k, 12)} {digits(k, 16)}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:100])), DOCS)
+    x, y = pii.examples()
+    want = len(y) + sum(pii.weak_label(t, s, set(pii.base(t))) is not None for t in texts for s in {*pii.proposals(t), *pii.base(t)})
+    seen, real = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda binned, cuts: seen.append(binned.count()) or real(binned, cuts))
+    (bias, trees), cuts = pii.train(docs)
+    assert seen == [want]
+    # the same trees as from all rows at once
+    rows = pii.labelled_spans(docs).toPandas()
+    x = np.vstack([x, np.stack(rows["x"])])
+    fold = np.concatenate([np.arange(len(y)), rows["key"]]) % 3
+    y = np.concatenate([y, rows["y"]])
+    plain = pii.Boosted(x[fold > 0], y[fold > 0])
+    mine = pii.Boosted.__new__(pii.Boosted)
+    mine.bias, mine.trees = bias, trees
+    assert np.abs(mine.probability(x) - plain.probability(x)).mean() < 0.01
+    told = pii.thresholds(plain.probability(x[fold == 0]), y[fold == 0], x[fold == 0, 0])
+    assert told.keys() == cuts.keys()
+
+
 SHOWN = {
     "call 555-123-4567 now": ["555-123-4567"],
     "mail john (at) example (dot) com please": ["john (at) example (dot) com"],
