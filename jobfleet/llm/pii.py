@@ -36,6 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 PRECISION = 0.98
 LEAST_SCORE = 0.5
+PLACES = 1 << 20  # hashes of spans' places, which deal them to fit or to calibrate
 VARIANTS = 40  # of each example
 TREES, DEPTH, RATE = 40, 3, 0.2
 CONTEXT = 24
@@ -332,13 +333,14 @@ def labelled_spans(documents: DataFrame) -> DataFrame:
     keyed = documents.select("text").filter("text is not null").withColumn("key", F.xxhash64(F.lit(11), "text"))
     spans = keyed.mapInPandas(labelled, "x array<double>, y double, key long, start long, end long")
     spans = spans.withColumn("kind", F.col("x")[0]).dropDuplicates(["key", "kind", "start", "end"])  # copies of a text count once
-    return spans.select("x", F.col("y").cast("int").alias("y"), F.xxhash64(F.lit(12), "key", "start", "end").alias("key"))
+    place = F.pmod(F.xxhash64(F.lit(12), "key", "start", "end"), F.lit(PLACES))
+    return spans.select("x", F.col("y").cast("int").alias("y"), place.alias("key"))
 
 
 def cut_points(spans: DataFrame, width: int) -> list[np.ndarray]:
     """Up to 32 cut points of each feature, at equal shares of all spans that fit the trees."""
     shares = ",".join(str(i / 32) for i in range(33))
-    fit = spans.filter("pmod(key, 3) <> 0")
+    fit = spans.filter("key % 3 <> 0")
     found = fit.agg(*[F.expr(f"percentile(x[{f}], array({shares}))").alias(f"c{f}") for f in range(width)]).first()
     return [np.unique(np.array(found[f"c{f}"]))[:-1] for f in range(width)]
 
@@ -481,15 +483,13 @@ def train(documents: DataFrame, sample_docs: int | None = None, sample_spans: in
 
 
 def _train_on_sample(documents: DataFrame, made: np.ndarray, label: np.ndarray, sample_docs: int | None, sample_spans: int | None):
-    scale = 1 << 20
-    key = F.xxhash64(F.lit(11), "text")
+    scale, key = PLACES, F.xxhash64(F.lit(11), "text")
     if sample_docs:
         total = documents.filter("text is not null").select(key.alias("key")).distinct().count()
         documents = documents.filter(F.pmod(key, F.lit(scale)) < int(scale * min(1.0, sample_docs / max(total, 1))))
     spans = stage(labelled_spans(documents), "labelled-spans")
     share = int(scale * min(1.0, (sample_spans or scale) / max(spans.count(), 1)))
-    some = spans.withColumn("key", F.pmod("key", F.lit(scale))).filter(F.col("key") < share)
-    rows = sorted(some.toPandas().itertuples(index=False), key=lambda r: (list(r.x), r.y, r.key))
+    rows = sorted(spans.filter(F.col("key") < share).toPandas().itertuples(index=False), key=lambda r: (list(r.x), r.y, r.key))
     x = np.vstack([made, *[np.array(r.x)[None] for r in rows]])
     y = np.concatenate([label, [float(r.y) for r in rows]])
     fold = np.concatenate([np.arange(len(label)), np.array([r.key for r in rows], int)]) % 3
