@@ -5,6 +5,8 @@ once per session and input folder, written to the staging folder and then
 scanned like any stored snapshot. All other inputs are derived in the query.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,7 @@ from jobfleet.schemas import EVENT_FIELDS, HOST, JOBS, SETTINGS, WEBHOOK
 from jobfleet.staging import qualified, spread, staging_path, write_staged
 
 ROOT_FILE = "bundle.yml"
+PARTS_OF_A_TASK = 5000
 
 _staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -264,9 +267,14 @@ def write_files(documents: DataFrame, folder: str, below: str) -> None:
     def write(rows) -> None:
         from pyarrow import fs
 
+        system, top = fs.FileSystem.from_uri(root)
+        made = set()
         for row in rows:
-            system, path = fs.FileSystem.from_uri(f"{root}/{row.path.removeprefix(below)}")
-            system.create_dir(path.rpartition("/")[0], recursive=True)
+            path = f"{top}/{row.path.removeprefix(below)}"
+            parent = path.rpartition("/")[0]
+            if parent not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             with system.open_output_stream(path) as out:
                 out.write(row.content.encode())
 
@@ -315,9 +323,11 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as job files of one bundle per brand, plus each bundle's root file.
 
     Half of the files are JSON text, half block-style YAML. One folder of the
-    three is not included by the root.
+    three is not included by the root. Parts are few bytes and files much work, so they are dealt
+    to tasks by their number.
     """
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = part.repartition(math.ceil(part.count() / PARTS_OF_A_TASK) or 1, *part.columns)
     key, size = F.col("p_partkey"), F.col("p_size")
     file = F.concat(F.lit("job_"), key, F.lit(".yml"))
     path = (

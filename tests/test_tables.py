@@ -11,6 +11,7 @@ from jobfleet.plans.attach import attach_lookup
 from jobfleet.plans.detach import detach_lookup, detach_walk, removal_records
 from jobfleet.queries import oracle, registry, tables
 from jobfleet.schemas import HOST
+from jobfleet.sources import bundles
 from jobfleet.staging import stage
 
 COLUMNS = {
@@ -103,3 +104,28 @@ def test_a_removal_log_shuffles_no_lists(spark, small_tables, no_broadcast):
     plan = detach_walk(jobs, "wh-3", bundle_jobs="include", results=results)
     records = removal_records(plan, None, F.lit("2024-01-01").cast("timestamp"))
     assert not any("notifications" in columns or "settings" in columns for columns in shuffled(records))
+
+
+def test_bundle_files_are_written_and_read_in_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    parts = [(i, f"name {i}", f"Brand#{i % 3}", "ECONOMY", i % 9) for i in range(700)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(parts, schema).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(tables, "PARTS_OF_A_TASK", 100)
+    made = tables.bundle_files(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 7  # a small table is one split, and its files are much work
+
+    folder = f"{tmp_path}/bundles"
+    path = F.concat(F.translate("bundle", "#", "-"), F.lit("/"), F.col("path"))
+    tables.write_files(made.withColumn("path", path), folder, "")
+    (tmp_path / "bundles" / "Brand-1" / "_hidden.yml").write_text("a: 1")
+    (tmp_path / "bundles" / "Brand-1" / "empty.yml").write_text("")
+    (tmp_path / "bundles" / "Brand-1" / "other.txt").write_text("a: 1")
+    tasks = []
+    spied = bundles._list_files
+    monkeypatch.setattr(bundles, "_list_files", lambda *a: tasks.append(a) or spied(*a))
+    monkeypatch.setattr(bundles, "FILES_OF_A_TASK", 100)
+    found = bundles.read_bundle_files(spark, folder)
+    assert len(tasks) == 1 and len(found.inputFiles()) <= 8  # not a task for every 32 files
+    want = {(r.bundle.replace("#", "-"), r.path, r.content) for r in made.collect()}
+    assert {tuple(r) for r in found.select("bundle", "path", "content").collect()} == want
+    assert len(want) == 703
