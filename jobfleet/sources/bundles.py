@@ -1,5 +1,6 @@
 """Bundle definition files: discovery, parsing, and the job nodes inside them."""
 
+from collections.abc import Iterator
 import json
 import math
 import re
@@ -8,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobfleet.functions.paths import path_below
 from jobfleet.functions.variants import strict_json, text_at, value_at
 from jobfleet.schemas import EVENT_FIELDS
-from jobfleet.staging import stage
+from jobfleet.staging import qualified, stage
 
 ROOT_POSITION = -1
+FILES_OF_A_TASK, BYTES_OF_A_TASK = 5000, 64 << 20
+BATCH_BYTES = 8 << 20  # of file contents that a reader holds at a time
 _PLACES = "\u0003"  # stands between a path and the numbers of its bundle's patterns
 
 # Plain scalars of the YAML 1.2 core schema.
@@ -36,22 +38,68 @@ def read_bundle_files(
     """``(bundle, path, content)`` of the definition files below a folder.
 
     Each folder directly below ``root`` is one bundle, unless ``bundle`` names
-    ``root`` itself. ``path`` is relative to the bundle's folder. Spark's file
-    listing leaves out names that start with a dot or an underscore.
+    ``root`` itself. ``path`` is relative to the bundle's folder. Names that start with a dot or an
+    underscore and empty files are left out, as in Spark's own listing.
+
+    Definition files are small and many: Spark's text reader would take one task for every 32 of them, and the driver would
+    hold the list of all. Here folders are listed level by level and files dealt to tasks by number and bytes, each
+    read once; the result is staged.
     """
-    whole = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", files)
-        .text(root, wholetext=True)
-    )
-    inside = path_below(root)
+    name_pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(files).compiled().pattern()
+    top = qualified(spark, root.rstrip("/") or "/")
+    listed = _list_files(spark, top).filter(F.rlike(F.substring_index("path", "/", -1), F.lit(f"^(?:{name_pattern})$")))
+    count, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, math.ceil(count / FILES_OF_A_TASK), math.ceil(size / BYTES_OF_A_TASK))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(top)
+        for batch in batches:
+            held, rows = 0, []
+            for path in batch["path"]:
+                with system.open_input_stream(f"{folder}/{path}") as file:
+                    rows.append((path, file.read()))
+                held += len(rows[-1][1])
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    held, rows = 0, []
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    inside = F.col("path")
     if bundle is not None:
         name, path = F.lit(bundle), inside
     else:
         name, path = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]+/", "")
-    return whole.select(
-        name.alias("bundle"), path.alias("path"), F.col("value").alias("content")
-    )
+    whole = listed.select("path").repartition(tasks, "path").mapInPandas(read, "path string, content binary")
+    return stage(whole.select(name.alias("bundle"), path.alias("path"), F.col("content").cast("string").alias("content")), "bundle-files")
+
+
+def _list_files(spark: SparkSession, top: str) -> DataFrame:
+    """``(path, size)`` of the files below a folder, by their paths below it; one step for each level of folders."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(top)
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(f"{root}/{folder}")):
+                    name = info.base_name
+                    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
+                    is_folder = info.type == fs.FileType.Directory
+                    if not hidden and (is_folder or info.size):
+                        rows.append((f"{folder}/{name}".lstrip("/"), 0 if is_folder else info.size, is_folder))
+                yield pd.DataFrame(rows, columns=["path", "size", "is_folder"])
+
+    folders, files = spark.createDataFrame([("",)], "path string"), None
+    while not folders.isEmpty():
+        level = stage(folders.repartition("path").mapInPandas(entries, "path string, size long, is_folder boolean"), "listing")
+        found = level.filter("not is_folder").select("path", "size")
+        files = found if files is None else files.unionByName(found)
+        folders = level.filter("is_folder").select("path")
+    return files
 
 
 def glob_regex(glob: Column) -> Column:
