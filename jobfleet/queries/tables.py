@@ -16,6 +16,7 @@ from jobfleet.staging import qualified, spread, staging_path, write_staged
 
 ROOT_FILE = "bundle.yml"
 PARTS_OF_A_TASK = 5000
+LINES_OF_A_TASK = 300_000
 
 _staged: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -118,7 +119,7 @@ def _line_codes(lineitem: DataFrame) -> DataFrame:
     event = F.when(flag == "A", 0).when(flag == "N", 1).when(status == "O", 2).otherwise(3)
     hook = F.coalesce((F.col("l_suppkey") % 7).cast("int") + 7, F.lit(0))
     code = (F.shiftleft(event, 4) + hook).cast("tinyint")
-    narrow = lineitem.select("l_orderkey", "l_linenumber", code.alias("code")).repartition("l_orderkey")
+    narrow = _dealt_lines(lineitem.select("l_orderkey", "l_linenumber", code.alias("code")), lineitem.count())
     counted = narrow.groupBy("l_orderkey", "l_linenumber", "code").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     item = F.struct(F.shiftright(F.col("code").cast("int"), 4).alias("event"), "l_linenumber", "code", "copies")
     items = F.array_sort(F.collect_list(item))
@@ -126,6 +127,15 @@ def _line_codes(lineitem: DataFrame) -> DataFrame:
     return counted.groupBy("l_orderkey").agg(written_out.alias("codes"))
 
 
+def _dealt_lines(lines: DataFrame, count: int) -> DataFrame:
+    """``lines`` by order; many of them in a fixed number of tasks, as Spark merges small compressed ones into a few large ones."""
+    spark = lines.sparkSession
+    tasks = math.ceil(count / LINES_OF_A_TASK)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return lines.repartition("l_orderkey")
+    return lines.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
+
+
 def _webhook_lists(codes: Column) -> Column:
     """The list of each event, in line order; null where it has no entry, and null as a whole without line items."""
 

@@ -74,6 +74,7 @@ def load_job_ids(
     # One row per file: where it starts, and its first bad cell after that.
     bad = F.when(F.col("job_id").isNull(), F.struct("pos", "cell"))
     starts = parsed.groupBy("file").agg(F.min("pos").alias("first"), F.count("job_id").alias("ids"))
+    starts = stage(starts, "id-files")  # few rows, so that the cells are not shuffled by file to meet them
     later = parsed.join(starts, "file").filter(F.col("pos") > F.col("first")).select(bad.alias("bad"))
     wrong = later.agg(F.min("bad").alias("bad")).first()["bad"]
     if wrong is not None:

@@ -69,3 +69,23 @@ def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert read > 10
     assert [(f.job_id, f.pos) for f in found] == [(k, k + 1) for k in range(20_000)]
+
+
+def test_tasks_grow_with_the_bytes_of_lines_and_shuffle_no_file_names(spark, tmp_path, monkeypatch):
+    (tmp_path / "ids.csv").write_text("".join(f'{k},"name\n{k}"\n' for k in range(2_000)))
+    plans = {}
+    staged = quoted.stage
+
+    def watched(frame, name):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return staged(frame, name)
+
+    monkeypatch.setattr(quoted, "stage", watched)
+    monkeypatch.setattr(quoted, "CHUNK", 50)
+    monkeypatch.setattr(quoted, "TASK_BYTES", 40_000, raising=False)
+    cells = quoted.first_cells(spark, str(tmp_path / "ids.csv")).orderBy("record").collect()
+    assert [c.cell for c in cells] == [str(k) for k in range(2_000)]
+    # 4,000 lines of 100 bytes and their text
+    tasks = -(-sum(100 + len(line) for line in (tmp_path / "ids.csv").read_text().splitlines()) // 40_000)
+    dealt = [line for line in plans["csv-states"].splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 1 and dealt[0].endswith(f", {tasks}") and "file" not in dealt[0]

@@ -129,3 +129,14 @@ def test_bundle_files_are_written_and_read_in_tasks_by_their_number(spark, tmp_p
     want = {(r.bundle.replace("#", "-"), r.path, r.content) for r in made.collect()}
     assert {tuple(r) for r in found.select("bundle", "path", "content").collect()} == want
     assert len(want) == 703
+
+
+def test_many_line_items_are_dealt_to_tasks_by_their_number(spark, small_tables, con, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_OF_A_TASK", 20, raising=False)
+    made = tables.derive_jobs(spark, small_tables)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L, 56\), REPARTITION_BY_NUM", plan)  # 1,120 line items
+    sql = oracle._with(oracle.JOBS, body=f"SELECT workspace_host, job_id, {oracle.NAME} AS name, {oracle._flat_all()} FROM jobs")
+    named = registry.flat_snapshot(stage(made, "dealt-jobs"))
+    named = named.withColumn("name", F.when(F.col("name") == "", "<unnamed>").otherwise(F.col("name")))
+    assert difference(named, con, sql) is None
