@@ -150,3 +150,13 @@ def test_long_texts_take_steps_in_proportion(spark):
     began = time.time()
     (left,) = line_dedup.dedup(spark.createDataFrame([(1, "\n".join(lines))], DOCS)).collect()
     assert left.text.split("\n") == [lines[0], lines[1], lines[4]] and time.time() - began < 60
+
+
+def test_lines_are_words_between_single_blanks_and_never_cut_into_arrays(spark):
+    text = "\x0bOne  two\tthree \r four\x0c\x0bfive\x20\n a b c d \n\n\t\nA b c d E\x1cf g h\r"
+    rows = [(1, text), (2, None), (3, ""), (4, "v w x y z\nv w x y")]
+    lines = line_dedup.lines_of(spark.createDataFrame(rows, DOCS))
+    got = sorted((r.place.doc_id, r.line_no, r.line, r.n) for r in lines.collect())
+    assert got == [(1, 0, "one two three four five", 5), (1, 4, "a b c d e\x1cf g h", 6), (4, 0, "v w x y z", 5)]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
