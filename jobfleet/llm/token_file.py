@@ -50,7 +50,11 @@ MANIFEST = "file_no int, path string, n_docs long, n_tokens long"
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Level widths of least total size; an id with b bits reaches the level that covers bit b."""
-    lengths = np.bincount(np.searchsorted(1 << np.arange(32, dtype=np.int64), ids, side="right"), minlength=33)
+    if ids.max(initial=0) < 1 << 20:
+        upto = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+        lengths = np.diff(upto[np.minimum(np.concatenate([[0], 1 << np.arange(33)]), len(upto) - 1)])
+    else:
+        lengths = np.bincount(np.searchsorted(1 << np.arange(32, dtype=np.int64), ids, side="right"), minlength=33)
     most = max(1, int(np.nonzero(lengths)[0].max(initial=1)))
     longer = [int(lengths[b + 1 :].sum()) if b else len(ids) for b in range(most + 1)]  # ids over b bits
     best: dict[tuple[int, int], tuple[int, list[int]]] = {}
@@ -71,16 +75,17 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=values.dtype)) & values.dtype.type(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    octets = values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+    bits = np.unpackbits(octets, axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    out = np.zeros(count, np.uint32)
-    for k in range(width):
-        out |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    octets = np.zeros((count, 4), np.uint8)
+    some = np.packbits(bits, axis=1, bitorder="little")
+    octets[:, : some.shape[1]] = some
+    return octets.view("<u4").ravel().astype(np.uint32, copy=False)
 
 
 def encode_segment(ids: np.ndarray) -> tuple[list[dict], list[bytes]]:
@@ -237,7 +242,10 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Lines of a plain word, as its letters and marks, or of another word.
+_PLAIN = re.compile(r"(?:([A-Za-zÀ-ÖØ-öø-ÿ]++)([!-&(-/:-@\[-`{-~]*+)|.*)\n")
+#: Characters whose lower case may depend on others, or take up more or fewer of them.
+_NOT_FOLDED = re.compile("[^\\x00-\\xff\\u2010-\\u2027\\u20ac]")
 _TOGETHER = 64  # plain words that are encoded as one text
 
 
@@ -259,28 +267,53 @@ def word_encoder(tokenizer_file: str) -> WordStore:
     marks: dict[str, list[int]] = {"": []}
     splits = ids_by_itself(tokenizer, ["a,*#"])[0] == sum(ids_by_itself(tokenizer, ["a", ",*#"]), [])
 
-    def parts_of(word: str) -> tuple[str, str] | None:
-        """A plain word's letters and marks."""
-        if word.isascii() and word.isalpha():
-            return word.lower(), ""
-        found = _PLAIN.fullmatch(word)
-        return found and (found[1].lower(), found[2])
+    of_letters = letters_tokenizer(tokenizer)
+    capitals = [chr(c) for c in range(256) if chr(c).lower() != chr(c)]
+    folds = ids_by_itself(tokenizer, capitals) == ids_by_itself(tokenizer, [c.lower() for c in capitals])
+    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def words_of(text: str) -> list[str]:
+        """Its words, in lower case where the tokenizer makes no difference, so that fewer are learned."""
+        if folds and (text.isascii() or not _NOT_FOLDED.search(text)):
+            lower = text.lower()
+            if not any(token in lower for token in added):
+                return split_words(lower)
+        return split_words(text)
+
+    def parts_of(words: list[str]) -> tuple[list[str], list[str]]:
+        """The letters and the marks of plain words; others have neither."""
+        letters, tails = zip(*_PLAIN.findall("\n".join(words) + "\n"), strict=True)
+        return "\n".join(letters).lower().split("\n"), tails
 
     def ids_of(words: list[str]) -> list[list[int]]:
-        plain = list(map(parts_of, words)) if splits else [None] * len(words)
+        letters, tails = parts_of(words) if splits else ([""] * len(words),) * 2
         if len(marks) > CACHE_WORDS:
             marks.clear()
-        tails = list({m[1] for m in plain if m}.difference(marks))
-        marks.update(zip(tails, ids_by_itself(tokenizer, tails), strict=True))
-        units = list(dict.fromkeys(m[0] for m in plain if m))
+        new = list(set(tails).difference(marks))
+        marks.update(zip(new, ids_by_itself(tokenizer, new), strict=True))
+        units = [u for u in dict.fromkeys(letters) if u]
         texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
-        flat = [i for ids in ids_by_itself(tokenizer, texts) for i in ids]
+        flat = [i for ids in ids_by_itself(of_letters, texts) for i in ids]
         ends = (np.flatnonzero(ends_unit[np.array(flat, np.int64)]) + 1).tolist()
         of_unit = dict(zip(units, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = iter(ids_by_itself(tokenizer, [w for w, m in zip(words, plain, strict=True) if not m]))
-        return [(of_unit[m[0]] + marks[m[1]] if m[1] else of_unit[m[0]]) if m else next(rest) for m in plain]
+        rest = iter(ids_by_itself(tokenizer, [w for w, u in zip(words, letters, strict=True) if not u]))
+        return [(of_unit[u] + marks[m] if m else of_unit[u]) if u else next(rest) for u, m in zip(letters, tails, strict=True)]
+
+    return WordStore(words_of, ids_of, CACHE_WORDS)
+
+
+def letters_tokenizer(tokenizer):
+    """One for plain words' letters in lower case: without the steps that leave such as they are, if the tokenizer has those."""
+    from tokenizers import Tokenizer
 
-    return WordStore(split_words, ids_of, CACHE_WORDS)
+    parts = json.loads(tokenizer.to_str())
+    steps = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    letters = " ".join(u for u, _ in _PLAIN.findall("".join(f"{chr(c)}\n" for c in range(256))) if u and u == u.lower())
+    stays = tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(letters) == letters
+    if not stays or [step.get("type") for step in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return tokenizer
+    steps = [{"type": "WhitespaceSplit"}, steps[1]]
+    return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": parts["pre_tokenizer"] | {"pretokenizers": steps}, "added_tokens": []}))
 
 
 def ids_by_itself(tokenizer, texts: list[str]) -> list[list[int]]:

@@ -536,3 +536,14 @@ def test_pages_keep_rows_and_columns(spark, sf_dir):
     assert got.columns == frame.columns and got.count() == pages.count() + 2
     assert all("<" not in r.text and "track(" not in r.text for r in got.collect())
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_words_that_differ_in_case_alone_are_learned_once():
+    exact, ours = Tokenizer.from_file(WORD_BPE), token_file.word_encoder(WORD_BPE)
+    texts = ["The THE the Été ÉTÉ, été, “Quoted” “quoted” The's THE'S", "<|ENDOFTEXT|> <|endoftext|> The"]
+    texts += ["İ K Å Σας The", "a\nb A\u0085B  c µ ß ÿ Ÿ × ÷"]
+    for text in texts:
+        assert ours.encode([text])[0].tolist() == exact.encode(text, add_special_tokens=False).ids, text
+    ours = token_file.word_encoder(WORD_BPE)
+    ours.encode(texts[:1])
+    assert sorted(ours.codes) == ["the", "the's", "été", "été,", "“quoted”"]
