@@ -82,10 +82,10 @@ def pack(values: np.ndarray, width: int) -> bytes:
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    octets = np.zeros((count, 4), np.uint8)
-    some = np.packbits(bits, axis=1, bitorder="little")
-    octets[:, : some.shape[1]] = some
-    return octets.view("<u4").ravel().astype(np.uint32, copy=False)
+    out = np.zeros(count, np.uint32)
+    for k in range(width):
+        out |= bits[:, k].astype(np.uint32) << np.uint32(k)
+    return out
 
 
 def encode_segment(ids: np.ndarray) -> tuple[list[dict], list[bytes]]:
