@@ -29,13 +29,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobfleet.llm.common import columns_of, qualified, scratch, tasks_for
-from jobfleet.llm.wordstore import WordStore, grouped, per_process
+from jobfleet.llm.wordstore import WordStore, grouped, per_process, runs
 
 MAGIC = b"DACIDS01"
 SEGMENT = 1 << 19
@@ -242,64 +244,121 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------
 
-#: Lines of a plain word, as its letters and marks, or of another word.
-_PLAIN = re.compile(r"(?:([A-Za-zÀ-ÖØ-öø-ÿ]++)([!-&(-/:-@\[-`{-~]*+)|.*)\n")
+#: The letters of plain words, and the marks that may follow them.
+_LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters whose lower case may depend on others, or take up more or fewer of them.
 _NOT_FOLDED = re.compile("[^\\x00-\\xff\\u2010-\\u2027\\u20ac]")
 _TOGETHER = 64  # plain words that are encoded as one text
 
 
 def word_encoder(tokenizer_file: str) -> WordStore:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordEncoder(Tokenizer.from_file(tokenizer_file))
+
+
+class WordEncoder(WordStore):
     """Encodes texts word by word with a tokenizer that never joins across white space.
 
-    A plain word is letters that are lower-cased one by one and stay one unit, perhaps before a
-    run of marks other than apostrophes, which the tokenizer makes a unit of its own. Plain words
-    are encoded many at a time, told apart by the mark that ends each unit, and runs of marks once;
-    all other words are encoded by themselves.
+    A batch's words are looked up once each. A plain word is letters that are lower-cased one by
+    one and stay one unit, perhaps before a run of marks other than apostrophes, which the
+    tokenizer makes a unit of its own. Plain words that are not remembered without their marks
+    are encoded many at a time, told apart by the mark that ends each unit, and runs of marks
+    once; all other words are encoded by themselves.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    vocabulary = tokenizer.get_vocab()
-    ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-    ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    marks: dict[str, list[int]] = {"": []}
-    splits = ids_by_itself(tokenizer, ["a,*#"])[0] == sum(ids_by_itself(tokenizer, ["a", ",*#"]), [])
-
-    of_letters = letters_tokenizer(tokenizer)
-    capitals = [chr(c) for c in range(256) if chr(c).lower() != chr(c)]
-    folds = ids_by_itself(tokenizer, capitals) == ids_by_itself(tokenizer, [c.lower() for c in capitals])
-    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def words_of(text: str) -> list[str]:
-        """Its words, in lower case where the tokenizer makes no difference, so that fewer are learned."""
-        if folds and (text.isascii() or not _NOT_FOLDED.search(text)):
+    at_once = 1 << 21  # the more, the fewer words are looked up again
+
+    def __init__(self, tokenizer):
+        super().__init__(split_words, lambda words: ids_by_itself(tokenizer, words), CACHE_WORDS)
+        vocabulary = tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_unit[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks: dict[str, list[int]] = {"": []}
+        self.splits = self.ids_of(["a,*#"])[0] == sum(self.ids_of(["a", ",*#"]), [])
+        self.of_letters = letters_tokenizer(tokenizer)
+        capitals = [chr(c) for c in range(256) if chr(c).lower() != chr(c)]
+        self.folds = self.ids_of(capitals) == self.ids_of([c.lower() for c in capitals])
+        self.added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def _folded(self, text: str) -> str:
+        """In lower case where the tokenizer makes no difference, so that fewer words are learned."""
+        if self.folds and (text.isascii() or not _NOT_FOLDED.search(text)):
             lower = text.lower()
-            if not any(token in lower for token in added):
-                return split_words(lower)
-        return split_words(text)
-
-    def parts_of(words: list[str]) -> tuple[list[str], list[str]]:
-        """The letters and the marks of plain words; others have neither."""
-        letters, tails = zip(*_PLAIN.findall("\n".join(words) + "\n"), strict=True)
-        return "\n".join(letters).lower().split("\n"), tails
-
-    def ids_of(words: list[str]) -> list[list[int]]:
-        letters, tails = parts_of(words) if splits else ([""] * len(words),) * 2
-        if len(marks) > CACHE_WORDS:
-            marks.clear()
-        new = list(set(tails).difference(marks))
-        marks.update(zip(new, ids_by_itself(tokenizer, new), strict=True))
-        units = [u for u in dict.fromkeys(letters) if u]
-        texts = [" ".join(units[i : i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
-        flat = [i for ids in ids_by_itself(of_letters, texts) for i in ids]
-        ends = (np.flatnonzero(ends_unit[np.array(flat, np.int64)]) + 1).tolist()
-        of_unit = dict(zip(units, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = iter(ids_by_itself(tokenizer, [w for w, u in zip(words, letters, strict=True) if not u]))
-        return [(of_unit[u] + marks[m] if m else of_unit[u]) if u else next(rest) for u, m in zip(letters, tails, strict=True)]
-
-    return WordStore(words_of, ids_of, CACHE_WORDS)
+            if not any(token in lower for token in self.added):
+                return lower
+        return text
+
+    def _codes_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [self._folded(text) for text in texts]
+        if any(c in text for c in _NO_SPACE for text in texts):
+            cut = pa.array([self.split(text) for text in texts], pa.list_(pa.string()))
+        else:
+            cut = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        found = cut.values.dictionary_encode()
+        words, places = as_list(found.dictionary), found.indices.to_numpy()
+        codes = self._look_up(words)
+        if len(self.codes) + np.count_nonzero(codes < 0) > self.most and self.codes:
+            self._forget()
+            codes = self._look_up(words)
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            first = len(self.codes)
+            self._learn([words[i] for i in unknown.tolist()])
+            codes[unknown] = np.arange(first, len(self.codes))
+        self.uses[codes] += np.bincount(places, minlength=len(words)).astype(np.int32)
+        return codes[places], cut.offsets.to_numpy()[1:]
+
+    def _ids_of_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = pa.array(words, pa.string())
+        letters = pc.utf8_rtrim(texts, characters=_MARKS)
+        plain = pc.match_substring_regex(letters, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False) & self.splits
+        units = pc.utf8_lower(letters.filter(plain)).dictionary_encode()
+        tails = pc.utf8_ltrim(texts.filter(plain), characters=_LETTERS).dictionary_encode()
+        others = self.ids_of(as_list(texts.filter(~plain)))
+        lists = [*self._ids_of_marks(as_list(tails.dictionary)), *others, []]
+
+        # Parts of words: units, runs of marks, other words, and nothing.
+        ids, sizes = self._ids_of_units(as_list(units.dictionary))
+        ids = np.concatenate([ids, np.array([i for part in lists for i in part], np.uint32)])
+        n_tails = len(tails.dictionary)
+        parts = np.full((len(words), 2), len(sizes) + len(lists) - 1)
+        parts[plain, 0] = units.indices.to_numpy()
+        parts[plain, 1] = len(sizes) + tails.indices.to_numpy()
+        parts[~plain, 0] = len(sizes) + n_tails + np.arange(len(others))
+        sizes = np.concatenate([sizes, np.array([len(part) for part in lists], np.int64)])
+        starts, lengths = (np.cumsum(sizes) - sizes)[parts], sizes[parts]
+        return ids[runs(starts.ravel(), lengths.ravel())], lengths.sum(axis=1)
+
+    def _ids_of_marks(self, tails: list[str]) -> list[list[int]]:
+        if len(self.marks) > CACHE_WORDS:
+            self.marks.clear()
+        new = [tail for tail in tails if tail not in self.marks]
+        self.marks.update(zip(new, self.ids_of(new), strict=True))
+        return [self.marks[tail] for tail in tails]
+
+    def _ids_of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_ids_of_new``, for the lower-case letters of plain words; those remembered as words are not encoded."""
+        codes = self._look_up(units)
+        known, unknown = np.flatnonzero(codes >= 0), np.flatnonzero(codes < 0).tolist()
+        texts = [" ".join(units[i] for i in unknown[k : k + _TOGETHER]) for k in range(0, len(unknown), _TOGETHER)]
+        new = np.array([i for ids in ids_by_itself(self.of_letters, texts) for i in ids], np.uint32)
+        ends = np.flatnonzero(self.ends_unit[new])
+        if len(ends) != len(unknown):
+            raise ValueError("the tokenizer does not mark the ends of units")
+        sizes = np.zeros(len(units), np.int64)
+        sizes[known] = self.bounds[codes[known] + 1] - self.bounds[codes[known]]
+        sizes[unknown] = np.diff(ends, prepend=-1)
+        starts = np.zeros(len(units), np.int64)
+        starts[known] = np.cumsum(sizes[known]) - sizes[known]
+        starts[unknown] = sizes[known].sum() + np.cumsum(sizes[unknown]) - sizes[unknown]
+        return np.concatenate([self._gather(codes[known]), new])[runs(starts, sizes)], sizes
+
+
+def as_list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 def letters_tokenizer(tokenizer):
@@ -308,7 +367,7 @@ def letters_tokenizer(tokenizer):
 
     parts = json.loads(tokenizer.to_str())
     steps = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-    letters = " ".join(u for u, _ in _PLAIN.findall("".join(f"{chr(c)}\n" for c in range(256))) if u and u == u.lower())
+    letters = " ".join(c for c in _LETTERS if c == c.lower())
     stays = tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(letters) == letters
     if not stays or [step.get("type") for step in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
         return tokenizer
@@ -320,9 +379,12 @@ def ids_by_itself(tokenizer, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
 def split_words(text: str) -> list[str]:
     """Words between Unicode white space; Python also splits at four control characters that are none."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if any(c in text for c in _NO_SPACE):
         stand_in = {0x1C + k: 0xF0000 + k for k in range(4)}
         back = {0xF0000 + k: 0x1C + k for k in range(4)}
         return [w.translate(back) for w in text.translate(stand_in).split()]
@@ -348,7 +410,7 @@ def write(documents: DataFrame, folder: str, tokenizer_file: str, end_id: int) -
                 writer = Writer(path, f"try-{context.taskAttemptId()}")
                 encoder = per_process(("token_file", tokenizer_file), lambda: word_encoder(tokenizer_file))
             doc_ids = iter(batch["doc_id"])
-            for texts in grouped(batch["text"]):
+            for texts in grouped(batch["text"], encoder.at_once):
                 for doc_id, ids in zip(islice(doc_ids, len(texts)), encoder.encode(texts), strict=True):
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:

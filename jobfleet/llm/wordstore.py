@@ -7,7 +7,7 @@ from types import ModuleType
 
 import numpy as np
 
-#: Characters of text that are encoded at once; one longer text is a batch of its own.
+#: Characters of text that go together; one longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
 
 
@@ -31,6 +31,12 @@ def grouped(texts: Iterable[str], most: int = BATCH_CHARS) -> Iterator[list[str]
         yield held
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
 class WordStore:
     """Encodes texts whose encoding is the concatenation of their words' encodings.
 
@@ -38,6 +44,9 @@ class WordStore:
     half that was used most stays.
     """
 
+    #: Characters of text that are encoded at once.
+    at_once = BATCH_CHARS
+
     def __init__(self, split: Callable[[str], list[str]], ids_of: Callable[[list[str]], list[list[int]]], most: int):
         self.split, self.ids_of, self.most = split, ids_of, most
         self.codes: dict[str, int] = {}
@@ -45,9 +54,13 @@ class WordStore:
         self.bounds = np.zeros(1 << 12, np.int64)
         self.uses = np.zeros(1 << 12, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids_of_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words, one word after the other, and how many each has."""
         encoded = self.ids_of(words)
-        flat = [i for ids in encoded for i in ids]
+        return np.array([i for ids in encoded for i in ids], np.uint32), np.array([len(ids) for ids in encoded], np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        flat, lengths = self._ids_of_new(words)
         first, start = len(self.codes), int(self.bounds[len(self.codes)])
         while len(self.ids) < start + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -55,43 +68,44 @@ class WordStore:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
             self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[start : start + len(flat)] = flat
-        self.bounds[first + 1 : first + 1 + len(words)] = start + np.cumsum([len(ids) for ids in encoded])
+        self.bounds[first + 1 : first + 1 + len(words)] = start + np.cumsum(lengths)
         self.uses[first : first + len(words)] = 0
         self.codes.update(zip(words, range(first, first + len(words)), strict=True))
 
     def _forget(self) -> None:
         """Keep the words used most, and halve their counts."""
-        stay = np.argsort(-self.uses[: len(self.codes)], kind="stable")[: self.most // 2]
-        new_code = np.full(len(self.codes), -1)
-        new_code[stay] = np.arange(len(stay))
+        stay = np.sort(np.argsort(-self.uses[: len(self.codes)], kind="stable")[: self.most // 2])
         lengths = self.bounds[stay + 1] - self.bounds[stay]
         flat = self._gather(stay)
-        self.codes = {w: int(new_code[c]) for w, c in self.codes.items() if new_code[c] >= 0}
+        words = list(self.codes)  # in the order of their codes
+        self.codes = {words[old]: new for new, old in enumerate(stay.tolist())}
         self.uses[: len(stay)] = self.uses[stay] // 2
         self.ids[: len(flat)] = flat
         self.bounds[: len(stay) + 1] = np.concatenate([[0], np.cumsum(lengths)])
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         starts = self.bounds[codes]
-        lengths = self.bounds[codes + 1] - starts
-        before = np.cumsum(lengths) - lengths
-        return self.ids[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        return self.ids[runs(starts, self.bounds[codes + 1] - starts)]
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for some in grouped(texts) for ids in self._encode(some)]
+        return [ids for some in grouped(texts, self.at_once) for ids in self._encode(some)]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _codes_of(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The codes of all words, and where each text's end."""
         words, ends = [], []
         for text in texts:
             words += self.split(text)
             ends.append(len(words))
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        codes = self._look_up(words)
         unknown = np.nonzero(codes < 0)[0]
         if len(unknown):
             new = list(dict.fromkeys(words[i] for i in unknown.tolist()))
             if len(self.codes) + len(new) > self.most and self.codes:
                 self._forget()
-                codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+                codes = self._look_up(words)
                 unknown = np.nonzero(codes < 0)[0]
                 new = list(dict.fromkeys(words[i] for i in unknown.tolist()))
             self._learn(new)
@@ -99,6 +113,10 @@ class WordStore:
         if len(codes):
             counts = np.bincount(codes)
             self.uses[: len(counts)] += counts.astype(np.int32)
+        return codes, ends
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        codes, ends = self._codes_of(texts)
         ids = self._gather(codes)
         sizes = np.concatenate([[0], np.cumsum(self.bounds[codes + 1] - self.bounds[codes])])
         return np.split(ids, sizes[ends[:-1]]) if texts else []

@@ -547,3 +547,36 @@ def test_words_that_differ_in_case_alone_are_learned_once():
     ours = token_file.word_encoder(WORD_BPE)
     ours.encode(texts[:1])
     assert sorted(ours.codes) == ["the", "the's", "été", "été,", "“quoted”"]
+
+
+def test_a_batch_looks_its_words_up_once():
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            self.looked_up += 1
+            return super().get(*key)
+
+    ours = token_file.word_encoder(WORD_BPE)
+    ours.codes = Counted()
+    text = "The cat, été. 12 “x” " * 3000
+    assert ours.encode([text, text])[1].tolist() == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert ours.codes.looked_up < 30
+
+
+def test_letters_remembered_as_words_are_not_encoded_again(monkeypatch):
+    ours, encoded, by_itself = token_file.word_encoder(WORD_BPE), [], token_file.ids_by_itself
+    ours.encode(["house été"])
+    monkeypatch.setattr(token_file, "ids_by_itself", lambda tokenizer, texts: encoded.extend(texts) or by_itself(tokenizer, texts))
+    text = "House, garden. ÉTÉ!! (house) house"
+    assert ours.encode([text])[0].tolist() == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert "garden" in encoded and not {"house", "été", "house été", "house garden été"} & set(encoded)
+
+
+def test_words_of_a_full_store_are_encoded_as_whole_texts_are(monkeypatch):
+    monkeypatch.setattr(token_file, "CACHE_WORDS", 50)
+    exact, ours = Tokenizer.from_file(WORD_BPE), token_file.word_encoder(WORD_BPE)
+    texts = ["", " ", *fuzz(4, 600, "abTÉß ,.'!0\x1c İ\n", 40)]
+    for i in range(0, len(texts), 7):
+        want = [exact.encode(t, add_special_tokens=False).ids for t in texts[i : i + 7]]
+        assert [ids.tolist() for ids in ours.encode(texts[i : i + 7])] == want
